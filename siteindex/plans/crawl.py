@@ -10,7 +10,7 @@ from ..functions import ranking, text, urls
 from ..operators import inventory as inv
 from ..operators import sections as sec
 from ..sources import crawl
-from .inputs import INVENTORY_SQL, inventory, sql_path
+from .inputs import INVENTORY_SQL, inventory, select_list, sql_path
 from .registry import query, table
 from .scalars import _NUMBER, CONTACT_SQL, SECTION_SQL
 
@@ -81,29 +81,13 @@ _LOCALE = r"case when regexp_matches({0}, '^[+-]?(\d+\.?\d*|\.\d+)$') then try_c
     cast("Impressions" as bigint) as impressions, cast(rtrim("CTR", '%') as double) / 100 as ctr, cast("Position" as double) as position from raw where "Top pages" like 'http%'""",
 )
 def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "pages").selectExpr(*_select_list(_METRIC_RAW.format(s="string")))
+    raw = table(spark, sf_dir, "pages").selectExpr(*select_list(_METRIC_RAW.format(s="string")))
     return crawl.metric_rows(raw).select("url", "clicks", "impressions", "ctr", "position")
 
 
-def _select_list(sql: str) -> list[str]:
-    """Select items of a one-table query written for both engines."""
-    body = sql.strip().removeprefix("select ").rsplit(" from ", 1)[0]
-    items, depth, held, quoted = [], 0, "", False
-    for c in body:
-        if c == "'":
-            quoted = not quoted
-        depth += (c == "(") - (c == ")") if not quoted else 0
-        if c == "," and not depth and not quoted:
-            items.append(held)
-            held = ""
-        else:
-            held += c
-    return [x.replace('"', "`") for x in [*items, held]]
-
-
 @query("f05_url_scheme", f"with raw as ({_METRIC_RAW.format(s='varchar')}) select regexp_matches(\"Top pages\", '^https?://') as absolute, count(*) as n from raw group by 1")
 def f05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "pages").selectExpr(*_select_list(_METRIC_RAW.format(s="string")))
+    raw = table(spark, sf_dir, "pages").selectExpr(*select_list(_METRIC_RAW.format(s="string")))
     return raw.groupBy(F.col("Top pages").rlike("^https?://").alias("absolute")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -127,7 +111,7 @@ _ROBOTS = r"select 's' || n_nationkey as site, 'Sitemap: https://' || lower(n_na
     select * from k where kind is not null""",
 )
 def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.robots(table(spark, sf_dir, "nation").selectExpr("concat('s', n_nationkey) as site", _select_list(_ROBOTS)[1]))
+    return crawl.robots(table(spark, sf_dir, "nation").selectExpr("concat('s', n_nationkey) as site", select_list(_ROBOTS)[1]))
 
 
 @query("s08_sitemap_xml")
@@ -171,7 +155,7 @@ _ATTEMPTS = "select event_id % 500 as page, event_id % 4 as tier, case when user
     select page, min(case when done then tier end) as tier, arg_min(case when done then status end, case when done then tier end) as status from ok group by page""",
 )
 def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "events").selectExpr(*_select_list(_ATTEMPTS))
+    a = table(spark, sf_dir, "events").selectExpr(*select_list(_ATTEMPTS))
     tries = a.groupBy("page", "tier").agg(F.max("status").alias("status"), F.max("chars").alias("chars"))
     # A blocked or thin answer sends the page to the next tier; another refusal is final.
     done = ~F.col("status").isin(401, 403, 429, 503) & ((F.col("status") >= 400) | (F.col("chars") >= 200))
@@ -181,7 +165,7 @@ def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s12_fetch_stats", f"with a as ({_ATTEMPTS}) select tier, count(*) filter (status = 200) as ok, count(*) filter (status <> 200) as failed from a group by tier")
 def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "events").selectExpr(*_select_list(_ATTEMPTS))
+    a = table(spark, sf_dir, "events").selectExpr(*select_list(_ATTEMPTS))
     return a.groupBy("tier").agg(F.count_if(F.col("status") == 200).alias("ok"), F.count_if(F.col("status") != 200).alias("failed"))
 
 

@@ -89,3 +89,19 @@ inv as (
       else depth_value * (0.2e0 / 0.3e0) + content_value * (0.1e0 / 0.3e0) end as score
   from scored
 )"""
+
+
+def select_list(sql: str) -> list[str]:
+    """Select items of a one-table query written for both engines."""
+    body = sql.strip().removeprefix("select ").rsplit(" from ", 1)[0]
+    items, depth, held, quoted = [], 0, "", False
+    for c in body:
+        if c == "'":
+            quoted = not quoted
+        depth += (c == "(") - (c == ")") if not quoted else 0
+        if c == "," and not depth and not quoted:
+            items.append(held)
+            held = ""
+        else:
+            held += c
+    return [x.replace('"', "`") for x in [*items, held]]
