@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .. import ship
 
@@ -49,6 +50,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the largest counts, as many whole counts as fit ``most`` rows.
+
+    A count is the threshold, found in the histogram of counts, so that no task gathers
+    every partition's best rows.
+    """
+    counts = counted.groupBy(count).agg(F.count(F.lit(1)).alias("rows_"))
+    order = W.Window.partitionBy(F.lit(0)).orderBy(F.desc(count))
+    least = counts.withColumn("upto", F.sum("rows_").over(order)).where(F.col("upto") <= most).agg(F.min(count)).first()[0]
+    return counted.where(F.col(count) >= least) if least is not None else counted.where(F.lit(False))
+
+
 def words_of(text: Column) -> Column:
     """Whitespace-separated words of a text, natively; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow, written
+from .common import arrow, most_frequent, written
 
 #: White space as the tokenizer's own regular expressions see it. Fixed values.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -112,12 +112,12 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, path: str, hot_entries: int = 400_000, hot_chars: int = 40) -> DataFrame:
     """``docs`` without its text, plus n_bytes and n_tokens.
 
-    ``hot_entries`` pre-tokens of up to ``hot_chars`` characters form the broadcast
+    Up to ``hot_entries`` pre-tokens of up to ``hot_chars`` characters form the broadcast
     table: at most 16 million characters whatever the corpus.
     """
     spark = docs.sparkSession
     pieces = written(piece_counts(distinct_pretokens(docs, path), path))
-    hot = pieces.where(F.length("piece") <= hot_chars).orderBy(F.col("n").desc(), "piece").limit(hot_entries)
+    hot = most_frequent(pieces.where(F.length("piece") <= hot_chars), "n", hot_entries)
     known = spark.sparkContext.broadcast({r["piece"]: r["pieces"] for r in hot.select("piece", "pieces").toLocalIterator()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
