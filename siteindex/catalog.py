@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from .plans import crawl, documents, metrics, scalars, site  # noqa: F401  they fill the registry
+from .plans.registry import QUERIES, SQL, Query
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1,0 +1,558 @@
+"""Queries of probes and components (R, J12, J13, K9-K17), embargo (F7-F13), costs, logs, queues, edits and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from .. import streaming
+from ..functions import patterns
+from ..operators import operations as ops
+from ..operators import site
+from .inputs import select_list, sql_path
+from .registry import query, table
+
+
+def _one(rows: DataFrame, sql: str) -> DataFrame:
+    """Select list of ``sql`` (one plain select, written for both engines) over ``rows``."""
+    return rows.selectExpr(*[x.strip() for x in select_list(" ".join(sql.split()))])
+
+
+# -- embargo and guards -----------------------------------------------------
+
+EMBARGO = ("*/fr/*", "*.html", "*/es/[1-4]*")
+_HIT = f"coalesce({', '.join(f'case when url glob {chr(39)}{g}{chr(39)} or {sql_path()} glob {chr(39)}{g}{chr(39)} then {chr(39)}{g}{chr(39)} end' for g in EMBARGO)})"
+
+
+@query("f07_embargo_split", f"select {_HIT} as pattern, count(*) as n from pages group by 1")
+def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = patterns.first_match(F.col("url"), EMBARGO)
+    return table(spark, sf_dir, "pages").groupBy(hit.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_INDEX = "select page_id % 10 as doc, string_agg('- [p](' || url || ')' || case when page_id % 4 = 0 then ' see https://x.example/fr/1' else '' end, chr(10) order by page_id) as text from pages group by 1"
+
+
+@query(
+    "f08_embargo_purge",
+    rf"""with d as ({_INDEX}), l as (select doc, unnest(range(0, len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as raw from d),
+    u as (select doc, line, raw, len(list_filter(regexp_extract_all(raw, 'https?://[^\s<>")\]]+'), lambda x: x glob '*/fr/*' or x glob '*.html' or x glob '*/es/[1-4]*')) > 0 as gone from l)
+    select doc, coalesce(string_agg(raw, chr(10) order by line) filter (not gone), '') as text, count(*) filter (gone) as removed, case when bool_or(gone) then '' else 'kept' end as full_text from u group by doc""",
+)
+def f08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    line = F.concat(F.lit("- [p]("), "url", F.lit(")"), F.when(i % 4 == 0, " see https://x.example/fr/1").otherwise(""))
+    d = table(spark, sf_dir, "pages").groupBy((i % 10).alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct(i.alias("i"), line.alias("l")))), lambda x: x["l"]).alias("lines"))
+    rows = d.select("doc", F.posexplode("lines").alias("line", "raw"))
+    urls_ = rows.select("doc", "line", F.explode(F.regexp_extract_all("raw", F.lit(r'(https?://[^\s<>")\]]+)'), F.lit(1))).alias("url"))
+    gone = urls_.where(patterns.first_match(F.col("url"), EMBARGO).isNotNull()).select("doc", "line", F.lit(True).alias("gone")).distinct()
+    marked = rows.join(gone, ["doc", "line"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    kept = F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("line", "raw"))))
+    return marked.groupBy("doc").agg(
+        F.array_join(F.transform(kept, lambda x: x["raw"]), "\n").alias("text"),
+        F.count_if("gone").alias("removed"),
+        F.when(F.bool_or("gone"), "").otherwise("kept").alias("full_text"),
+    )
+
+
+@query("f09_matching_patterns", "select p as pattern from (select unnest(['*/fr/*', '*/zz/*', '*.html', '/en/*']) as p) where exists (select 1 from pages where url glob p)")
+def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("*/fr/*", "*/zz/*", "*.html", "/en/*")
+    hits = [F.when(F.max(F.col("url").rlike(patterns.glob_regex(n)).cast("int")) == 1, F.lit(n)).alias(f"h{i}") for i, n in enumerate(names)]
+    one = table(spark, sf_dir, "pages").agg(*hits)
+    return one.select(F.explode(F.array_compact(F.array(*[F.col(f"h{i}") for i in range(len(names))]))).alias("pattern"))
+
+
+@query("f10_known_keys", "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_custkey % 3 = 0) and o_orderstatus in ('F', 'O')")
+def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O")).join(known, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+_COMPONENTS = "components as (select * from (values " + ", ".join(f"({i}, '{k}', '{f}', '{p}', {la}, '{e}', '{a[0]}', '{a[1]}', '{a[2]}', '{art}', {str(t).lower()})" for i, (k, f, p, la, e, a, art, t) in enumerate(site.COMPONENTS)) + ") t(pos, key, family, priority, layer, effort, content, app_api, ecommerce, artifact, templated))"
+
+
+@query("f11_applicable_components", f"with {_COMPONENTS} select key, family from components where app_api <> 'N'")
+def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.component_table(spark).where("app_api <> 'N'").select("key", "family")
+
+
+@query("f12_freshness", "select o_orderkey, date_diff('day', cast(o_orderdate as date), date '1998-08-01') < 30 as fresh from orders")
+def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.datediff(F.lit("1998-08-01").cast("date"), F.to_date("o_orderdate")) < 30).alias("fresh"))
+
+
+@query("f13_recent_window", "select event_id from events where ts >= timestamp '2024-01-31 00:00:00' - interval 7 day")
+def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = min(365, max(1, 7))
+    since = F.lit("2024-01-31 00:00:00").cast(table(spark, sf_dir, "events").schema["ts"].dataType) - F.expr(f"interval {days} days")
+    return table(spark, sf_dir, "events").where(F.col("ts") >= since).select("event_id")
+
+
+# -- joins and sets ---------------------------------------------------------
+
+
+@query("j04_pages_of_domain", "select l_orderkey, l_linenumber, o_custkey from lineitem join orders on l_orderkey = o_orderkey where o_orderpriority = '1-URGENT'")
+def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(runs, "l_orderkey")
+
+
+_MODEL = "case event_id % 6 when 0 then 'gpt-4o-2024-11-20' when 1 then 'gpt-4o-mini' when 2 then 'o3' when 3 then 'mystery-1' when 4 then 'gpt-4.1-nano-x' else 'o4-mini' end"
+_RATES = "rates as (select * from (values " + ", ".join(f"('{k}', {a}e0, {b}e0)" for k, (a, b) in ops.RATES.items()) + ") t(name, pin, pout))"
+_RATED = f"{_RATES}, m as (select event_id, {_MODEL} as model from events), names as (select distinct model from m), best as (select model, pin, pout from names left join rates on starts_with(model, name) qualify row_number() over (partition by model order by length(name) desc nulls last) = 1)"
+
+
+@query("p22_rate_for", f"with {_RATED} select event_id, pin as prompt_rate, pout as completion_rate from m join best using (model)")
+def p22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "events").select("event_id", ops.rate_for(F.expr(_MODEL)).alias("r"))
+    return m.select("event_id", F.col("r.prompt").alias("prompt_rate"), F.col("r.completion").alias("completion_rate"))
+
+
+@query("j08_longest_prefix", f"with {_RATED} select model, count(*) as n, any_value(pin) as prompt_rate from m join best using (model) group by model")
+def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "events").select(F.expr(_MODEL).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    return m.select("model", "n", ops.rate_for(F.col("model"))["prompt"].alias("prompt_rate"))
+
+
+@query("j10_update_join", "with n as (select p_partkey as k, case when p_partkey % 3 = 0 then '' else upper(p_name) end as title, p_partkey % 4 as sec from part where p_partkey % 2 = 0) select p_partkey, coalesce(nullif(title, ''), p_name) as title, coalesce(sec, 0) * 1000 + p_partkey % 7 as position from part left join n on k = p_partkey")
+def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    k = F.col("p_partkey")
+    new = p.where(k % 2 == 0).select("p_partkey", F.when(k % 3 == 0, "").otherwise(F.upper("p_name")).alias("title"), (k % 4).alias("sec"))
+    return p.join(new, "p_partkey", "left").select("p_partkey", F.coalesce(F.nullif("title", F.lit("")), "p_name").alias("title"), (F.coalesce("sec", F.lit(0)) * 1000 + k % 7).alias("position"))
+
+
+@query("u01_rules_union", "select n_name as rule, 'plan' as source from nation where n_regionkey = 1 union all select n_name, 'heuristic' from nation where n_regionkey <> 1 and n_nationkey > 5")
+def u01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    plan = n.where("n_regionkey = 1").select(F.col("n_name").alias("rule"), F.lit("plan").alias("source"))
+    rest = n.where("n_nationkey > 5").select(F.col("n_name").alias("rule")).join(n.where("n_regionkey = 1").select(F.col("n_name").alias("rule")), "rule", "left_anti")
+    return plan.unionByName(rest.withColumn("source", F.lit("heuristic")))
+
+
+@query("u02_group_difference", "select k, 'only_a' as side from (select distinct o_custkey % 50 as k from orders where o_orderkey % 2 = 0 except select distinct o_custkey % 50 from orders where o_orderkey % 97 = 1) union all select k, 'both' from (select o_custkey % 50 as k from orders where o_orderkey % 2 = 0 intersect select o_custkey % 50 from orders where o_orderkey % 97 = 1)")
+def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"))
+    a, b = o.where("o_orderkey % 2 = 0").select("k"), o.where("o_orderkey % 97 = 1").select("k")
+    return a.subtract(b).withColumn("side", F.lit("only_a")).unionByName(a.intersect(b).withColumn("side", F.lit("both")))
+
+
+@query("u03_ordered_distinct", "select o_custkey % 100 as k, arg_min(o_orderpriority, o_orderkey) as first from orders group by 1")
+def u03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("k"), "o_orderkey", "o_orderpriority")
+    return o.groupBy("k").agg(F.min_by("o_orderpriority", "o_orderkey").alias("first"))
+
+
+@query("u04_unpriced_models", f"with {_RATED} select string_agg(distinct model, ',' order by model) as models from m join best using (model) where pin is null")
+def u04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "events").select(F.expr(_MODEL).alias("model")).where(ops.rate_for(F.col("model")).isNull())
+    return m.agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
+
+
+@query("u05_new_error_codes", "with c as (select user_id, event_type, event_id % 2 as half from events) select distinct user_id, event_type from c where half = 1 and (user_id, event_type) not in (select (user_id, event_type) from c where half = 0)")
+def u05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("was"), F.collect_set(F.when(F.col("event_id") % 2 == 1, F.col("event_type"))).alias("now"))
+    return c.select("user_id", F.explode(F.array_except("now", "was")).alias("event_type"))
+
+
+@query("u06_concat_issues", "select doc_id as id, 'short' as issue from documents where n_chars < 200 union all select doc_id, 'foreign' from documents where lang <> 'en'")
+def u06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars", "lang")
+    return d.where("n_chars < 200").select("id", F.lit("short").alias("issue")).unionByName(d.where("lang <> 'en'").select("id", F.lit("foreign").alias("issue")))
+
+
+# -- costs, logs, queues, edits ---------------------------------------------
+
+_USAGE = f"usage as (select user_id % 40 as run, {_MODEL} as model, cast(sum(event_id % 900) as bigint) as prompt, cast(sum(event_id % 70) as bigint) as completion from events where user_id % 40 not in (3) or event_id % 6 < 2 group by all)"
+_COSTS = f"""{_RATED}, {_USAGE}, costs as (select run, cast(sum(prompt) as bigint) as prompt, cast(sum(completion) as bigint) as completion, coalesce(sum(prompt / 1e6 * pin + completion / 1e6 * pout), 0e0) as llm_usd,
+  cast(coalesce(sum(prompt + completion) filter (pin is null), 0) as bigint) as unpriced_tokens, coalesce(string_agg(model, ',' order by model) filter (pin is null), '') as unpriced, (run % 9) * 0.0025e0 as serp_usd from usage join best using (model) group by run)"""
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events").withColumn("run", F.col("user_id") % 40).where("run <> 3 or event_id % 6 < 2")
+    usage = e.groupBy("run", F.expr(_MODEL).alias("model")).agg(F.sum(F.col("event_id") % 900).alias("prompt"), F.sum(F.col("event_id") % 70).alias("completion"))
+    return usage, usage.select("run", (F.col("run") % 9).alias("serp_calls")).distinct()
+
+
+@query("a17_run_cost", f"with {_COSTS} select run, prompt, completion, round(llm_usd, 9) as llm_usd, serp_usd, unpriced_tokens, unpriced from costs")
+def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = ops.run_costs(*_usage(spark, sf_dir))
+    return c.select("run", "prompt", "completion", F.round("llm_usd", 9).alias("llm_usd"), "serp_usd", "unpriced_tokens", F.array_join("unpriced_models", ",").alias("unpriced"))
+
+
+@query("a18_cost_totals", f"with {_COSTS} select count(*) as runs, count(*) filter (unpriced = '') as priced_runs, round(sum(llm_usd + serp_usd), 6) as total_usd, round(sum(llm_usd + serp_usd) / nullif(count(*) filter (unpriced = ''), 0), 6) as usd_per_run, (select string_agg(distinct model, ',' order by model) from usage join best using (model) where pin is null) as unpriced_models from costs")
+def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ops.cost_totals(ops.run_costs(*_usage(spark, sf_dir)))
+    return t.withColumn("total_usd", F.round("total_usd", 6)).withColumn("usd_per_run", F.round("usd_per_run", 6))
+
+
+@query("a19_cost_by_day", f"with {_RATED}, e as (select cast(ts as date) as day, event_id, {_MODEL} as model from events) select day, count(*) as calls, round(sum((event_id % 900) / 1e6 * coalesce(pin, 0e0)), 9) as usd from e join best using (model) group by day")
+def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", ops.rate_for(F.expr(_MODEL)).alias("r"))
+    return e.groupBy("day").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum((F.col("event_id") % 900) / 1e6 * F.coalesce("r.prompt", F.lit(0.0))), 9).alias("usd"))
+
+
+@query("a19_cost_by_model", f"with {_RATED} select model, count(*) as calls, case when any_value(pin) is null then -1e0 else round(sum((event_id % 900) / 1e6 * pin), 9) end as usd from m join best using (model) group by model")
+def a19_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.expr(_MODEL).alias("model"), "event_id")
+    rate = ops.rate_for(F.col("model"))["prompt"]
+    return e.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum((F.col("event_id") % 900) / 1e6).alias("t")).select("model", "calls", F.coalesce(F.round(F.col("t") * rate, 9), F.lit(-1.0)).alias("usd"))
+
+
+@query("a28_usage_meter", f"with m as (select event_type as stage, {_MODEL} as model, event_id from events) select stage, count(*) as calls, cast(sum(event_id % 900) as bigint) as prompt, count(distinct model) as models from m group by stage")
+def a28(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.expr(_MODEL).alias("model"), "event_id")
+    return m.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("event_id") % 900).alias("prompt"), F.countDistinct("model").alias("models"))
+
+
+@query("w04_latest_log", "select * from (select event_id, ts, event_type from events order by ts desc, event_id desc limit 25) order by ts, event_id")
+def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.latest_of_log(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"))
+
+
+@query("w05_latest_run", "select o_custkey, o_orderkey from orders where o_orderstatus = 'F' qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1")
+def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return done.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+
+
+@query("w10_batches", "select source, doc_id, (row_number() over (partition by source order by doc_id) - 1) // 40 as batch from documents")
+def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(W.Window.partitionBy("source").orderBy("doc_id")) - 1
+    return table(spark, sf_dir, "documents").select("source", "doc_id", F.floor(n / 40).alias("batch"))
+
+
+_JOBS = "select o_orderkey as id, case when o_custkey % 10 = 0 then null else 'l' || (o_custkey % 400) end as lock, cast(o_shippriority_ as integer) as priority, case o_orderkey % 7 when 0 then 'doing' when 1 then 'done' else 'todo' end as status from (select *, o_custkey % 3 as o_shippriority_ from orders)"
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    status = F.when(i % 7 == 0, "doing").when(i % 7 == 1, "done").otherwise("todo")
+    return table(spark, sf_dir, "orders").select(i.alias("id"), F.when(c % 10 != 0, F.concat(F.lit("l"), (c % 400).cast("string"))).alias("lock"), (c % 3).cast("int").alias("priority"), status.alias("status"))
+
+
+_ELIGIBLE = f"jobs as ({_JOBS}), eligible as (select * from jobs j where status = 'todo' and not exists (select 1 from jobs o where j.lock is not null and o.lock = j.lock and (o.status = 'doing' or (o.status = 'todo' and (o.priority > j.priority or (o.priority = j.priority and o.id < j.id))))))"
+
+
+@query("j14_eligible_jobs", f"with {_ELIGIBLE} select id, lock, priority from eligible")
+def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.eligible_jobs(_jobs(spark, sf_dir)).select("id", "lock", "priority")
+
+
+@query("t02_next_job", f"with {_ELIGIBLE} select id, priority from eligible order by priority desc, id limit 1")
+def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.next_job(_jobs(spark, sf_dir)).select("id", "priority")
+
+
+@query("t03_stalled_workers", "select user_id, max(ts) as heartbeat from events group by user_id having max(ts) < timestamp '2024-01-30 12:00:00'")
+def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("heartbeat"))
+    return h.where(F.col("heartbeat") < F.lit("2024-01-30 12:00:00").cast(h.schema["heartbeat"].dataType))
+
+
+@query("t01_event_windows", "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by all")
+def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: event-time windows, here in batch; streaming/ runs the same over files that arrive."""
+    return streaming.windowed_counts(table(spark, sf_dir, "events"))
+
+
+@query("t05_edit_fold")
+def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    url = F.concat(F.lit("u"), (F.col("turn") % 4).cast("string"))
+    pages = c.groupBy(F.col("conv_id").alias("doc"), url.alias("url")).agg(F.min("turn").alias("ord")).withColumn("section", F.concat(F.lit("S"), (F.col("ord") % 2).cast("string")))
+    kinds = F.array(*[F.lit(x) for x in ("move_page", "rename_section", "exclude_page", "set_optional", "include_page", "noise")])
+    log = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("seq"), F.get(kinds, (F.col("turn") % 6).cast("int")).alias("op"), url.alias("url"), F.concat(F.lit("S"), (F.col("turn") % 2).cast("string")).alias("section"), F.concat(F.lit("R"), F.col("turn").cast("string")).alias("text"))
+    return ops.apply_edits(pages, log)
+
+
+@query("t06_edit_gate", "with i as (select user_id, count(*) filter (event_type = 'error' and event_id % 2 = 0) as was, count(*) filter (event_type = 'error' and event_id % 2 = 1) as now from events group by user_id) select user_id, now > was as rolled_back from i")
+def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    bad = F.col("event_type") == "error"
+    i = e.groupBy("user_id").agg(F.count_if(bad & (F.col("event_id") % 2 == 0)).alias("was"), F.count_if(bad & (F.col("event_id") % 2 == 1)).alias("now"))
+    return i.select("user_id", (F.col("now") > F.col("was")).alias("rolled_back"))
+
+
+# -- probes and components --------------------------------------------------
+
+_RESP = """select o_orderkey as id, 's' || (o_custkey % 30) as site, case o_orderkey % 8 when 0 then null when 1 then 404 when 2 then 500 else 200 end as status,
+  case o_orderkey % 5 when 0 then 'text/html; charset=utf-8' when 1 then 'application/json' when 2 then '' else 'text/plain' end as content_type from orders"""
+_KIND = "lower(trim(split_part(content_type, ';', 1)))"
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(table(spark, sf_dir, "orders"), _RESP.replace("'s' || (o_custkey % 30)", "concat('s', o_custkey % 30)"))
+
+
+@query("r01_surface_state", f"with r as ({_RESP}) select id, case when status is null then 'unreachable' when status >= 400 then 'absent' when contains({_KIND}, 'html') then 'soft_404' when {_KIND} <> '' and {_KIND} not in ('text/plain', 'text/markdown') then 'wrong_type' else 'present' end as state from r")
+def r01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = F.array(F.lit("text/plain"), F.lit("text/markdown"))
+    return _responses(spark, sf_dir).select("id", site.surface_state(F.col("status"), F.col("content_type"), expected).alias("state"))
+
+
+@query("r09_check_state", f"with r as ({_RESP}) select id, case when status is null then 'unreachable' when status >= 400 or contains({_KIND}, 'html') or ({_KIND} <> '' and not contains({_KIND}, 'json')) then 'fail' else 'pass' end as state from r")
+def r09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _responses(spark, sf_dir).select("id", site.check_state(F.col("status"), F.col("content_type"), F.array(F.lit("json"))).alias("state"))
+
+
+@query("r11_declared_endpoints", f"with r as ({_RESP}) select site, count(*) filter (status < 400 and not contains({_KIND}, 'html') and ({_KIND} = '' or contains({_KIND}, 'json'))) as verified, count(*) as declared from r group by site")
+def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = site.check_state(F.col("status"), F.col("content_type"), F.array(F.lit("json")))
+    return _responses(spark, sf_dir).groupBy("site").agg(F.count_if(s == "pass").alias("verified"), F.count(F.lit(1)).alias("declared"))
+
+
+@query("r02_commerce_profile", "select s_suppkey, 'dev.svc' || x as name, '2026-0' || x as version, 'https://e/' || s_suppkey || '/' || x as endpoint from (select s_suppkey, unnest(range(1, 4)) as x from supplier) where x <> 3")
+def r02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    bind = lambda x: F.array(F.struct(F.lit(f"2026-0{x}").alias("version"), (F.concat(F.lit("https://e/"), k, F.lit(f"/{x}")) if x != 3 else F.lit("")).alias("endpoint")))
+    body = F.to_json(F.struct(F.struct(F.create_map(*[y for x in (1, 2, 3) for y in (F.lit(f"dev.svc{x}"), bind(x))]).alias("services")).alias("ucp")))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(site.profile_services(body)).alias("s"))
+    return rows.select("s_suppkey", "s.name", "s.version", "s.endpoint")
+
+
+_PLATFORM = "case when s_suppkey % 11 = 0 then 'shopify' else case s_suppkey % 6 when 0 then 'shopify' when 1 then 'nextjs' when 2 then case when s_suppkey % 4 = 0 then 'woocommerce' else 'wordpress' end when 3 then 'drupal' else 'unknown' end end"
+
+
+def _headers() -> tuple:
+    k = F.col("s_suppkey")
+    server = F.when(k % 6 == 0, "Shopify").otherwise("nginx")
+    powered = F.when(k % 6 == 1, "Next.js").when(k % 6 == 2, "WordPress").otherwise("php")
+    headers = F.create_map(F.lit("Server"), server, F.lit("X-Powered-By"), powered)
+    generator = F.when(k % 6 == 3, "Drupal 10").when(k % 4 == 0, "WooCommerce 9").otherwise("")
+    generator = F.when((k % 6).isin(2, 3) | (k % 4 != 0), generator).otherwise("")
+    return headers, generator, F.when(k % 11 == 0, F.array(F.lit("https://a.myshopify.com/x"))).otherwise(F.array().cast("array<string>"))
+
+
+@query("r06_platform_precedence", f"select s_suppkey, {_PLATFORM} as platform from supplier")
+def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", site.platform(*_headers()).alias("platform"))
+
+
+@query("r03_platform_evidence", "select s_suppkey, s_suppkey % 11 = 0 as by_endpoint from supplier")
+def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, endpoints = _headers()
+    none = F.create_map(F.lit("a"), F.lit("b"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", (site.platform(none, F.lit(""), endpoints) == "shopify").alias("by_endpoint"))
+
+
+@query("r04_platform_headers", "select s_suppkey, case s_suppkey % 6 when 0 then 'shopify' when 1 then 'nextjs' when 2 then 'wordpress' else 'unknown' end as platform from supplier")
+def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers, _, _ = _headers()
+    return table(spark, sf_dir, "supplier").select("s_suppkey", site.platform(headers, F.lit(""), F.array().cast("array<string>")).alias("platform"))
+
+
+@query("r05_fingerprints")
+def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a small table of patterns; the first surface with evidence wins."""
+    rules = spark.createDataFrame([("analytics", 0, r"track\("), ("ads", 1, 'class="ad"'), ("copyright", 2, "&copy;")], "name string, surface int, pattern string")
+    hits = table(spark, sf_dir, "pages").select("page_id", "html").join(F.broadcast(rules), F.expr("rlike(html, pattern)"))  # three rules
+    return hits.groupBy("page_id", "name").agg(F.min_by("pattern", "surface").alias("evidence"))
+
+
+@query("r07_endpoint_labels", f"with r as ({_RESP}) select site, content_type as label, min(id) as first from r where status = 200 group by all")
+def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _responses(spark, sf_dir).where("status = 200").groupBy("site", F.col("content_type").alias("label")).agg(F.min("id").alias("first"))
+
+
+_HTML = """h as (select page_id, html || case page_id % 4 when 0 then '<input type="text" id="a"><label for="a">x</label>' when 1 then '<input type="hidden"><div tabindex="0">y</div>' when 2 then '<input id="q"><p id="q"></p>' else '<div role="button" onclick="z()"></div>' end as html from pages)"""
+
+
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id") % 4
+    tail = F.when(i == 0, '<input type="text" id="a"><label for="a">x</label>').when(i == 1, '<input type="hidden"><div tabindex="0">y</div>').when(i == 2, '<input id="q"><p id="q"></p>').otherwise('<div role="button" onclick="z()"></div>')
+    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", tail).alias("html"))
+
+
+@query(
+    "r08_html_checks",
+    f"""with {_HTML}, n as (select page_id, cast(contains(lower(html), '<header') as int) + cast(contains(lower(html), '<nav') as int) + cast(contains(lower(html), '<main') as int) + cast(contains(lower(html), '<article') as int) + cast(contains(lower(html), '<aside') as int) + cast(contains(lower(html), '<footer') as int) as marks from h)
+    select page_id, case when marks >= 3 then 'pass' else 'fail' end as semantic, case when page_id % 4 = 1 then 'fail' else 'pass' end as roles, case page_id % 4 when 0 then 'pass' when 2 then 'fail' else 'n/a' end as labels, case page_id % 4 when 0 then 'pass' when 2 then 'fail' else 'n/a' end as ids from n""",
+)
+def r08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = site.html_checks(F.col("html"))
+    return _html(spark, sf_dir).select("page_id", c["semantic-html"].alias("semantic"), c["roles"].alias("roles"), c["labels"].alias("labels"), c["unique-ids"].alias("ids"))
+
+
+@query("j13_duplicate_ids_referenced", "select conv_id, turn, list_contains(['user', 'system'], role) as dangerous from conversations")
+def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array("role", "role", F.lit("x"))
+    twice = F.filter(F.array_distinct(ids), lambda i: F.size(F.filter(ids, lambda j: i == j)) > 1)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(F.array_intersect(twice, F.array(F.lit("user"), F.lit("system")))) > 0).alias("dangerous"))
+
+
+_CHECKS = "checks as (select 's' || (o_custkey % 30) as site, case o_orderkey % 4 when 0 then 'robots' when 1 then 'llms-txt' when 2 then 'labels' else 'mcp-card' end as key, case when o_custkey % 30 < 4 and o_orderkey % 4 = 2 then 'n/a' when o_orderkey % 11 = 0 and o_custkey % 5 = 0 then 'fail' when o_orderkey % 3 = 0 then 'n/a' else 'pass' end as state from orders)"
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    key = F.when(i % 4 == 0, "robots").when(i % 4 == 1, "llms-txt").when(i % 4 == 2, "labels").otherwise("mcp-card")
+    state = F.when((c % 30 < 4) & (i % 4 == 2), "n/a").when((i % 11 == 0) & (c % 5 == 0), "fail").when(i % 3 == 0, "n/a").otherwise("pass")
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), (c % 30).cast("string")).alias("site"), key.alias("key"), state.alias("state"))
+
+
+_WORST = f"{_CHECKS}, worst as (select site, key, case when count(*) filter (state = 'fail') > 0 then 'fail' when bool_and(state = 'n/a') then 'n/a' else 'pass' end as state, count(*) filter (state = 'fail') as failed from checks group by all)"
+
+
+@query("a22_worst_of_pages", f"with {_WORST} select * from worst")
+def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.worst_of(_checks(spark, sf_dir))
+
+
+_SCORES = "case priority when 'Must' then 5 when 'Should' then 2 else 1 end"
+
+
+@query("a21_readiness_score", f"with {_COMPONENTS}, {_WORST} select site, cast(case when sum({_SCORES}) filter (state in ('pass', 'fail')) > 0 then round_even(100e0 * coalesce(sum({_SCORES}) filter (state = 'pass'), 0) / sum({_SCORES}) filter (state in ('pass', 'fail')), 0) else 0 end as bigint) as score from worst join components using (key) group by site")
+def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.readiness_score(site.worst_of(_checks(spark, sf_dir)), site.component_table(spark))
+
+
+@query("w14_severity_order", f"with {_COMPONENTS}, {_WORST} select site, key, cast(row_number() over (partition by site order by case priority when 'Must' then 0 when 'Should' then 1 else 2 end, pos) as integer) as place from worst join components using (key) where state = 'fail'")
+def w14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = site.worst_of(_checks(spark, sf_dir)).where("state = 'fail'").join(F.broadcast(site.component_table(spark)), "key")
+    rank = F.when(F.col("priority") == "Must", 0).when(F.col("priority") == "Should", 1).otherwise(2)
+    return rows.select("site", "key", F.row_number().over(W.Window.partitionBy("site").orderBy(rank, "pos")).alias("place"))
+
+
+_STATES = f"""{_COMPONENTS}, {_WORST}, sites as (select distinct site, ['content', 'app_api', 'ecommerce'][1 + cast(substr(site, 2) as integer) % 3] as site_type, cast(substr(site, 2) as integer) as n from worst),
+states as (select s.site, c.key, c.family, c.effort, case when case s.site_type when 'content' then c.content when 'app_api' then c.app_api else c.ecommerce end = 'N' then 'not_applicable' when w.state = 'pass' then 'live' when s.n % 4 = 0 and c.key in ('cls', 'labels') and c.layer = 1 and c.key not in ('semantic-html', 'roles', 'labels', 'aria-roles', 'unique-ids') then 'live'
+  when c.artifact <> '' and ((s.n % 2 = 0 and c.artifact = 'llms.txt') or (s.n % 3 = 0 and c.artifact = 'agents.md')) then 'ready' when c.templated then 'template' else 'missing' end as state from sites s cross join components c left join worst w on w.site = s.site and w.key = c.key)"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = site.worst_of(_checks(spark, sf_dir))
+    n = F.substr("site", F.lit(2)).cast("int")
+    sites = checks.select("site").distinct()
+    marks = sites.where(n % 4 == 0).select("site", F.explode(F.array(F.lit("cls"), F.lit("labels"))).alias("key"))
+    files = sites.where(n % 2 == 0).select("site", F.lit("llms.txt").alias("artifact")).unionByName(sites.where(n % 3 == 0).select("site", F.lit("agents.md").alias("artifact")))
+    kinds = F.array(*[F.lit(t) for t in site.SITE_TYPES])
+    return site.component_states(sites.withColumn("site_type", F.get(kinds, n % 3)), site.component_table(spark), checks, marks, files)
+
+
+@query("j12_component_states", f"with {_STATES} select site, key, family, effort, state from states")
+def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir)
+
+
+@query("a23_family_counts", f"with {_STATES} select site, family, count(*) filter (state = 'live') as live, count(*) filter (state = 'missing') as missing, count(*) filter (state = 'ready') as ready from states where state <> 'not_applicable' group by all")
+def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _states(spark, sf_dir).where("state <> 'not_applicable'")
+    return s.groupBy("site", "family").agg(*[F.count_if(F.col("state") == x).alias(x) for x in ("live", "missing", "ready")])
+
+
+@query("r10_checklist", f"with {_COMPONENTS}, {_WORST}, t as (select distinct site, ['content', 'app_api', 'ecommerce'][1 + cast(substr(site, 2) as integer) % 3] as site_type from worst) select site, key, case when state = 'fail' and case site_type when 'content' then content when 'app_api' then app_api else ecommerce end = 'C' then 'n/a' else state end as state from worst join components using (key) join t using (site)")
+def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = site.worst_of(_checks(spark, sf_dir)).join(F.broadcast(site.component_table(spark)), "key")
+    n = F.substr("site", F.lit(2)).cast("int") % 3
+    applies = F.when(n == 0, F.col("content")).when(n == 1, F.col("app_api")).otherwise(F.col("ecommerce"))
+    return w.select("site", "key", F.when((F.col("state") == "fail") & (applies == "C"), "n/a").otherwise(F.col("state")).alias("state"))
+
+
+@query("r12_size_warnings", "with t as (select doc_id, n_chars as total, n_chars - doc_id % 3 as html, case when doc_id % 4 = 0 then null else (doc_id % 5) * n_chars end as indexed from documents) select doc_id, array_to_string(list_filter([case when total > 0 and html < total then 'assets' end, case when indexed is not null and html > 0 and indexed > html * 3 then 'orphans' end, case when indexed is not null and html > 0 and not indexed > html * 3 and html > greatest(indexed * 3, 50) then 'not kept' end, case when indexed is null then 'no count' end, case when html = 0 then 'no pages' end, case when greatest(html, coalesce(indexed, 0)) >= 10000 then 'huge' end], lambda x: x is not null), ',') as warnings from t")
+def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, i = F.col("n_chars"), F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(site.size_warnings(n, n - i % 3, F.when(i % 4 != 0, (i % 5) * n)), ",").alias("warnings"))
+
+
+_PROFILES = "case {} " + " ".join(f"when '{k}' then '{v}'" for k, v in site.PROFILES.items()) + " end"
+_ACTION = "['contact_agency', 'shop_on_store', 'read_and_cite', 'undecided', 'use_the_api'][1 + n_nationkey % 5]"
+
+
+@query("p29_profile_for", f"with t as (select n_nationkey, {_ACTION} as action from nation) select n_nationkey, coalesce({_PROFILES.format('action')}, case when n_nationkey % 3 = 0 then 'catalog' end, case when n_nationkey % 2 = 0 then 'ecommerce_retail' end, 'agency_services') as profile from t")
+def p29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiled(spark, sf_dir).select("n_nationkey", "profile")
+
+
+def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    action = F.get(F.array(*[F.lit(x) for x in ("contact_agency", "shop_on_store", "read_and_cite", "undecided", "use_the_api")]), k % 5)
+    profile = site.profile_for(action, F.when(k % 3 == 0, "catalog").otherwise(""), k % 2 == 0)
+    return table(spark, sf_dir, "nation").select("n_nationkey", action.alias("action"), profile.alias("profile"))
+
+
+@query("p30_scenario_files", f"with {_COMPONENTS}, s as (select * from (values {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{c}{chr(39)})' for k, v in site.SCENARIOS.items() for c in v)}) t(scenario, key)) select distinct scenario, artifact from s join components using (key) where artifact <> ''")
+def p30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, c) for k, v in site.SCENARIOS.items() for c in v], "scenario string, key string")
+    return rows.join(F.broadcast(site.component_table(spark)), "key").where("artifact <> ''").select("scenario", "artifact").distinct()
+
+
+_SECTIONS = "shapes as (select * from (values " + ", ".join(f"('{k}', {i}, '{s}')" for k, v in site.PROFILE_SECTIONS.items() for i, s in enumerate(v)) + ") t(profile, pos, section))"
+_EVIDENCE = "(section in ('identity', 'not_supported') or (section in ('read_only', 'contact') and n_nationkey % 2 = 0) or (section = 'policies' and n_nationkey % 3 = 0))"
+_P29 = f"p as (select n_nationkey, coalesce({_PROFILES.format(_ACTION)}, case when n_nationkey % 3 = 0 then 'catalog' end, case when n_nationkey % 2 = 0 then 'ecommerce_retail' end, 'agency_services') as profile from nation)"
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = _profiled(spark, sf_dir).select(F.col("n_nationkey").alias("site"), "profile")
+    even = sites.where("site % 2 = 0").select("site", F.explode(F.array(F.lit("read_only"), F.lit("contact"))).alias("section"))
+    third = sites.where("site % 3 = 0").select("site", F.lit("policies").alias("section"))
+    return site.agent_sections(sites, even.unionByName(third))
+
+
+@query("k09_agent_sections", f"with {_SECTIONS}, {_P29} select n_nationkey as site, section, pos, {_EVIDENCE} as kept from p join shapes using (profile)")
+def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sections(spark, sf_dir)
+
+
+@query("k10_agent_document", f"with {_SECTIONS}, {_P29} select n_nationkey as site, '# Agents guide' || chr(10) || chr(10) || string_agg('## ' || replace(section, '_', ' '), chr(10) || chr(10) order by pos) as body from p join shapes using (profile) where {_EVIDENCE} group by 1")
+def k10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _sections(spark, sf_dir).where("kept")
+    block = F.concat(F.lit("## "), F.replace("section", F.lit("_"), F.lit(" ")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]), "\n\n")
+    return kept.groupBy("site").agg(F.concat(F.lit("# Agents guide\n\n"), body).alias("body"))
+
+
+@query("k11_capability_catalog", """with s as (select n_regionkey as site, case n_nationkey % 3 when 0 then 'sitemap' when 1 then 'mcp' else 'api' end as kind, 'https://e/' || n_nationkey as url, case when n_nationkey % 5 = 0 then 'absent' else 'present' end as state from nation), g as (select site, count(*) as n, '[' || string_agg('{"kind":"' || kind || '","url":"' || url || '"}', ',' order by '{"kind":"' || kind || '","url":"' || url || '"}') || ']' as entries from s where state = 'present' and kind <> 'sitemap' group by site) select site, entries from g where n >= 2""")
+def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    kind = F.when(k % 3 == 0, "sitemap").when(k % 3 == 1, "mcp").otherwise("api")
+    s = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("site"), kind.alias("kind"), F.concat(F.lit("https://e/"), k.cast("string")).alias("url"), F.when(k % 5 == 0, "absent").otherwise("present").alias("state"))
+    return site.catalog_entries(s)
+
+
+@query("k12_bundle_tasks", f"with {_STATES} select site, effort, count(*) filter (state in ('missing', 'ready', 'template')) as todo, count(*) filter (state = 'not_applicable') as not_needed from states group by all")
+def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).groupBy("site", "effort").agg(F.count_if(F.col("state").isin("missing", "ready", "template")).alias("todo"), F.count_if(F.col("state") == "not_applicable").alias("not_needed"))
+
+
+@query("k13_robots_rules", "with b as (select * from (values ('bot-a', 'search'), ('bot-b', 'search'), ('bot-c', 'training')) t(bot, kind)), p as (select n_nationkey as site, ['block_all', 'search_only', 'allow'][1 + n_nationkey % 3] as policy from nation) select site, string_agg('User-agent: ' || bot || chr(10) || case when policy = 'block_all' or (policy = 'search_only' and kind = 'training') then 'Disallow: /' else 'Allow: /' end, chr(10) || chr(10) order by kind, bot) as body from p cross join b group by site")
+def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bots = spark.createDataFrame([("bot-a", "search"), ("bot-b", "search"), ("bot-c", "training")], "bot string, kind string")
+    names = F.array(*[F.lit(x) for x in ("block_all", "search_only", "allow")])
+    policies = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("site"), F.get(names, F.col("n_nationkey") % 3).alias("policy"))
+    return site.robots_rules(policies, bots)
+
+
+@query("k14_templates", f"with {_COMPONENTS} select n_nationkey, key, '{{\"_comment\":\"REPLACE_ME\",\"host\":\"' || lower(n_name) || '\",\"key\":\"' || key || '\"}}' as body from nation cross join components where templated and n_regionkey = 1")
+def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey", F.lower("n_name").alias("host"))
+    rows = hosts.join(F.broadcast(site.component_table(spark).where("templated").select("key")), F.lit(True))
+    return rows.select("n_nationkey", "key", F.to_json(F.struct(F.lit("REPLACE_ME").alias("_comment"), "host", "key")).alias("body"))
+
+
+@query("k15_plan_text", "select source, rpad(source, 10, ' ') || lpad(cast(count(*) as varchar), 7, ' ') as line from documents group by source")
+def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("source", F.concat(F.rpad("source", 10, " "), F.lpad(F.col("n").cast("string"), 7, " ")).alias("line"))
+
+
+@query("k16_replace_by_key", "select o_custkey, count(*) as n from orders where o_orderpriority <> '1-URGENT' group by 1 union all select c_custkey, 0 from customer where c_custkey % 3 = 0 and c_custkey not in (select o_custkey from orders where o_orderpriority <> '1-URGENT')")
+def k16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    old = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(0).cast("bigint").alias("n"))
+    return new.unionByName(old.join(new, "o_custkey", "left_anti"))
+
+
+@query("k17_upsert", "select o_custkey, o_orderkey, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1")
+def k17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ("o_custkey",), "o_orderkey")
+
+
+@query("w15_link_split", "with l as (select doc_id, source, case when doc_id % 7 = 0 then 'privacy' when doc_id % 7 = 1 then 'returns' when doc_id % 7 = 2 then 'contact' else 'read' end as label from documents), r as (select *, row_number() over (partition by source, label order by doc_id) as rn from l) select source, label, doc_id from r where rn <= case when label = 'read' then 12 else 1 end")
+def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 7
+    label = F.when(k == 0, "privacy").when(k == 1, "returns").when(k == 2, "contact").otherwise("read")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", label.alias("label"))
+    n = F.row_number().over(W.Window.partitionBy("source", "label").orderBy("doc_id"))
+    return rows.withColumn("n", n).where(F.col("n") <= F.when(F.col("label") == "read", 12).otherwise(1)).select("source", "label", "doc_id")
