@@ -9,36 +9,54 @@ stage gives each row its shard and slot.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteindex.llm import decontaminate, mixing, near_duplicates, quality_rules
-from siteindex.llm.common import table, written
+from siteindex.llm.common import set_apart, table, written
 
 SHARDS = 40
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def own_columns(stage: Stage) -> Stage:
+    """Runs a stage on tables with any extra columns, which come back as they were."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain, names = set_apart(docs)
+        out = stage(spark, plain, sf_dir)
+        made = [c for c in out.columns if c not in plain.columns]
+        return out.select(*[F.col(c).alias(names.get(c, c)) for c in plain.columns if names.get(c) not in made], *made)
+
+    return run_stage
+
+
+@own_columns
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and keep enough lines that are not their host's furniture."""
     verdicts = quality_rules.quality_rules(docs)
     return verdicts.where("kept").select(docs.columns)
 
 
+@own_columns
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one of least id."""
     return near_duplicates.one_of_each_class(docs)
 
 
+@own_columns
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lie in benchmark windows."""
     hits = decontaminate.contamination(decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), keep_text=True))
     return hits.where(~F.col("contaminated")).select(docs.columns)
 
 
+@own_columns
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (its words taken over its words)."""
     mixed = mixing.fair_queue_mix(docs).where("taken > 0")
@@ -46,6 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("copy_", F.explode(times)).select(docs.columns)
 
 
+@own_columns
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` plus shard and slot."""
     return mixing.stratified_shards(docs, SHARDS)

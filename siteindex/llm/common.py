@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,31 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Columns of ``documents`` that operators read by name.
+READ = ("doc_id", "text", "source", "lang")
+
+
+def set_apart(docs: DataFrame, keep: tuple[str, ...] = READ) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` whose columns beyond ``keep`` have names that clash with nothing, and their own names."""
+    names = {f"own_{i}_": c for i, c in enumerate(docs.columns) if c not in keep}
+    back = {c: n for n, c in names.items()}
+    return docs.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in docs.columns]), names
+
+
+def any_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets an operator take tables with any extra columns; a result column replaces one of its name."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        asked = [x for x in (*args, *named.values()) if isinstance(x, str) and x in docs.columns]
+        plain, names = set_apart(docs, (*READ, *asked))
+        out = operator(plain, *args, **named)
+        made = {c for c in out.columns if c not in names}
+        return out.select(*[F.col(c).alias(names.get(c, c)) for c in out.columns if names.get(c) not in made])
+
+    return run
+
+
 def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
     """The rows of the largest counts, as many whole counts as fit ``most`` rows.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow, texts_as_bytes
+from .common import any_columns, arrow, texts_as_bytes
 
 #: Lower-cases A-Z; every other ASCII byte but 0-9 and a-z becomes a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -122,6 +122,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@any_columns
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_windows: int = 50_000, keep_text: bool = False) -> DataFrame:
     """Rows of ``docs`` (without its text, unless asked for) plus n_words, spans and items, all blocks united."""
     windows = item_windows(benchmark, width).orderBy("words", "item_id")

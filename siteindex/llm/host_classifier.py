@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow, texts_as_bytes, written
+from .common import any_columns, arrow, texts_as_bytes, written
 
 #: ASCII letters are lower-cased; ASCII characters but letters and digits separate words.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -132,6 +132,7 @@ def posteriors(scored: DataFrame, label: str, host: Column, path: Column) -> Dat
     return named.select("host_", "path_", "host_rate", path_rate.alias("path_rate"), F.lit(rate).alias("corpus_rate"))
 
 
+@any_columns
 def classify(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality", "toxic"), host: str = "source", path: str = "lang", host_weight: float = 0.5, **parameters) -> DataFrame:
     """``docs`` without its text plus, for each label, evidence, path rate and probability."""
     models = train(docs, labels, names, **parameters)

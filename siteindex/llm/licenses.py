@@ -17,6 +17,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import any_columns
+
 #: Known licence sentences. Fixed values.
 SENTENCES = {
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
@@ -64,6 +66,7 @@ def normalised(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+@any_columns
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[str, tuple[tuple[str, ...], ...]] | None = None) -> DataFrame:
     """``docs`` plus sentence_ids (in order of the text), n_sentences and licenses (sorted)."""
     sentences, rules = sentences or SENTENCES, rules or RULES

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import words_of
+from .common import any_columns, words_of
 
 ROWS_IN_BUCKET = 4096
 
@@ -66,6 +66,7 @@ def source_targets(sizes: DataFrame, budget: Column | None = None, weights: tupl
     return w.select("source", "source_size", "weight", "target", "stop")
 
 
+@any_columns
 def fair_queue_mix(docs: DataFrame, source: str = "source", weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 9) -> DataFrame:
     """``docs`` plus size, source_size, target and taken (words the mix takes, repeats counted).
 
@@ -108,6 +109,7 @@ def fair_queue_mix(docs: DataFrame, source: str = "source", weights: tuple[int,
     return joined.withColumn("taken", taken.cast("long")).drop("copies", "upto", "edge_id", "edge_source", "before", "weight", "stop", "source_key")
 
 
+@any_columns
 def stratified_shards(docs: DataFrame, shards: int = 40, source: str = "source", seed: int = 7) -> DataFrame:
     """``docs`` plus shard and slot by proportional stratified interleaving.
 

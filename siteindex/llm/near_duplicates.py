@@ -7,14 +7,18 @@ earliest arrival. Arrivals stop once they come later than the latest register
 (early termination), so that a text costs about as many draws as it has shingles plus
 registers. Two texts agree in a register with their probability Jaccard similarity.
 
-Banding. Only distinct texts are banded. In a bucket every member that is not yet in
-the leader's component meets the leader, the bucket's least member; members that fail
-form the bucket's next round, with a leader of their own, until no bucket has two
-members left. No list of all pairs of a bucket is made, and no bucket is capped.
+Weights are counts to the power ``power``. At 0, the default, the probability Jaccard
+is the Jaccard of the shingle sets; at 1 a text that repeats itself differs from one
+that does not.
 
-Verification. A link needs a similarity of ``threshold`` exactly computed from the two
-texts' shingles: probability Jaccard of the weighted shingles, or Jaccard of the
-shingle sets. Classes are the connected components of the links.
+Banding. Only distinct texts are banded. Every text meets a few texts of its buckets;
+members of one component are never paired again, so a group of near copies costs about
+its size. What is then still apart inside a bucket, such as short texts around one
+common line, is compared by way of shared rare shingles, which loses no link and makes
+no list of all pairs. No bucket is capped.
+
+Verification. A link needs a similarity of ``threshold``, computed exactly from the two
+texts' shingles. Classes are the connected components of the links.
 
 Defined cases: a text of one to four words is one shingle; null and wordless texts have
 none and are alone unless their text repeats exactly (nulls are each alone); rows that
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import arrow, texts_as_bytes, written
+from .common import any_columns, arrow, texts_as_bytes, written
 
 WIDTH = 5
 
@@ -123,7 +127,7 @@ def prob_minhash(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs:
     return owner.reshape(docs, registers)
 
 
-def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH, block: int = 200_000) -> DataFrame:
+def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH, power: float = 0.0, block: int = 200_000) -> DataFrame:
     """``docs`` without its text plus ``buckets``: one hash for each band, or null without shingles."""
     registers = bands * rows
     names = [c for c in docs.columns if c != "text"]
@@ -136,7 +140,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH, block
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
         first = np.flatnonzero(new)
-        weight = np.diff(np.append(first, len(doc))).astype(np.float64)
+        weight = np.diff(np.append(first, len(doc))).astype(np.float64) ** power
         sig = prob_minhash(doc[first], hashes[first], weight, len(parts), registers)
         key = np.tile(np.arange(bands, dtype=np.uint64), (len(parts), 1))
         for r in range(rows):
@@ -171,27 +175,28 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH, block
     return arrow(docs.select(*names, "text"), run, schema)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """The larger of probability Jaccard (weights are counts) and set Jaccard of two shingle lists."""
+def similarity(a: np.ndarray, b: np.ndarray, power: float = 0.0) -> float:
+    """Probability Jaccard of two shingle lists, shingles weighing their count to a power (0: sets' Jaccard)."""
     x, nx = np.unique(a, return_counts=True)
     y, ny = np.unique(b, return_counts=True)
     _, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    plain = len(ix) / (len(x) + len(y) - len(ix))
-    if len(x) == len(a) and len(y) == len(b):
-        return plain
+    if power == 0:
+        return len(ix) / max(len(x) + len(y) - len(ix), 1)
     # Sum over shared shingles of 1 / sum(max(x'/x, y'/y)); sorted by y/x the inner sum splits in two.
-    only_x, only_y = nx.sum() - nx[ix].sum(), ny.sum() - ny[iy].sum()
-    p, q = nx[ix] / nx.sum(), ny[iy] / ny.sum()
+    wx, wy = nx.astype(np.float64) ** power, ny.astype(np.float64) ** power
+    wx, wy = wx / wx.sum(), wy / wy.sum()
+    p, q = wx[ix], wy[iy]
+    only_x, only_y = 1 - p.sum(), 1 - q.sum()
     ratio = q / p
     order = np.argsort(ratio, kind="stable")
     p, q, ratio = p[order], q[order], ratio[order]
     upto = np.searchsorted(ratio, ratio, "right")
-    low = np.concatenate([[0], np.cumsum(p)])[upto] + only_x / nx.sum()
-    high = q.sum() - np.concatenate([[0], np.cumsum(q)])[upto] + only_y / ny.sum()
-    return max(plain, float((1 / (low / p + high / q)).sum()))
+    low = np.concatenate([[0], np.cumsum(p)])[upto] + only_x
+    high = q.sum() - np.concatenate([[0], np.cumsum(q)])[upto] + only_y
+    return float((1 / (low / p + high / q)).sum())
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int = WIDTH, power: float = 0.0) -> DataFrame:
     """``pairs`` (a, b) of text ids whose similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +206,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int =
             for x, y in zip(texts_as_bytes(batch.column(2)), texts_as_bytes(batch.column(3)), strict=True):
                 if last is None or last[0] != y:
                     last = (y, shingle_hashes(y, width))
-                keep.append(similarity(shingle_hashes(x, width), last[1]) >= threshold)
+                keep.append(similarity(shingle_hashes(x, width), last[1], power) >= threshold)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -210,64 +215,137 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int =
     return arrow(both.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def _led(rows: DataFrame) -> DataFrame:
-    """Rows (id, band, bucket) of buckets with two members or more, with the bucket's leader; the leader's own row goes."""
-    crowd = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1")
-    return rows.join(crowd.drop("n"), ["band", "bucket"]).where("id <> leader")
-
-
-def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, width: int = WIDTH) -> DataFrame:
-    """``id``, ``root``: the component of every text that a verified link reaches.
+def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, width: int = WIDTH, power: float = 0.0, tries: int = 3) -> DataFrame:
+    """``id``, ``root``: the component of every text that shares a bucket with another.
 
     ``buckets`` has (id, band, bucket); ``texts_of`` gives (id, text) for a table of ids.
+    First every text meets the most central text of its buckets, then, ``tries`` times, every
+    text outside the largest component of a bucket meets one member of that. What is
+    still apart in a bucket is compared exactly, by way of shared prefix shingles.
+    """
+    crowd = written(buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = written(buckets.join(crowd, ["band", "bucket"]))
+    texts = written(texts_of(members.select("id").distinct()))
+    # An original shares more buckets with its copies than they do with each other: it leads.
+    central = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    ranked = members.join(central, "id").withColumn("rank", F.struct("weight", "id"))
+    leaders = ranked.groupBy("band", "bucket").agg(F.max("rank").alias("leader"))
+    first = members.join(leaders, ["band", "bucket"]).groupBy(F.col("id").alias("a")).agg(F.max("leader")["id"].alias("b")).where("a <> b")
+    roots = components(written(verified(first, texts, threshold, width, power)))
+    open_ = _apart(members.drop("n"), roots)
+    for salt in range(tries):
+        inner = F.when(F.col("root") == F.col("largest"), F.struct(F.xxhash64(F.lit(salt), "id").alias("h"), "id"))
+        partner = open_.groupBy("band", "bucket").agg(F.min(inner)["id"].alias("b"))
+        outside = open_.where("root <> largest").join(partner, ["band", "bucket"])
+        pairs = outside.groupBy(F.col("id").alias("a")).agg(F.min_by("b", F.xxhash64(F.lit(salt), "bucket")).alias("b"))
+        good = written(verified(pairs, texts, threshold, width, power))
+        if good.isEmpty():
+            break
+        roots = merged(roots, good)
+        open_ = _apart(open_.select("id", "band", "bucket"), roots)
+    rest = open_.select("id").distinct()
+    return _linked_exactly(prefix_buckets(texts.join(rest, "id"), threshold, width, power), texts, roots, threshold, width, power)
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that hold two components or more, with ``root`` and the bucket's ``largest``."""
+    named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = named.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return written(named.join(written(largest.drop("parts")), ["band", "bucket"]))
+
+
+def prefix_buckets(texts: DataFrame, threshold: float, width: int, power: float) -> DataFrame:
+    """(id, band, bucket): each text's rarest shingles, until their mass passes 1 - threshold.
+
+    Texts of similarity ``threshold`` share that much mass, so the rarest shingle they
+    share lies in both prefixes: no link is lost, and what many texts have in common is
+    in few prefixes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes, mass = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
+                h, n = np.unique(shingle_hashes(text, width), return_counts=True)
+                w = n.astype(np.float64) ** power
+                ids.append(np.full(len(h), i))
+                hashes.append(h.view(np.int64))
+                mass.append(w / w.sum())
+            cols = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((ids, np.int64), (hashes, np.int64), (mass, np.float64))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "bucket", "mass"])
+
+    rows = written(arrow(texts.select("id", "text"), run, "id long, bucket long, mass double"))
+    shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rarest = W.Window.partitionBy("id").orderBy("n", "bucket").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    ranked = rows.join(shared, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("before", F.sum("mass").over(rarest) - F.col("mass"))
+    return ranked.where((F.col("before") <= 1 - threshold + 1e-9) & (F.col("n") > 1)).select("id", F.lit(0).alias("band"), "bucket")
+
+
+def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float, width: int, power: float, leaders: int = 4) -> DataFrame:
+    """``roots`` after every two members of a bucket are in one component or have been compared.
+
+    Members outside the largest component of a bucket take turns to meet every member
+    of another component, ``leaders`` at first and twice as many each round.
     """
-    members = written(_led(buckets))
-    ids = members.select("id").unionByName(members.select(F.col("leader").alias("id"))).distinct()
-    texts = written(texts_of(ids))
-    # First each text meets one leader only: that settles most members of large groups.
-    pairs = members.groupBy(F.col("id").alias("a")).agg(F.min("leader").alias("b"))
-    edges = written(verified(pairs, texts, threshold, width))
-    roots = components(edges)
+    members = members.withColumn("led", F.lit(False))
+    bucket = W.Window.partitionBy("band", "bucket")
     while True:
-        named = members.join(roots.select("id", F.col("root").alias("own")), "id", "left").join(roots.select(F.col("id").alias("leader"), F.col("root").alias("theirs")), "leader", "left")
-        apart = written(named.where(F.coalesce("own", "id") != F.coalesce("theirs", "leader")).select("id", "band", "bucket", "leader"))
-        if apart.isEmpty():
+        open_ = _apart(members, roots)
+        waiting = (F.col("root") != F.col("largest")) & ~F.col("led")
+        turns = open_.where(waiting).withColumn("turn", F.row_number().over(bucket.orderBy("id"))).where(F.col("turn") <= leaders)
+        turns = written(turns.select("band", "bucket", F.col("id").alias("leader"), F.col("root").alias("leader_root")))
+        if turns.isEmpty():
             return roots
-        pairs = apart.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-        good = written(verified(pairs, texts, threshold, width))
-        if not good.isEmpty():
-            edges = written(edges.unionByName(good))
-            roots = components(edges)
-        failed = apart.join(good, (F.col("id") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti")
-        members = written(_led(failed.select("id", "band", "bucket")))
+        met = open_.join(turns, ["band", "bucket"]).where(F.col("root") != F.col("leader_root"))
+        pairs = met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+        roots = merged(roots, written(verified(pairs, texts, threshold, width, power)))
+        done = turns.select("band", "bucket", F.col("leader").alias("id"), F.lit(True).alias("now"))
+        leaders *= 2
+        members = open_.join(done, ["band", "bucket", "id"], "left").select("id", "band", "bucket", (F.col("led") | F.col("now").isNotNull()).alias("led"))
+
+
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` after the links ``edges`` (a, b): the components' own components, then relabelled."""
+    if edges.isEmpty():
+        return roots
+    named = edges
+    for c in ("a", "b"):
+        named = named.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    new = components(named.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    every = roots.unionByName(new.select("id", F.col("id").alias("root"))).groupBy("id").agg(F.min("root").alias("root"))
+    relabelled = every.join(new.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left")
+    return written(relabelled.select("id", F.coalesce("top", "root").alias("root")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``id``, ``root`` of every vertex of ``edges`` (a, b): the least id it is connected to.
 
     Alternating star contractions: larger neighbours, then smaller ones, are linked to
-    the least neighbour, until nothing changes.
+    the least neighbour, until every component is a star.
     """
-    current = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    current = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     while True:
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        following = written(small)
-        settled = following.exceptAll(current).isEmpty() and current.exceptAll(following).isEmpty()
-        current = following
-        if settled:
+        current = written(small)
+        # Done when every vertex is a leaf of one root, or a root and no leaf.
+        ends = current.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(current.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if ends.where("up > 1 or (up = 1 and root = 1)").isEmpty():
             own = current.select(F.col("b").alias("id")).distinct().withColumn("root", F.col("id"))
             return written(current.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(own))
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, width: int = WIDTH) -> DataFrame:
+@any_columns
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, width: int = WIDTH, power: float = 0.0) -> DataFrame:
     """``docs`` without its text, plus class_id: the least document id of the row's class."""
     names = [c for c in docs.columns if c != "text"]
     hashed = docs.withColumn("text_id", F.xxhash64("text"))
-    signed = written(signatures(hashed, bands, rows, width))
+    signed = written(signatures(hashed, bands, rows, width, power))
     signed = signed.withColumn("text_id", F.when(F.col("buckets").isNotNull(), F.col("text_id")))
     reps = signed.where("text_id is not null").groupBy("text_id").agg(F.min(F.struct("doc_id", "buckets")).alias("one"))
     reps = written(reps.select(F.col("text_id").alias("id"), F.col("one.doc_id").alias("doc_id"), F.col("one.buckets").alias("buckets")))
@@ -278,7 +356,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
         at = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("id"))
         return docs.select("doc_id", "text").join(wanted, at).select("id", "text")
 
-    roots = linked(buckets, texts_of, threshold, width)
+    roots = linked(buckets, texts_of, threshold, width, power)
     least = signed.where("text_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("first"))
     named = least.join(roots.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
     classes = named.join(named.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("text_id", "class_id")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow, text_key, utf8, written
+from .common import any_columns, arrow, text_key, utf8, written
 
 GRAM = 16
 SPAN = 256
@@ -336,6 +336,7 @@ def _window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), uid), pa.int64()), pa.array(position, pa.int64()), *(pa.array(x, pa.int64()) for x in names)], names=["uid", "position", "name", "other"])
 
 
+@any_columns
 def remove_repeats(docs: DataFrame, length: int = 400, **parameters) -> DataFrame:
     """``docs`` with ``kept`` (the bytes that stay), n_bytes, n_removed, n_spans and kept_sha256."""
     keyed = docs.withColumn("uid", text_key(F.col("doc_id"), F.col("text")))

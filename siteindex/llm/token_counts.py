@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow, most_frequent, written
+from .common import any_columns, arrow, most_frequent, written
 
 #: White space as the tokenizer's own regular expressions see it. Fixed values.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -109,6 +109,7 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
     return arrow(pretokens.select("piece", "n"), count, "piece string, n long, key long, pieces int")
 
 
+@any_columns
 def token_counts(docs: DataFrame, path: str, hot_entries: int = 400_000, hot_chars: int = 40) -> DataFrame:
     """``docs`` without its text, plus n_bytes and n_tokens.
 
