@@ -27,11 +27,12 @@ repeat are in one class; a class is named by its least document id.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
@@ -260,7 +261,7 @@ def prefix_buckets(texts: DataFrame, threshold: float, width: int, power: float)
 
     Texts of similarity ``threshold`` share that much mass, so the rarest shingle they
     share lies in both prefixes: no link is lost, and what many texts have in common is
-    in few prefixes.
+    in few prefixes. ``before`` is the mass ahead of the shingle in that order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,30 +280,63 @@ def prefix_buckets(texts: DataFrame, threshold: float, width: int, power: float)
     shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     rarest = W.Window.partitionBy("id").orderBy("n", "bucket").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
     ranked = rows.join(shared, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("before", F.sum("mass").over(rarest) - F.col("mass"))
-    return ranked.where((F.col("before") <= 1 - threshold + 1e-9) & (F.col("n") > 1)).select("id", F.lit(0).alias("band"), "bucket")
+    return ranked.where((F.col("before") <= 1 - threshold + 1e-9) & (F.col("n") > 1)).select("id", F.lit(0).alias("band"), "bucket", "before")
 
 
-def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float, width: int, power: float, leaders: int = 4) -> DataFrame:
-    """``roots`` after every two members of a bucket are in one component or have been compared.
+def sketches(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``id``, ``size`` (distinct shingles) and ``parity``: one bit for each of 512 cells, odd or even shingles in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, parity = [], []
+            for text in texts_as_bytes(batch.column(1)):
+                h = np.unique(shingle_hashes(text, width))
+                sizes.append(len(h))
+                parity.append(np.packbits(np.bincount((h >> np.uint64(40) & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(parity, pa.list_(pa.int64()))], names=["id", "size", "parity"])
+
+    return arrow(texts.select("id", "text"), run, "id long, size long, parity array<long>")
+
+
+def _may_link(threshold: float, power: float) -> Column:
+    """False only where a member and a leader that meet in a prefix shingle can't reach the threshold.
+
+    Bounds for sets (power 0). If the shingle is the rarest they share, the overlap is
+    at most what either has from there on. Every shingle that only one has flips one
+    parity bit, so that they differ in at least as many shingles as bits.
+    """
+    if power:
+        return F.lit(True)
+    both = F.col("size") + F.col("leader_size")
+    shared = F.least(F.col("size") * (1 - F.col("before")), F.col("leader_size") * (1 - F.col("leader_before")))
+    bits = [F.bit_count(F.get("parity", i).bitwiseXOR(F.get("leader_parity", i))) for i in range(8)]
+    differ = functools.reduce(Column.__add__, bits)
+    return (shared + 1e-6 >= both * F.lit(threshold / (1 + threshold))) & (differ <= both * F.lit((1 - threshold) / (1 + threshold)) + 1e-6)
+
+
+def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float, width: int, power: float, leaders: int = 64) -> DataFrame:
+    """``roots`` after every two members of a bucket are in one component or can't be, or have been compared.
 
     Members outside the largest component of a bucket take turns to meet every member
-    of another component, ``leaders`` at first and twice as many each round.
+    of another component that exact bounds leave, ``leaders`` at first and four times as
+    many each round.
     """
-    members = members.withColumn("led", F.lit(False))
+    traits = ["before", "size", "parity"]
+    members = members.join(sketches(texts.join(members.select("id").distinct(), "id"), width), "id").withColumn("led", F.lit(False))
     bucket = W.Window.partitionBy("band", "bucket")
     while True:
         open_ = _apart(members, roots)
         waiting = (F.col("root") != F.col("largest")) & ~F.col("led")
         turns = open_.where(waiting).withColumn("turn", F.row_number().over(bucket.orderBy("id"))).where(F.col("turn") <= leaders)
-        turns = written(turns.select("band", "bucket", F.col("id").alias("leader"), F.col("root").alias("leader_root")))
+        turns = written(turns.select("band", "bucket", F.col("id").alias("leader"), F.col("root").alias("leader_root"), *[F.col(c).alias(f"leader_{c}") for c in traits]))
         if turns.isEmpty():
             return roots
-        met = open_.join(turns, ["band", "bucket"]).where(F.col("root") != F.col("leader_root"))
+        met = open_.join(turns, ["band", "bucket"]).where((F.col("root") != F.col("leader_root")) & _may_link(threshold, power))
         pairs = met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
         roots = merged(roots, written(verified(pairs, texts, threshold, width, power)))
         done = turns.select("band", "bucket", F.col("leader").alias("id"), F.lit(True).alias("now"))
-        leaders *= 2
-        members = open_.join(done, ["band", "bucket", "id"], "left").select("id", "band", "bucket", (F.col("led") | F.col("now").isNotNull()).alias("led"))
+        leaders *= 4
+        members = open_.join(done, ["band", "bucket", "id"], "left").select("id", "band", "bucket", *traits, (F.col("led") | F.col("now").isNotNull()).alias("led"))
 
 
 def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
