@@ -32,7 +32,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     tail = F.when(i % 4 == 0, "").when(i % 4 == 1, ": Learn the best of colour and color").otherwise(F.concat(F.lit(": Plain words "), i.cast("string")))
     link = F.when(i % 23 == 0, F.concat(F.lit("- [broken]("), "url")).otherwise(F.concat(F.lit("- ["), title, F.lit("]("), "url", F.lit(")"), tail))
-    part = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(i % 3 == k, F.struct(i.alias("i"), link.alias("t"))))), lambda x: x["t"]), "\n").alias(f"l{k}")
+    part = lambda k: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(i % 3 == k, F.struct(i.alias("i"), link.alias("t"))))), lambda x: x["t"]), "\n"), F.lit("")).alias(f"l{k}")
     b = p.groupBy((i % 20).alias("doc")).agg(part(0), part(1), part(2))
     name = F.col("doc").cast("string")
     when = lambda n, k, yes, no: F.when(F.col("doc") % n == k, yes).otherwise(no)

@@ -52,7 +52,7 @@ def a01(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "customer").where("c_custkey % 400 < 330").select(F.concat(F.lit("https://x.example/"), (F.col("c_custkey") % 400).cast("string")).alias("key"))
-    return m.join_report(known, m.merge(_keyed(spark, sf_dir))).withColumn("orphan_sample", F.array_join("orphan_sample", ","))
+    return m.join_report(known, m.merge(_keyed(spark, sf_dir))).withColumn("orphan_sample", F.nullif(F.array_join("orphan_sample", ","), F.lit("")))
 
 
 @query("a29_join_shares", f"with {_KEYED}, {_MERGED} select source, count(*) as total_rows, count(*) filter (coalesce(clicks, 0) > 40) as hits, case when count(*) > 0 then count(*) filter (coalesce(clicks, 0) > 40) / count(*) else 0e0 end as share from merged group by source")
