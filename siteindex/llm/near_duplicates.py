@@ -374,34 +374,53 @@ def components(edges: DataFrame) -> DataFrame:
             return written(current.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(own))
 
 
-@any_columns
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, width: int = WIDTH, power: float = 0.0) -> DataFrame:
-    """``docs`` without its text, plus class_id: the least document id of the row's class."""
-    names = [c for c in docs.columns if c != "text"]
-    hashed = docs.withColumn("text_id", F.xxhash64("text"))
-    signed = written(signatures(hashed, bands, rows, width, power))
-    signed = signed.withColumn("text_id", F.when(F.col("buckets").isNotNull(), F.col("text_id")))
-    reps = signed.where("text_id is not null").groupBy("text_id").agg(F.min(F.struct("doc_id", "buckets")).alias("one"))
+def _classes_of_texts(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, width: int = WIDTH, power: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with ``text_id`` and buckets for their text; ``text_id``, ``first`` and ``root`` of each text that has shingles.
+
+    ``first`` is the least document id of the text's rows, in a struct that puts null last.
+    """
+    signed = written(signatures(docs.withColumn("text_id", F.xxhash64("text")), bands, rows, width, power))
+    worded = signed.where("buckets is not null")
+    reps = worded.groupBy("text_id").agg(F.min(F.struct("doc_id", "buckets")).alias("one"))
     reps = written(reps.select(F.col("text_id").alias("id"), F.col("one.doc_id").alias("doc_id"), F.col("one.buckets").alias("buckets")))
     buckets = reps.select("id", F.posexplode("buckets").alias("band", "bucket"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = reps.join(ids, "id").select("id", F.col("doc_id").alias("rep"))
         at = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("id"))
-        return docs.select("doc_id", "text").join(wanted, at).select("id", "text")
+        # Rows that repeat are one text.
+        return docs.select("doc_id", "text").join(wanted, at).select("id", "text").dropDuplicates(["id"])
 
     roots = linked(buckets, texts_of, threshold, width, power)
-    least = signed.where("text_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("first"))
-    named = least.join(roots.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
-    classes = named.join(named.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("text_id", "class_id")
-    out = signed.join(classes, "text_id", "left")
+    least = worded.groupBy("text_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id")).alias("first"))
+    return signed, least.join(roots.withColumnRenamed("id", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+
+
+@any_columns
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, width: int = WIDTH, power: float = 0.0) -> DataFrame:
+    """``docs`` without its text, plus class_id: the least document id of the row's class."""
+    names = [c for c in docs.columns if c != "text"]
+    signed, named = _classes_of_texts(docs, threshold, bands, rows, width, power)
+    classes = named.join(named.groupBy("root").agg(F.min("first")["doc_id"].alias("class_id")), "root").select("text_id", "class_id")
+    out = signed.withColumn("text_id", F.when(F.col("buckets").isNotNull(), F.col("text_id"))).join(classes, "text_id", "left")
     return out.select(*names, F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def one_of_each_class(docs: DataFrame, **parameters) -> DataFrame:
-    """Rows of ``docs`` whose id names their class; of rows with equal ids one stays."""
-    named = near_duplicate_classes(docs.select("doc_id", "text"), **parameters)
-    keep = named.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    order = W.Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("copy_", F.row_number().over(order)).where("copy_ = 1").drop("copy_")
+    """One row of ``docs`` for each class: of least id (null last), then of least text id.
+
+    Classes are told apart by their texts, so documents of equal or null ids are lost only
+    to their own class. A row without shingles is dropped only for one of its id and text;
+    rows with neither id nor text all stay.
+    """
+    signed, named = _classes_of_texts(docs.select("doc_id", "text"), **parameters)
+    best = named.groupBy("root").agg(F.min(F.struct("first", "text_id")).alias("one"))
+    best = best.select(F.col("one.first.doc_id").alias("keep_id"), F.col("one.text_id").alias("keep_text"))
+    bare = signed.where("buckets is null").select(F.col("doc_id").alias("keep_id"), F.col("text_id").alias("keep_text")).distinct()
+    void = F.col("doc_id").isNull() & F.col("text").isNull()
+    keyed = docs.where(~void).withColumn("text_id_", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_id_") == F.col("keep_text"))
+    kept = keyed.join(best.unionByName(bare), same, "left_semi")
+    order = W.Window.partitionBy("doc_id", "text_id_").orderBy(F.lit(0))
+    one = kept.withColumn("copy_", F.row_number().over(order)).where("copy_ = 1").drop("copy_", "text_id_")
+    return one.unionByName(docs.where(void))

@@ -111,6 +111,22 @@ def test_links_of_a_hot_bucket_are_complete(spark):
     assert got == brute.near_classes(texts)
 
 
+def test_rows_that_repeat_lose_no_link_of_a_hot_bucket(spark):
+    word = lambda kind, n: [f"{kind}x{i}" for i in range(n)]
+    texts = [(10 * f + k, " ".join(word("common", 120) + word(f"f{f}", 66) + word(f"f{f}k{k}", 14))) for f in range(20) for k in range(2)]
+    df = spark.createDataFrame(texts * 6, "doc_id long, text string")
+    got = dict(collected(near_duplicates.near_duplicate_classes(df, rows=1), "doc_id", "class_id"))
+    assert got == brute.near_classes(texts)
+
+
+def test_documents_of_null_or_equal_ids_are_lost_to_their_own_class_only(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, c), (8, c + " more"), (9, b), (7, ""), (7, ""), (None, None), (None, None), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(None, a), (9, b), (7, c), (7, d), (7, ""), (None, None), (None, None), (5, None)]
+    assert collected(near_duplicates.one_of_each_class(df), "doc_id", "text") == sorted(want, key=repr)
+
+
 def test_decontamination(spark, docs, rows):
     texts = [t for _, t in rows if t and len(t.split()) > 60]
     items = [(1, " ".join(texts[0].split()[5:25])), (2, " ".join(texts[1].split()[:13]).upper()), (3, "w1"), (4, None), (5, "!!"), (6, " ".join(texts[0].split()[5:25])), (None, "w2"), (10, "not in any document at all")]
