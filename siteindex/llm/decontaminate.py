@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import any_columns, arrow, texts_as_bytes
+from .common import any_columns, arrow, texts_as_bytes, written
 
 #: Lower-cases A-Z; every other ASCII byte but 0-9 and a-z becomes a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -122,35 +122,40 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-@any_columns
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_windows: int = 50_000, keep_text: bool = False) -> DataFrame:
-    """Rows of ``docs`` (without its text, unless asked for) plus n_words, spans and items, all blocks united."""
-    windows = item_windows(benchmark, width).orderBy("words", "item_id")
+def _blocks(windows: DataFrame, size: int) -> Iterator[list[tuple[str, str]]]:
+    """The windows in lists of ``size``; one empty list if there are none."""
     block: list[tuple[str, str]] = []
-    parts: list[DataFrame] = []
+    first = True
     for row in windows.toLocalIterator():
+        if len(block) == size:
+            yield block
+            block, first = [], False
         block.append((row["item_id"], row["words"]))
-        if len(block) == block_windows:
-            parts.append(_block_hits(docs, block, keep_text and not parts))
-            block = []
-    if block or not parts:
-        parts.append(_block_hits(docs, block, keep_text and not parts))
-    hits = parts[0]
-    if len(parts) == 1:
-        return hits
-    # Further blocks: united row by row; rows that repeat have the same spans.
-    keep = [c for c in docs.columns if c != "text"]
-    text = ["l.text"] if keep_text else []
-    for i, part in enumerate(parts[1:], 1):
-        more = part.where(F.size("items") > 0).select(*keep, F.col("spans").alias(f"s{i}"), F.col("items").alias(f"i{i}")).dropDuplicates(keep)
-        same = None
-        for c in keep:
-            same = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) if same is None else same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-        joined = hits.alias("l").join(more.alias("r"), same, "left")
-        spans = F.concat("l.spans", F.coalesce(f"r.s{i}", F.array().cast(hits.schema["spans"].dataType)))
-        items = F.array_sort(F.array_union("l.items", F.coalesce(f"r.i{i}", F.array().cast("array<string>"))))
-        hits = joined.select(*[F.col(f"l.{c}") for c in keep], *text, "l.n_words", _united(spans).alias("spans"), items.alias("items"))
-    return hits
+    if block or first:
+        yield block
+
+
+@any_columns
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_windows: int = 50_000, keep_text: bool = False) -> DataFrame:
+    """Rows of ``docs`` (without its text, unless asked for) plus n_words, spans and items, all blocks united."""
+    blocks = _blocks(item_windows(benchmark, width), block_windows)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _block_hits(docs, block, keep_text)
+    # Several blocks: what they find is brought together by a row id that is written, as no column need tell rows apart.
+    numbered = written(docs.withColumn("row_id_", F.monotonically_increasing_id()))
+    texts = numbered.select("row_id_", "text")
+    hits = _block_hits(numbered, block, keep_text)
+    more = None
+    while following is not None:
+        part = _block_hits(texts, following).where(F.size("items") > 0).select("row_id_", "spans", "items")
+        more = part if more is None else more.unionByName(part)
+        following = next(blocks, None)
+    more = more.groupBy("row_id_").agg(F.flatten(F.collect_list("spans")).alias("more_spans_"), F.flatten(F.collect_list("items")).alias("more_items_"))
+    joined = hits.join(more, "row_id_", "left")
+    spans = F.concat("spans", F.coalesce("more_spans_", F.array().cast(hits.schema["spans"].dataType)))
+    items = F.array_sort(F.array_union("items", F.coalesce("more_items_", F.array().cast("array<string>"))))
+    return joined.withColumns({"spans": _united(spans), "items": items}).select([c for c in hits.columns if c != "row_id_"])
 
 
 def _united(spans):

@@ -138,6 +138,19 @@ def test_decontamination(spark, docs, rows):
         assert got == sorted(((i, *want[i]) for i, _ in rows), key=repr)
 
 
+@pytest.mark.parametrize("keep_text", [False, True])
+def test_blocks_of_windows_leave_rows_of_equal_ids_apart(spark, keep_text):
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(15))) for i in range(4)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(i, t) for i in (None, 7) for t in (items[0][1], f"own {items[1][1]} {items[2][1]}", "a clean text", "a clean text", None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in texts], SCHEMA)
+    columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = sorted(((i, *(t,) * keep_text, *brute.contamination([(0, t)], items)[0]) for i, t in texts), key=repr)
+    for block in (50_000, 5, 1):
+        out = decontaminate.contamination(decontaminate.benchmark_hits(docs, bench, block_windows=block, keep_text=keep_text))
+        assert collected(out, "doc_id", *["text"] * keep_text, *columns) == want
+
+
 def test_scores(docs, rows):
     out = suffix_tree.score(docs, hot_tokens=50, min_context=3, min_symbol=2)
     got = {r["doc_id"]: r for r in out.collect()}
