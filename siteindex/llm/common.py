@@ -27,11 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent (tests, a laptop) one temporary folder is used for
-    the whole session.
+    Where the setting is absent and master is local (tests, a laptop) one temporary
+    folder is used for the whole session; on a cluster the setting is required, since
+    executors would write to their own disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         folder = getattr(spark, "_siteindex_folder", None) or tempfile.mkdtemp(prefix="siteindex-")
         spark._siteindex_folder = folder
     return folder.rstrip("/")
@@ -43,14 +47,84 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return df.mapInArrow(run, schema)
 
 
+def _tables_of(spark: SparkSession) -> str:
+    """Folder of this session's written tables."""
+    return f"{shared_folder(spark)}/siteindex/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/siteindex/{uuid.uuid4().hex}"
+    path = f"{_tables_of(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_written(spark: SparkSession) -> None:
+    """Deletes every table this session has written; results that were not read yet are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables_of(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijective mixing of 64-bit values."""
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Powers:
+    """Powers of an odd base modulo 2^64 and of its inverse, grown on demand."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up), 1 << 16)
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                p = np.full(n, np.uint64(base))
+                p[0] = 1
+                setattr(self, name, np.multiply.accumulate(p))
+
+    def upto(self, n: int) -> np.ndarray:
+        self._grow(n)
+        return self.up[:n]
+
+    def inverse(self, at: np.ndarray) -> np.ndarray:
+        self._grow(int(at.max(initial=0)) + 1)
+        return self.down[at]
+
+
+class Hashes:
+    """Hashes of any stretch of an array of 64-bit symbols."""
+
+    def __init__(self, symbols: np.ndarray, powers: Powers) -> None:
+        self.powers = powers
+        self.sums = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(symbols * powers.upto(len(symbols)), out=self.sums[1:])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((self.sums[b] - self.sums[a]) * self.powers.inverse(a) + (b - a).astype(np.uint64))
+
+
+#: Values of the 256 bytes as symbols.
+BYTES = np.random.default_rng(505).integers(0, 1 << 64, 256, np.uint64)
+POWERS = (Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """One hash for each word of a text (white space separates words)."""
+    words = text.split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    ends = np.flatnonzero(data == 32)
+    return Hashes(BYTES[data], POWERS[0]).of(np.concatenate([[0], ends[:-1] + 1]), ends)
+
+
 #: Columns of ``documents`` that operators read by name.
 READ = ("doc_id", "text", "source", "lang")
 

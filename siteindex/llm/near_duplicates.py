@@ -37,19 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import any_columns, arrow, texts_as_bytes, written
+from .common import BYTES, POWERS, Hashes, any_columns, arrow, mix, texts_as_bytes, written
 
 WIDTH = 5
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
     """One hash for each run of ``width`` words (lower-cased A-Z; whitespace separates words)."""
     words = text.lower().split()
@@ -58,38 +50,8 @@ def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
     data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     ends = np.flatnonzero(data == 32)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _POWERS.upto(len(data)), out=sums[1:])
     k = min(width, len(words))
-    a, b = starts[: len(words) - k + 1], ends[k - 1 :]
-    return _mix((sums[b] - sums[a]) * _POWERS.inverse(a) + (b - a).astype(np.uint64))
-
-
-class _Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 1 << 16)
-            for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                p = np.full(n, np.uint64(base))
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-
-    def upto(self, n: int) -> np.ndarray:
-        self._grow(n)
-        return self.up[:n]
-
-    def inverse(self, at: np.ndarray) -> np.ndarray:
-        self._grow(int(at.max(initial=0)) + 1)
-        return self.down[at]
-
-
-_BYTES = np.random.default_rng(505).integers(0, 1 << 64, 256, np.uint64)
-_POWERS = _Powers(0x9E3779B97F4A7C15)
+    return Hashes(BYTES[data], POWERS[0]).of(starts[: len(words) - k + 1], ends[k - 1 :])
 
 
 def _unit(state: np.ndarray) -> np.ndarray:
@@ -116,9 +78,9 @@ def prob_minhash(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs:
         each = max(1, int(2 * registers * docs / max(len(live), 1)) if k else 1)
         for _ in range(min(each, 64)):
             k += 1
-            state = _mix(shingle[live] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            state = mix(shingle[live] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             time[live] -= np.log(_unit(state)) / rate[live]
-            slot = doc[live] * registers + (_mix(state) % np.uint64(registers)).astype(np.int64)
+            slot = doc[live] * registers + (mix(state) % np.uint64(registers)).astype(np.int64)
             t = time[live]
             np.minimum.at(best, slot, t)
             won = best[slot] == t
@@ -145,7 +107,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH, power
         sig = prob_minhash(doc[first], hashes[first], weight, len(parts), registers)
         key = np.tile(np.arange(bands, dtype=np.uint64), (len(parts), 1))
         for r in range(rows):
-            key = _mix(key * np.uint64(31) + sig[:, r::rows])
+            key = mix(key * np.uint64(31) + sig[:, r::rows])
         return key.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,7 +72,7 @@ def op9_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,31 +5,41 @@ the suffixes at every byte of a corpus moves many times the corpus, so the suffi
 sampled and the rest is induced, bounded by ``length``:
 
 * Sample. The start p of each window of ``length`` bytes belongs to the anchor
-  a = its first minimizer (the least hashed ``GRAM`` bytes that start in [p, p + SPAN)).
+  a = its first minimizer (the least hashed ``gram`` bytes that start in [p, p + span)).
   Equal windows have anchors at equal offsets, whatever surrounds them. Every anchor
-  gets a name: the hash of its core, the bytes [a, a + length - SPAN + 1) that all
+  gets a name: the hash of its core, the bytes [a, a + length - span + 1) that all
   windows of the anchor contain.
 * Reduce. Only names that occur twice go on; an anchor whose whole stretch of windows
   recurs is settled by a second, independent hash of the stretch, by grouped counts.
-* Induce. The other anchors of a name carry their suffix tuples: bytes left of the
-  anchor and right of the core. Spark's external sort orders them by (name, right
-  bytes). Then, for offset 1, 2, ..., the order of suffixes one byte further left is
-  induced from the order so far by a stable sort on the byte in front, and the common
-  prefix of neighbours is the byte's one plus the least common prefix between them. A
-  window recurs where a neighbour's common prefix reaches its end.
-
-A name held by more than ``hot_group`` different stretches is not gathered: its windows
-are hashed and counted with partial aggregation instead, which is exact as well.
+* Recurse. The other anchors of a name carry their suffix tuples: bytes left of the
+  anchor and right of the core. A window that starts o bytes left of the anchor needs o
+  equal bytes on the left and span - 1 - o on the right. A name with more than
+  ``members`` tuples is not gathered: its offsets are halved, and the tuples are named
+  anew by the bytes that all windows of a half contain. This recursion ends with groups
+  that fit in a task or with single offsets, whose windows are settled by their names.
+* Induce. Spark's external sort orders a group's tuples by (name, right bytes). Then, for
+  offset 1, 2, ..., the order of suffixes one byte further left is induced from the order
+  so far by a stable sort on the byte in front, and the common prefix of neighbours is
+  the byte's one plus the least common prefix between them. A window recurs where a
+  neighbour's common prefix reaches its end.
+
+Spark's sorted, spilling shuffles stand for the disk-backed priority queues: they hold
+the tuples in order on disk, and a task only ever holds groups of ``members``.
+
+Passages are counted too, and not removed: words in a run of ``passage`` words that also
+starts anywhere else, by the same sampling over words instead of bytes; windows of
+anchors that are not settled whole are named one by one.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all bytes; rows
 that repeat are separate places, so their long strings are repeated; matches never
-cross rows; a null id is an id.
+cross rows; a null id is an id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,53 +47,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import any_columns, arrow, text_key, utf8, written
+from .common import BYTES, POWERS, Hashes, any_columns, arrow, mix, text_key, utf8, word_hashes, written
 
-GRAM = 16
-SPAN = 256
 BLOCK = 1 << 20
-_SEED = np.random.default_rng(20240917)
-_BYTE = _SEED.integers(0, 1 << 64, 256, np.uint64)
-_BASES = [int(x) | 1 for x in _SEED.integers(1 << 40, 1 << 63, 2, np.int64)]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: place: first window, the anchor's distance from it and the windows after it, packed.
+PLACE_BITS = 9
 
 
-def _powers_of(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base modulo 2^64, and of its inverse."""
-    if which not in _powers or len(_powers[which][0]) < n:
-        n = max(n, BLOCK + 1024)
-        base = _BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, np.uint64(b))
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers[which] = tuple(both)
-    return _powers[which]
+@dataclass(frozen=True)
+class Scale:
+    """Windows of ``length`` symbols, sampled by the least hashed ``gram`` symbols of ``span`` starts."""
 
+    length: int
+    gram: int
+    span: int
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    @property
+    def core(self) -> int:
+        return self.length - self.span + 1
 
 
-class Hashes:
-    """Hashes of any stretch of a byte array."""
+def bytes_scale(length: int) -> Scale:
+    if length < 272:
+        raise ValueError("length must be 272 or more")
+    return Scale(length, 16, 256)
 
-    def __init__(self, data: np.ndarray, which: int) -> None:
-        power, self.inverse = _powers_of(which, len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=self.sums[1:])
 
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[b] - self.sums[a]) * self.inverse[a])
+def words_scale(length: int) -> Scale:
+    if length < 8:
+        raise ValueError("passage must be 8 or more")
+    return Scale(length, max(1, length // 6), min(256, length * 2 // 3))
 
 
 def segments(lengths: np.ndarray, length: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Blocks of (row, first byte, end) whose windows together are all windows of all rows; each about BLOCK / 2 bytes."""
+    """Blocks of (row, first symbol, end) whose windows together are all windows of all rows; each about BLOCK / 2 symbols."""
     held: list[tuple[int, int, int]] = []
     size, room = 0, BLOCK // 2
     for row, n in enumerate(lengths.tolist()):
@@ -98,21 +95,21 @@ def segments(lengths: np.ndarray, length: int) -> Iterator[list[tuple[int, int,
         yield held
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(anchor, first window, last window) as positions in ``data``, whose segments begin at ``starts``."""
-    n = len(data)
-    grams = np.arange(n - GRAM + 1)
+def anchors(hashes: Hashes, starts: np.ndarray, scale: Scale) -> tuple[np.ndarray, ...]:
+    """(anchor, first window, last window) as positions in a block whose segments begin at ``starts``."""
+    n = len(hashes.sums) - 1
+    grams = np.arange(n - scale.gram + 1)
     shift = np.uint64(20)
-    keys = (Hashes(data, 0).of(grams, grams + GRAM) >> shift << shift) | grams.astype(np.uint64)
+    keys = (hashes.of(grams, grams + scale.gram) >> shift << shift) | grams.astype(np.uint64)
     width = 1
-    while width < SPAN:
-        step = min(width, SPAN - width)
+    while width < scale.span:
+        step = min(width, scale.span - width)
         keys = np.minimum(keys[: len(keys) - step], keys[step:])
         width += step
-    windows = n - length + 1
+    windows = n - scale.length + 1
     anchor = (keys[:windows] & np.uint64((1 << 20) - 1)).astype(np.int64)
     segment = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:windows]
-    valid = np.arange(windows) + length <= starts[segment + 1]
+    valid = np.arange(windows) + scale.length <= starts[segment + 1]
     new = np.ones(windows, bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1]) | (valid[1:] != valid[:-1])
     first = np.flatnonzero(new)
@@ -122,36 +119,43 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 def _blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of the batch's last column: bytes, segment starts, and each segment's row and first byte."""
+    """Of the batch's last column: bytes as symbols, segment starts, and each segment's row and first byte."""
     at, data = utf8(batch.column(batch.num_columns - 1))
     for parts in segments(np.diff(at), length):
         starts = np.cumsum([0, *(b - a for _, a, b in parts)])
         block = np.concatenate([data[at[row] + a : at[row] + b] for row, a, b in parts])
-        yield block, starts, np.array([x[0] for x in parts]), np.array([x[1] for x in parts])
+        yield BYTES[block], starts, np.array([x[0] for x in parts]), np.array([x[1] for x in parts])
 
 
-ANCHOR = "uid long, place long, core long, stretch long"
-#: place: first window's byte, the anchor's distance from it and the windows after it, packed.
-PLACE_BITS = 9
+def _word_blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same with words as symbols; a text's words are held while the text is."""
+    at, data = utf8(batch.column(batch.num_columns - 1))
+    rows = [word_hashes(data[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    for parts in segments(np.array([len(r) for r in rows], np.int64), length):
+        starts = np.cumsum([0, *(b - a for _, a, b in parts)])
+        yield np.concatenate([rows[row][a:b] for row, a, b in parts]), starts, np.array([x[0] for x in parts]), np.array([x[1] for x in parts])
 
 
-def sample(docs: DataFrame, length: int) -> DataFrame:
-    """One row for each anchor: ``uid``, ``place``, the names ``core`` and ``stretch``."""
+def sample(docs: DataFrame, scales: dict[str, Scale]) -> DataFrame:
+    """One row for each anchor: ``unit`` (of symbols: bytes or words), ``uid``, ``place``, the names ``core`` and ``stretch``."""
+    blocks: dict[str, Callable] = {"bytes": _blocks, "words": _word_blocks}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column(0).to_numpy()
-            for data, starts, rows, begin in _blocks(batch, length):
-                a, lo, hi = anchors(data, starts, length)
-                segment = np.searchsorted(starts, lo, "right") - 1
-                core = Hashes(data, 0).of(a, a + length - SPAN + 1).view(np.int64)
-                shape = ((a - lo) << PLACE_BITS | (hi - lo)).astype(np.uint64)
-                stretch = _mix(Hashes(data, 1).of(lo, hi + length) + shape * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                first = begin[segment] + lo - starts[segment]
-                place = first << (2 * PLACE_BITS) | shape.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(uids[rows[segment]], pa.int64()), pa.array(place, pa.int64()), pa.array(core, pa.int64()), pa.array(stretch, pa.int64())], names=["uid", "place", "core", "stretch"])
+            for unit, scale in scales.items():
+                for symbols, starts, rows, begin in blocks[unit](batch, scale.length):
+                    hashes = Hashes(symbols, POWERS[0])
+                    a, lo, hi = anchors(hashes, starts, scale)
+                    segment = np.searchsorted(starts, lo, "right") - 1
+                    core = hashes.of(a, a + scale.core).view(np.int64)
+                    shape = ((a - lo) << PLACE_BITS | (hi - lo)).astype(np.uint64)
+                    stretch = mix(Hashes(symbols, POWERS[1]).of(lo, hi + scale.length) + shape * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    place = (begin[segment] + lo - starts[segment]) << (2 * PLACE_BITS) | shape.astype(np.int64)
+                    columns = [np.full(len(a), unit == "words"), uids[rows[segment]], place, core, stretch]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["words", "uid", "place", "core", "stretch"])
 
-    return arrow(docs.select("uid", "text"), run, ANCHOR)
+    return arrow(docs.select("uid", "text"), run, "words boolean, uid long, place long, core long, stretch long")
 
 
 def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,21 +165,39 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, first + (place >> PLACE_BITS & mask), first + (place & mask)
 
 
-def _tuples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Suffix tuples of the places listed for each text: bytes left of the anchor, nearest first, and right of the core."""
-    more = length - SPAN + 1
+OPEN = "words boolean, uid long, place long, core long, before binary, after binary, position long, name long, other long"
+
+
+def _opened(batches: Iterator[pa.RecordBatch], byte: Scale, word: Scale) -> Iterator[pa.RecordBatch]:
+    """Suffix tuples of a text's open byte anchors (bytes left of the anchor, nearest first, and right of the core); names of its open word windows."""
+    kinds = [field.split()[0] for field in OPEN.split(", ")]
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        at, data = utf8(texts)
-        out: list[tuple] = []
+        at, data = utf8(batch.column(batch.num_columns - 1))
         for row, (uid, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             text = data[at[row] : at[row + 1]]
+            tuples, windows = [], []
             for x in places:
                 first, anchor, last = (int(v) for v in _unpacked(np.int64(x["place"])))
-                out.append((uid, x["place"], x["core"], x["k"], text[first:anchor][::-1].tobytes(), text[anchor + more : last + length].tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [()] * 6
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["uid", "place", "core", "k", "before", "after"])
+                if x["words"]:
+                    windows.append(np.arange(first, last + 1))
+                else:
+                    tuples.append((x["place"], x["core"], text[first:anchor][::-1].tobytes(), text[anchor + byte.core : last + byte.length].tobytes()))
+            if tuples:
+                place, core, before, after = zip(*tuples, strict=True)
+                m = len(place)
+                made = [[False] * m, [uid] * m, place, core, before, after, [None] * m, [None] * m, [None] * m]
+                yield _record(made, kinds)
+            if windows:
+                words = word_hashes(text.tobytes())
+                position = np.unique(np.concatenate(windows))
+                m = len(position)
+                names = [Hashes(words, p).of(position, position + word.length).view(np.int64) for p in POWERS]
+                yield _record([[True] * m, [uid] * m, [None] * m, [None] * m, [None] * m, [None] * m, position, *names], kinds)
+
+
+def _record(columns: list, names: list[str]) -> pa.RecordBatch:
+    types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def _padded(strings: list[bytes], width: int) -> np.ndarray:
@@ -249,8 +271,8 @@ def _range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _induced(batches: Iterator[pa.RecordBatch], members: int) -> Iterator[pa.RecordBatch]:
-    """Runs ``induce`` over complete groups of a stream sorted by (core, after)."""
+def _induced(batches: Iterator[pa.RecordBatch], members: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Runs ``induce`` over complete groups of a stream sorted by (name, other, after)."""
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -258,26 +280,34 @@ def _induced(batches: Iterator[pa.RecordBatch], members: int) -> Iterator[pa.Rec
             continue
         held.append(batch)
         count += batch.num_rows
-        if count >= members:
+        if count >= max(members, 20_000):
             whole = pa.Table.from_batches(held).combine_chunks()
-            core = whole.column("core").to_numpy()
-            cut = int(np.searchsorted(core, core[-1]))
+            group = _groups(whole)
+            cut = int(np.searchsorted(group, group[-1]))
             if cut:
-                yield from _recurring(whole.slice(0, cut))
-            held, count = whole.slice(cut).to_batches(), len(core) - cut
+                yield from _recurring(whole.slice(0, cut), group[:cut], width)
+            held, count = whole.slice(cut).to_batches(), len(group) - cut
     if count:
-        yield from _recurring(pa.Table.from_batches(held).combine_chunks())
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield from _recurring(whole, _groups(whole), width)
+
 
+def _groups(rows: pa.Table) -> np.ndarray:
+    """Numbers, growing from group to group, of rows in the order of (name, other)."""
+    name, other = (rows.column(c).to_numpy() for c in ("name", "other"))
+    new = np.zeros(len(name), np.int64)
+    new[1:] = (name[1:] != name[:-1]) | (other[1:] != other[:-1])
+    return np.cumsum(new)
 
-def _recurring(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    place = rows.column("place").to_numpy()
-    first, anchor, last = _unpacked(place)
-    width = SPAN - 1
-    found = induce(rows.column("core").to_numpy(), anchor - last, anchor - first, _padded(rows.column("before").to_pylist(), width), _padded(rows.column("after").to_pylist(), width))
+
+def _recurring(rows: pa.Table, group: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    first, anchor, last = _unpacked(rows.column("place").to_numpy())
+    least = np.maximum(anchor - last, rows.column("lo").to_numpy())
+    most = np.minimum(anchor - first, rows.column("hi").to_numpy())
+    found = induce(group, least, most, _padded(rows.column("before").to_pylist(), width), _padded(rows.column("after").to_pylist(), width))
     # Offsets grow to the left: reversed, each run of recurring windows is a run of positions.
     member, offset = np.nonzero(found[:, ::-1])
-    position = anchor[member] - (width - offset)
-    yield _runs(rows.column("uid").to_numpy()[member], position)
+    yield _runs(rows.column("uid").to_numpy()[member], anchor[member] - (width - offset))
 
 
 def _runs(uid: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
@@ -293,54 +323,91 @@ def _runs(uid: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["uid", "lo", "hi"])
 
 
-def repeated_windows(docs: DataFrame, length: int = 400, hot_group: int = 20_000, members: int = 20_000) -> DataFrame:
-    """``uid``, ``lo``, ``hi``: runs of window starts that recur, of ``docs`` with ``uid`` and ``text``."""
-    if length < SPAN + GRAM:
-        raise ValueError(f"length must be {SPAN + GRAM} or more")
-    names = sample(docs, length)
-    twice = names.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    held = written(names.join(twice, "core"))
-    stretches = held.groupBy("core", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("one"))
-    stretches = written(stretches)
-    whole = held.join(stretches.where("n > 1").select("core", "stretch"), ["core", "stretch"], "left_semi")
+def _halves(tuples: DataFrame, width: int) -> DataFrame:
+    """Each tuple under the names of the halves of its offsets in which it has windows."""
+    mask = F.lit((1 << PLACE_BITS) - 1)
+    most = F.shiftright("place", PLACE_BITS).bitwiseAND(mask)
+    least = most - F.col("place").bitwiseAND(mask)
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2)
+    halves = F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))
+    halved = tuples.withColumn("half", F.explode(halves)).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")})
+    halved = halved.where((most >= F.col("lo")) & (least <= F.col("hi")))
+    shared = [F.col("core"), F.col("lo"), F.col("hi"), F.expr("substring(before, 1, cast(lo as int))"), F.expr(f"substring(after, 1, cast({width} - hi as int))")]
+    return halved.withColumns({"name": F.xxhash64(F.lit(1), *shared), "other": F.xxhash64(F.lit(2), *shared)}).drop("half")
+
+
+def _induced_groups(tuples: DataFrame, width: int, members: int) -> DataFrame:
+    """``uid``, ``lo``, ``hi``: runs of recurring windows of suffix tuples, by recursion and induction."""
+    level = tuples.select("uid", "place", "core", "before", "after", F.lit(0).cast("long").alias("lo"), F.lit(width).cast("long").alias("hi"), F.col("core").alias("name"), F.lit(0).cast("long").alias("other"))
+    found, small = [], []
+    group = ["name", "other"]
+    while True:
+        sizes = written(level.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        level = written(level.join(sizes, group))
+        small.append(level.where((F.col("n") <= members) & (F.col("lo") < F.col("hi"))).drop("n"))
+        # A single offset: all tuples of a name are one window.
+        position = (F.shiftright("place", 2 * PLACE_BITS) + F.shiftright("place", PLACE_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) - F.col("lo")).alias("lo")
+        found.append(level.where("lo = hi").select("uid", position, position.alias("hi")))
+        level = level.where((F.col("n") > members) & (F.col("lo") < F.col("hi"))).drop("n")
+        if level.isEmpty():
+            break
+        level = written(_halves(level, width))
+    rows = small[0]
+    for part in small[1:]:
+        rows = rows.unionByName(part)
+    ordered = rows.repartition(*group).sortWithinPartitions(*group, "after")
+    runs = arrow(ordered, lambda b: _induced(b, members, width), "uid long, lo long, hi long")
+    for part in found:
+        runs = runs.unionByName(part)
+    return runs
+
+
+def repeated_windows(docs: DataFrame, length: int = 400, passage: int = 50, members: int = 256) -> DataFrame:
+    """``words``, ``uid``, ``lo``, ``hi``: runs of window starts that recur, of ``docs`` with ``uid`` and ``text``.
+
+    Windows are of ``length`` bytes or, where ``words`` holds, of ``passage`` words.
+    """
+    byte, word = bytes_scale(length), words_scale(passage)
+    name = ["words", "core"]
+    names = written(sample(docs, {"bytes": byte, "words": word}))
+    # Counts are written before they are joined, so that a join of a hot name can be split.
+    twice = written(names.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*name))
+    held = written(names.join(twice, name))
+    stretches = written(held.groupBy(*name, "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("one")))
+    again = written(stretches.where("n > 1").select(*name, "stretch"))
     first = F.shiftright("place", 2 * PLACE_BITS)
-    settled = whole.select("uid", first.alias("lo"), (first + F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).alias("hi"))
-    mixed = stretches.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    open_ = stretches.join(mixed, "core").select(F.col("one.uid").alias("uid"), F.struct(F.col("one.place").alias("place"), "core", "k").alias("x"))
+    last = first + F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    settled = held.join(again, [*name, "stretch"], "left_semi").select("words", "uid", first.alias("lo"), last.alias("hi"))
+    mixed = written(stretches.groupBy(*name).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*name))
+    open_ = stretches.join(mixed, name).select(F.col("one.uid").alias("uid"), F.struct("words", F.col("one.place").alias("place"), "core").alias("x"))
     listed = open_.groupBy("uid").agg(F.collect_list("x").alias("places"))
     # Rows that repeat share a uid and give a tuple twice; all their windows are settled above, and no other's verdict changes.
-    tuples = listed.join(docs.select("uid", "text"), "uid")
-    tuples = written(arrow(tuples.select("uid", "places", "text"), lambda b: _tuples(b, length), "uid long, place long, core long, k long, before binary, after binary"))
-    few = tuples.where(F.col("k") <= hot_group)
-    ordered = few.repartition("core").sortWithinPartitions("core", "after")
-    induced = arrow(ordered.select("uid", "place", "core", "before", "after"), lambda b: _induced(b, members), "uid long, lo long, hi long")
-    many = tuples.where(F.col("k") > hot_group)
-    hashed = arrow(many, _window_names, "uid long, position long, name long, other long")
-    recurring = hashed.groupBy("name", "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "other")
-    hot = hashed.join(recurring, ["name", "other"], "left_semi").select("uid", F.col("position").alias("lo"), F.col("position").alias("hi"))
-    return settled.unionByName(induced).unionByName(hot)
-
-
-def _window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes for each window of the hot groups' members (core, offset and the bytes around the core)."""
-    width = SPAN - 1
-    for batch in batches:
-        for uid, place, core, before, after in zip(*(batch.column(c).to_pylist() for c in ("uid", "place", "core", "before", "after")), strict=True):
-            first, anchor, last = (int(v) for v in _unpacked(np.int64(place)))
-            data = np.frombuffer(before[::-1] + after, np.uint8)
-            position = np.arange(first, last + 1)
-            a = position - first
-            b = a + width
-            salt = np.uint64(core & (1 << 64) - 1) + (anchor - position).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            names = [_mix(Hashes(data, k).of(a, b) ^ _mix(salt)).view(np.int64) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), uid), pa.int64()), pa.array(position, pa.int64()), *(pa.array(x, pa.int64()) for x in names)], names=["uid", "position", "name", "other"])
+    opened = written(arrow(listed.join(docs.select("uid", "text"), "uid").select("uid", "places", "text"), lambda b: _opened(b, byte, word), OPEN))
+    induced = _induced_groups(opened.where("not words").select("uid", "place", "core", "before", "after"), byte.span - 1, members)
+    windows = opened.where("words").select("uid", "position", "name", "other")
+    recurring = written(windows.groupBy("name", "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "other"))
+    passages = windows.join(recurring, ["name", "other"], "left_semi").select("uid", F.col("position").alias("lo"), F.col("position").alias("hi"))
+    return settled.unionByName(induced.withColumn("words", F.lit(False))).unionByName(passages.withColumn("words", F.lit(True)))
+
+
+def _union(runs: list[tuple[int, int]]) -> list[list[int]]:
+    spans: list[list[int]] = []
+    for lo, hi in sorted(runs):
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(hi, spans[-1][1])
+        else:
+            spans.append([lo, hi])
+    return spans
 
 
 @any_columns
-def remove_repeats(docs: DataFrame, length: int = 400, **parameters) -> DataFrame:
-    """``docs`` with ``kept`` (the bytes that stay), n_bytes, n_removed, n_spans and kept_sha256."""
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 50, members: int = 256) -> DataFrame:
+    """``docs`` with ``kept`` (the bytes that stay), n_bytes, n_removed, n_spans, kept_sha256 and n_passage_words.
+
+    ``n_passage_words`` counts words of passages (``passage`` words or more) that recur; they stay unless ``length`` bytes of them do.
+    """
     keyed = docs.withColumn("uid", text_key(F.col("doc_id"), F.col("text")))
-    runs = repeated_windows(keyed.select("uid", "text"), length, **parameters).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    runs = repeated_windows(keyed.select("uid", "text"), length, passage, members).groupBy("uid").agg(F.collect_set(F.struct("words", "lo", "hi")).alias("runs"))
     names = [c for c in docs.columns if c != "text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,12 +416,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, **parameters) -> DataFram
             kept, stats = [], []
             for row, found in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
                 text = data[at[row] : at[row + 1]]
-                spans: list[list[int]] = []
-                for lo, hi in sorted((x["lo"], x["hi"] + length) for x in found or ()):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(hi, spans[-1][1])
-                    else:
-                        spans.append([lo, hi])
+                spans = _union([(x["lo"], x["hi"] + length) for x in found or () if not x["words"]])
+                words = sum(b - a for a, b in _union([(x["lo"], x["hi"] + passage) for x in found or () if x["words"]]))
                 parts, end = [], 0
                 for lo, hi in spans:
                     parts.append(text[end:lo].tobytes())
@@ -362,10 +425,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, **parameters) -> DataFram
                 parts.append(text[end:].tobytes())
                 rest = b"".join(parts)
                 kept.append(rest)
-                stats.append((len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
-            n, r, s, h = zip(*stats, strict=True) if stats else ((),) * 4
-            extra = [pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *extra], names=[*batch.schema.names[:-2], "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                stats.append((len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), words))
+            n, r, s, h, w = zip(*stats, strict=True) if stats else ((),) * 5
+            extra = [pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string()), pa.array(w, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *extra], names=[*batch.schema.names[:-2], "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
-    schema = T.StructType([*(docs.schema[c] for c in names), *T.StructType.fromDDL("kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").fields])
+    made = T.StructType.fromDDL("kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint")
+    schema = T.StructType([*(docs.schema[c] for c in names), *made.fields])
     return arrow(keyed.join(runs, "uid", "left").select(*names, "runs", "text"), cut, schema)

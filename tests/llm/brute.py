@@ -70,6 +70,19 @@ def repeats(docs, length=400):
     return out
 
 
+def passages(docs, length=50):
+    seen = Counter()
+    split = [(i, words(t)) for i, t in docs]
+    for _, w in split:
+        for p in range(len(w) - length + 1):
+            seen[tuple(w[p : p + length])] += 1
+    out = []
+    for i, w in split:
+        hit = {q for p in range(len(w) - length + 1) if seen[tuple(w[p : p + length])] > 1 for q in range(p, p + length)}
+        out.append((i, len(hit)))
+    return out
+
+
 def held_out(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 

@@ -240,10 +240,24 @@ def test_mix_reaches_its_targets(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in out) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeats(docs, rows, hot):
-    got = collected(repeats.remove_repeats(docs, hot_group=hot, members=5), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+@pytest.mark.parametrize("members", [256, 5, 1])
+def test_repeats(docs, rows, members):
+    out = repeats.remove_repeats(docs, members=members)
+    got = collected(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(brute.repeats(rows), key=repr)
+    assert collected(out, "doc_id", "n_passage_words") == sorted(brute.passages(rows), key=repr)
+
+
+def test_hot_core_is_split_and_exact(spark):
+    """One passage in many different surroundings, cut at different places: one core, many stretches."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    x = noise(900)
+    rows = [(i, noise(rng.randint(0, 30)) + x[rng.randint(0, 120) : 900 - rng.randint(0, 120)] + noise(rng.randint(0, 30))) for i in range(150)]
+    rows += [(200 + i, noise(3) + x[40 * i : 40 * i + 390 + i] + noise(3)) for i in range(12)]
+    for members in (256, 16):
+        got = collected(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), members=members), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == sorted(brute.repeats(rows), key=repr)
 
 
 def test_repeats_of_periodic_and_edge_texts(spark):
