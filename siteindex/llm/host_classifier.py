@@ -1,17 +1,25 @@
 """Quality and toxicity by hierarchical empirical Bayes over documents, hosts and paths.
 
 Evidence. A naive Bayes score of the document's distinct words, from labelled rows;
-words are kept whose classes differ clearly, ``max_features`` at most.
-Hierarchy. Document probabilities are summed by path (host and language here) and by
-host. Beta priors shrink a host's rate to the corpus rate and a path's rate to its
-host's, with the prior strength fitted by moments over hosts; sparse hosts and paths
-therefore stay near the prior. The path's posterior odds, relative to the corpus odds,
-then shift each document's log odds, by ``host_weight``.
+words are kept whose classes differ clearly.
+Hierarchy. The rate of a label has a beta prior at each level: a host's rate around the
+corpus rate, a path's (host and language here) around its host's. Counts are of all
+labelled rows, grouped by path, host and corpus. Each level's correlation rho, the share
+of the variance that lies between groups, is fitted by beta-binomial moments over its
+groups, adjusted to be positive; a group's posterior mean is (rho y + (1 - rho) m) /
+(rho n + 1 - rho), with m the level above. The less the groups vary beyond sampling, the
+nearer they stay to m, and sparse or unlabelled hosts and paths stay near it always.
+Combination. The document's log odds are its evidence plus the path's posterior log odds
+in place of the corpus's, ``host_weight`` of them.
+
+Bounds. The naive Bayes tables hold words of at most ``max_labelled`` labelled rows and
+are broadcast; rates are grouped tables that are written and joined.
 
 Defined cases: null or wordless texts have no evidence and score by their host; null
 hosts and languages are values of their own; unlabelled rows only get scores; without
 labelled rows of both classes every probability is the smoothed base rate; labels that
-repeat count as often as they stand; null labels are ignored.
+repeat count as often as they stand; null labels are ignored; rows that repeat stay
+rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +50,7 @@ def _features(text: bytes) -> set[bytes]:
     return found
 
 
-def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], max_labelled: int = 200_000, max_features: int = 20_000, min_documents: int = 3) -> dict[str, tuple[dict[bytes, float], float]]:
+def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], max_labelled: int = 200_000, min_documents: int = 3, min_z: float = 4.0, min_odds: float = 1.0) -> dict[str, tuple[dict[bytes, float], float]]:
     """For each label, log odds by feature and the log prior odds.
 
     Learns from at most ``max_labelled`` labelled rows (those of least hash), so few
@@ -77,11 +85,11 @@ def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], max_labell
             a, b = F.col(f"n0_{k}"), F.col(f"n1_{k}")
             odds = F.log((b + 0.5) / (n1 + 1.0)) - F.log((a + 0.5) / (n0 + 1.0))
             error = F.sqrt(1 / (b + 0.5) + 1 / (a + 0.5))
-            # Odds count as far as they are sure: two standard errors nearer to even.
+            # Odds count as far as they are sure: two standard errors nearer to even. Weak ones,
+            # of which a text holds many that depend on each other, are left out.
             sure = F.signum(odds) * (F.abs(odds) - 2 * error)
-            strong = rows.where((F.length("word") > 0) & (a + b >= min_documents)).select("word", sure.alias("odds"), (F.abs(odds) / error).alias("z")).where("z > 3")
-            best = strong.orderBy(F.col("z").desc(), "word").limit(max_features)
-            models[k] = {bytes(r["word"]): r["odds"] for r in best.toLocalIterator()}, prior
+            strong = rows.where((F.length("word") > 0) & (a + b >= min_documents) & (F.abs(odds) > min_z * error)).select("word", sure.alias("odds")).where(F.abs("odds") >= min_odds)
+            models[k] = {bytes(r["word"]): r["odds"] for r in strong.toLocalIterator()}, prior
     return models
 
 
@@ -114,35 +122,73 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def posteriors(scored: DataFrame, label: str, host: Column, path: Column) -> DataFrame:
-    """``host_``, ``path_``, and the path's shrunk rate ``path_rate`` beside the corpus rate ``corpus_rate``."""
-    p = _probability(F.col(f"{label}_evidence"))
-    paths = scored.groupBy(host.alias("host_"), path.alias("path_")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s"))
-    hosts = paths.groupBy("host_").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    whole = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("host_s") * F.col("host_s") / F.col("host_n")).alias("q"), F.sum(F.col("host_n") * F.col("host_n")).alias("n2")).first()
-    n, s = whole["n"] or 0, whole["s"] or 0.0
-    rate = (s + 0.5) / (n + 1.0)
-    # Moments: between-host variance of the rate beyond what sampling gives.
-    spread = max((whole["q"] or 0.0) - n * (s / n) ** 2, 0.0) if n else 0.0
-    extra = (spread - ((whole["hosts"] or 1) - 1) * rate * (1 - rate)) / max(n - (whole["n2"] or 0) / n, 1e-9) if n else 0.0
-    strength = min(max(rate * (1 - rate) / extra - 1, 2.0), 1e6) if extra > 0 else 1e6
-    host_rate = (F.col("host_s") + strength * rate) / (F.col("host_n") + strength)
-    named = paths.join(hosts.withColumn("host_rate", host_rate), "host_")
-    path_rate = (F.col("s") + strength * F.col("host_rate")) / (F.col("n") + strength)
-    return named.select("host_", "path_", "host_rate", path_rate.alias("path_rate"), F.lit(rate).alias("corpus_rate"))
+def labelled_counts(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], host: Column, path: Column) -> DataFrame:
+    """``host_``, ``path_`` and, for each label, ``n_`` (rows with a label of 0 or 1) and ``y_`` (of 1): over all labelled rows."""
+    marked = labels.where("doc_id is not null").select(F.col("doc_id").alias("label_id"), *[F.when(F.col(k).isin(0, 1), F.col(k).cast("long")).alias(f"label_{k}") for k in names])
+    rows = docs.select("doc_id", host.alias("host_"), path.alias("path_")).join(marked, F.col("doc_id") == F.col("label_id"))
+    sums = [(f"n_{k}", F.count(f"label_{k}")) for k in names] + [(f"y_{k}", F.coalesce(F.sum(f"label_{k}"), F.lit(0))) for k in names]
+    return rows.groupBy("host_", "path_").agg(*[c.alias(n) for n, c in sums])
+
+
+def _correlation(variance: float, expected: float, error: float, spread: float, unit: float) -> float:
+    """rho of a level: the excess of its variance over what sampling gives, as a share of ``spread``.
+
+    The estimate d = excess / spread has the standard error e = ``error`` / spread without any
+    excess; adjusted density maximisation, (d + sqrt(d^2 + 4 e^2)) / 2, keeps rho above zero.
+    ``unit``, one more row's variance, keeps it below one.
+    """
+    if spread <= 0 or unit <= 0:
+        return 0.0
+    d, e = (variance - expected) / spread, error / spread
+    return min((d + math.sqrt(d * d + 4 * e * e)) / 2, spread / (spread + unit))
+
+
+def posteriors(counts: DataFrame, label: str) -> tuple[DataFrame, float]:
+    """``host_``, ``path_``, ``{label}_host_rate`` and ``{label}_path_rate`` of every path in ``counts``; the corpus rate.
+
+    rho of a level: over groups of n rows with mean r around m, E[sum n (r - m)^2] =
+    v (G - 1) + rho v (N - sum n^2 / N - (G - 1)), v = m (1 - m). Paths add this up over hosts.
+    """
+    n, y, p = F.col(f"n_{label}"), F.col(f"y_{label}"), F.col("host_rate")
+    hosts = counts.groupBy("host_").agg(F.sum(n).alias("n"), F.sum(y).alias("y"), F.sum(n * n).alias("n2"), F.sum((n > 0).cast("long")).alias("g"), F.sum(F.when(n > 0, y * y / n).otherwise(0.0)).alias("q"))
+    whole = hosts.agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum((F.col("n") > 0).cast("long")).alias("g"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.when(F.col("n") > 0, F.col("y") * F.col("y") / F.col("n")).otherwise(0.0)).alias("q")).first()
+    total, ones, groups = whole["n"] or 0, whole["y"] or 0, whole["g"] or 0
+    rate = (ones + 0.5) / (total + 1.0)
+    v = rate * (1 - rate)
+    mean = ones / total if total else 0.0
+    spread = v * (total - (whole["n2"] or 0) / total - (groups - 1)) if total else 0.0
+    rho = _correlation((whole["q"] or 0.0) - total * mean * mean, (groups - 1) * v, v * math.sqrt(2 * max(groups - 1, 0)), spread, v)
+    hosts = hosts.withColumn("host_rate", (rho * F.col("y") + (1 - rho) * rate) / (rho * F.col("n") + (1 - rho)))
+    host_v, parts = p * (1 - p), F.col("g") - 1
+    inside = hosts.where("n > 0").agg(
+        F.sum(F.col("q") - F.col("y") * F.col("y") / F.col("n")).alias("variance"),
+        F.sum(host_v * parts).alias("expected"),
+        F.sum(2 * host_v * host_v * parts).alias("error2"),
+        F.sum(host_v * (F.col("n") - F.col("n2") / F.col("n") - parts)).alias("spread"),
+    ).first()
+    own = _correlation(inside["variance"] or 0.0, inside["expected"] or 0.0, math.sqrt(inside["error2"] or 0.0), inside["spread"] or 0.0, v)
+    named = counts.join(hosts.select("host_", "host_rate"), "host_")
+    path_rate = (own * y + (1 - own) * p) / (own * n + (1 - own))
+    return named.select("host_", "path_", p.alias(f"{label}_host_rate"), path_rate.alias(f"{label}_path_rate")), rate
 
 
 @any_columns
-def classify(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality", "toxic"), host: str = "source", path: str = "lang", host_weight: float = 0.5, **parameters) -> DataFrame:
-    """``docs`` without its text plus, for each label, evidence, path rate and probability."""
+def classify(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality", "toxic"), host: str = "source", path: str = "lang", host_weight: float = 1.0, **parameters) -> DataFrame:
+    """``docs`` without its text plus, for each label, evidence, host and path rate and probability."""
     models = train(docs, labels, names, **parameters)
-    scored = written(evidence(docs, models))
     host_key = F.coalesce(F.concat(F.lit("h:"), F.col(host)), F.lit("null"))
     path_key = F.coalesce(F.concat(F.lit("p:"), F.col(path)), F.lit("null"))
-    out = scored.withColumn("host_", host_key).withColumn("path_", path_key)
+    scored = written(evidence(docs, models).withColumns({"host_": host_key, "path_": path_key}))
+    counts = written(labelled_counts(docs, labels, names, host_key, path_key))
+    # Paths without labels stand at their host's rate, hosts without labels at the corpus's.
+    every = scored.select("host_", "path_").distinct().join(counts, ["host_", "path_"], "left").na.fill(0)
+    every = written(every)
+    rates, corpus = every.select("host_", "path_"), {}
+    for k in names:
+        of_label, corpus[k] = posteriors(every, k)
+        rates = rates.join(of_label, ["host_", "path_"])
+    out = scored.join(written(rates), ["host_", "path_"])
     for k in names:
-        rates = posteriors(scored, k, host_key, path_key).select("host_", "path_", F.col("path_rate").alias(f"{k}_path_rate"), F.col("corpus_rate").alias("corpus_"))
-        out = out.join(rates, ["host_", "path_"])
-        shift = host_weight * (_logit(F.col(f"{k}_path_rate")) - _logit(F.col("corpus_")))
-        out = out.withColumn(f"{k}_probability", _probability(F.col(f"{k}_evidence") + shift)).drop("corpus_")
+        shift = host_weight * (_logit(F.col(f"{k}_path_rate")) - _logit(F.lit(corpus[k])))
+        out = out.withColumn(f"{k}_probability", _probability(F.col(f"{k}_evidence") + shift))
     return out.drop("host_", "path_")

@@ -1,12 +1,17 @@
 """Quality rules from word statistics and cross-document line frequency (native).
 
-A line that more than ``max_host_share`` of a host's documents contain (and at least
-``min_documents`` of them) is site furniture: it is removed, and a document left with
-too little is rejected. Everything is DataFrame functions; no Python runs on executors.
-
-Defined cases: null or blank text has no words and fails the base rules; a null host
-is a host of its own; a line repeated inside one document counts once for frequency but
-every occurrence is removed; exact ties with the limit are not above it.
+A line that more than ``min_documents`` distinct documents of a host contain, and more
+than ``max_host_share`` of the host's documents, is site furniture: it is removed, and a
+document left with too little is rejected. Everything is DataFrame functions; no Python
+runs on executors, and no shuffle carries a text: statistics and line hashes are written
+once, lines are counted and met by (host, line), and what a document loses comes back
+under the hash of its host and text.
+
+Defined cases: null or blank text has no words and fails the base rules; a null host is
+a host of its own; documents of one host and equal text are one document for the counts,
+so that copies alone make no line frequent; a line repeated inside one document counts
+once for frequency but every occurrence is removed; exact ties with a limit are not
+above it; rows that repeat stay rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, any_columns, words_of
+from .common import BLANKS, any_columns, words_of, written
 
 
 def _lines(text: Column) -> Column:
@@ -26,25 +31,6 @@ def _lines(text: Column) -> Column:
     return F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w")))
 
 
-def line_frequency(docs: DataFrame, host: str = "source", max_host_share: float = 0.5, min_documents: int = 10) -> DataFrame:
-    """Lines above the limit by host: ``host_key`` and ``frequent``, an array of line hashes.
-
-    A host of D documents with L distinct lines each has at most L / max_host_share
-    such lines, so the array's size follows a document's length, not the corpus.
-    """
-    key = _host_key(F.col(host))
-    seen = docs.select(key.alias("host_key"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), lambda x: x["h"]))).alias("h"))
-    counted = seen.groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("documents"))
-    hosts = docs.groupBy(key.alias("host_key")).agg(F.count(F.lit(1)).alias("host_documents"))
-    return (
-        counted.where(F.col("documents") > min_documents)
-        .join(hosts, "host_key")
-        .where(F.col("documents") > F.col("host_documents") * F.lit(max_host_share))
-        .groupBy("host_key")
-        .agg(F.sort_array(F.collect_set("h")).alias("frequent"))
-    )
-
-
 def _host_key(host: Column) -> Column:
     return F.coalesce(F.concat(F.lit("h:"), host), F.lit("null"))
 
@@ -92,35 +78,61 @@ def word_statistics(docs: DataFrame) -> DataFrame:
     return counted.withColumns({c: F.col("by_word_")[c] for c in ("n_words", "word_chars", "n_repeat_words")}).drop("by_word_")
 
 
+def _page(host: Column) -> Column:
+    """Key of a host's text: documents that share it are one document."""
+    return F.xxhash64(_host_key(host), F.coalesce(F.col("text"), F.lit("")))
+
+
+def document_lines(paged: DataFrame) -> DataFrame:
+    """``page``, ``host_key``, ``h``, ``w`` (words), ``n`` (occurrences): each distinct line of each distinct document."""
+    each = paged.select("page", "host_key", F.posexplode("lines").alias("at", "line"))
+    return each.groupBy("page", "host_key", F.col("line.h").alias("h")).agg(F.max("line.w").alias("w"), F.size(F.collect_set("at")).alias("n"))
+
+
+def frequent_lines(lines: DataFrame, hosts: DataFrame, max_host_share: float, min_documents: int) -> DataFrame:
+    """``host_key``, ``h`` of the lines above both limits; ``hosts`` has host_key and host_documents."""
+    counted = lines.groupBy("host_key", "h").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > min_documents)
+    return counted.join(hosts, "host_key").where(F.col("documents") > F.col("host_documents") * F.lit(max_host_share)).select("host_key", "h")
+
+
+def _lines_and_frequent(paged: DataFrame, max_host_share: float, min_documents: int) -> tuple[DataFrame, DataFrame]:
+    lines = written(document_lines(paged))
+    hosts = written(paged.select("host_key", "page").distinct().groupBy("host_key").agg(F.count(F.lit(1)).alias("host_documents")))
+    return lines, written(frequent_lines(lines, hosts, max_host_share, min_documents))
+
+
 @any_columns
-def quality_rules(docs: DataFrame, host: str = "source", max_host_share: float = 0.5, min_documents: int = 10, min_words: int = 10, min_left_share: float = 0.3) -> DataFrame:
-    """``docs`` with statistics and verdicts: base_failed, removed_lines, words_left, kept.
+def quality_rules(docs: DataFrame, host: str = "source", max_host_share: float = 0.01, min_documents: int = 10, min_words: int = 10, min_left_share: float = 0.3) -> DataFrame:
+    """``docs`` without its text, plus page, statistics and verdicts: base_failed, removed_lines, words_left, kept.
 
-    A document is depleted when the lines below the limit leave it fewer than
-    ``min_words`` words or less than ``min_left_share`` of its words. ``text_left``
-    is not built here; see ``without_frequent_lines``.
+    A document is depleted when the lines below the limits leave it fewer than
+    ``min_words`` words or less than ``min_left_share`` of its words. ``text_left`` is not
+    built here; see ``without_frequent_lines``.
     """
-    frequent = line_frequency(docs, host, max_host_share, min_documents)
-    stats = word_statistics(docs).withColumn("host_key", _host_key(F.col(host)))
-    cut = F.filter("lines", lambda x: F.coalesce(F.array_contains(F.col("frequent"), x["h"]), F.lit(False)))
-    joined = (
-        stats.join(frequent, "host_key", "left")
-        .withColumn("cut", F.when(F.col("frequent").isNull(), F.filter("lines", lambda x: F.lit(False))).otherwise(cut))
-        .withColumn("removed_lines", F.size("cut").cast("long"))
-        .withColumn("words_left", F.col("n_words") - F.aggregate("cut", F.lit(0).cast("long"), lambda a, x: a + x["w"]))
-    )
+    keyed = docs.withColumns({"host_key": _host_key(F.col(host)), "page": _page(F.col(host))})
+    stats = written(word_statistics(keyed).drop("text"))
+    lines, frequent = _lines_and_frequent(stats, max_host_share, min_documents)
+    met = lines.join(frequent, ["host_key", "h"])
+    # Written, so that the join of a page that many rows share can be split.
+    cut = written(met.groupBy("page").agg(F.sum("n").cast("long").alias("cut_lines"), F.sum(F.col("n") * F.col("w")).cast("long").alias("cut_words")))
+    none = F.lit(0).cast("long")
+    joined = stats.join(cut, "page", "left").withColumns({"removed_lines": F.coalesce("cut_lines", none), "words_left": F.col("n_words") - F.coalesce("cut_words", none)})
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (F.col("words_left") < min_words) | (F.col("words_left") < F.col("n_words") * F.lit(min_left_share))
-    kept = F.when(base | depleted, F.lit(False)).otherwise(F.lit(True))
-    return joined.withColumn("base_failed", base).withColumn("kept", kept).drop("lines", "cut", "host_key", "frequent")
+    return joined.withColumn("base_failed", base).withColumn("kept", ~(base | depleted)).drop("lines", "host_key", "cut_lines", "cut_words")
 
 
-def without_frequent_lines(docs: DataFrame, host: str = "source", max_host_share: float = 0.5, min_documents: int = 10) -> DataFrame:
-    """``docs`` whose texts have lost the lines above the limit of their host."""
-    frequent = line_frequency(docs, host, max_host_share, min_documents)
-    keep = F.filter(
-        F.split(F.col("text"), "\n"),
-        lambda x: ~F.coalesce(F.array_contains(F.col("frequent"), F.xxhash64(F.btrim(F.regexp_replace(F.lower(x), BLANKS, " ")))), F.lit(False)),
-    )
-    keyed = docs.withColumn("host_key", _host_key(F.col(host))).join(frequent, "host_key", "left")
-    return keyed.withColumn("text", F.when(F.col("frequent").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))).select(docs.columns)
+def accepted(docs: DataFrame, host: str = "source", **parameters) -> DataFrame:
+    """The rows of ``docs``, whole, that ``quality_rules`` keeps."""
+    kept = quality_rules(docs.select(*dict.fromkeys([host, "text"])), host, **parameters).where("kept").select(F.col("page").alias("page_")).distinct()
+    return docs.withColumn("page_", _page(F.col(host))).join(written(kept), "page_", "left_semi").select(docs.columns)
+
+
+def without_frequent_lines(docs: DataFrame, host: str = "source", max_host_share: float = 0.01, min_documents: int = 10) -> DataFrame:
+    """``docs`` whose texts have lost the lines above the limits of their host."""
+    keyed = docs.withColumns({"host_key": _host_key(F.col(host)), "page": _page(F.col(host))})
+    lines, frequent = _lines_and_frequent(keyed.select("host_key", "page", _lines(F.col("text")).alias("lines")), max_host_share, min_documents)
+    cut = written(lines.join(frequent, ["host_key", "h"]).groupBy("page").agg(F.collect_set("h").alias("cut")))
+    plain = lambda x: F.xxhash64(F.btrim(F.regexp_replace(F.lower(x), BLANKS, " ")))
+    kept = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x: ~F.array_contains("cut", plain(x))), "\n")
+    return keyed.join(cut, "page", "left").withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)

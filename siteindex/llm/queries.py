@@ -28,7 +28,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_lines", "words_left")
 
 
@@ -91,5 +91,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+QUALITY_SQL = rf"""
+with d as (select row_number() over () as row_id, doc_id, source, coalesce(text, '') as text from documents),
+s as (select *, {WORDS_SQL} as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+begins as (select row_id, words, unnest(range(1, greatest(len(words) - 3, 1))) as p from s),
+win as (select row_id, p, words[p:p + 4] as w from begins),
+again as (select row_id, p from (select *, count(*) over (partition by row_id, w) as n from win) where n > 1),
+covered as (select row_id, count(distinct q) as n from (select row_id, unnest(range(p, p + 5)) as q from again) group by row_id),
+paged as (select s.*, dense_rank() over (order by source, text) as page from s),
+line as (select page, source, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as x from (select page, source, unnest(lines) as x from (select distinct page, source, lines from paged))),
+per_page as (select page, source, x, count(*) as n, any_value(len(string_split(x, ' '))) as w from line group by page, source, x),
+hosts as (select source, count(distinct page) as host_documents from paged group by source),
+counted as (select source, x, count(*) as documents from per_page group by source, x having count(*) > 10),
+frequent as (select c.source, c.x from counted c join hosts h on c.source is not distinct from h.source where c.documents > h.host_documents * 0.01),
+cut as (select page, sum(n) as lines_cut, sum(n * w) as words_cut from per_page p join frequent f on p.source is not distinct from f.source and p.x = f.x group by page),
+verdict as (
+  select doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
+    cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+    cast(coalesce(covered.n, 0) as bigint) as n_repeat_words, cast(coalesce(lines_cut, 0) as bigint) as removed_lines, cast(len(words) - coalesce(words_cut, 0) as bigint) as words_left
+  from paged left join covered using (row_id) left join cut using (page))
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or words_left < 10 or words_left < n_words * 0.3) as kept
+from verdict"""
+
+ORACLE_SQL: dict[str, str] = {"op2_line_frequency_quality": QUALITY_SQL}
 

@@ -62,13 +62,39 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     body = "these ten words make up the body of page number"
     site = [(i, f"Site menu and links\n{body} {i}", "en", "a", 1) for i in range(30)]
     bare = [(50, "Site menu and links\n" * 5, "en", "a", 1)]
-    other = [(60 + i, f"Site menu and links\n{body} {i}", "en", "b", 1) for i in range(5)]
-    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(site + bare + other, SCHEMA)).collect()}
+    other = [(60 + i, f"Site menu and links\n{body} {i}", "en", "b", 1) for i in range(10)]
+    none = [(80 + i, f"Site menu and links\n{body} {i}", "en", None, 1) for i in range(11)]
+    copies = [(100 + i, f"one text of many copies\n{body}", "en", "c", 1) for i in range(40)]
+    df = spark.createDataFrame(site + bare + other + none + copies, SCHEMA)
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
     assert out[3]["removed_lines"] == 1 and out[3]["kept"]
     assert out[50]["removed_lines"] == 5 and not out[50]["kept"]
-    assert out[61]["removed_lines"] == 0
-    text = {r["doc_id"]: r["text"] for r in quality_rules.without_frequent_lines(spark.createDataFrame(site + bare, SCHEMA)).collect()}
-    assert text[3] == f"{body} 3" and text[50] == ""
+    assert out[61]["removed_lines"] == 0  # ten documents are not above the limit of ten
+    assert out[81]["removed_lines"] == 1  # a null host is a host
+    assert out[101]["removed_lines"] == 0 and out[101]["kept"]  # copies are one document
+    assert sorted(r["doc_id"] for r in quality_rules.accepted(df).collect()) == sorted(i for i, r in out.items() if r["kept"])
+    assert quality_rules.accepted(df).columns == df.columns
+    text = {r["doc_id"]: r["text"] for r in quality_rules.without_frequent_lines(df).collect()}
+    assert text[3] == f"{body} 3" and text[50] == "" and text[61] == f"Site menu and links\n{body} 1"
+
+
+def test_share_of_a_host_is_a_limit_too(spark):
+    rows = [(i, ("often\n" if i < 30 else "") + f"line {i} of its own", "en", "a", 1) for i in range(300)]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA), max_host_share=0.1)
+    assert out.where("removed_lines > 0").count() == 0  # 30 of 300 is a tie with a tenth
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA), max_host_share=0.09)
+    assert out.where("removed_lines > 0").count() == 30
+
+
+def test_quality_rules_equal_their_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    result = con.execute(queries.QUALITY_SQL)
+    columns = [d[0] for d in result.description]
+    got = queries.op2_line_frequency_quality(spark, sf_dir)
+    assert collected(got, *columns) == sorted(result.fetchall(), key=repr)
 
 
 def test_near_duplicate_classes(docs, rows):
@@ -277,6 +303,85 @@ def test_toxic_words_are_learnt_and_others_left_alone(spark, sf_dir):
     assert n.get((True, 0), 0) <= 2
 
 
+def plain_rates(counts):
+    """Host and path rates of {(host, path): (n, y)}, level by level."""
+
+    def rho(groups, means, unit):  # groups: per parent, its children's (n, y); means: the parents' means and v
+        variance = expected = error2 = spread = 0.0
+        for children, (m, v) in zip(groups, means, strict=True):
+            children = [c for c in children if c[0]]
+            n = sum(c[0] for c in children)
+            if not n:
+                continue
+            variance += sum(c[0] * (c[1] / c[0] - m) ** 2 for c in children)
+            expected += v * (len(children) - 1)
+            error2 += 2 * v * v * (len(children) - 1)
+            spread += v * (n - sum(c[0] ** 2 for c in children) / n - (len(children) - 1))
+        if spread <= 0:
+            return 0.0
+        d, e = (variance - expected) / spread, error2**0.5 / spread
+        return min((d + (d * d + 4 * e * e) ** 0.5) / 2, spread / (spread + unit))
+
+    hosts = defaultdict(list)
+    for (h, _), c in counts.items():
+        hosts[h].append(c)
+    sums = {h: (sum(c[0] for c in x), sum(c[1] for c in x)) for h, x in hosts.items()}
+    n, y = sum(c[0] for c in sums.values()), sum(c[1] for c in sums.values())
+    rate = (y + 0.5) / (n + 1)
+    v = rate * (1 - rate)
+    top = rho([list(sums.values())], [(y / n, v)], v)
+    host = {h: (top * c[1] + (1 - top) * rate) / (top * c[0] + 1 - top) for h, c in sums.items()}
+    own = rho(list(hosts.values()), [(sums[h][1] / max(sums[h][0], 1), host[h] * (1 - host[h])) for h in hosts], v)
+    return host, {k: (own * c[1] + (1 - own) * host[k[0]]) / (own * c[0] + 1 - own) for k, c in counts.items()}
+
+
+@pytest.mark.parametrize("effect", [0.0, 0.4])
+def test_rates_equal_plain_empirical_bayes(spark, effect):
+    rng = random.Random(8)
+    counts = {}
+    for h in range(12):
+        for p in range(rng.choice([1, 3])):
+            n = rng.choice([0, 1, 5, 40])
+            counts[f"h{h}", f"p{p}"] = n, sum(rng.random() < 0.5 + effect * (-1) ** h for _ in range(n))
+    df = spark.createDataFrame([(*k, n, y) for k, (n, y) in counts.items()], "host_ string, path_ string, n_quality long, y_quality long")
+    host, path = plain_rates(counts)
+    rows, _ = host_classifier.posteriors(df, "quality")
+    for r in rows.collect():
+        assert r["quality_host_rate"] == pytest.approx(host[r["host_"]])
+        assert r["quality_path_rate"] == pytest.approx(path[r["host_"], r["path_"]])
+    spread = max(path.values()) - min(path.values())
+    assert effect == 0 or spread > 0.5
+
+
+def test_hosts_improve_held_out_scores(spark):
+    """Texts say little, hosts much: the hierarchy must score better than the text alone."""
+    import math
+
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(1500):
+        h = rng.randrange(10)
+        y = int(rng.random() < (0.15 if h % 2 else 0.85))
+        rows.append((i, " ".join(rng.choice("abcdefghij") for _ in range(8)) + (" good" if y and rng.random() < 0.1 else ""), "en", None if h == 9 else f"s{h}", 1))
+        labels.append((i, y, 0))
+    train = spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, quality int, toxic int")
+    out = host_classifier.classify(spark.createDataFrame(rows, SCHEMA), train).collect()
+    truth = {i: y for i, y, _ in labels}
+    loss = lambda p, y: -math.log(p if y else 1 - p)
+    held = [r for r in out if r["doc_id"] % 3 == 0]
+    flat = sum(loss(1 / (1 + math.exp(-r["quality_evidence"])), truth[r["doc_id"]]) for r in held)
+    full = sum(loss(r["quality_probability"], truth[r["doc_id"]]) for r in held)
+    assert full < 0.75 * flat
+
+
+def test_classifier_on_hard_rows(spark, docs, rows):
+    labels = spark.createDataFrame([(i, k % 2, None if k % 3 else 1) for k, (i, _) in enumerate(rows)] + [(None, 1, 1), (0, 7, 0)], "doc_id long, quality int, toxic int")
+    out = host_classifier.classify(docs, labels)
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter(i for i, _ in rows)
+    assert out.where("quality_probability is null or toxic_probability is null or quality_path_rate not between 0 and 1").count() == 0
+    assert out.select("key").distinct().collect()[0][0] == "own"
+
+
 def test_classifier_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = host_classifier.classify(docs, none)
