@@ -38,9 +38,8 @@ def own_columns(stage: Stage) -> Stage:
 
 @own_columns
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep enough lines that are not their host's furniture."""
-    verdicts = quality_rules.quality_rules(docs)
-    return verdicts.where("kept").select(docs.columns)
+    """Documents that pass the base rules and keep enough lines that are not their host's furniture; texts stay whole."""
+    return quality_rules.accepted(docs)
 
 
 @own_columns
