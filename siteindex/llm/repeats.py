@@ -137,7 +137,10 @@ def _word_blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarra
 
 
 def sample(docs: DataFrame, scales: dict[str, Scale]) -> DataFrame:
-    """One row for each anchor: ``unit`` (of symbols: bytes or words), ``uid``, ``place``, the names ``core`` and ``stretch``."""
+    """Anchors: ``words`` (are symbols words or bytes), ``uid``, the names ``core`` and ``stretch``, and ``places`` in the text that share them.
+
+    A text that repeats itself many times so gives few rows.
+    """
     blocks: dict[str, Callable] = {"bytes": _blocks, "words": _word_blocks}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +155,17 @@ def sample(docs: DataFrame, scales: dict[str, Scale]) -> DataFrame:
                     shape = ((a - lo) << PLACE_BITS | (hi - lo)).astype(np.uint64)
                     stretch = mix(Hashes(symbols, POWERS[1]).of(lo, hi + scale.length) + shape * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                     place = (begin[segment] + lo - starts[segment]) << (2 * PLACE_BITS) | shape.astype(np.int64)
-                    columns = [np.full(len(a), unit == "words"), uids[rows[segment]], place, core, stretch]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["words", "uid", "place", "core", "stretch"])
+                    row = rows[segment]
+                    order = np.lexsort((stretch, core, row))
+                    row, core, stretch = row[order], core[order], stretch[order]
+                    new = np.ones(len(row), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (core[1:] != core[:-1]) | (stretch[1:] != stretch[:-1])
+                    first = np.flatnonzero(new)
+                    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place[order], pa.int64()))
+                    columns = [np.full(len(first), unit == "words"), uids[row[first]], core[first], stretch[first]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), places], names=["words", "uid", "core", "stretch", "places"])
 
-    return arrow(docs.select("uid", "text"), run, "words boolean, uid long, place long, core long, stretch long")
+    return arrow(docs.select("uid", "text"), run, "words boolean, uid long, core long, stretch long, places array<long>")
 
 
 def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -369,15 +379,18 @@ def repeated_windows(docs: DataFrame, length: int = 400, passage: int = 50, memb
     """
     byte, word = bytes_scale(length), words_scale(passage)
     name = ["words", "core"]
-    names = written(sample(docs, {"bytes": byte, "words": word}))
+    names = sample(docs, {"bytes": byte, "words": word})
     # Counts are written before they are joined, so that a join of a hot name can be split.
-    twice = written(names.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*name))
+    # The names themselves are sampled twice: to write them takes more disk than all else.
+    n = F.sum(F.size("places")).alias("n")
+    twice = written(names.groupBy(*name).agg(n).where("n > 1").select(*name))
     held = written(names.join(twice, name))
-    stretches = written(held.groupBy(*name, "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("one")))
+    stretches = written(held.groupBy(*name, "stretch").agg(n, F.min(F.struct("uid", F.element_at("places", 1).alias("place"))).alias("one")))
     again = written(stretches.where("n > 1").select(*name, "stretch"))
     first = F.shiftright("place", 2 * PLACE_BITS)
     last = first + F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    settled = held.join(again, [*name, "stretch"], "left_semi").select("words", "uid", first.alias("lo"), last.alias("hi"))
+    whole = held.join(again, [*name, "stretch"], "left_semi").select("words", "uid", F.explode("places").alias("place"))
+    settled = whole.select("words", "uid", first.alias("lo"), last.alias("hi"))
     mixed = written(stretches.groupBy(*name).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*name))
     open_ = stretches.join(mixed, name).select(F.col("one.uid").alias("uid"), F.struct("words", F.col("one.place").alias("place"), "core").alias("x"))
     listed = open_.groupBy("uid").agg(F.collect_list("x").alias("places"))
