@@ -1,16 +1,27 @@
 """Language model scoring with a probabilistic suffix tree over words.
 
-Training counts are grouped over the whole corpus: first every token, then, level by
-level, the next symbols of every context whose probability reaches ``context_share``.
-A context stays in the tree if its next-symbol distribution diverges from its parent's
-(log-likelihood gain of its listed symbols above ``gain_per_symbol`` each). Its listed
-symbols get discounted frequencies, and the freed mass goes to the parent's
-distribution, down to the root, which is the add-one distribution of all tokens.
-A token is scored in the state of the longest retained suffix of what precedes it.
-
-Size of what is broadcast: at most 1 / symbol_share listed symbols a level, since their
-joint probabilities sum to at most one, and ``hot_tokens`` token counts. Counts of all
-other tokens stay in a table and reach the documents by a shuffle join.
+Training, level by level over the whole corpus: the next symbols of every context of d
+words that occurs ``min_context`` times are counted; those seen ``min_symbol`` times are
+listed with discounted frequencies, and the freed mass goes to the parent's distribution
+(the context without its first word), down to the root, which is the add-one distribution
+of all tokens. A context is retained as a state if its distribution diverges from its
+parent's: the log-likelihood gain must reach ``gain_per_symbol`` for each listed symbol.
+A token is scored in the state of the longest retained suffix of what precedes it. The
+floors are counts, so that the tree grows with the corpus; ``max_depth`` is its order.
+
+A word is a 64-bit hash and an n-gram the hash of its two (n-1)-grams, so that an n-gram
+knows its context (the first) and itself in the parent (the second). Counts, states and
+listed symbols are tables, joined by these hashes.
+
+Scoring is a sum over n-grams. A listed symbol adds log p - log p(parent), an unlisted one
+adds its state's log of freed mass; so with weight(n-gram) = what it adds as a listed
+symbol beyond the freed mass + the freed mass of the state that it is, a text's score is
+its root score plus the weights of all its n-grams. The ``hot_entries`` most frequent
+entries are broadcast; all others reach the documents by a shuffle join.
+
+Bounds: broadcast are ``hot_entries`` entries, a Bloom filter of ``filter_bits`` bits, and
+the contexts that make up a thousandth of all tokens each, a thousand at most. Full filters
+let more through and change no result.
 
 Defined cases: null and blank texts are one end token; rows with null ids train; rows
 that repeat count as often as they stand; an empty table gives an empty result, and
@@ -19,267 +30,272 @@ with no training rows every token is unknown.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
-from .common import any_columns, arrow, most_frequent, texts_as_bytes, written
+from .common import any_columns, arrow, most_frequent, texts_as_bytes, word_hashes, written
 
-#: The token that ends every text; no word can hold it.
-END = b"\n"
-#: Bits of a symbol in a packed context, and the symbol that stands for any.
-BITS = 14
-ANY = (1 << BITS) - 1
-SYMBOLS = ANY - 1
+#: The end token's hash, a value like any other.
+END = 0x5851F42D4C957F2D
+#: A context with so many of all tokens has its symbols counted in SALTS parts.
+HOT_SHARE, SALTS = 1000, 64
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Lower-cased words (A-Z only), then the end token."""
-    return [*text.lower().split(), END]
+def tokens_of(text: bytes) -> np.ndarray:
+    """Hashes of the lower-cased words (A-Z only), then the end token."""
+    return np.append(word_hashes(text.lower()), np.uint64(END))
 
 
-def key_of(token: bytes) -> int:
-    return xxhash.xxh64_intdigest(token) - (1 << 63)
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
+def _xxhash(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """XXH64 of 8 bytes."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = (seed + p5 + np.uint64(8)) ^ (_rotated(x * p2, 31) * p1)
+    h = _rotated(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
 
 
-def vocabulary(training: DataFrame) -> DataFrame:
-    """``token`` (binary), ``key`` (its hash) and ``n`` over all training texts."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of the n-gram whose first and last (n-1)-grams are a and b: ``xxhash64(a, b)``."""
+    with np.errstate(over="ignore"):
+        return _xxhash(b, _xxhash(a, np.uint64(42)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
 
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(held.values(), pa.int64())], names=["token", "n"])
+def grams(tokens: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1, ..., most: positions at which an n-gram of one text ends, and a hash for each position."""
+    positions = np.arange(len(tokens))
+    whole = tokens
+    for n in range(1, most + 1):
+        if n > 1:
+            longer = np.empty_like(whole)
+            longer[:1] = 0
+            longer[1:] = joined(whole[:-1], whole[1:])
+            whole = longer
+        yield positions[positions - starts >= n - 1], whole
 
-        for batch in batches:
-            for text in texts_as_bytes(batch.column(0)):
-                held.update(tokens_of(text))
-                if len(held) > 500_000:
-                    yield batch_of()
-                    held.clear()
-        yield batch_of()
-
-    return arrow(training.select("text"), count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Tree:
-    """Packed states by depth. Symbols are 1-based ranks of tokens; 0 is any other token."""
-
-    states: list[np.ndarray]  # sorted packed contexts
-    back_off: list[np.ndarray]  # log10 of the mass each state leaves to its parent
-    listed: list[np.ndarray]  # sorted packed (context, symbol)
-    log_p: list[np.ndarray]  # log10 of the state's probability of the symbol
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def contexts(symbols: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Packed context of ``depth`` symbols before each position; -1 where it has an unlisted symbol or the text's start."""
-    n = len(symbols)
-    packed = np.zeros(n, np.int64)
-    fine = np.arange(n) - starts >= depth
-    for k in range(depth, 0, -1):
-        shifted = np.zeros(n, np.int64)
-        shifted[k:] = symbols[:-k] if k < n else 0
-        fine &= shifted > 0
-        packed = (packed << BITS) | shifted
-    return np.where(fine, packed, -1)
-
-
-def _symbols(texts: Iterator[bytes], ids: dict[bytes, int], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of token ids and, for each token, where its text starts."""
-    held: list[int] = []
-    lengths: list[int] = []
-    for text in texts:
-        tokens = tokens_of(text)
-        held.extend([ids.get(t, 0) for t in tokens])
-        lengths.append(len(tokens))
-        if len(held) >= limit:
-            yield _block(held, lengths)
-            held, lengths = [], []
+
+def _token_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens of whole texts, about ``block`` at a time, and for each where its text starts."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for text in texts_as_bytes(batch.column(0)):
+            held.append(tokens_of(text))
+            size += len(held[-1])
+            if size >= block:
+                yield _concatenated(held)
+                held, size = [], 0
     if held:
-        yield _block(held, lengths)
+        yield _concatenated(held)
 
 
-def _block(held: list[int], lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array(lengths)
-    return np.array(held, np.int64), np.repeat(np.cumsum(sizes) - sizes, sizes)
+def _concatenated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in held])
+    return np.concatenate(held), np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def next_counts(training: DataFrame, ids: dict[bytes, int], candidates: np.ndarray, depth: int, block: int = 2_000_000) -> DataFrame:
-    """``key`` (context, next symbol) and ``n`` for every candidate context; next symbol ANY has the context's total."""
-    spark = training.sparkSession
-    sent = spark.sparkContext.broadcast((ids, candidates))
+def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
+
+
+def vocabulary(training: DataFrame, block: int = 2_000_000) -> DataFrame:
+    """``key`` (the token's hash) and ``n`` over all training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, wanted = sent.value
-        texts = (t for b in batches for t in texts_as_bytes(b.column(0)))
-        for symbols, starts in _symbols(texts, names, block):
-            context = contexts(symbols, starts, depth)
-            at = np.flatnonzero(context >= 0)
-            at = at[_find(wanted, context[at]) >= 0]
-            base = context[at] << BITS
-            following = symbols[at]
-            keys, n = np.unique(np.concatenate([base | ANY, (base | following)[following > 0]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+        for tokens, _ in _token_blocks(batches, block):
+            keys, n = np.unique(tokens.view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], names=["key", "n"])
 
     return arrow(training.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def train(training: DataFrame, hot: list[tuple[bytes, int]], n_tokens: int, n_distinct: int, max_depth: int = 3, context_share: float = 1e-4, symbol_share: float = 5e-7, min_context: int = 32, min_symbol: int = 3, discount: float = 0.6, gain_per_symbol: float = 2.0) -> Tree:
-    """The tree, from grouped counts; ``hot`` are the most frequent tokens and their counts."""
-    ids = {t: i + 1 for i, (t, _) in enumerate(hot[:SYMBOLS])}
-    root = np.zeros(ANY + 1)
-    root[1 : len(ids) + 1] = [(c + 1) / (n_tokens + n_distinct + 1) for _, c in hot[:SYMBOLS]]
-    least_context = max(min_context, context_share * n_tokens)
-    least_symbol = max(min_symbol, symbol_share * n_tokens)
-    tree = Tree([], [], [], [])
-    candidates = np.array(sorted(i + 1 for i, (_, c) in enumerate(hot[:SYMBOLS]) if c >= least_context), np.int64)
+class Filter:
+    """A Bloom filter of 64-bit keys, two bits each."""
+
+    def __init__(self, keys: DataFrame, bits: int) -> None:
+        words = bits // 64
+        spots = F.array(F.pmod("key", F.lit(bits)), F.pmod(F.xxhash64("key"), F.lit(bits)))
+        spot = keys.select(F.explode(spots).alias("spot")).select(F.floor(F.col("spot") / 64).alias("word"), F.expr("shiftleft(1L, cast(spot % 64 as int))").alias("bit"))
+        found = spot.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.bits = bits
+        self.words = np.zeros(words, np.int64)
+        self.words[found.column(0).to_numpy()] = found.column(1).to_numpy()
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """False only for keys that were not put in; ``keys`` are unsigned."""
+        signed = keys.view(np.int64)
+        out = self._bit(np.mod(signed, self.bits))
+        at = np.flatnonzero(out)
+        out[at] = self._bit(np.mod(_xxhash(keys[at], np.uint64(42)).view(np.int64), self.bits))
+        return out
+
+    def _bit(self, spot: np.ndarray) -> np.ndarray:
+        return (self.words[spot >> 6] >> (spot & 63) & 1).astype(bool)
+
+
+def next_counts(training: DataFrame, contexts: DataFrame, depth: int, n_tokens: int, filter_bits: int, block: int = 2_000_000) -> DataFrame:
+    """``ctx``, ``up``, ``n``: how often each symbol follows each of ``contexts`` (key, total), a context of ``depth`` words.
+
+    ``up`` is the n-gram without its first word. A task sends each context with all its
+    symbols in one row; the filter may let other contexts through.
+    """
+    spark = training.sparkSession
+    hot = contexts.where(F.col("total") * HOT_SHARE >= n_tokens).select("key").toArrow().column(0).to_numpy()
+    sent = spark.sparkContext.broadcast((Filter(contexts, filter_bits), np.sort(hot)))
+
+    def rows_of(ctx: np.ndarray, up: np.ndarray, salt: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((up, salt, ctx) if salt.any() else (up, ctx))
+        ctx, up, salt = ctx[order], up[order], salt[order]
+        apart = (ctx[1:] != ctx[:-1]) | (salt[1:] != salt[:-1])
+        first = np.flatnonzero(np.concatenate([[True], apart | (up[1:] != up[:-1])]))
+        n = np.diff(np.append(first, len(ctx)))
+        ctx, up, salt = ctx[first], up[first], salt[first]
+        group = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (salt[1:] != salt[:-1])]))
+        offsets = pa.array(np.append(group, len(ctx)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (up, n.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(ctx[group]), pa.array(salt[group], pa.int32()), *lists], names=["ctx", "salt", "ups", "ns"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = sent.value
+        for tokens, starts in _token_blocks(batches, block):
+            for n, (ends, whole) in enumerate(grams(tokens, starts, depth), 1):
+                if n == depth:
+                    # An n-gram of ``depth`` words that ends before the text does is a context of the next token.
+                    at = ends[tokens[ends] != np.uint64(END)]
+                    at = at[known.holds(whole[at])] + 1
+                    ctx, up = whole[at - 1].view(np.int64), whole[at].view(np.int64)
+                    salt = np.where(np.isin(ctx, often), up & (SALTS - 1), 0) if len(often) else np.zeros(len(ctx), np.int64)
+                    if len(ctx):
+                        yield rows_of(ctx, up, salt)
+
+    rows = arrow(training.select("text"), count, "ctx long, salt int, ups array<long>, ns array<int>")
+    each = rows.repartition("ctx", "salt").select("ctx", "salt", F.explode(F.arrays_zip("ups", "ns")).alias("x"))
+    return each.groupBy("ctx", "salt", F.col("x.ups").alias("up")).agg(F.sum("x.ns").alias("n")).drop("salt")
+
+
+def level(counts: DataFrame, contexts: DataFrame, parents: DataFrame, min_symbol: int, discount: float, gain_per_symbol: float) -> DataFrame:
+    """The listed symbols of a level: ``key`` (the n-gram), ``ctx``, ``n``, ``log_q``, ``ends``, ``total``, ``stays``, ``log_left``, ``parent``.
+
+    ``parents`` (key, log_q, ends) has the log probability of the symbol in the parent, for
+    each n-gram of the level below; ``log_q`` is that of this level, the parent's where the
+    context is not retained. Rows of a context are its distinct listed symbols.
+    """
+    listed = counts.where(F.col("n") >= min_symbol).join(parents.select(F.col("key").alias("up"), F.col("log_q").alias("parent"), "ends"), "up")
+    rows = listed.join(contexts.select(F.col("key").alias("ctx"), "total"), "ctx")
+    p = (F.col("n") - F.lit(discount)) / F.col("total")
+    by = W.Window.partitionBy("ctx")
+    rows = rows.withColumns({"left": 1 - F.sum(p).over(by), "listed_n": F.sum("n").over(by), "listed": F.count(F.lit(1)).over(by)})
+    log_p = F.log(p + F.col("left") * F.exp("parent"))
+    gain = F.sum(F.col("n") * (log_p - F.col("parent"))).over(by) + (F.col("total") - F.col("listed_n")) * F.log("left")
+    rows = rows.withColumn("stays", gain >= F.lit(gain_per_symbol) * F.col("listed"))
+    return rows.select(F.xxhash64("ctx", "up").alias("key"), "ctx", "n", F.when(F.col("stays"), log_p).otherwise(F.col("parent")).alias("log_q"), "ends", "total", "stays", F.log("left").alias("log_left"), "parent")
+
+
+def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int, max_depth: int = 5, min_context: int = 32, min_symbol: int = 3, discount: float = 0.6, gain_per_symbol: float = 2.0, filter_bits: int = 1 << 26) -> DataFrame:
+    """``key``, ``n``, ``weight`` (natural log) of the tree's n-grams; a key may have several rows, all with its count."""
+    weights = None
+    parents = vocab.select("key", F.log((F.col("n") + 1) / F.lit(float(n_tokens + n_distinct + 1))).alias("log_q"), (F.col("key") == F.lit(END)).alias("ends"))
+    contexts = vocab.where((F.col("n") >= min_context) & (F.col("key") != F.lit(END))).select("key", F.col("n").alias("total"))
     for depth in range(1, max_depth + 1):
-        if not len(candidates):
+        if contexts.isEmpty():
             break
-        total = F.col("key").bitwiseAND(F.lit(ANY)) == ANY
-        rows = next_counts(training, ids, candidates, depth).where(total | (F.col("n") >= least_symbol)).toArrow()
-        keys, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        is_total = keys & ANY == ANY
-        context, context_n = keys[is_total] >> BITS, n[is_total]
-        keys, n = keys[~is_total], n[~is_total]
-        own = np.searchsorted(context, keys >> BITS)
-        parent = _parent_probability(tree, root, keys, depth)
-        p = np.maximum(n - discount, 0) / context_n[own]
-        left = np.maximum(1 - np.bincount(own, p, len(context)), 1e-12)
-        smooth = p + left[own] * parent
-        gain = np.bincount(own, n * np.log(smooth / parent), len(context))
-        listed = np.bincount(own, minlength=len(context))
-        # What is not listed scores with the mass left times the parent's probability.
-        rest = context_n - np.bincount(own, n, len(context))
-        gain += rest * np.log(left)
-        stays = (listed > 0) & (gain >= gain_per_symbol * listed)
-        tree.states.append(context[stays])
-        tree.back_off.append(np.log10(left[stays]))
-        tree.listed.append(keys[stays[own]])
-        tree.log_p.append(np.log10(smooth[stays[own]]))
-        # Longer contexts: one more symbol in front of each candidate that is frequent enough.
-        candidates = np.sort(keys[n >= least_context])
-        end = ids.get(END, 0)
-        candidates = candidates[candidates & ANY != end]
-    return tree
-
-
-def _parent_probability(tree: Tree, root: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
-    """Probability of each key's next symbol in the longest retained proper suffix of its context."""
-    return 10 ** (log_probability(tree, root_log(root), keys & ANY, [_suffix(keys >> BITS, d) for d in range(1, depth)]))
-
-
-def root_log(root: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(root, 1e-300))
-
-
-def _suffix(context: np.ndarray, depth: int) -> np.ndarray:
-    return context & ((1 << (BITS * depth)) - 1)
-
-
-def log_probability(tree: Tree, root: np.ndarray, symbols: np.ndarray, by_depth: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each symbol; ``by_depth[d - 1]`` has its packed context of d symbols, -1 for none.
-
-    Symbol 0 is a token outside the tree: its result lacks the root's part.
-    """
-    out = np.zeros(len(symbols))
-    open_ = np.arange(len(symbols))
-    for d in range(min(len(by_depth), len(tree.states)), 0, -1):
-        context = by_depth[d - 1][open_]
-        state = _find(tree.states[d - 1], context)
-        inside = np.flatnonzero(state >= 0)
-        if not len(inside):
-            continue
-        at = open_[inside]
-        listed = _find(tree.listed[d - 1], (context[inside] << BITS) | symbols[at])
-        listed = np.where(symbols[at] > 0, listed, -1)
-        done = listed >= 0
-        out[at[done]] += tree.log_p[d - 1][listed[done]]
-        out[at[~done]] += tree.back_off[d - 1][state[inside[~done]]]
-        keep = np.ones(len(open_), bool)
-        keep[inside[done]] = False
-        open_ = open_[keep]
-    out[open_] += np.where(symbols[open_] > 0, root[symbols[open_]], 0)
-    return out
+        counts = next_counts(training, contexts, depth, n_tokens, filter_bits)
+        here = written(level(counts, contexts, parents, min_symbol, discount, gain_per_symbol))
+        kept = here.where("stays")
+        symbols = kept.select("key", "n", (F.col("log_q") - F.col("parent") - F.col("log_left")).alias("weight"))
+        states = kept.groupBy(F.col("ctx").alias("key")).agg(F.first("total").alias("n"), F.first("log_left").alias("weight"))
+        weights = symbols.unionByName(states) if weights is None else weights.unionByName(symbols).unionByName(states)
+        parents = here.select("key", "log_q", "ends")
+        contexts = here.where((F.col("n") >= min_context) & ~F.col("ends")).select("key", F.col("n").alias("total"))
+    if weights is None:
+        return vocab.select("key", "n", F.lit(0.0).alias("weight")).where(F.lit(False))
+    return weights
 
 
 @any_columns
-def score(docs: DataFrame, hot_tokens: int = 300_000, hot_bytes: int = 64, **parameters) -> DataFrame:
+def score(docs: DataFrame, hot_entries: int = 400_000, max_depth: int = 5, filter_bits: int = 1 << 26, **parameters) -> DataFrame:
     """``docs`` without its text, plus held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     training = docs.where(~held_out(F.col("doc_id")))
     vocab = written(vocabulary(training))
     head = vocab.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_tokens, n_distinct = head["n"] or 0, head["v"]
-    top = most_frequent(vocab.where(F.length("token") <= hot_bytes), "n", hot_tokens).select("token", "n").toArrow()
-    hot = sorted(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
-    tree = train(training, hot, n_tokens, n_distinct, **parameters)
+    tree = train(training, vocab, n_tokens, n_distinct, max_depth, filter_bits=filter_bits, **parameters)
+    tree = tree.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("weight") / F.lit(float(np.log(10)))).alias("weight"))
+    entries = written(tree.unionByName(vocab.select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("weight"))))
     log_total = float(np.log10(n_tokens + n_distinct + 1))
-    counts = np.array([0, *(c for _, c in hot)], np.float64)
-    sent = spark.sparkContext.broadcast(({t: i + 1 for i, (t, _) in enumerate(hot)}, np.log10(counts + 1) - log_total, tree))
+    top = most_frequent(entries, "n", hot_entries).groupBy("key").agg(F.sum("known"), F.sum("base"), F.sum("weight")).toArrow()
+    columns = [c.to_numpy() for c in top.columns]
+    order = np.argsort(columns[0].view(np.uint64))
+    hot = [columns[0].view(np.uint64)[order], *(c[order] for c in columns[1:])]
+    sent = spark.sparkContext.broadcast((hot, Filter(entries.where("known = 0").select("key"), filter_bits)))
     names = [c for c in docs.columns if c != "text"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, logs, model = sent.value
+        (keys, known, base, weight), maybe = sent.value
         for batch in batches:
-            rows: list[tuple] = []
-            for text in texts_as_bytes(batch.column(batch.num_columns - 1)):
-                tokens = tokens_of(text)
-                at = np.array([ids.get(t, 0) for t in tokens], np.int64)
-                symbols = np.where(at <= SYMBOLS, at, 0)
-                known = at > 0
-                base = float(logs[at[known]].sum())
-                by_depth = [contexts(symbols, np.zeros(len(at), np.int64), d) for d in range(1, len(model.states) + 1)]
-                by_token = log_probability(model, logs, symbols, by_depth)
-                # Frequent tokens beyond the tree's symbols: their root part is known here.
-                outside = known & (symbols == 0)
-                total = float(by_token.sum() + logs[at[outside]].sum())
-                rows.append((len(tokens), int(known.sum()), base, total, [key_of(tokens[i]) for i in np.flatnonzero(~known)]))
-            n, k, b, s, r = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            extra = [pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64()), pa.array(r, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], "n_tokens", "hot_known", "hot_base", "hot_score", "rare"])
-
-    schema = T.StructType([*(docs.schema[c] for c in names), *T.StructType.fromDDL("n_tokens bigint, hot_known bigint, hot_base double, hot_score double, rare array<bigint>").fields])
+            held = [tokens_of(t) for t in texts_as_bytes(batch.column(batch.num_columns - 1))]
+            for a, b in _runs_of(held, 1_000_000):
+                part = held[a:b]
+                tokens, starts = _concatenated(part)
+                row = np.repeat(np.arange(b - a), [len(x) for x in part])
+                sums = np.zeros((3, b - a))
+                rare_row, rare_key = [], []
+                for n, (ends, whole) in enumerate(grams(tokens, starts, max_depth + 1), 1):
+                    if n > 1:
+                        ends = ends[maybe.holds(whole[ends])]
+                    found = np.minimum(np.searchsorted(keys, whole[ends]), max(len(keys) - 1, 0))
+                    hit = keys[found] == whole[ends] if len(keys) else np.zeros(len(ends), bool)
+                    for k, values in enumerate((known, base, weight)):
+                        sums[k] += np.bincount(row[ends[hit]], values[found[hit]], b - a)
+                    rare_row.append(row[ends[~hit]])
+                    rare_key.append(whole[ends[~hit]])
+                rows, rare = np.concatenate(rare_row), np.concatenate(rare_key)
+                order = np.lexsort((rare, rows))
+                rows, rare = rows[order], rare[order]
+                first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (rare[1:] != rare[:-1])])) if len(rows) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(rows)))
+                offsets = pa.array(np.searchsorted(rows[first], np.arange(b - a + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (rare[first].view(np.int64), times.astype(np.int32))]
+                extra = [pa.array([len(x) for x in part], pa.int64()), pa.array(sums[0], pa.float64()), pa.array(sums[1]), pa.array(sums[2]), *lists]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *extra], names=[*batch.schema.names[:-1], "n_tokens", "hot_known", "hot_base", "hot_weight", "rare", "times"])
+
+    made = T.StructType.fromDDL("n_tokens bigint, hot_known double, hot_base double, hot_weight double, rare array<bigint>, times array<int>")
+    schema = T.StructType([*(docs.schema[c] for c in names), *made.fields])
     base = written(arrow(docs.select(*names, "text"), measure, schema).withColumn("row_id", F.monotonically_increasing_id()))
-    keyed = arrow(vocab, _with_key, "key long, n long")
-    rare = base.select("row_id", F.explode("rare").alias("key")).groupBy("row_id", "key").agg(F.count(F.lit(1)).alias("times"))
-    found = rare.join(keyed, "key").groupBy("row_id").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_log"))
-    out = base.join(found, "row_id", "left")
-    rest = F.coalesce("rare_log", F.lit(0.0)) - F.size("rare") * F.lit(log_total)
+    rare = base.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row_id", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    met = rare.join(entries, "key").groupBy("row_id").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"rare_{c}") for c in ("known", "base", "weight")])
+    out = base.join(met, "row_id", "left").na.fill(0, ["rare_known", "rare_base", "rare_weight"])
+    root = F.col("hot_base") + F.col("rare_base") - F.col("n_tokens") * F.lit(log_total)
     return out.select(
         *names,
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
-        (F.col("hot_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("hot_known") + F.col("rare_known")).cast("long").alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + rest).alias("base_score"),
-        (F.col("hot_score") + rest).alias("score"),
+        root.alias("base_score"),
+        (root + F.col("hot_weight") + F.col("rare_weight")).alias("score"),
     )
 
 
-def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [key_of(t) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(1)], names=["key", "n"])
+def _runs_of(held: list[np.ndarray], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``most`` tokens together."""
+    a = size = 0
+    for b, x in enumerate(held):
+        size += len(x)
+        if size >= most:
+            yield a, b + 1
+            a, size = b + 1, 0
+    if a < len(held):
+        yield a, len(held)

@@ -101,6 +101,47 @@ def unigram_scores(docs):
     return out
 
 
+def tree_scores(docs, max_depth, min_context, min_symbol, discount, gain_per_symbol):
+    """log10 probability of each text in the longest retained context, straight from the definitions."""
+    train = [[*words(lower(t)), "\n"] for i, t in docs if not held_out(i)]
+    counts = Counter(x for t in train for x in t)
+    n, v = sum(counts.values()), len(counts)
+    follow = defaultdict(Counter)
+    for t in train:
+        for i in range(len(t)):
+            for d in range(1, max_depth + 1):
+                if i >= d:
+                    follow[tuple(t[i - d : i])][t[i]] += 1
+    states = {}
+
+    def p(context, s):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return (counts[s] + 1) / (n + v + 1)
+        listed, left = states[context]
+        return listed.get(s, 0.0) + left * p(context[1:], s)
+
+    for context in sorted(follow, key=len):
+        total = sum(follow[context].values())
+        shown = {s: c for s, c in follow[context].items() if c >= min_symbol}
+        if total < min_context or not shown:
+            continue
+        listed = {s: (c - discount) / total for s, c in shown.items()}
+        left = 1 - sum(listed.values())
+        gain = (total - sum(shown.values())) * math.log(left)
+        for s, c in shown.items():
+            parent = p(context[1:], s)
+            gain += c * math.log((listed[s] + left * parent) / parent)
+        if gain >= gain_per_symbol * len(shown):
+            states[context] = listed, left
+    out = []
+    for _, t in docs:
+        tokens = [*words(lower(t)), "\n"]
+        out.append(sum(math.log10(p(tuple(tokens[max(0, k - max_depth) : k]), x)) for k, x in enumerate(tokens)))
+    return out
+
+
 def shingles(text, width=5):
     w = words(lower(text))
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()

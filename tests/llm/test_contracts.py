@@ -177,34 +177,33 @@ def test_blocks_of_windows_leave_rows_of_equal_ids_apart(spark, keep_text):
         assert collected(out, "doc_id", *["text"] * keep_text, *columns) == want
 
 
-def test_scores(docs, rows):
-    out = suffix_tree.score(docs, hot_tokens=50, min_context=3, min_symbol=2)
-    got = {r["doc_id"]: r for r in out.collect()}
-    for i, held, n, known, train, base in brute.unigram_scores(rows):
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, train)
-        assert r["base_score"] == pytest.approx(base)
-
-
-def test_states_give_probability_distributions(spark):
-    rng = random.Random(4)
-    text = " ".join(rng.choice(["a b c", "a b d", "x b e"]) for _ in range(600))
-    train = spark.createDataFrame([(1, text), (3, text[:400])], "doc_id long, text string")
-    counts = Counter(t for _, x in [(1, text), (3, text[:400])] for t in suffix_tree.tokens_of(x.encode()))
-    hot = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
-    n, v = sum(counts.values()), len(counts)
-    tree = suffix_tree.train(train, hot, n, v, min_context=3, min_symbol=2)
-    assert any(len(s) for s in tree.states)
+@pytest.mark.parametrize("hot", [400_000, 3])
+def test_scores(docs, rows, hot):
+    floors = {"min_context": 3, "min_symbol": 2, "gain_per_symbol": 0.5}
+    out = suffix_tree.score(docs, hot_entries=hot, **floors)
+    got = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in out.collect()), key=repr)
+    base = brute.unigram_scores(rows)
+    assert got == sorted((x[:5] for x in base), key=repr)
+    want = sorted((repr(i), b, s) for (i, *_, b), s in zip(base, brute.tree_scores(rows, 5, 3, 2, 0.6, 0.5), strict=True))
+    assert any(s - b > 1 for _, b, s in want)
+    for r, (_, b, s) in zip(sorted((repr(r["doc_id"]), r["base_score"], r["score"]) for r in out.collect()), want, strict=True):
+        assert r[1] == pytest.approx(b) and r[2] == pytest.approx(s, abs=1e-6)
+
+
+def test_gram_hashes_are_spark_hashes(spark):
     import numpy as np
 
-    logs = np.log10(np.array([1, *(c + 1 for _, c in hot)])) - np.log10(n + v + 1)
-    unknown = 1 / (n + v + 1)
-    for depth in range(1, len(tree.states) + 1):
-        for state in tree.states[depth - 1]:
-            by_depth = [np.full(v + 1, state & ((1 << (suffix_tree.BITS * d)) - 1)) for d in range(1, depth + 1)]
-            p = 10 ** suffix_tree.log_probability(tree, logs, np.arange(v + 1), by_depth)
-            p[0] *= unknown
-            assert p.sum() == pytest.approx(1, abs=1e-6)
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-(1 << 63), 1 << 63, (2, 50))
+    got = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long").select(F.xxhash64("a", "b")).collect()
+    assert [r[0] for r in got] == suffix_tree.joined(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist()
+
+
+def test_a_small_filter_changes_no_score(spark, docs):
+    floors = {"min_context": 3, "min_symbol": 2}
+    one = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, filter_bits=64, **floors).collect()}
+    for r in suffix_tree.score(docs, **floors).collect():
+        assert r["score"] == pytest.approx(one[r["doc_id"]])
 
 
 def test_held_out_text_scores_better_with_contexts(spark, sf_dir):
