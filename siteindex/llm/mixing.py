@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import any_columns, words_of
+from .common import any_columns, words_of, written
 
 ROWS_IN_BUCKET = 4096
 
@@ -66,75 +66,117 @@ def source_targets(sizes: DataFrame, budget: Column | None = None, weights: tupl
     return w.select("source", "source_size", "weight", "target", "stop")
 
 
+def tie_of(docs: DataFrame) -> Column:
+    """A row's own key: a hash of id, source and text. Only rows that repeat share it, so ranks agree in every run."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("doc_id", "source", "text") if c in docs.columns]
+    return F.xxhash64(*parts)
+
+
+def _met(docs: DataFrame, made: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs``, whole, with ``columns`` of ``made``: to the rows of one tie go, in any order, the rows of that tie.
+
+    Texts are shuffled once; rows that repeat share a list as long as they repeat.
+    """
+    lists = written(made.groupBy("tie").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("places_")))
+    joined = docs.withColumn("tie", tie_of(docs)).join(lists, "tie")
+    turn = F.row_number().over(W.Window.partitionBy("tie").orderBy("tie"))
+    return joined.withColumn("place_", F.element_at("places_", turn)).select(*docs.columns, *[F.col("place_")[c].alias(c) for c in columns])
+
+
 @any_columns
 def fair_queue_mix(docs: DataFrame, source: str = "source", weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 9) -> DataFrame:
-    """``docs`` plus size, source_size, target and taken (words the mix takes, repeats counted).
+    """``docs`` without its text, plus size, source_size, target and taken (words the mix takes, repeats counted).
 
     Each source's documents stand in a seeded order; a document's virtual finish time
     is its source's cumulative words over the source's weight, later epochs following
     on the same order. All copies are ranged by finish time and the mix ends where the
     budget of all words is spent. Only the time slice in which the budget runs out
-    needs a running sum; slices before it are taken whole.
+    needs a running sum; slices before it are taken whole. Words are counted once: what
+    is ranked is a written table of sizes.
 
     Defined cases: null text has size 0 and is taken as 0; null source is a source of
-    its own, last in order; rows with equal ids count separately; an empty table gives
-    an empty result.
+    its own, last in order; rows that repeat or have equal ids count separately; rows of
+    null id are told apart by their texts; an empty table gives an empty result.
     """
-    sized = docs.withColumn("size", F.size(words_of(F.col("text"))).cast("long")).withColumn("source_key", _source_key(source))
+    return _queued(docs, source, weights, epochs, seed).drop("tie")
+
+
+def repeated_rows(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs``, whole, each as often as the mix takes it."""
+    named = docs.select(*[c for c in docs.columns if c in ("doc_id", "source", "text")])
+    mixed = _queued(named, "source", **parameters).withColumn("copies", F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(0))
+    met = _met(docs, mixed.select("tie", "copies"), ["copies"]).where("copies > 0")
+    return met.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
+def _queued(docs: DataFrame, source: str, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 9) -> DataFrame:
+    tie = tie_of(docs)
+    sized = docs.withColumns({"size": F.size(words_of(F.col("text"))).cast("long"), "source_key": _source_key(source), "tie": tie, "u": _uniform(seed, tie)})
+    sized = written(sized.drop("text"))
     sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs_in_source"))
+    sizes = written(sizes)
     head = sizes.agg(F.sum("docs_in_source").alias("n"), F.sum("source_size").alias("words")).first()
     rows, budget = head["n"] or 0, head["words"] or 0
     targets = source_targets(sizes.drop("docs_in_source"), weights=weights, epochs=epochs).withColumn("source_key", _source_key("source")).drop("source")
     buckets = max(1, -(-rows // ROWS_IN_BUCKET))
-    queued = _running(sized.withColumn("u", _uniform(seed, F.col("doc_id"))).withColumn("tie", F.col("doc_id")), "source_key", "size", buckets).drop("part_total", "u", "tie")
-    queued = queued.join(targets, "source_key")
+    queued = _running(sized, "source_key", "size", buckets).drop("part_total", "u")
     slices = max(64, buckets)
     finish = lambda e: (F.col("source_size") * F.lit(e) + F.col("before") + F.col("size")) / F.col("weight")
     slot = lambda v: F.when(F.col("stop") > 0, F.floor(v / F.col("stop") * slices)).otherwise(F.lit(0)).cast("long")
     copies = F.array(*[F.struct(F.lit(e).alias("epoch"), finish(e).alias("finish"), slot(finish(e)).alias("slice")) for e in range(epochs)])
-    queued = queued.withColumn("copies", copies)
-    times = queued.where("size > 0").select("doc_id", "source_key", "size", F.explode("copies").alias("c")).select("doc_id", "source_key", "size", "c.*")
+    queued = written(queued.join(written(targets), "source_key").withColumn("copies", copies))
+    times = queued.where("size > 0").select("tie", "source_key", "size", F.explode("copies").alias("c")).select("tie", "source_key", "size", "c.*")
     sums = times.groupBy("slice").agg(F.sum("size").alias("slice_size"))
     running = sums.withColumn("end", F.sum("slice_size").over(W.Window.partitionBy(F.lit(0)).orderBy("slice")))
     cut = running.where(F.col("end") > budget).orderBy("slice").first()
     whole, spent = (cut["slice"], cut["end"] - cut["slice_size"]) if cut else (1 << 62, budget)
     last = times.where(F.col("slice") == whole)
-    order = W.Window.partitionBy("slice").orderBy("finish", "source_key", "doc_id", "epoch").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    order = W.Window.partitionBy("slice").orderBy("finish", "source_key", "tie", "epoch").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
     edge = last.withColumn("at", F.sum("size").over(order) + F.lit(spent)).where(F.col("at") <= budget)
-    edge = edge.groupBy("doc_id", "source_key", "epoch", "finish").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "source_key").agg(F.max("finish").alias("upto"))
+    edge = edge.groupBy("tie", "source_key").agg(F.max("finish").alias("upto"))
     early = F.size(F.filter("copies", lambda c: c["slice"] < whole))
     late = F.size(F.filter("copies", lambda c: (c["slice"] == whole) & (c["finish"] <= F.col("upto"))))
-    joined = queued.join(edge.withColumnRenamed("doc_id", "edge_id").withColumnRenamed("source_key", "edge_source"), (F.col("doc_id") == F.col("edge_id")) & (F.col("source_key") == F.col("edge_source")), "left")
+    joined = queued.join(edge, ["tie", "source_key"], "left")
     taken = F.col("size") * (early + F.when(F.col("upto").isNotNull(), late).otherwise(F.lit(0)))
-    return joined.withColumn("taken", taken.cast("long")).drop("copies", "upto", "edge_id", "edge_source", "before", "weight", "stop", "source_key")
+    return joined.withColumn("taken", taken.cast("long")).drop("copies", "upto", "before", "weight", "stop", "source_key")
 
 
 @any_columns
 def stratified_shards(docs: DataFrame, shards: int = 40, source: str = "source", seed: int = 7) -> DataFrame:
-    """``docs`` plus shard and slot by proportional stratified interleaving.
+    """``docs`` without its text, plus shard and slot by proportional stratified interleaving.
 
     Rows of a source stand in a seeded order and get the fractional rank
     (rank - 1/2) / rows of the source; in the order of that fraction the table is cut
     into ``shards`` runs whose row counts differ by one at most, so that each run has
-    the table's mixture.
+    the table's mixture. What is ranked is a written table without texts.
 
     Defined cases: null source is a source of its own; null text changes nothing; rows
-    with equal ids are separate rows; an empty table gives an empty result.
+    that repeat or have equal or null ids are separate rows; an empty table gives an
+    empty result.
     """
-    rows = docs.count()
+    return _placed(docs, shards, source, seed).drop("tie")
+
+
+def sharded_rows(docs: DataFrame, shards: int = 40, **parameters) -> DataFrame:
+    """``docs``, whole, plus shard and slot."""
+    named = docs.select(*[c for c in docs.columns if c in ("doc_id", "source", "text")])
+    return _met(docs, _placed(named, shards, **parameters), ["shard", "slot"])
+
+
+def _placed(docs: DataFrame, shards: int, source: str = "source", seed: int = 7) -> DataFrame:
+    keyed = docs.withColumns({"source_key": _source_key(source), "one": F.lit(1).cast("long"), "tie": tie_of(docs)})
+    keyed = written(keyed.withColumn("u", _uniform(seed, F.col("tie"))).drop("text"))
+    rows = keyed.count()
     buckets = max(1, -(-rows // ROWS_IN_BUCKET))
-    keyed = docs.withColumn("source_key", _source_key(source)).withColumn("one", F.lit(1).cast("long"))
-    keyed = keyed.withColumn("u", _uniform(seed, F.col("doc_id"))).withColumn("tie", F.col("doc_id"))
     ranked = _running(keyed, "source_key", "one", buckets)
-    ranked = ranked.withColumn("u", (F.col("before") + F.lit(0.5)) / F.col("part_total"))
-    ranked = ranked.withColumn("tie", F.xxhash64(F.lit(seed), F.col("source_key"), F.col("doc_id"))).drop("before", "part_total")
+    ranked = ranked.withColumn("u", (F.col("before") + F.lit(0.5)) / F.col("part_total")).withColumn("order", F.xxhash64(F.lit(seed), F.col("tie"))).drop("before", "part_total")
     # Every bucket of the fraction holds its share of every source; a bucket is one window.
-    ranked = ranked.withColumn("bucket", F.floor(F.col("u") * buckets).cast("long"))
+    ranked = written(ranked.withColumn("bucket", F.floor(F.col("u") * buckets).cast("long")))
     sums = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
     offsets = sums.select("bucket", (F.sum("in_bucket").over(W.Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("in_bucket")).alias("offset"))
-    inside = W.Window.partitionBy("bucket").orderBy("u", "tie", "source_key", "doc_id")
+    inside = W.Window.partitionBy("bucket").orderBy("u", "order", "tie")
     placed = ranked.withColumn("local", F.row_number().over(inside) - 1).join(offsets, "bucket").withColumn("at", F.col("local") + F.col("offset"))
     n = max(1, rows)
     placed = placed.withColumn("shard", F.expr(f"(at * {shards}) div {n}").cast("int"))
     first = F.expr(f"(cast(shard as bigint) * {n} + {shards - 1}) div {shards}")
-    return placed.withColumn("slot", F.col("at") - first).drop("one", "u", "tie", "bucket", "local", "offset", "at", "source_key")
+    return placed.withColumn("slot", F.col("at") - first).drop("one", "u", "order", "bucket", "local", "offset", "at", "source_key")

@@ -55,9 +55,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.stratified_shards(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), SHARDS)
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return out.select("doc_id", (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    out = mixing.stratified_shards(docs, SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

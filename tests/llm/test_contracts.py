@@ -245,6 +245,29 @@ def test_shards(docs, rows):
             assert abs(sum(r["shard"] == shard and r["source"] == s for r in out) - n / 7) <= 2
 
 
+def test_whole_rows_are_mixed_and_sharded_like_their_ranks(spark, docs, rows):
+    taken = Counter()
+    for r in mixing.fair_queue_mix(docs).collect():
+        taken[r["doc_id"]] += r["taken"] // r["size"] if r["size"] else 0
+    out = mixing.repeated_rows(docs)
+    assert out.columns == docs.columns
+    assert Counter(r["doc_id"] for r in out.collect()) == +taken
+    whole = mixing.sharded_rows(docs, 7)
+    assert whole.columns == [*docs.columns, "shard", "slot"]
+    assert collected(whole, "doc_id", "shard", "slot") == collected(mixing.stratified_shards(docs, 7), "doc_id", "shard", "slot")
+    assert Counter((r["doc_id"], r["text"]) for r in whole.collect()) == Counter(rows)
+
+
+def test_rows_of_null_or_equal_ids_and_texts_are_ranked_apart(spark):
+    rows = [(None, "a b c", "en", "s", 1)] * 5 + [(7, "a b", "en", None, 1), (7, "c d e f", "en", None, 1), (None, None, None, None, None), (8, " \n", "en", "t", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    shards = mixing.stratified_shards(df, 4).collect()
+    assert len({(r["shard"], r["slot"]) for r in shards}) == 9
+    runs = [collected(mixing.fair_queue_mix(df.repartition(k)), "doc_id", "size", "source_size", "target", "taken") for k in (1, 4)]
+    assert runs[0] == runs[1] and len(runs[0]) == 9
+    assert all(r[4] == 0 for r in runs[0] if r[1] == 0)
+
+
 def test_mix_reaches_its_targets(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randint(0, 40), "en", rng.choice(["a", "b", "c", "d", None]), 1) for i in range(3000)]
