@@ -58,15 +58,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @own_columns
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (its words taken over its words)."""
-    mixed = mixing.fair_queue_mix(docs).where("taken > 0")
-    times = F.expr("sequence(1, cast(taken div size as int))")
-    return mixed.withColumn("copy_", F.explode(times)).select(docs.columns)
+    return mixing.repeated_rows(docs)
 
 
 @own_columns
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` plus shard and slot."""
-    return mixing.stratified_shards(docs, SHARDS)
+    return mixing.sharded_rows(docs, SHARDS)
 
 
 STAGES: list[tuple[str, Stage]] = [
