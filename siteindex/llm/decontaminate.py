@@ -1,36 +1,46 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with documents.
 
 An item's windows are its runs of 13 words (an item of fewer words is one window). A
-window occurs in a document only if all its words do, in place; a required overlap of
-all words leaves a prefix of one word, the window's rarest by document frequency.
-Documents look up each of their words among those prefixes, place the window by the
-prefix word's offset, check that it fits (length and position bounds), and compare the
-words exactly. Windows go to the executors in blocks of fixed size, so what is
-broadcast is bounded whatever the benchmark holds; every block meets all documents.
+window occurs in a document only if all its shingles (three words, or the whole of a
+shorter window) do, in place; a required overlap of all shingles leaves a prefix of one,
+the rarest by document frequency over all documents. Documents send the occurrences of
+prefix shingles with the words around them; the join on the shingle's hash applies the
+position and length bounds and compares the words exactly. All of it are grouped tables
+and joins: nothing passes through the driver but filters of fixed size, which are
+broadcast and which let other shingles through the more, the fuller they are.
+
+Documents of equal text have equal hits; hits come back to rows by a hash of the text.
 
 Defined cases: null or wordless texts have no words and no hits; items that repeat or
 share windows are each listed; a wordless item is never found; null item ids are
-skipped; documents' rows that repeat stay rows.
+skipped; documents' rows that repeat, or of equal or null ids, stay rows; empty tables
+give no rows or no hits.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import any_columns, arrow, texts_as_bytes, written
+from .common import any_columns, arrow, texts_as_bytes, word_hashes, written
+from .grams import Filter, grams
 
 #: Lower-cases A-Z; every other ASCII byte but 0-9 and a-z becomes a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+SHINGLE = 3
 
 
-def split_words(text: bytes) -> list[bytes]:
-    return text.translate(WORDS).split()
+def _shingles(text: bytes, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of a text of words between spaces, for each shingle size: first words' positions and the shingles' hashes."""
+    hashes = word_hashes(text)
+    for n, (ends, whole) in enumerate(grams(hashes, np.zeros(len(hashes), np.int64), SHINGLE), 1):
+        if n >= least:
+            yield ends - (n - 1), whole[ends]
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
@@ -40,122 +50,112 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ids, out = [], []
             for item, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
-                words = split_words(text)
+                words = text.translate(WORDS).split()
                 for i in range(max(1, len(words) - width + 1) if words else 0):
                     ids.append(item)
-                    out.append(b" ".join(words[i : i + width]).decode("utf-8", "surrogateescape"))
+                    out.append(b" ".join(words[i : i + width]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], names=["item_id", "words"])
 
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     return arrow(rows, cut, "item_id string, words string").distinct()
 
 
-def document_frequency(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
-    """In how many documents each of ``words`` (one block's, so bounded) occurs."""
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """``words``, ``at``, ``key``: the shingles of each window (of its own size where it has fewer words)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = batch.column(0).to_pylist()
+            each = [next(_shingles(x.encode(), min(SHINGLE, x.count(" ") + 1))) for x in windows]
+            names = [x for x, (at, _) in zip(windows, each, strict=True) for _ in at]
+            at, keys = (np.concatenate([x[k] for x in each]) if each else np.zeros(0, np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(at, pa.int32()), pa.array(keys.view(np.int64))], names=["words", "at", "key"])
+
+    return arrow(windows.select("words"), cut, "words string, at int, key long")
+
+
+def document_frequency(docs: DataFrame, shingles: DataFrame, filter_bits: int) -> DataFrame:
+    """``key``, ``n``: in how many documents each shingle occurs; the filter may let others through."""
+    sent = docs.sparkSession.sparkContext.broadcast(Filter(shingles.select("key").distinct(), filter_bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        known = sent.value
         for batch in batches:
+            found = []
             for text in texts_as_bytes(batch.column(0)):
-                held.update(wanted.value.intersection(split_words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-
-    rows = arrow(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in rows.toLocalIterator()}
-
-
-def _block_hits(docs: DataFrame, block: list[tuple[str, str]], keep_text: bool = False) -> DataFrame:
-    """``docs`` (with or without its text) plus n_words, spans (start, end in words; merged) and items for one block of windows."""
-    windows: dict[tuple[bytes, ...], list[str]] = {}
-    for item, words in block:
-        windows.setdefault(tuple(words.encode("utf-8", "surrogateescape").split(b" ")), []).append(item)
-    found = document_frequency(docs, {w for window in windows for w in window})
-    prefixes: dict[bytes, list[tuple[int, list[bytes], list[str]]]] = {}
-    for window, items in windows.items():
-        if all(w in found for w in window):
-            at = min(range(len(window)), key=lambda i: (found[window[i]], window[i], i))
-            prefixes.setdefault(window[at], []).append((at, list(window), items))
-    sent = docs.sparkSession.sparkContext.broadcast(prefixes)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        rare = frozenset(table)
+                for _, keys in _shingles(text.translate(WORDS)):
+                    found.append(np.unique(keys[known.holds(keys)]))
+            keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+
+    return arrow(docs.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def prefixes(shingles: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``words``, ``length``, ``key``, ``at``: the rarest shingle of each window all of whose shingles occur somewhere."""
+    ranked = shingles.join(frequency, "key", "left").groupBy("words").agg(F.min(F.when(F.col("n") > 0, F.struct("n", "key", "at"))).alias("least"), F.count("n").alias("found"), F.count(F.lit(1)).alias("shingles"))
+    return ranked.where("found = shingles").select("words", (F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1).alias("length"), "least.key", "least.at")
+
+
+OCCURRENCE = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("around", pa.string())])
+
+
+def occurrences(docs: DataFrame, keys: DataFrame, width: int, filter_bits: int) -> DataFrame:
+    """``docs`` without its text, plus n_words and ``found``: where its shingles pass the filter of ``keys``, with up to width - 1 words on both sides."""
+    names = [c for c in docs.columns if c != "text"]
+    sent = docs.sparkSession.sparkContext.broadcast(Filter(keys.select("key").distinct(), filter_bits))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         for batch in batches:
-            n_words, spans, items = [], [], []
+            sizes, out = [], []
             for text in texts_as_bytes(batch.column(batch.num_columns - 1)):
-                words = split_words(text)
-                n_words.append(len(words))
-                hits: list[tuple[int, int]] = []
-                names: set[str] = set()
-                if not rare.isdisjoint(words):
-                    for p, w in enumerate(words):
-                        if w in rare:
-                            for at, window, ids in table[w]:
-                                a = p - at
-                                if a >= 0 and a + len(window) <= len(words) and words[a : a + len(window)] == window:
-                                    hits.append((a, a + len(window)))
-                                    names.update(ids)
-                spans.append(merged(hits))
-                items.append(sorted(names))
-            extra = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], SPANS), pa.array(items, pa.list_(pa.string()))]
-            n = batch.num_columns - (not keep_text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *extra], names=[*batch.schema.names[:n], "n_words", "spans", "items"])
-
-    keep = [c for c in docs.columns if c != "text"]
-    kept = [*keep, "text"] if keep_text else keep
-    schema = T.StructType([*docs.select(kept).schema.fields, *T.StructType.fromDDL("n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>").fields])
-    return arrow(docs.select(*keep, "text"), match, schema)
-
-
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of half-open intervals, as disjoint intervals in order."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _blocks(windows: DataFrame, size: int) -> Iterator[list[tuple[str, str]]]:
-    """The windows in lists of ``size``; one empty list if there are none."""
-    block: list[tuple[str, str]] = []
-    first = True
-    for row in windows.toLocalIterator():
-        if len(block) == size:
-            yield block
-            block, first = [], False
-        block.append((row["item_id"], row["words"]))
-    if block or first:
-        yield block
+                plain = text.translate(WORDS)
+                words, found = None, []
+                for at, hashes in _shingles(plain):
+                    hit = np.flatnonzero(known.holds(hashes))
+                    if len(hit):
+                        words = words or plain.split()
+                    for p, key in zip(at[hit].tolist(), hashes[hit].view(np.int64).tolist(), strict=True):
+                        first = max(0, p - width + 1)
+                        found.append({"key": key, "at": p, "lead": p - first, "around": b" ".join(words[first : p + width]).decode()})
+                sizes.append(len(words) if words else len(plain.split()))
+                out.append(found)
+            extra = [pa.array(sizes, pa.int64()), pa.array(out, pa.list_(OCCURRENCE))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], "n_words", "found"])
+
+    made = T.StructType.fromDDL("n_words bigint, found array<struct<key:bigint,at:int,lead:int,around:string>>")
+    return arrow(docs.select(*names, "text"), find, T.StructType([*(docs.schema[c] for c in names), *made.fields]))
+
+
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 @any_columns
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_windows: int = 50_000, keep_text: bool = False) -> DataFrame:
-    """Rows of ``docs`` (without its text, unless asked for) plus n_words, spans and items, all blocks united."""
-    blocks = _blocks(item_windows(benchmark, width), block_windows)
-    block, following = next(blocks), next(blocks, None)
-    if following is None:
-        return _block_hits(docs, block, keep_text)
-    # Several blocks: what they find is brought together by a row id that is written, as no column need tell rows apart.
-    numbered = written(docs.withColumn("row_id_", F.monotonically_increasing_id()))
-    texts = numbered.select("row_id_", "text")
-    hits = _block_hits(numbered, block, keep_text)
-    more = None
-    while following is not None:
-        part = _block_hits(texts, following).where(F.size("items") > 0).select("row_id_", "spans", "items")
-        more = part if more is None else more.unionByName(part)
-        following = next(blocks, None)
-    more = more.groupBy("row_id_").agg(F.flatten(F.collect_list("spans")).alias("more_spans_"), F.flatten(F.collect_list("items")).alias("more_items_"))
-    joined = hits.join(more, "row_id_", "left")
-    spans = F.concat("spans", F.coalesce("more_spans_", F.array().cast(hits.schema["spans"].dataType)))
-    items = F.array_sort(F.array_union("items", F.coalesce("more_items_", F.array().cast("array<string>"))))
-    return joined.withColumns({"spans": _united(spans), "items": items}).select([c for c in hits.columns if c != "row_id_"])
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, filter_bits: int = 1 << 26) -> DataFrame:
+    """Rows of ``docs`` without their text, plus text_id, n_words, spans (start, end in words; merged) and items."""
+    windows = written(item_windows(benchmark, width))
+    shingles = written(window_shingles(windows.select("words").distinct()))
+    prefix = written(prefixes(shingles, document_frequency(docs, shingles, filter_bits)))
+    base = written(occurrences(docs.withColumn("text_id", text_hash(docs)), prefix, width, filter_bits))
+    each = base.where(F.size("found") > 0).select("text_id", F.explode("found").alias("x")).select("text_id", "x.key", F.col("x.at").alias("spot"), "x.lead", F.split("x.around", " ").alias("around"))
+    met = each.join(prefix, "key").where((F.col("lead") >= F.col("at")) & (F.size("around") - F.col("lead") >= F.col("length") - F.col("at")))
+    met = met.where(F.array_join(F.slice("around", F.col("lead") - F.col("at") + 1, F.col("length").cast("int")), " ") == F.col("words"))
+    start = (F.col("spot") - F.col("at")).cast("long")
+    hits = written(met.select("text_id", "words", F.struct(start.alias("start"), (start + F.col("length")).alias("end")).alias("span")).distinct())
+    spans = hits.groupBy("text_id").agg(F.collect_set("span").alias("spans"))
+    items = hits.select("text_id", "words").distinct().join(windows, "words").groupBy("text_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    found = written(spans.join(items, "text_id").withColumn("spans", _united(F.col("spans"))))
+    none = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items")]
+    return base.drop("found").join(found, "text_id", "left").select(*base.drop("found").columns, *none)
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs``, whole, that are not contaminated."""
+    hits = contamination(benchmark_hits(docs.select("text"), benchmark, **parameters))
+    bad = written(hits.where("contaminated").select(F.col("text_id").alias("text_id_")).distinct())
+    return docs.withColumn("text_id_", text_hash(docs)).join(bad, "text_id_", "left_anti").select(docs.columns)
 
 
 def _united(spans):
@@ -175,4 +175,3 @@ def contamination(hits: DataFrame) -> DataFrame:
     out = hits.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
     out = out.withColumn("items_sha256", F.sha2(F.array_join(F.array_sort("items"), ","), 256))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from siteindex.llm import decontaminate, host_classifier, licenses, mixing, near_duplicates, quality_rules, queries, repeats, suffix_tree, token_counts
+from siteindex.llm import decontaminate, grams, host_classifier, licenses, mixing, near_duplicates, quality_rules, queries, repeats, suffix_tree, token_counts
 
 from . import brute
 
@@ -158,23 +158,23 @@ def test_decontamination(spark, docs, rows):
     items = [(1, " ".join(texts[0].split()[5:25])), (2, " ".join(texts[1].split()[:13]).upper()), (3, "w1"), (4, None), (5, "!!"), (6, " ".join(texts[0].split()[5:25])), (None, "w2"), (10, "not in any document at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute.contamination([(i, t) for i, t in rows], [x for x in items if x[0] is not None])
-    for block in (50_000, 7):
-        out = decontaminate.contamination(decontaminate.benchmark_hits(docs, bench, block_windows=block))
+    for bits in (1 << 26, 64):
+        out = decontaminate.contamination(decontaminate.benchmark_hits(docs, bench, filter_bits=bits))
         got = collected(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
         assert got == sorted(((i, *want[i]) for i, _ in rows), key=repr)
 
 
-@pytest.mark.parametrize("keep_text", [False, True])
-def test_blocks_of_windows_leave_rows_of_equal_ids_apart(spark, keep_text):
+def test_hits_of_rows_of_equal_ids_stay_apart(spark):
     items = [(i, " ".join(f"i{i}x{k}" for k in range(15))) for i in range(4)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = [(i, t) for i in (None, 7) for t in (items[0][1], f"own {items[1][1]} {items[2][1]}", "a clean text", "a clean text", None)]
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in texts], SCHEMA)
-    columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    want = sorted(((i, *(t,) * keep_text, *brute.contamination([(0, t)], items)[0]) for i, t in texts), key=repr)
-    for block in (50_000, 5, 1):
-        out = decontaminate.contamination(decontaminate.benchmark_hits(docs, bench, block_windows=block, keep_text=keep_text))
-        assert collected(out, "doc_id", *["text"] * keep_text, *columns) == want
+    want = sorted(((i, *brute.contamination([(0, t)], items)[0]) for i, t in texts), key=repr)
+    out = decontaminate.contamination(decontaminate.benchmark_hits(docs, bench))
+    assert collected(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    clean = decontaminate.clean_rows(docs, bench)
+    assert clean.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter((i, t) for i, t in texts if t in ("a clean text", None))
 
 
 @pytest.mark.parametrize("hot", [400_000, 3])
@@ -196,7 +196,7 @@ def test_gram_hashes_are_spark_hashes(spark):
     rng = np.random.default_rng(3)
     a, b = rng.integers(-(1 << 63), 1 << 63, (2, 50))
     got = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long").select(F.xxhash64("a", "b")).collect()
-    assert [r[0] for r in got] == suffix_tree.joined(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist()
+    assert [r[0] for r in got] == grams.joined(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist()
 
 
 def test_a_small_filter_changes_no_score(spark, docs):
