@@ -51,8 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @own_columns
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lie in benchmark windows."""
-    hits = decontaminate.contamination(decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), keep_text=True))
-    return hits.where(~F.col("contaminated")).select(docs.columns)
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 @own_columns
