@@ -410,11 +410,50 @@ def test_classifier_without_labels(spark, docs):
     assert out.count() == docs.count()
 
 
-def test_license_rules(spark):
+def wrapped(text, width=60, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+@pytest.mark.parametrize("name", sorted(licenses.SENTENCES))
+def test_every_sentence_is_found_whole_and_wrapped(name):
+    table = licenses.Sentences(licenses.SENTENCES)
+    text = licenses.SENTENCES[name]
+    for shown in (text, text.upper(), wrapped(text), wrapped(text, 30, "# "), f"Some words before. {text.rstrip('.:;')}. And after.", f"no mark before\n{text}\nno mark after"):
+        assert table.find(shown.encode()) == [name]
+    assert table.find(f"words {text.rstrip('.:;')} words".encode()) == []
+
+
+@pytest.mark.parametrize("name", sorted(licenses.RULES))
+def test_every_rule_shows_its_license(spark, name):
+    rows = [(k, "\n\n".join(wrapped(licenses.SENTENCES[s]) for s in sequence)) for k, sequence in enumerate(licenses.RULES[name])]
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert name in r["licenses"]
+    reverse = [(k, "\n\n".join(licenses.SENTENCES[s] for s in sequence[::-1])) for k, sequence in enumerate(licenses.RULES[name]) if len(sequence) > 1]
+    if reverse and name not in ("MIT", "BSD-2-Clause", "Apache-2.0"):
+        for r in licenses.scan_licenses(spark.createDataFrame(reverse, "doc_id long, text string")).collect():
+            assert r["sentence_ids"] and name not in r["licenses"] or any(len(s) == 1 for s in licenses.RULES[name])
+
+
+def test_license_scan_of_hard_rows(spark, docs, rows):
     grant = licenses.SENTENCES["mit-grant"]
-    rows = [(1, "Intro.\nReleased under the MIT License."), (2, f"MIT License\n\n{grant}"), (3, f"{grant}\nMIT License"), (4, "licensed under the apache license, version 2.0!\nAll Rights Reserved"), (5, None), (6, "the MIT License is nice")]
-    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ["MIT"], 2: ["MIT"], 3: [], 4: ["Apache-2.0", "proprietary"], 5: [], 6: []}
+    cases = [(1, "Intro.\nReleased under the MIT License."), (2, f"MIT License\n\n{grant}"), (3, f"{grant}\nMIT License"), (4, "licensed under the apache license, version 2.0!\nAll Rights Reserved"), (5, None), (6, "the MIT License is nice"), (7, ""), (8, "SPDX-License-Identifier: GPL-3.0-only\n" * 2), (8, "word " * 50_000 + "\nAll rights reserved."), (None, "Licensed under CC BY-NC 4.0.")]
+    df = spark.createDataFrame(cases + cases[:1], "doc_id long, text string").withColumn("licenses", F.lit("own")).withColumn("sentence_ids", F.lit("own"))
+    got = Counter((r["doc_id"], *r["licenses"]) for r in licenses.scan_licenses(df).collect())
+    assert got == Counter([(1, "MIT"), (1, "MIT"), (2, "MIT"), (3,), (4, "Apache-2.0", "proprietary"), (5,), (6,), (7,), (8, "GPL-3.0"), (8, "proprietary"), (None, "CC-BY-NC-4.0")])
+    assert licenses.scan_licenses(docs).count() == len(rows)
+
+
+def test_license_scan_equals_plain_search(spark, sf_dir):
+    """Each known sentence searched as a regular expression between bounds."""
+    import re
+
+    patterns = {n: re.compile(r"(?:^|\n|[.;:!?]\s)[^a-z0-9\n]*" + r"[^a-z0-9]+".join(w.decode() for w in licenses.normalised(t)) + r"(?=[^a-z0-9]*?(?:$|\n|[.;:!?](?:\s|$)))") for n, t in licenses.SENTENCES.items()}
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {r["doc_id"]: {n for n, p in patterns.items() if p.search((r["text"] or "").lower())} for r in texts}
+    got = {r["doc_id"]: set(r["sentence_ids"].split(",")) - {""} for r in queries.op8_license_scan(spark, sf_dir).collect()}
+    assert got == want and any(got.values())
 
 
 def test_empty_tables(spark, empty):
