@@ -7,9 +7,9 @@ earliest arrival. Arrivals stop once they come later than the latest register
 (early termination), so that a text costs about as many draws as it has shingles plus
 registers. Two texts agree in a register with their probability Jaccard similarity.
 
-Weights are counts to the power ``power``. At 0, the default, the probability Jaccard
-is the Jaccard of the shingle sets; at 1 a text that repeats itself differs from one
-that does not.
+Weights are counts to the power ``power``: 1 by default, so that a text that repeats a
+passage differs from one that does not. At 0, and where all of a text's shingles occur
+equally often, the probability Jaccard is the Jaccard of the shingle sets.
 
 Banding. Only distinct texts are banded. Every text meets a few texts of its buckets;
 members of one component are never paired again, so a group of near copies costs about
@@ -90,7 +90,7 @@ def prob_minhash(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs:
     return owner.reshape(docs, registers)
 
 
-def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH, power: float = 0.0, block: int = 200_000) -> DataFrame:
+def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH, power: float = 1.0, block: int = 200_000) -> DataFrame:
     """``docs`` without its text plus ``buckets``: one hash for each band, or null without shingles."""
     registers = bands * rows
     names = [c for c in docs.columns if c != "text"]
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH, power
     return arrow(docs.select(*names, "text"), run, schema)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, power: float = 0.0) -> float:
+def similarity(a: np.ndarray, b: np.ndarray, power: float = 1.0) -> float:
     """Probability Jaccard of two shingle lists, shingles weighing their count to a power (0: sets' Jaccard)."""
     x, nx = np.unique(a, return_counts=True)
     y, ny = np.unique(b, return_counts=True)
@@ -159,7 +159,7 @@ def similarity(a: np.ndarray, b: np.ndarray, power: float = 0.0) -> float:
     return float((1 / (low / p + high / q)).sum())
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int = WIDTH, power: float = 0.0) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int = WIDTH, power: float = 1.0) -> DataFrame:
     """``pairs`` (a, b) of text ids whose similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int =
     return arrow(both.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, width: int = WIDTH, power: float = 0.0, tries: int = 3) -> DataFrame:
+def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, width: int = WIDTH, power: float = 1.0, tries: int = 3) -> DataFrame:
     """``id``, ``root``: the component of every text that shares a bucket with another.
 
     ``buckets`` has (id, band, bucket); ``texts_of`` gives (id, text) for a table of ids.
@@ -242,38 +242,43 @@ def prefix_buckets(texts: DataFrame, threshold: float, width: int, power: float)
     shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     rarest = W.Window.partitionBy("id").orderBy("n", "bucket").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
     ranked = rows.join(shared, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("before", F.sum("mass").over(rarest) - F.col("mass"))
-    return ranked.where((F.col("before") <= 1 - threshold + 1e-9) & (F.col("n") > 1)).select("id", F.lit(0).alias("band"), "bucket", "before")
+    return written(ranked.where((F.col("before") <= 1 - threshold + 1e-9) & (F.col("n") > 1)).select("id", F.lit(0).alias("band"), "bucket", "before"))
 
 
-def sketches(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``id``, ``size`` (distinct shingles) and ``parity``: one bit for each of 512 cells, odd or even shingles in it."""
+def sketches(texts: DataFrame, width: int = WIDTH, power: float = 1.0) -> DataFrame:
+    """``id``, ``size`` (distinct shingles), ``units`` (total weight over the least) and ``parity``: one bit for each of 512 cells, odd or even shingles in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, parity = [], []
+            sizes, units, parity = [], [], []
             for text in texts_as_bytes(batch.column(1)):
-                h = np.unique(shingle_hashes(text, width))
+                h, n = np.unique(shingle_hashes(text, width), return_counts=True)
+                w = n.astype(np.float64) ** power
                 sizes.append(len(h))
+                units.append(float(w.sum() / w.min()) if len(w) else 0.0)
                 parity.append(np.packbits(np.bincount((h >> np.uint64(40) & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(parity, pa.list_(pa.int64()))], names=["id", "size", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(units, pa.float64()), pa.array(parity, pa.list_(pa.int64()))], names=["id", "size", "units", "parity"])
 
-    return arrow(texts.select("id", "text"), run, "id long, size long, parity array<long>")
+    return arrow(texts.select("id", "text"), run, "id long, size long, units double, parity array<long>")
 
 
-def _may_link(threshold: float, power: float) -> Column:
+def _may_link(threshold: float) -> Column:
     """False only where a member and a leader that meet in a prefix shingle can't reach the threshold.
 
-    Bounds for sets (power 0). If the shingle is the rarest they share, the overlap is
-    at most what either has from there on. Every shingle that only one has flips one
-    parity bit, so that they differ in at least as many shingles as bits.
+    Every shingle that only one of two texts has flips one parity bit, so that they differ
+    in at least as many shingles as bits. Probability Jaccard is at most the mass that two
+    texts have in common, so that either has at most 1 - threshold of its mass, and as many
+    of its units, in shingles of its own. Two texts of even weights are sets: their own
+    shingles are at most (1 - threshold) / (1 + threshold) of both sizes, and if they meet
+    in the rarest shingle they share, the overlap is at most what either has from there on.
     """
-    if power:
-        return F.lit(True)
     both = F.col("size") + F.col("leader_size")
+    even = (F.col("units") <= F.col("size") + 1e-6) & (F.col("leader_units") <= F.col("leader_size") + 1e-6)
     shared = F.least(F.col("size") * (1 - F.col("before")), F.col("leader_size") * (1 - F.col("leader_before")))
     bits = [F.bit_count(F.get("parity", i).bitwiseXOR(F.get("leader_parity", i))) for i in range(8)]
     differ = functools.reduce(Column.__add__, bits)
-    return (shared + 1e-6 >= both * F.lit(threshold / (1 + threshold))) & (differ <= both * F.lit((1 - threshold) / (1 + threshold)) + 1e-6)
+    of_sets = (shared + 1e-6 >= both * F.lit(threshold / (1 + threshold))) & (differ <= both * F.lit((1 - threshold) / (1 + threshold)) + 1e-6)
+    return F.when(even, of_sets).otherwise(differ <= (F.col("units") + F.col("leader_units")) * F.lit(1 - threshold) + 1e-6)
 
 
 def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float, width: int, power: float, leaders: int = 64) -> DataFrame:
@@ -283,8 +288,8 @@ def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, thre
     of another component that exact bounds leave, ``leaders`` at first and four times as
     many each round.
     """
-    traits = ["before", "size", "parity"]
-    members = members.join(sketches(texts.join(members.select("id").distinct(), "id"), width), "id").withColumn("led", F.lit(False))
+    traits = ["before", "size", "units", "parity"]
+    members = members.join(sketches(texts.join(members.select("id").distinct(), "id"), width, power), "id").withColumn("led", F.lit(False))
     bucket = W.Window.partitionBy("band", "bucket")
     while True:
         open_ = _apart(members, roots)
@@ -293,7 +298,7 @@ def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, thre
         turns = written(turns.select("band", "bucket", F.col("id").alias("leader"), F.col("root").alias("leader_root"), *[F.col(c).alias(f"leader_{c}") for c in traits]))
         if turns.isEmpty():
             return roots
-        met = open_.join(turns, ["band", "bucket"]).where((F.col("root") != F.col("leader_root")) & _may_link(threshold, power))
+        met = open_.join(turns, ["band", "bucket"]).where((F.col("root") != F.col("leader_root")) & _may_link(threshold))
         pairs = met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
         roots = merged(roots, written(verified(pairs, texts, threshold, width, power)))
         done = turns.select("band", "bucket", F.col("leader").alias("id"), F.lit(True).alias("now"))
@@ -336,7 +341,7 @@ def components(edges: DataFrame) -> DataFrame:
             return written(current.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(own))
 
 
-def _classes_of_texts(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, width: int = WIDTH, power: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def _classes_of_texts(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, width: int = WIDTH, power: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` with ``text_id`` and buckets for their text; ``text_id``, ``first`` and ``root`` of each text that has shingles.
 
     ``first`` is the least document id of the text's rows, in a struct that puts null last.
@@ -359,11 +364,14 @@ def _classes_of_texts(docs: DataFrame, threshold: float = 0.8, bands: int = 28,
 
 
 @any_columns
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, width: int = WIDTH, power: float = 0.0) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, width: int = WIDTH, power: float = 1.0) -> DataFrame:
     """``docs`` without its text, plus class_id: the least document id of the row's class."""
     names = [c for c in docs.columns if c != "text"]
     signed, named = _classes_of_texts(docs, threshold, bands, rows, width, power)
-    classes = named.join(named.groupBy("root").agg(F.min("first")["doc_id"].alias("class_id")), "root").select("text_id", "class_id")
+    named = written(named)
+    # Written, so that the joins of a large class and of a text of many copies can be split.
+    firsts = written(named.groupBy("root").agg(F.min("first")["doc_id"].alias("class_id")))
+    classes = written(named.join(firsts, "root").select("text_id", "class_id"))
     out = signed.withColumn("text_id", F.when(F.col("buckets").isNotNull(), F.col("text_id"))).join(classes, "text_id", "left")
     return out.select(*names, F.coalesce("class_id", "doc_id").alias("class_id"))
 

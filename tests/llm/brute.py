@@ -144,11 +144,22 @@ def tree_scores(docs, max_depth, min_context, min_symbol, discount, gain_per_sym
 
 def shingles(text, width=5):
     w = words(lower(text))
-    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    return Counter(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else Counter()
+
+
+def probability_jaccard(a, b):
+    """Of two counters, each taken as a probability distribution."""
+    na, nb = sum(a.values()), sum(b.values())
+    x, y = {k: n / na for k, n in a.items()}, {k: n / nb for k, n in b.items()}
+    both = x.keys() & y.keys()
+    if sum(min(x[k], y[k]) for k in both) < 0.5:  # the similarity is at most the common mass
+        return 0.0
+    every = [(x.get(k, 0.0), y.get(k, 0.0)) for k in x.keys() | y.keys()]
+    return sum(1 / sum(max(p / x[d], q / y[d]) for p, q in every) for d in both)
 
 
 def near_classes(docs, threshold=0.8):
-    """Class of each document: all pairs of texts by set Jaccard, then components."""
+    """Class of each document: all pairs of texts by probability Jaccard of their counted shingles, then components."""
     texts = [(i, t, shingles(t)) for i, t in docs]
     root = {k: k for k in range(len(texts))}
 
@@ -162,9 +173,9 @@ def near_classes(docs, threshold=0.8):
         for x in s:
             postings[x].append(k)
     for k, (_, t, s) in enumerate(texts):
-        shared = Counter(j for x in s for j in postings[x] if j < k)
-        for j, n in shared.items():
-            if t == texts[j][1] or n / (len(s) + len(texts[j][2]) - n) >= threshold:
+        shared = {j for x in s for j in postings[x] if j < k}
+        for j in shared:
+            if t == texts[j][1] or find(k) != find(j) and probability_jaccard(s, texts[j][2]) >= threshold:
                 a, b = sorted((find(k), find(j)))
                 root[b] = a
     first = {}

@@ -110,7 +110,22 @@ def test_probability_jaccard_weighs_counts():
     x, y = {1: 0.8, 2: 0.2}, {1: 0.6, 2: 0.2, 3: 0.2}
     want = sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in (1, 2, 3)) for d in (1, 2))
     assert near_duplicates.similarity(a, b, power=1) == pytest.approx(want)
-    assert near_duplicates.similarity(a, b) == pytest.approx(2 / 3)
+    assert near_duplicates.similarity(a, b, power=0) == pytest.approx(2 / 3)
+
+
+def test_weighted_shingles_tell_texts_of_one_set_apart(spark):
+    """Texts of the same shingles in other shares, and bounds that lose no weighted link."""
+    rng = random.Random(6)
+    base = [f"u{i}" for i in range(60)]
+    part = base[10:22]
+    texts = [(1, " ".join(base)), (2, " ".join(base + part * 30)), (3, " ".join(base + part * 28)), (4, " ".join(base * 2)), (5, " ".join(base * 3))]
+    for k in range(30):  # around one common passage, repeated at different rates
+        own = [f"k{k % 6}x{i}" for i in range(90)]
+        own[rng.randrange(90)] = f"z{k}"
+        texts.append((10 + k, " ".join(own + part * rng.choice([1, 2, 3]))))
+    got = dict(collected(near_duplicates.near_duplicate_classes(spark.createDataFrame(texts * 2, "doc_id long, text string"), rows=1), "doc_id", "class_id"))
+    assert got == brute.near_classes(texts)
+    assert got[2] == got[3] != got[1]
 
 
 def test_signatures_estimate_probability_jaccard():
