@@ -115,14 +115,16 @@ BYTES = np.random.default_rng(505).integers(0, 1 << 64, 256, np.uint64)
 POWERS = (Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93))
 
 
+_BLANK = np.zeros(256, np.int8)
+_BLANK[[9, 10, 11, 12, 13, 32]] = 1
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """One hash for each word of a text (white space separates words)."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    ends = np.flatnonzero(data == 32)
-    return Hashes(BYTES[data], POWERS[0]).of(np.concatenate([[0], ends[:-1] + 1]), ends)
+    data = np.frombuffer(text, np.uint8)
+    # Words begin and end where blank turns to not blank and back.
+    edges = np.flatnonzero(np.diff(_BLANK[data], prepend=np.int8(1), append=np.int8(1)))
+    return Hashes(BYTES[data], POWERS[0]).of(edges[::2], edges[1::2])
 
 
 #: Columns of ``documents`` that operators read by name.

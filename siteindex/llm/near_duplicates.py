@@ -37,21 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import BYTES, POWERS, Hashes, any_columns, arrow, mix, texts_as_bytes, written
+from .common import POWERS, Hashes, any_columns, arrow, mix, texts_as_bytes, word_hashes, written
 
 WIDTH = 5
 
 
 def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
     """One hash for each run of ``width`` words (lower-cased A-Z; whitespace separates words)."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    ends = np.flatnonzero(data == 32)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(width, len(words))
-    return Hashes(BYTES[data], POWERS[0]).of(starts[: len(words) - k + 1], ends[k - 1 :])
+    words = word_hashes(text.lower())
+    starts = np.arange(len(words) - min(width, len(words)) + 1) if len(words) else np.zeros(0, np.int64)
+    return Hashes(words, POWERS[1]).of(starts, starts + min(width, len(words)))
 
 
 def _unit(state: np.ndarray) -> np.ndarray:

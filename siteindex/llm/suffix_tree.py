@@ -88,15 +88,16 @@ def vocabulary(training: DataFrame, block: int = 2_000_000) -> DataFrame:
     return arrow(training.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def next_counts(training: DataFrame, contexts: DataFrame, depth: int, n_tokens: int, filter_bits: int, block: int = 2_000_000) -> DataFrame:
+def next_counts(training: DataFrame, contexts: DataFrame, listed: DataFrame, depth: int, n_tokens: int, filter_bits: int, block: int = 2_000_000) -> DataFrame:
     """``ctx``, ``up``, ``n``: how often each symbol follows each of ``contexts`` (key, total), a context of ``depth`` words.
 
-    ``up`` is the n-gram without its first word. A task sends each context with all its
-    symbols in one row; the filter may let other contexts through.
+    ``up`` is the n-gram without its first word, one of ``listed`` (key): a rarer one can't
+    reach the floor. A task sends each context with all its symbols in one row; the filters
+    may let others through.
     """
     spark = training.sparkSession
     hot = contexts.where(F.col("total") * HOT_SHARE >= n_tokens).select("key").toArrow().column(0).to_numpy()
-    sent = spark.sparkContext.broadcast((Filter(contexts, filter_bits), np.sort(hot)))
+    sent = spark.sparkContext.broadcast((Filter(contexts, filter_bits), Filter(listed, filter_bits), np.sort(hot)))
 
     def rows_of(ctx: np.ndarray, up: np.ndarray, salt: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((up, salt, ctx) if salt.any() else (up, ctx))
@@ -111,13 +112,14 @@ def next_counts(training: DataFrame, contexts: DataFrame, depth: int, n_tokens:
         return pa.RecordBatch.from_arrays([pa.array(ctx[group]), pa.array(salt[group], pa.int32()), *lists], names=["ctx", "salt", "ups", "ns"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = sent.value
+        known, fine, often = sent.value
         for tokens, starts in _token_blocks(batches, block):
             for n, (ends, whole) in enumerate(grams(tokens, starts, depth), 1):
                 if n == depth:
                     # An n-gram of ``depth`` words that ends before the text does is a context of the next token.
                     at = ends[tokens[ends] != np.uint64(END)]
                     at = at[known.holds(whole[at])] + 1
+                    at = at[fine.holds(whole[at])]
                     ctx, up = whole[at - 1].view(np.int64), whole[at].view(np.int64)
                     salt = np.where(np.isin(ctx, often), up & (SALTS - 1), 0) if len(often) else np.zeros(len(ctx), np.int64)
                     if len(ctx):
@@ -146,21 +148,21 @@ def level(counts: DataFrame, contexts: DataFrame, parents: DataFrame, min_symbol
     return rows.select(F.xxhash64("ctx", "up").alias("key"), "ctx", "n", F.when(F.col("stays"), log_p).otherwise(F.col("parent")).alias("log_q"), "ends", "total", "stays", F.log("left").alias("log_left"), "parent")
 
 
-def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int, max_depth: int = 5, min_context: int = 32, min_symbol: int = 3, discount: float = 0.6, gain_per_symbol: float = 2.0, filter_bits: int = 1 << 26) -> DataFrame:
+def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int, max_depth: int = 3, min_context: int = 64, min_symbol: int = 8, discount: float = 0.6, gain_per_symbol: float = 2.0, filter_bits: int = 1 << 26) -> DataFrame:
     """``key``, ``n``, ``weight`` (natural log) of the tree's n-grams; a key may have several rows, all with its count."""
     weights = None
-    parents = vocab.select("key", F.log((F.col("n") + 1) / F.lit(float(n_tokens + n_distinct + 1))).alias("log_q"), (F.col("key") == F.lit(END)).alias("ends"))
+    parents = vocab.select("key", "n", F.log((F.col("n") + 1) / F.lit(float(n_tokens + n_distinct + 1))).alias("log_q"), (F.col("key") == F.lit(END)).alias("ends"))
     contexts = vocab.where((F.col("n") >= min_context) & (F.col("key") != F.lit(END))).select("key", F.col("n").alias("total"))
     for depth in range(1, max_depth + 1):
         if contexts.isEmpty():
             break
-        counts = next_counts(training, contexts, depth, n_tokens, filter_bits)
+        counts = next_counts(training, contexts, parents.where(F.col("n") >= min_symbol).select("key"), depth, n_tokens, filter_bits)
         here = written(level(counts, contexts, parents, min_symbol, discount, gain_per_symbol))
         kept = here.where("stays")
         symbols = kept.select("key", "n", (F.col("log_q") - F.col("parent") - F.col("log_left")).alias("weight"))
         states = kept.groupBy(F.col("ctx").alias("key")).agg(F.first("total").alias("n"), F.first("log_left").alias("weight"))
         weights = symbols.unionByName(states) if weights is None else weights.unionByName(symbols).unionByName(states)
-        parents = here.select("key", "log_q", "ends")
+        parents = here.select("key", "n", "log_q", "ends")
         contexts = here.where((F.col("n") >= min_context) & ~F.col("ends")).select("key", F.col("n").alias("total"))
     if weights is None:
         return vocab.select("key", "n", F.lit(0.0).alias("weight")).where(F.lit(False))
@@ -168,7 +170,7 @@ def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int,
 
 
 @any_columns
-def score(docs: DataFrame, hot_entries: int = 400_000, max_depth: int = 5, filter_bits: int = 1 << 26, **parameters) -> DataFrame:
+def score(docs: DataFrame, hot_entries: int = 1_000_000, max_depth: int = 3, filter_bits: int = 1 << 26, **parameters) -> DataFrame:
     """``docs`` without its text, plus held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     training = docs.where(~held_out(F.col("doc_id")))
@@ -190,7 +192,7 @@ def score(docs: DataFrame, hot_entries: int = 400_000, max_depth: int = 5, filte
         (keys, known, base, weight), maybe = sent.value
         for batch in batches:
             held = [tokens_of(t) for t in texts_as_bytes(batch.column(batch.num_columns - 1))]
-            for a, b in _runs_of(held, 1_000_000):
+            for a, b in _runs_of(held, 500_000):
                 part = held[a:b]
                 tokens, starts = _concatenated(part)
                 row = np.repeat(np.arange(b - a), [len(x) for x in part])

@@ -194,7 +194,7 @@ def test_hits_of_rows_of_equal_ids_stay_apart(spark):
 
 @pytest.mark.parametrize("hot", [400_000, 3])
 def test_scores(docs, rows, hot):
-    floors = {"min_context": 3, "min_symbol": 2, "gain_per_symbol": 0.5}
+    floors = {"max_depth": 5, "min_context": 3, "min_symbol": 2, "gain_per_symbol": 0.5}
     out = suffix_tree.score(docs, hot_entries=hot, **floors)
     got = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in out.collect()), key=repr)
     base = brute.unigram_scores(rows)
