@@ -27,6 +27,7 @@ TRANSACTIONS = ("checkout", "add to cart", "place an order", "complete the purch
 SEVERITY_WEIGHT = {"error": 5.0, "warning": 2.0, "info": 1.0}
 SCORE_CAP = {"error": 49, "warning": 79}
 
+#: Patterns of the line format. Fixed values.
 LINK = r"^\s*-\s+\[([^\]]*)\]\(([^)\s]*)\)\s*(?:[:–—-]\s*(.*))?$"
 HEADING = r"^(#{1,6})\s+(.*)$"
 BREAK = r"^\s*(?:-(?:\s*-){2,}|\*(?:\s*\*){2,}|_(?:\s*_){2,})\s*$"
@@ -171,6 +172,26 @@ def unresolved(parsed: DataFrame, status: DataFrame) -> DataFrame:
     return checked.groupBy("doc").agg(F.count_if(F.col("status").isNull() | (F.col("status") >= 400)).alias("broken"))
 
 
+def companions(docs: DataFrame) -> DataFrame:
+    """(doc, url): the companion files that documents (doc, text) refer to, by link or bare address."""
+    links = F.filter(F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1)), lambda u: u.contains("llms-full.txt") | u.contains("llms.txt"))
+    bare = F.regexp_extract_all("text", F.lit(r"https?://\S*llms-full\.txt"), F.lit(0))
+    return docs.select("doc", F.explode(F.array_union(links, bare)).alias("url"))
+
+
+def companions_resolve(docs: DataFrame, status: DataFrame | None) -> DataFrame:
+    """IDX-019: (doc, outcome, count); ``status`` (url, status) is None where nothing was probed."""
+    named = companions(docs)
+    if status is None:
+        counted = named.groupBy("doc").agg(F.lit(None).cast("bigint").alias("count"), F.lit(True).alias("named"))
+    else:
+        bad = F.col("status").isNull() | (F.col("status") >= 400)
+        counted = named.join(status, "url", "left").groupBy("doc").agg(F.count_if(bad).alias("count"), F.lit(True).alias("named"))
+    rows = docs.select("doc").join(counted, "doc", "left")
+    count = F.when(F.col("named").isNull(), F.lit(0)).otherwise(F.col("count"))
+    return rows.select("doc", F.when(count.isNull(), "skipped").when(count > 0, "fail").otherwise("pass").alias("outcome"), count.cast("bigint").alias("count"))
+
+
 def full_pages(parsed: DataFrame) -> DataFrame:
     """``parsed`` plus ``source``, ``boundary`` (an H2 with a source within six lines) and ``page_no``."""
     by = W.Window.partitionBy("doc").orderBy("line")
@@ -222,14 +243,28 @@ def repeated_blocks(pages: DataFrame, least_chars: int = 200, more_than: int = 3
     return counted.groupBy("doc").agg(F.count(F.lit(1)).alias("blocks"), F.floor(F.sum(F.length("block") * (F.col("n") - 1)) / 4).alias("wasted_tokens"))
 
 
+#: Patterns and phrases of the agents rules. Fixed values.
+PHONE = r"(?<![\w-])(?:\+\d{1,3}[\s-]?)?(?:\(\d{2,4}\)[\s-]?|\d{2,4}[\s-])\d{3,4}[\s-]?\d{3,4}(?![\w-])"
+URL_IN_TEXT = r"https?://[^\s<>\")\]`]+"
+CLAIMS = ("conforms to the agents.md spec", "compliant with agents.md")
+
+
 def agent_measures(docs: DataFrame) -> DataFrame:
-    """Measures of agents documents (doc, text, shop) in one row each; no line table is needed."""
+    """Measures of agents documents in one row each; no line table is needed.
+
+    Columns: doc, text, shop, host (of the site, without www.), verified_hosts, broken (links
+    that did not resolve; null: not checked), content_type (null: not fetched).
+    """
     t = F.col("text")
     low = F.lower(t)
     before = F.substring_index(low, "## not supported", 1)
     hits = lambda words: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: before.contains(w)))
     count = lambda p: F.regexp_count(t, F.lit(p))
-    undated = F.regexp_replace(t, r"\d{4}-\d{2}-\d{2}", "")
+    undated = F.regexp_replace(t, r"\d{4}-\d{2}-\d{2}", " ")
+    phones = F.filter(F.regexp_extract_all(undated, F.lit(PHONE), F.lit(0)), lambda x: F.length(F.regexp_replace(x, r"\D", "")) >= 8)
+    hosts = F.transform(F.regexp_extract_all(t, F.lit(URL_IN_TEXT), F.lit(0)), lambda u: F.lower(F.regexp_extract(u, "^https?://([^/?#]*)", 1)))
+    trusted = F.array_compact(F.array_union(F.array(F.col("host"), F.lit("ucp.dev")), F.coalesce("verified_hosts", F.array().cast("array<string>"))))
+    paths = F.filter(F.split(t, "\n"), lambda x: x.rlike("`/([^/`][^`]*)?`") & ~x.contains("://") & F.ltrim(x).startswith("-"))
     return docs.select(
         "doc",
         "shop",
@@ -238,10 +273,15 @@ def agent_measures(docs: DataFrame) -> DataFrame:
         F.length(F.trim(t)).alias("chars"),
         hits(TRANSACTIONS).alias("transactions"),
         F.regexp_count(t, F.lit(r"[\w.+-]+@[\w-]+\.[\w.-]+")).alias("emails"),
-        F.regexp_count(undated, F.lit(r"(?<![\w-])(?:\+\d{1,3}[\s-]?)?(?:\(\d{2,4}\)[\s-]?|\d{2,4}[\s-])\d{3,4}[\s-]?\d{3,4}(?![\w-])")).alias("phones"),
-        count(r"\]\((?!https?://)[^)]*\)").alias("relative"),
-        low.contains("## not supported").alias("limits"),
-        t.rlike(r"\d{4}-\d{2}-\d{2}").alias("dated"),
+        F.size(phones).alias("phones"),
+        F.size(paths).alias("relative"),
+        t.contains("## Not supported").alias("limits"),
+        t.rlike(r"(^|[^\p{L}\p{N}_])20\d{2}-\d{2}-\d{2}([^\p{L}\p{N}_]|$)").alias("dated"),
+        F.when(F.col("host").isNotNull(), F.size(F.filter(hosts, lambda h: ~F.exists(trusted, lambda x: (x != "") & h.contains(x))))).alias("offsite"),
+        F.size(F.filter(F.array(*[F.lit(x) for x in CLAIMS]), lambda x: low.contains(x))).alias("claims"),
+        t.contains("llms.txt").alias("pointer"),
+        "broken",
+        "content_type",
     )
 
 
@@ -251,23 +291,12 @@ AGENT_RULES: dict[str, tuple[str, str]] = {
     "AGT-003": ("error", "case when chars >= 80 then 0 else 1 end"),
     "AGT-005": ("error", "case when shop is null then null when shop then 0 else transactions end"),
     "AGT-006": ("error", "emails + phones"),
+    "AGT-007": ("error", "broken"),
     "AGT-008": ("warning", "relative"),
+    "AGT-009": ("warning", "offsite"),
     "AGT-010": ("warning", "case when limits then 0 else 1 end"),
+    "AGT-011": ("warning", "case when claims > 0 then 1 else 0 end"),
     "AGT-012": ("info", "case when dated then 0 else 1 end"),
+    "AGT-013": ("info", "case when pointer then 0 else 1 end"),
+    "AGT-014": ("error", "case when content_type is null then null when contains(content_type, 'html') then 1 when content_type <> '' and not (contains(content_type, 'text/markdown') or contains(content_type, 'text/plain') or contains(content_type, 'text/x-markdown')) then 1 else 0 end"),
 }
-
-
-def copy_problems(title: Column, description: Column) -> Column:
-    """Problems of a page's copy as an array of names."""
-    d = F.lower(F.trim(description))
-    tests = {
-        "empty title": F.trim(title) == "",
-        "long title": F.length(title) > 60,
-        "empty description": d == "",
-        "short description": (d != "") & (F.length(d) < 40),
-        "long description": F.length(d) > 160,
-        "opener": d.rlike("^(" + "|".join(OPENERS) + ")"),
-        "superlative": d.rlike(r"\b(" + "|".join(SUPERLATIVES) + r")\b"),
-        "repeats title": (d != "") & (d == F.lower(F.trim(title))),
-    }
-    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..operators import documents as d
+from ..operators import review
 from .registry import query, table
 
 _NL = "chr(10)"
-_LINKS = """l as (select page_id % 20 as doc, page_id % 3 as part, string_agg(case when page_id % 23 = 0 then '- [broken](' || url else '- [' || regexp_extract(html, '<title>([^<]*)</title>', 1) || '](' || url || ')' || case page_id % 4 when 0 then '' when 1 then ': Learn the best of colour and color' else ': Plain words ' || page_id end end, chr(10) order by page_id) as links from pages group by all)"""
+_LINKS = """l as (select page_id // 50 as doc, page_id % 3 as part, string_agg(case when page_id % 23 = 0 then '- [broken](' || url else '- [' || regexp_extract(html, '<title>([^<]*)</title>', 1) || '](' || url || ')' || case page_id % 4 when 0 then '' when 1 then ': Learn the best of colour and color' else ': Plain words ' || page_id end end, chr(10) order by page_id) as links from pages group by all)"""
 _DOCS = f"""{_LINKS}, b as (select doc, max(links) filter (part = 0) as l0, max(links) filter (part = 1) as l1, max(links) filter (part = 2) as l2 from l group by doc),
 docs as (select doc, case when doc % 5 = 0 then '' else '# Site ' || doc || chr(10) end || chr(10) || case when doc % 4 = 1 then '' else '> About ' || doc || chr(10) end || case when doc % 6 = 0 then '### Stray' || chr(10) else '' end
   || chr(10) || case when doc % 3 = 0 then '## Optional' else '## Pages' end || chr(10) || chr(10) || l0 || chr(10) || chr(10) || '## More' || chr(10) || l1 || chr(10) || '```' || chr(10) || '# comment' || chr(10) || '```' || chr(10) || '## Last' || chr(10) || l2
@@ -33,7 +34,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(i % 4 == 0, "").when(i % 4 == 1, ": Learn the best of colour and color").otherwise(F.concat(F.lit(": Plain words "), i.cast("string")))
     link = F.when(i % 23 == 0, F.concat(F.lit("- [broken]("), "url")).otherwise(F.concat(F.lit("- ["), title, F.lit("]("), "url", F.lit(")"), tail))
     part = lambda k: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(i % 3 == k, F.struct(i.alias("i"), link.alias("t"))))), lambda x: x["t"]), "\n"), F.lit("")).alias(f"l{k}")
-    b = p.groupBy((i % 20).alias("doc")).agg(part(0), part(1), part(2))
+    b = p.groupBy(F.floor(i / 50).alias("doc")).agg(part(0), part(1), part(2))
     name = F.col("doc").cast("string")
     when = lambda n, k, yes, no: F.when(F.col("doc") % n == k, yes).otherwise(no)
     none = F.lit("")
@@ -128,7 +129,7 @@ def idx_020(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unresolved(_lines(spark, sf_dir), status)
 
 
-_FULL = f"""fulls as (select doc_id as doc, '# Doc ' || doc_id || chr(10) || chr(10) || '## One' || chr(10) || 'Source: https://x/' || doc_id || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || '## **Two** ' || chr(10) || case when doc_id % 3 = 0 then 'Source: https://y/' || doc_id else '' end || chr(10) || '# Body' || chr(10) || '## _Three_' || chr(10) || 'end  ' as text from documents where doc_id % 4 = 0),
+_FULL = f"""fulls as (select doc_id as doc, '# Doc ' || doc_id || chr(10) || chr(10) || '## One' || chr(10) || 'Source: https://x/' || doc_id || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || '## **Two** ' || chr(10) || case when doc_id % 3 = 0 then 'Source: https://y/' || doc_id else '' end || chr(10) || '# Body' || chr(10) || '## _Three_' || chr(10) || 'end  ' as text from documents),
 r as (select doc, unnest(range(0, len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as raw from fulls),
 h as (select *, case when regexp_matches(raw, '{d.HEADING}') then length(regexp_extract(raw, '{d.HEADING}', 1)) end as level, case when regexp_matches(raw, '{d.SOURCE}') then regexp_extract(raw, '{d.SOURCE}', 1) end as source, trim(raw, ' ' || chr(9) || chr(13)) = '' as blank from r),
 b as (select *, coalesce(level = 2 and max(cast(source is not null as int)) over (partition by doc order by line rows between 1 following and 6 following) = 1, false) as boundary from h),
@@ -145,7 +146,7 @@ def _fulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id").cast("string")
     source = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Source: https://y/"), i)).otherwise("")
     text = F.concat(F.lit("# Doc "), i, F.lit("\n\n## One\nSource: https://x/"), i, F.lit("\n"), "text", F.lit("\n\n\n\n## **Two** \n"), source, F.lit("\n# Body\n## _Three_\nend  "))
-    return table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("doc"), text.alias("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), text.alias("text"))
 
 
 @query("full_rules", f"with {_FULL}, {_found_sql(d.FULL_RULES, 'fstats')} select doc, rule_id, severity, outcome, count from found")
@@ -174,22 +175,31 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", "u").join(p.where("page_id % 3 <> 0").select("u").distinct(), "u", "left_anti").select("page_id", "url")
 
 
-@query("xf_001_blockquote", "select doc_id, text like '%the%' as same from documents where doc_id % 2 = 0")
+_XF = f"""{_DOCS}, fulls as (select doc, case doc % 3 when 0 then text when 1 then replace(text, '> About', '> All about') else replace(text, '> About', 'About') end as text from docs where doc % 7 <> 3),
+i as (select doc, trim(regexp_extract(text, '(?m)^> ?(.*)$', 1)) as mine from docs), o as (select doc, trim(regexp_extract(text, '(?m)^> ?(.*)$', 1)) as other from fulls)"""
+
+
+@query("xf_001_blockquote", f"with {_XF} select doc, case when mine is null or other is null then 'skipped' when other = '' or (mine <> '' and mine <> other) then 'fail' else 'pass' end as outcome from i full join o using (doc)")
 def xf_001(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quote = lambda c: F.regexp_extract(F.concat(F.lit("> "), c), r"(?m)^>\s*(.*)$", 1)
-    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
-    other = F.when(F.col("text").contains("the"), F.col("text")).otherwise(F.lit("else"))
-    return docs.select("doc_id", (quote(F.col("text")) == quote(other)).alias("same"))
+    docs = _docs(spark, sf_dir)
+    other = F.expr("case doc % 3 when 0 then text when 1 then replace(text, '> About', '> All about') else replace(text, '> About', 'About') end")
+    return review.summaries_agree(docs, docs.where("doc % 7 <> 3").select("doc", other.alias("text")))
 
 
-_AGENT = "agents as (select conv_id * 100 + turn as doc, case when turn % 3 = 0 then null else turn % 3 = 1 end as shop, case when turn % 4 = 0 then '' else '# T' || chr(10) end || '## Use' || chr(10) || text || case when turn % 5 = 0 then ' mail me@x.org to checkout' else '' end || case when turn % 2 = 0 then chr(10) || '## Not supported' || chr(10) || 'add to cart' else '' end || case when turn % 7 = 0 then chr(10) || '2026-08-20 [a](/b)' else '' end as text from conversations)"
+_AGENT = """agents as (select conv_id * 100 + turn as doc, case when turn % 3 = 0 then null else turn % 3 = 1 end as shop, case when turn % 4 = 3 then null else 'shop.example' end as host, case when turn % 2 = 0 then ['api.shop-store.example'] end as verified_hosts,
+  case when turn % 5 = 4 then null else turn % 5 end as broken, case turn % 6 when 0 then 'text/markdown; charset=utf-8' when 1 then 'text/html' when 2 then 'application/json' when 3 then '' when 4 then 'text/plain' end as content_type,
+  case when turn % 4 = 0 then '' else '# T' || chr(10) end || '## Use' || chr(10) || text || case when turn % 5 = 0 then ' mail me@x.org to checkout' else '' end || case when turn % 2 = 0 then chr(10) || '## Not supported' || chr(10) || 'add to cart' else '' end || case when turn % 7 = 0 then chr(10) || 'Generated 2026-08-20' else '' end
+  || chr(10) || case turn % 3 when 0 then '- `/cart` page' when 1 then '- see https://www.shop.example/a and https://api.shop-store.example/b' else 'This file conforms to the agents.md spec, see /llms.txt' end as text from conversations)"""
+_HOSTS = "list_transform(regexp_extract_all(text, 'https?://[^\\s<>\")\\]`]+'), lambda u: lower(regexp_extract(u, '^https?://([^/?#]*)', 1)))"
 
 
 @query(
     "agt_rules",
     f"""with {_AGENT}, stats as (select doc, shop, len(regexp_extract_all(text, '(?m)^#\\s')) as h1s, len(regexp_extract_all(text, '(?m)^##\\s')) as h2s, length(trim(text)) as chars,
     {" + ".join(f"cast(contains(split_part(lower(text), '## not supported', 1), '{w}') as int)" for w in d.TRANSACTIONS)} as transactions, len(regexp_extract_all(text, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+')) as emails, 0 as phones,
-    len(list_filter(regexp_extract_all(text, '\\]\\([^)]*\\)'), lambda x: not regexp_matches(x, '^\\]\\(https?://'))) as relative, contains(lower(text), '## not supported') as limits, regexp_matches(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}') as dated from agents),
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '`/([^/`][^`]*)?`') and not contains(x, '://') and starts_with(ltrim(x), '-'))) as relative, contains(text, '## Not supported') as limits, regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])20\\d{{2}}-\\d{{2}}-\\d{{2}}([^\\p{{L}}\\p{{N}}_]|$)') as dated,
+    case when host is not null then len(list_filter({_HOSTS}, lambda h: not (contains(h, host) or contains(h, 'ucp.dev') or len(list_filter(coalesce(verified_hosts, []), lambda x: contains(h, x))) > 0))) end as offsite,
+    {" + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in d.CLAIMS)} as claims, contains(text, 'llms.txt') as pointer, broken, content_type from agents),
     {_found_sql({k: v for k, v in d.AGENT_RULES.items() if k != 'AGT-006'}, 'stats')} select doc, rule_id, outcome, count from found""",
 )
 def agt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,16 +209,26 @@ def agt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn")
+    kinds = ("text/markdown; charset=utf-8", "text/html", "application/json", "", "text/plain")
     text = F.concat(
         F.when(turn % 4 == 0, "").otherwise("# T\n"),
         F.lit("## Use\n"),
         "text",
         F.when(turn % 5 == 0, " mail me@x.org to checkout").otherwise(""),
         F.when(turn % 2 == 0, "\n## Not supported\nadd to cart").otherwise(""),
-        F.when(turn % 7 == 0, "\n2026-08-20 [a](/b)").otherwise(""),
+        F.when(turn % 7 == 0, "\nGenerated 2026-08-20").otherwise(""),
+        F.lit("\n"),
+        F.when(turn % 3 == 0, "- `/cart` page").when(turn % 3 == 1, "- see https://www.shop.example/a and https://api.shop-store.example/b").otherwise("This file conforms to the agents.md spec, see /llms.txt"),
+    )
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100 + turn).alias("doc"),
+        F.when(turn % 3 != 0, turn % 3 == 1).alias("shop"),
+        F.when(turn % 4 != 3, "shop.example").alias("host"),
+        F.when(turn % 2 == 0, F.array(F.lit("api.shop-store.example"))).alias("verified_hosts"),
+        F.when(turn % 5 != 4, turn % 5).alias("broken"),
+        F.get(F.array(*[F.lit(k) for k in kinds]), (turn % 6).cast("int")).alias("content_type"),
+        text.alias("text"),
     )
-    c = table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 100 + turn).alias("doc"), F.when(turn % 3 != 0, turn % 3 == 1).alias("shop"), text.alias("text"))
 
 
 @query("agt_006_contacts")
@@ -224,39 +244,84 @@ def agt_004(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(verified, "url", "left_anti").select("conv_id", "url")
 
 
-_COPY = "c as (select doc_id, case doc_id % 6 when 0 then '' else substr(text, 1, 20 + doc_id % 60) end as title, case doc_id % 7 when 0 then '' when 1 then 'Learn about the best of it' else substr(text, 1, doc_id % 200) end as description from documents)"
-_D = "lower(trim(description))"
+_OPENINGS = ("", "Learn ", "Get to know ", "The best ", "gain ", "A world-class ")
+_PAGE_COPY = """c as (select page_id, url, page_id // 50 as scope, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, case page_id % 6 when 0 then '' when 1 then 'Learn ' when 2 then 'Get to know ' when 3 then 'The best ' when 4 then 'gain ' else 'A world-class ' end || regexp_extract(html, '<p>([^<]*)', 1) as description from pages)"""
+
+
+def _page_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    opening = F.get(F.array(*[F.lit(x) for x in _OPENINGS]), (i % 6).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.floor(i / 50).alias("scope"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.concat(opening, F.regexp_extract("html", "<p>([^<]*)", 1)).alias("description"))
+
+
+_T, _D = "trim(title)", "trim(description)"
 
 
 @query(
     "copy_rules",
-    f"""with {_COPY} select doc_id, array_to_string(list_filter([case when trim(title) = '' then 'empty title' end, case when length(title) > 60 then 'long title' end, case when {_D} = '' then 'empty description' end, case when {_D} <> '' and length({_D}) < 40 then 'short description' end,
-    case when length({_D}) > 160 then 'long description' end, case when regexp_matches({_D}, '^({'|'.join(d.OPENERS)})') then 'opener' end, case when regexp_matches({_D}, '\\b({'|'.join(d.SUPERLATIVES)})\\b') then 'superlative' end, case when {_D} <> '' and {_D} = lower(trim(title)) then 'repeats title' end], lambda x: x is not null), ',') as problems from c""",
+    f"""with {_PAGE_COPY} select page_id, array_to_string(list_filter([case when {_T} = '' then 'no title' end, case when length({_T}) > 60 then 'long title' end, case when {_D} = '' then 'no description' end, case when {_D} <> '' and length({_D}) < 25 then 'short description' end,
+    case when length({_D}) > 160 then 'long description' end, case when regexp_matches(lower({_D}), '^({'|'.join(review.COPY_OPENERS)})') then 'opener' end, case when regexp_matches(lower({_D}), '{review.EDGE}({'|'.join(review.COPY_SUPERLATIVES)}){review.EDGE}') then 'superlative' end], lambda x: x is not null), ',') as problems from c""",
 )
 def copy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "documents").selectExpr("doc_id", "case doc_id % 6 when 0 then '' else substr(text, 1, cast(20 + doc_id % 60 as int)) end as title", "case doc_id % 7 when 0 then '' when 1 then 'Learn about the best of it' else substr(text, 1, cast(doc_id % 200 as int)) end as description")
-    return c.select("doc_id", F.array_join(d.copy_problems(F.col("title"), F.col("description")), ",").alias("problems"))
+    return _page_copy(spark, sf_dir).select("page_id", F.array_join(review.copy_problems(F.col("title"), F.col("description")), ",").alias("problems"))
 
 
-@query("w09_duplicate_description", "with c as (select doc_id, source, lower(trim(substr(text, 1, 25))) as k from documents) select doc_id, first_value(doc_id) over (partition by k order by doc_id) as first_doc from c qualify row_number() over (partition by k order by doc_id) > 1")
+@query("w09_duplicate_description", f"with {_PAGE_COPY}, k as (select *, lower({_D}) as k from c), f as (select scope, page_id as ord, url, first_value(url) over (partition by scope, k order by page_id) as first_url from k where k <> '') select scope, ord, url, first_url from f where first_url <> url")
 def w09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = W.Window.partitionBy(F.lower(F.trim(F.substr("text", F.lit(1), F.lit(25))))).orderBy("doc_id")
-    rows = table(spark, sf_dir, "documents").withColumn("first_doc", F.first("doc_id").over(by)).withColumn("n", F.row_number().over(by))
-    return rows.where("n > 1").select("doc_id", "first_doc")
+    return review.duplicate_descriptions(_page_copy(spark, sf_dir).withColumnRenamed("page_id", "ord"))
 
 
-_VALID = "v as (select doc_id, octet_length(encode(text)) > 5000 as too_large, not regexp_matches(text, '(?m)^# ') as no_h1, not regexp_matches(text, '(?m)^> ') as no_quote, regexp_matches(text, '<[a-z]+[^>]*>') as html from documents)"
+_BOTH = ", ".join(f"case when list_contains(w, '{a}') and list_contains(w, '{b}') then '{a} / {b}' end" for a, b in review.COPY_LOCALES)
 
 
-@query("a25_worst_level", f"with {_VALID} select doc_id, case when no_h1 and too_large then 'error' when too_large or html then 'warning' when no_quote then 'info' else 'ok' end as level from v")
-def a25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    too_large, no_h1 = F.octet_length(t) > 5000, ~t.rlike("(?m)^# ")
-    issues = F.array(
-        F.when(no_h1 & too_large, 3),
-        F.when(too_large | t.rlike("<[a-z]+[^>]*>"), 2),
-        F.when(~t.rlike("(?m)^> "), 1),
-        F.lit(0),
+@query("copy_locale", f"with {_DOCS}, t as (select doc, case when doc % 3 = 0 then text || ' Colors, programme and program.' else text end as text from docs), v as (select doc, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as w from t) select doc, array_to_string(list_filter([{_BOTH}], lambda x: x is not null), ', ') as conflicts from v")
+def copy_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("doc") % 3 == 0, F.concat("text", F.lit(" Colors, programme and program."))).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc", F.array_join(review.locale_conflicts(text), ", ").alias("conflicts"))
+
+
+_VDOCS = f"""{_DOCS}, vdocs as (select doc, text || case when doc % 4 = 0 then chr(10) || '- [rel](/a): x [b](https://x/b)' || chr(10) || '- loose item <DIV>' else '' end || case when doc % 3 = 1 then chr(10) || 'Full: https://x/llms-full.txt' else '' end || case when doc % 9 = 0 then repeat(' padding', 7000) else '' end as text from docs),
+vl as (select doc, text, string_split(text, chr(10)) as ls from vdocs), hints as (select page_id // 50 as doc, bool_or(regexp_matches(lower(url), '{'|'.join(review.CONTACT_HINTS)}') or contains(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'contact')) as hinted from pages group by 1),
+vstats as (select doc, octet_length(encode(text)) as bytes, starts_with(text, '# ') as titled, len(list_filter(ls[1:5], lambda x: starts_with(x, '>'))) > 0 as quoted, contains(text, '## ') as sectioned,
+  len(list_filter(flatten(list_transform(ls, lambda x: regexp_extract_all(x, '{review.MARKDOWN_LINK}', 1))), lambda x: not regexp_matches(x, '^https?://'))) as relative, len(list_filter(ls, lambda x: starts_with(x, '- ') and not regexp_matches(x, '{review.LINK_LINE}'))) as malformed,
+  regexp_matches(lower(text), '{review.HTML_TAG}') as html, contains(text, '## Contact') or coalesce(hinted, false) as contact, contains(text, 'llms-full.txt') as companion from vl left join hints using (doc))"""
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc")
+    text = F.concat(
+        "text",
+        F.when(k % 4 == 0, "\n- [rel](/a): x [b](https://x/b)\n- loose item <DIV>").otherwise(""),
+        F.when(k % 3 == 1, "\nFull: https://x/llms-full.txt").otherwise(""),
+        F.when(k % 9 == 0, F.repeat(F.lit(" padding"), 7000)).otherwise(""),
     )
-    name = F.get(F.array(*[F.lit(x) for x in ("ok", "info", "warning", "error")]), F.array_max(issues))
-    return table(spark, sf_dir, "documents").select("doc_id", name.alias("level"))
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 50).alias("doc"), "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return d.findings(review.validator_measures(_docs(spark, sf_dir).select("doc", text.alias("text")), pages), review.VALIDATOR)
+
+
+@query("val_checks", f"with {_VDOCS}, {_found_sql(review.VALIDATOR, 'vstats')} select doc, rule_id, severity, outcome, count from found")
+def val_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validated(spark, sf_dir).select("doc", "rule_id", "severity", "outcome", "count")
+
+
+@query("a25_worst_level", f"with {_VDOCS}, {_found_sql(review.VALIDATOR, 'vstats')} select doc, case when bool_or(outcome = 'fail' and severity = 'error') then 'error' when bool_or(outcome = 'fail' and severity = 'warning') then 'warning' when bool_or(outcome = 'fail') then 'info' else 'ok' end as level from found group by doc")
+def a25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.worst_level(_validated(spark, sf_dir))
+
+
+@query(
+    "val_broken_links",
+    f"""with {_LINES}, {_STATUS}, p as (select distinct doc, url from lines where is_link and not malformed), b as (select doc, url || ' (' || coalesce(cast(status as varchar), 'unreachable') || ')' as name, row_number() over (partition by doc order by url) as n from p join status using (url) where status is null or status >= 400)
+    select doc, 'warning' as level, 'broken-link' as code, count(*) as broken, string_agg(name, ', ' order by name) filter (n <= 5) as examples from b group by doc""",
+)
+def val_broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    status = table(spark, sf_dir, "pages").select("url", F.when(i % 9 == 0, 404).when(i % 8 != 0, 200).alias("status"))
+    return review.link_issues(_lines(spark, sf_dir).where("is_link and not malformed").select("doc", "url"), status)
+
+
+@query("idx_019_companions", f"with {_VDOCS}, n as (select distinct doc, unnest(regexp_extract_all(text, 'https?://\\S*llms-full\\.txt')) as url from vdocs), st as (select 'https://x/llms-full.txt' as url, 404 as status) select v.doc, case when count(n.url) = 0 then 'pass' when count_if(n.url is not null and (status is null or status >= 400)) > 0 then 'fail' else 'pass' end as outcome, count_if(n.url is not null and (status is null or status >= 400)) as count from vdocs v left join n on v.doc = n.doc left join st on n.url = st.url group by v.doc")
+def idx_019(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc")
+    docs = _docs(spark, sf_dir).select("doc", F.concat("text", F.when(k % 3 == 1, "\nFull: https://x/llms-full.txt").otherwise("")).alias("text"))
+    return d.companions_resolve(docs, spark.createDataFrame([("https://x/llms-full.txt", 404)], "url string, status int"))

@@ -52,10 +52,10 @@ def _sql_title(c: str) -> str:
     return f"coalesce({', '.join(cuts)}, case when length({c}) <= 60 then trim({c}) else {_sql_truncate(c, 60, '')} end)"
 
 
-@query("p04_truncate_title", f"with t as (select doc_id, replace(substr(text, 1, 150), '. ', case doc_id % 4 when 0 then ' | ' when 1 then ' - ' when 2 then ' — ' else ' : ' end) as title from documents) select doc_id, {_sql_title('title')} as short_title from t")
+@query("p04_truncate_title", f"with t as (select doc_id, replace(text, '. ', case doc_id % 4 when 0 then ' | ' when 1 then ' - ' when 2 then ' — ' else ' : ' end) as title from documents) select doc_id, {_sql_title('title')} as short_title from t")
 def p04(spark: SparkSession, sf_dir: str) -> DataFrame:
     sep = F.expr("case doc_id % 4 when 0 then ' | ' when 1 then ' - ' when 2 then ' — ' else ' : ' end")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.substr("text", F.lit(1), F.lit(150)), F.lit(". "), sep).alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), sep).alias("title"))
     return docs.select("doc_id", text.truncate_title(F.col("title")).alias("short_title"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from .. import streaming
 from ..functions import patterns
 from ..operators import operations as ops
-from ..operators import site
+from ..operators import review, site
 from .inputs import select_list, sql_path
 from .registry import query, table
 
@@ -31,7 +31,7 @@ def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(hit.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_INDEX = "select page_id % 10 as doc, string_agg('- [p](' || url || ')' || case when page_id % 4 = 0 then ' see https://x.example/fr/1' else '' end, chr(10) order by page_id) as text from pages group by 1"
+_INDEX = "select page_id // 50 as doc, string_agg('- [p](' || url || ')' || case when page_id % 4 = 0 then ' see https://x.example/fr/1' else '' end, chr(10) order by page_id) as text from pages group by 1"
 
 
 @query(
@@ -43,7 +43,7 @@ _INDEX = "select page_id % 10 as doc, string_agg('- [p](' || url || ')' || case
 def f08(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     line = F.concat(F.lit("- [p]("), "url", F.lit(")"), F.when(i % 4 == 0, " see https://x.example/fr/1").otherwise(""))
-    d = table(spark, sf_dir, "pages").groupBy((i % 10).alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct(i.alias("i"), line.alias("l")))), lambda x: x["l"]).alias("lines"))
+    d = table(spark, sf_dir, "pages").groupBy(F.floor(i / 50).alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct(i.alias("i"), line.alias("l")))), lambda x: x["l"]).alias("lines"))
     rows = d.select("doc", F.posexplode("lines").alias("line", "raw"))
     urls_ = rows.select("doc", "line", F.explode(F.regexp_extract_all("raw", F.lit(r'(https?://[^\s<>")\]]+)'), F.lit(1))).alias("url"))
     gone = urls_.where(patterns.first_match(F.col("url"), EMBARGO).isNotNull()).select("doc", "line", F.lit(True).alias("gone")).distinct()
@@ -268,12 +268,44 @@ def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.apply_edits(pages, log)
 
 
-@query("t06_edit_gate", "with i as (select user_id, count(*) filter (event_type = 'error' and event_id % 2 = 0) as was, count(*) filter (event_type = 'error' and event_id % 2 = 1) as now from events group by user_id) select user_id, now > was as rolled_back from i")
+_CODES = "e as (select user_id as run, event_id % 2 = 1 as after, event_type || '-' || event_id % 3 as code from events where event_type in ('error', 'click'))"
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_type in ('error', 'click')")
+    return e.select(F.col("user_id").alias("run"), (F.col("event_id") % 2 == 1).alias("after"), F.concat("event_type", F.lit("-"), (F.col("event_id") % 3).cast("string")).alias("code"))
+
+
+@query(
+    "t06_edit_gate",
+    f"with {_CODES}, n as (select run, code from e where after except select run, code from e where not after), b as (select run, string_agg(code, ', ' order by code) as broke from n group by run) select run, broke is not null as rolled_back, coalesce(broke, '') as broke from (select distinct run from e) left join b using (run)",
+)
 def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    bad = F.col("event_type") == "error"
-    i = e.groupBy("user_id").agg(F.count_if(bad & (F.col("event_id") % 2 == 0)).alias("was"), F.count_if(bad & (F.col("event_id") % 2 == 1)).alias("now"))
-    return i.select("user_id", (F.col("now") > F.col("was")).alias("rolled_back"))
+    e = _codes(spark, sf_dir)
+    return review.edit_gate(e.where("not after"), e.where("after"))
+
+
+@query(
+    "t06_gated_rows",
+    f"with {_CODES}, n as (select run, code from e where after except select run, code from e where not after) select run, code from e where after = (run not in (select run from n))",
+)
+def t06_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _codes(spark, sf_dir)
+    before, after = e.where("not after").select("run", "code"), e.where("after").select("run", "code")
+    return review.gated(before, after, review.edit_gate(before, after))
+
+
+_STAGES = "st as (select l_orderkey as run, l_linenumber as seq, cast(l_linenumber * 10 as bigint) as started from lineitem), ca as (select o_orderkey as run, cast(o_orderkey % 60 as bigint) as asked from orders where o_orderstatus = 'F')"
+
+
+@query(
+    "t04_run_stages",
+    f"with {_STAGES}, r as (select st.run, seq, coalesce(started >= asked, false) as stops from st left join ca using (run)), s as (select *, bool_or(stops) over (partition by run order by seq) as stopped from r) select run, count_if(not stopped) as done, case when bool_or(stopped) then 'cancelled' else 'done' end as status from s group by run",
+)
+def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("seq"), (F.col("l_linenumber") * 10).cast("bigint").alias("started"))
+    asked = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run"), (F.col("o_orderkey") % 60).alias("at"))
+    return review.run_stages(stages, asked)
 
 
 # -- probes and components --------------------------------------------------
@@ -524,9 +556,9 @@ def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.robots_rules(policies, bots)
 
 
-@query("k14_templates", f"with {_COMPONENTS} select n_nationkey, key, '{{\"_comment\":\"REPLACE_ME\",\"host\":\"' || lower(n_name) || '\",\"key\":\"' || key || '\"}}' as body from nation cross join components where templated and n_regionkey = 1")
+@query("k14_templates", f"with {_COMPONENTS} select n_nationkey, key, '{{\"_comment\":\"REPLACE_ME\",\"host\":\"' || lower(n_name) || '\",\"key\":\"' || key || '\"}}' as body from nation cross join components where templated")
 def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hosts = table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey", F.lower("n_name").alias("host"))
+    hosts = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("host"))
     rows = hosts.join(F.broadcast(site.component_table(spark).where("templated").select("key")), F.lit(True))
     return rows.select("n_nationkey", "key", F.to_json(F.struct(F.lit("REPLACE_ME").alias("_comment"), "host", "key")).alias("body"))
 
