@@ -35,11 +35,10 @@ WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 SHINGLE = 3
 
 
-def _shingles(text: bytes, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of a text of words between spaces, for each shingle size: first words' positions and the shingles' hashes."""
-    hashes = word_hashes(text)
-    for n, (ends, whole) in enumerate(grams(hashes, np.zeros(len(hashes), np.int64), SHINGLE), 1):
-        if n >= least:
+def _shingles(hashes: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of a text's word hashes, for each of the shingle sizes: first words' positions and the shingles' hashes."""
+    for n, (ends, whole) in enumerate(grams(hashes, np.zeros(len(hashes), np.int64), max(sizes, default=0)), 1):
+        if n in sizes:
             yield ends - (n - 1), whole[ends]
 
 
@@ -66,7 +65,7 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             windows = batch.column(0).to_pylist()
-            each = [next(_shingles(x.encode(), min(SHINGLE, x.count(" ") + 1))) for x in windows]
+            each = [next(_shingles(word_hashes(x.encode()), (min(SHINGLE, x.count(" ") + 1),))) for x in windows]
             names = [x for x, (at, _) in zip(windows, each, strict=True) for _ in at]
             at, keys = (np.concatenate([x[k] for x in each]) if each else np.zeros(0, np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(at, pa.int32()), pa.array(keys.view(np.int64))], names=["words", "at", "key"])
@@ -74,7 +73,7 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     return arrow(windows.select("words"), cut, "words string, at int, key long")
 
 
-def document_frequency(docs: DataFrame, shingles: DataFrame, filter_bits: int) -> DataFrame:
+def document_frequency(docs: DataFrame, shingles: DataFrame, sizes: tuple[int, ...], filter_bits: int) -> DataFrame:
     """``key``, ``n``: in how many documents each shingle occurs; the filter may let others through."""
     sent = docs.sparkSession.sparkContext.broadcast(Filter(shingles.select("key").distinct(), filter_bits))
 
@@ -83,7 +82,7 @@ def document_frequency(docs: DataFrame, shingles: DataFrame, filter_bits: int) -
         for batch in batches:
             found = []
             for text in texts_as_bytes(batch.column(0)):
-                for _, keys in _shingles(text.translate(WORDS)):
+                for _, keys in _shingles(word_hashes(text.translate(WORDS)), sizes):
                     found.append(np.unique(keys[known.holds(keys)]))
             keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
@@ -100,7 +99,7 @@ def prefixes(shingles: DataFrame, frequency: DataFrame) -> DataFrame:
 OCCURRENCE = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("around", pa.string())])
 
 
-def occurrences(docs: DataFrame, keys: DataFrame, width: int, filter_bits: int) -> DataFrame:
+def occurrences(docs: DataFrame, keys: DataFrame, sizes: tuple[int, ...], width: int, filter_bits: int) -> DataFrame:
     """``docs`` without its text, plus n_words and ``found``: where its shingles pass the filter of ``keys``, with up to width - 1 words on both sides."""
     names = [c for c in docs.columns if c != "text"]
     sent = docs.sparkSession.sparkContext.broadcast(Filter(keys.select("key").distinct(), filter_bits))
@@ -108,20 +107,21 @@ def occurrences(docs: DataFrame, keys: DataFrame, width: int, filter_bits: int)
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            sizes, out = [], []
+            counts, out = [], []
             for text in texts_as_bytes(batch.column(batch.num_columns - 1)):
                 plain = text.translate(WORDS)
+                own = word_hashes(plain)
                 words, found = None, []
-                for at, hashes in _shingles(plain):
+                for at, hashes in _shingles(own, sizes):
                     hit = np.flatnonzero(known.holds(hashes))
                     if len(hit):
                         words = words or plain.split()
                     for p, key in zip(at[hit].tolist(), hashes[hit].view(np.int64).tolist(), strict=True):
                         first = max(0, p - width + 1)
                         found.append({"key": key, "at": p, "lead": p - first, "around": b" ".join(words[first : p + width]).decode()})
-                sizes.append(len(words) if words else len(plain.split()))
+                counts.append(len(own))
                 out.append(found)
-            extra = [pa.array(sizes, pa.int64()), pa.array(out, pa.list_(OCCURRENCE))]
+            extra = [pa.array(counts, pa.int64()), pa.array(out, pa.list_(OCCURRENCE))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], "n_words", "found"])
 
     made = T.StructType.fromDDL("n_words bigint, found array<struct<key:bigint,at:int,lead:int,around:string>>")
@@ -137,8 +137,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, filte
     """Rows of ``docs`` without their text, plus text_id, n_words, spans (start, end in words; merged) and items."""
     windows = written(item_windows(benchmark, width))
     shingles = written(window_shingles(windows.select("words").distinct()))
-    prefix = written(prefixes(shingles, document_frequency(docs, shingles, filter_bits)))
-    base = written(occurrences(docs.withColumn("text_id", text_hash(docs)), prefix, width, filter_bits))
+    spaces = F.length("words") - F.length(F.replace("words", F.lit(" ")))
+    sizes = tuple(sorted(r[0] for r in windows.select(F.least(F.lit(SHINGLE), spaces + 1)).distinct().collect()))
+    prefix = written(prefixes(shingles, document_frequency(docs, shingles, sizes, filter_bits)))
+    base = written(occurrences(docs.withColumn("text_id", text_hash(docs)), prefix, sizes, width, filter_bits))
     each = base.where(F.size("found") > 0).select("text_id", F.explode("found").alias("x")).select("text_id", "x.key", F.col("x.at").alias("spot"), "x.lead", F.split("x.around", " ").alias("around"))
     met = each.join(prefix, "key").where((F.col("lead") >= F.col("at")) & (F.size("around") - F.col("lead") >= F.col("length") - F.col("at")))
     met = met.where(F.array_join(F.slice("around", F.col("lead") - F.col("at") + 1, F.col("length").cast("int")), " ") == F.col("words"))
