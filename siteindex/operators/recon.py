@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import urls
+from ..lineage import written
 
 #: A prefix with this many different next segments is variable. Fixed value.
 COLLAPSE = 5
@@ -45,12 +46,16 @@ def templated(site_urls: DataFrame, part: tuple[str, ...] = ("site",), collapse:
 
 
 def templates(site_urls: DataFrame, part: tuple[str, ...] = ("site",), collapse: int = COLLAPSE) -> DataFrame:
-    """(part, template, count, examples, max_depth): the first three URLs of each as examples."""
-    rows = templated(site_urls, part, collapse)
+    """(part, template, count, examples, max_depth, template_ord): the first three URLs of each as examples."""
     order = W.Window.partitionBy(*part, "template").orderBy("ord")
-    first = rows.withColumn("rank_", F.row_number().over(order)).where("rank_ <= 3").groupBy(*part, "template").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"]).alias("examples"))
-    counted = rows.groupBy(*part, "template").agg(F.count(F.lit(1)).alias("count"), F.max("depth").cast("bigint").alias("max_depth"))
-    return counted.join(first, [*part, "template"])
+    rows = templated(site_urls, part, collapse).withColumn("rank_", F.row_number().over(order))
+    first = F.array_sort(F.collect_list(F.when(F.col("rank_") <= 3, F.struct("ord", "url"))))
+    return rows.groupBy(*part, "template").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.transform(first, lambda x: x["url"]).alias("examples"),
+        F.max("depth").cast("bigint").alias("max_depth"),
+        F.min("ord").alias("template_ord"),
+    )
 
 
 def heuristic_plan(counted: DataFrame) -> DataFrame:
@@ -95,10 +100,12 @@ def selection(site_urls: DataFrame, rules: DataFrame, cap: int, sample_size: int
     keeps its best place.
     """
     member = matches(site_urls, rules.where("action <> 'exclude'").select("site", "template", "action", "priority", "template_ord"))
-    sampled = even_sample(member.where("action = 'sample'"), ("site", "template"), F.lit(sample_size))
-    chosen = member.where("action = 'include'").withColumn("extra", F.lit(0)).unionByName(sampled.where("picked").drop("picked").withColumn("extra", F.lit(0)))
+    most = F.when(F.col("action") == "include", F.lit((1 << 31) - 1)).otherwise(F.lit(sample_size))
+    # Written: the quotas below need the counts of what was picked before the rest is picked.
+    member = written(even_sample(member, ("site", "template"), most))
+    chosen = member.where("picked").drop("picked").withColumn("extra", F.lit(0))
     spent = chosen.groupBy("site").agg(F.count(F.lit(1)).alias("spent"))
-    rest = sampled.where("not picked").drop("picked")
+    rest = member.where("not picked").drop("picked")
     sizes = rest.groupBy("site", "template", "priority", "template_ord").agg(F.count(F.lit(1)).alias("n_rest"))
     ahead = W.Window.partitionBy("site").orderBy("priority", "template_ord").rowsBetween(W.Window.unboundedPreceding, -1)
     room = sizes.withColumn("ahead", F.coalesce(F.sum("n_rest").over(ahead), F.lit(0))).join(spent, "site", "left")

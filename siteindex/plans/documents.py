@@ -311,8 +311,8 @@ def a25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "val_broken_links",
-    f"""with {_LINES}, {_STATUS}, p as (select distinct doc, url from lines where is_link and not malformed), b as (select doc, url || ' (' || coalesce(cast(status as varchar), 'unreachable') || ')' as name, row_number() over (partition by doc order by url) as n from p join status using (url) where status is null or status >= 400)
-    select doc, 'warning' as level, 'broken-link' as code, count(*) as broken, string_agg(name, ', ' order by name) filter (n <= 5) as examples from b group by doc""",
+    f"""with {_LINES}, {_STATUS}, probed as (select distinct doc, url from lines where is_link and not malformed), bad as (select doc, url || ' (' || coalesce(cast(status as varchar), 'unreachable') || ')' as name, row_number() over (partition by doc order by url) as n from probed join status using (url) where status is null or status >= 400)
+    select doc, 'warning' as level, 'broken-link' as code, count(*) as broken, string_agg(name, ', ' order by name) filter (n <= 5) as examples from bad group by doc""",
 )
 def val_broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")

@@ -229,7 +229,7 @@ firsts as (select site, template, string_agg(url, ' ' order by ord) as examples
 
 @query("a10_path_templates", f"with {_COUNTED} select site, template, count, max_depth, examples from counted join firsts using (site, template)")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recon.templates(_site_urls(spark, sf_dir)).withColumn("examples", F.array_join("examples", " "))
+    return recon.templates(_site_urls(spark, sf_dir)).drop("template_ord").withColumn("examples", F.array_join("examples", " "))
 
 
 _JUNK_RE = "|".join(recon.JUNK)
@@ -276,9 +276,7 @@ def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w08(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _site_urls(spark, sf_dir).select("site", "ord", "url")
-    counted = recon.heuristic_plan(recon.templates(rows))
-    first = recon.templated(rows).groupBy("site", "template").agg(F.min("ord").alias("template_ord"))
-    return recon.selection(rows, counted.join(first, ["site", "template"]), 1500)
+    return recon.selection(rows, recon.heuristic_plan(recon.templates(rows)), 1500)
 
 
 @query("w06_even_stride", f"with {_SITE_URLS}, r as (select site, ord, row_number() over (partition by site order by ord) - 1 as pos, count(*) over (partition by site) as n from site_urls) select site, ord from r where n <= 12 or pos in (select cast(floor(i * (n / 12)) as bigint) from range(12) q(i))")

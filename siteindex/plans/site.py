@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from .. import streaming
 from ..functions import patterns
 from ..operators import operations as ops
-from ..operators import review, site
+from ..operators import fingerprints, review, site
 from .inputs import select_list, sql_path
 from .registry import query, table
 
@@ -376,12 +376,61 @@ def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", site.platform(headers, F.lit(""), F.array().cast("array<string>")).alias("platform"))
 
 
-@query("r05_fingerprints")
+#: A small dataset in the shards' format.
+_TECHNOLOGIES = {
+    "Shopify": r'{"cats":[6],"headers":{"X-ShopId":""},"cookies":{"_shopify_s":""},"scriptSrc":"cdn\\.shop\\.example"}',
+    "WordPress": r'{"cats":[1,11],"meta":{"generator":"^WordPress(?: ([\\d.]+))?\\;version:\\1"}}',
+    "Nginx": r'{"cats":[22],"headers":{"Server":"nginx(?:/([\\d.]+))?\\;version:\\1"}}',
+    "Blogs": r'{"cats":[1],"url":["/blog/","\\.html$"]}',
+}
+
+
+def _page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    headers = F.map_from_entries(
+        F.filter(
+            F.array(
+                F.struct(F.lit("server").alias("k"), F.when(i % 3 == 0, "nginx/1.25").when(i % 3 == 1, "Apache").alias("v")),
+                F.struct(F.lit("x-shopid").alias("k"), F.when(i % 4 == 0, "17").alias("v")),
+                F.struct(F.lit("set-cookie").alias("k"), F.when(i % 5 == 0, "a=1; path=/, _Shopify_S=x; secure").otherwise("b=_shopify_s").alias("v")),
+            ),
+            lambda x: x["v"].isNotNull(),
+        )
+    )
+    head = F.concat(F.when(i % 6 == 0, '<meta name="Generator" content="WordPress 6.5">').when(i % 6 == 1, "<meta name='generator' content='Not WordPress'>").otherwise(""), F.when(i % 7 == 0, '<script async src="https://CDN.shop.example/x.js"></script>').otherwise(""))
+    return table(spark, sf_dir, "pages").select(i.alias("id"), "url", headers.alias("headers"), F.concat(head, "html").alias("html"))
+
+
+_SIGNS = """g as (select page_id as id, 'Shopify' as name, case when page_id % 4 = 0 then 'header' when page_id % 5 = 0 then 'cookie' when page_id % 7 = 0 then 'script' end as surface from pages
+  union all select page_id, 'WordPress', case when page_id % 6 = 0 then 'meta' end from pages union all select page_id, 'Nginx', case when page_id % 3 = 0 then 'header' end from pages
+  union all select page_id, 'Blogs', case when regexp_matches(url, '(?i)/blog/|\\.html$') then 'url' end from pages)"""
+
+
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(_TECHNOLOGIES.items()), "name string, spec string")
+    return fingerprints.detect(_page_responses(spark, sf_dir), fingerprints.pattern_table(rows))
+
+
+@query("r05_fingerprints", f"with {_SIGNS} select id, name, surface from g where surface is not null".replace("\\\\.", "\\."))
 def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages against a small table of patterns; the first surface with evidence wins."""
-    rules = spark.createDataFrame([("analytics", 0, r"track\("), ("ads", 1, 'class="ad"'), ("copyright", 2, "&copy;")], "name string, surface int, pattern string")
-    hits = table(spark, sf_dir, "pages").select("page_id", "html").join(F.broadcast(rules), F.expr("rlike(html, pattern)"))  # three rules
-    return hits.groupBy("page_id", "name").agg(F.min_by("pattern", "surface").alias("evidence"))
+    return _detected(spark, sf_dir).select("id", "name", "surface")
+
+
+@query("r05_summary", f"with {_SIGNS} select id, coalesce(string_agg(name, ', ' order by name) filter (name = 'Shopify'), '') as ecommerce, coalesce(string_agg(name, ', ' order by name) filter (name in ('WordPress', 'Blogs')), '') as cms, coalesce(string_agg(name, ', ' order by name) filter (name = 'Nginx'), '') as other from g where surface is not null group by id".replace("\\\\.", "\\."))
+def r05_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.summary(_detected(spark, sf_dir))
+    return found.select("id", *[F.array_join(c, ", ").alias(c) for c in ("ecommerce", "cms", "other")])
+
+
+@query("s17_fingerprint_dataset", "with d as (select p_partkey, 'tech' || p_partkey as name, '{\"cats\":[' || p_size || ']}' as spec, p_partkey % 4 as k from part) select name, spec, 'fresh' as copy from d where k <> 1 union all select name, spec, 'stale' from d where k = 1")
+def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards whose copies have outlived their time count only for technologies that no fresh shard has."""
+    spec = F.concat(F.lit('{"cats":['), F.col("p_size").cast("string"), F.lit("]}"))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("tech"), F.col("p_partkey").cast("string")).alias("name"), spec.alias("spec"), (F.col("p_partkey") % 4).alias("k"))
+    aged = rows.withColumn("old", fingerprints.expired(F.when(F.col("k") == 1, F.lit("2026-01-01")).otherwise(F.lit("2026-01-30")).cast("timestamp"), F.lit("2026-02-01").cast("timestamp")))
+    fresh, stale = aged.where("not old").select("name", "spec"), aged.select("name", "spec")
+    copy = F.when(F.substr("name", F.lit(5)).cast("long") % 4 == 1, "stale").otherwise("fresh")
+    return fingerprints.with_fallback(fresh, stale).select("name", "spec", copy.alias("copy"))
 
 
 @query("r07_endpoint_labels", f"with r as ({_RESP}) select site, content_type as label, min(id) as first from r where status = 200 group by all")
