@@ -15,8 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteindex.lineage import written
 from siteindex.llm import decontaminate, mixing, near_duplicates, quality_rules
-from siteindex.llm.common import set_apart, table, written
+from siteindex.llm.common import set_apart, table
 
 SHARDS = 40
 
