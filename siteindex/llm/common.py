@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,48 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where the setting is absent and master is local (tests, a laptop) one temporary
-    folder is used for the whole session; on a cluster the setting is required, since
-    executors would write to their own disks.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if master.startswith("local-cluster") or not master.startswith("local"):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
-        folder = getattr(spark, "_siteindex_folder", None) or tempfile.mkdtemp(prefix="siteindex-")
-        spark._siteindex_folder = folder
-    return folder.rstrip("/")
-
-
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def _tables_of(spark: SparkSession) -> str:
-    """Folder of this session's written tables."""
-    return f"{shared_folder(spark)}/siteindex/{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{_tables_of(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard_written(spark: SparkSession) -> None:
-    """Deletes every table this session has written; results that were not read yet are lost with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_tables_of(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit values."""
     h = h ^ (h >> np.uint64(33))

@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import any_columns, arrow, texts_as_bytes, word_hashes, written
+from ..lineage import written
+from .common import any_columns, arrow, texts_as_bytes, word_hashes
 from .grams import Filter, grams
 
 #: Lower-cases A-Z; every other ASCII byte but 0-9 and a-z becomes a space.

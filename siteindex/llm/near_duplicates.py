@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import POWERS, Hashes, any_columns, arrow, mix, texts_as_bytes, word_hashes, written
+from ..lineage import written
+from .common import POWERS, Hashes, any_columns, arrow, mix, texts_as_bytes, word_hashes
 
 WIDTH = 5
 

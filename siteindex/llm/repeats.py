@@ -47,7 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTES, POWERS, Hashes, any_columns, arrow, mix, text_key, utf8, word_hashes, written
+from ..lineage import written
+from .common import BYTES, POWERS, Hashes, any_columns, arrow, mix, text_key, utf8, word_hashes
 
 BLOCK = 1 << 20
 #: place: first window, the anchor's distance from it and the windows after it, packed.

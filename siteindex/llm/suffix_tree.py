@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import any_columns, arrow, most_frequent, texts_as_bytes, word_hashes, written
+from ..lineage import written
+from .common import any_columns, arrow, most_frequent, texts_as_bytes, word_hashes
 from .grams import Filter, grams
 
 #: The end token's hash, a value like any other.

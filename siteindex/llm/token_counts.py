@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import any_columns, arrow, most_frequent, written
+from ..lineage import written
+from .common import any_columns, arrow, most_frequent
 
 #: White space as the tokenizer's own regular expressions see it. Fixed values.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
