@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import patterns, urls
+from ..functions.order import numbered
 from ..operators import metrics as m
 from ..operators import recon
 from .inputs import select_list, sql_segments
@@ -307,7 +308,7 @@ def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w11_group_order", f"with {_SITE_URLS}, g as (select coalesce(sitemap, '__unsourced__') as grp, count(*) as n from site_urls group by 1) select grp as \"group\", n, cast(row_number() over (order by n desc, grp) as integer) as place from g")
 def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _site_urls(spark, sf_dir).groupBy(F.coalesce("sitemap", F.lit(recon.UNSOURCED)).alias("group")).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("place", F.row_number().over(W.Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "group")))
+    return numbered(g, [F.desc("n"), F.col("group")], "place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 @query("a12_sitemap_groups", f"with {_SITE_URLS} select string_split(sitemap, '/')[-1] as label, sitemap, count(*) as n from site_urls where sitemap is not null group by all")

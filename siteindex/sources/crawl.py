@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions import text
+from ..functions import order, text
 
 #: Export headers of each field, in the order they are tried. Fixed values.
 ALIASES = {
@@ -81,8 +81,10 @@ def accepted(rows: DataFrame) -> Column:
 def crawl_entries(raw: DataFrame, max_urls: int = 0, part: str | None = None) -> DataFrame:
     """Typed page entries with ``index``, in file order; ``part`` numbers each site alone."""
     rows = aliased(raw).where(accepted(raw))
-    order = (W.Window.partitionBy(part) if part else W.Window.partitionBy(F.lit(0))).orderBy("ord")
-    numbered = rows.withColumn("index", (F.row_number().over(order) - 1).cast("bigint"))
+    if part:
+        numbered = rows.withColumn("index", (F.row_number().over(W.Window.partitionBy(part).orderBy("ord")) - 1).cast("bigint"))
+    else:
+        numbered = order.numbered(rows, [F.col("ord")], "index")
     if max_urls:
         numbered = numbered.where(F.col("index") < max_urls)
     depth = F.when(F.col("crawl_depth") == "", F.lit(-1)).otherwise(text.safe_int(F.col("crawl_depth"))).cast("bigint")
