@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .. import streaming
-from ..functions import patterns
+from ..functions import patterns, ranking
+from ..lineage import shared_folder
 from ..operators import operations as ops
 from ..operators import fingerprints, review, site
+from ..sources import store
 from .inputs import select_list, sql_path
 from .registry import query, table
 
@@ -618,22 +622,56 @@ def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("source", F.concat(F.rpad("source", 10, " "), F.lpad(F.col("n").cast("string"), 7, " ")).alias("line"))
 
 
-@query("k16_replace_by_key", "select o_custkey, count(*) as n from orders where o_orderpriority <> '1-URGENT' group by 1 union all select c_custkey, 0 from customer where c_custkey % 3 = 0 and c_custkey not in (select o_custkey from orders where o_orderpriority <> '1-URGENT')")
+@query("k16_replace_by_key", "with o as (select c_mktsegment as segment, count(*) as n, c_nationkey as run from customer group by all) select segment, n, run from o where run % 3 <> 0 union all select 'all', sum(n), run from o where run % 3 = 0 group by run")
 def k16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = table(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    old = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(0).cast("bigint").alias("n"))
-    return new.unionByName(old.join(new, "o_custkey", "left_anti"))
+    """Runs are written, and a third of them is written anew by key."""
+    old = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("run")).agg(F.count(F.lit(1)).alias("n"))
+    path = f"{shared_folder(spark)}/siteindex/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    store.replace_by_key(old.select("segment", "n", "run"), path, "run")
+    new = old.where("run % 3 = 0").groupBy("run").agg(F.sum("n").alias("n")).select(F.lit("all").alias("segment"), "n", "run")
+    store.replace_by_key(new, path, "run")
+    return spark.read.parquet(path).select("segment", "n", F.col("run").cast(old.schema["run"].dataType).alias("run"))
 
 
-@query("k17_upsert", "select o_custkey, o_orderkey, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1")
+@query("k17_upsert", "with a as (select o_custkey, o_orderkey as version, o_orderstatus, o_orderkey % 3 = 0 as fresh from orders) select o_custkey, version, o_orderstatus from a qualify row_number() over (partition by o_custkey order by version desc, fresh desc) = 1")
 def k17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ("o_custkey",), "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("version"), "o_orderstatus", (F.col("o_orderkey") % 3 == 0).alias("fresh"))
+    return store.upsert(rows.where("not fresh").drop("fresh"), rows.where("fresh").drop("fresh"), ["o_custkey"], "version")
+
+
+_RUNS = "runs as (select o_orderkey as run, o_orderstatus as status from orders), pages_ as (select l_orderkey as run, l_linenumber as page from lineitem)"
+
+
+@query(
+    "k17_clone_delete",
+    f"with {_RUNS}, r as (select * from runs union all select run + 1000000000, status from runs where run % 5 = 0), p as (select * from pages_ union all select run + 1000000000, page from pages_ where run % 5 = 0) select run, status, count(page) as pages from r left join p using (run) where run % 7 <> 1 group by all",
+)
+def k17_clone_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"))
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("page"))
+    named = runs.where("run % 5 = 0").select("run", (F.col("run") + 1_000_000_000).alias("clone"))
+    held = store.clone_runs({"runs": runs, "pages": pages}, named)
+    held = store.delete_runs(held, held["runs"].where("run % 7 = 1").select("run"))
+    counted = held["pages"].groupBy("run").agg(F.count("page").alias("pages"))
+    return held["runs"].join(counted, "run", "left").select("run", "status", F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
+_LINKED = """g as (select page_id as ord, page_id // 50 as scope, url || case page_id % 9 when 0 then '/privacy-policy' when 1 then '/Terms' when 2 then '/returns' when 3 then '/contact-us' else '' end as url, case page_id % 4 when 0 then '' when 1 then 'Store locator' else 'Page ' || page_id end as title from pages),
+k as (select *, case when contains(lower(url), 'privacy') then 'Privacy' when contains(lower(url), 'terms') then 'Terms' when contains(lower(url), 'returns') then 'Returns' end as policy from g)"""
+_CONTACTS = f"({' or '.join(f'contains(lower(url), {chr(39)}{w}{chr(39)})' for w in ranking.CONTACT_URL)} or {' or '.join(f'contains(lower(title), {chr(39)}{w}{chr(39)})' for w in ranking.CONTACT_TITLE)})"
 
 
-@query("w15_link_split", "with l as (select doc_id, source, case when doc_id % 7 = 0 then 'privacy' when doc_id % 7 = 1 then 'returns' when doc_id % 7 = 2 then 'contact' else 'read' end as label from documents), r as (select *, row_number() over (partition by source, label order by doc_id) as rn from l) select source, label, doc_id from r where rn <= case when label = 'read' then 12 else 1 end")
+@query(
+    "w15_link_split",
+    f"""with {_LINKED}, n as (select *, row_number() over (partition by scope, policy order by ord) as pn, {_CONTACTS} as c, row_number() over (partition by scope, policy is null, {_CONTACTS} order by ord) as cn from k),
+    o as (select *, row_number() over (partition by scope order by ord) as m from n where policy is null and not (c and cn = 1))
+    select scope, ord, url, 'policy' as kind, policy as label from n where policy is not null and pn = 1 union all select scope, ord, url, 'contact', 'Contact' from n where policy is null and c and cn = 1
+    union all select scope, ord, url, 'read', case when title = '' then url else title end from o where m <= 12""",
+)
 def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 7
-    label = F.when(k == 0, "privacy").when(k == 1, "returns").when(k == 2, "contact").otherwise("read")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", label.alias("label"))
-    n = F.row_number().over(W.Window.partitionBy("source", "label").orderBy("doc_id"))
-    return rows.withColumn("n", n).where(F.col("n") <= F.when(F.col("label") == "read", 12).otherwise(1)).select("source", "label", "doc_id")
+    i = F.col("page_id")
+    tail = F.when(i % 9 == 0, "/privacy-policy").when(i % 9 == 1, "/Terms").when(i % 9 == 2, "/returns").when(i % 9 == 3, "/contact-us").otherwise("")
+    title = F.when(i % 4 == 0, "").when(i % 4 == 1, "Store locator").otherwise(F.concat(F.lit("Page "), i.cast("string")))
+    pages = table(spark, sf_dir, "pages").select(i.alias("ord"), F.floor(i / 50).alias("scope"), F.concat("url", tail).alias("url"), title.alias("title"))
+    contact = ranking.any_of(F.lower("url"), ranking.CONTACT_URL) | ranking.any_of(F.lower("title"), ranking.CONTACT_TITLE)
+    return store.split_links(pages, contact)
