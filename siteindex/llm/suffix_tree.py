@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..lineage import written
-from .common import any_columns, arrow, most_frequent, texts_as_bytes, word_hashes
+from .common import any_columns, arrow, mix, most_frequent, texts_as_bytes, word_hashes
 from .grams import Filter, grams
 
 #: The end token's hash, a value like any other.
@@ -89,28 +89,28 @@ def vocabulary(training: DataFrame, block: int = 2_000_000) -> DataFrame:
     return arrow(training.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def next_counts(training: DataFrame, contexts: DataFrame, listed: DataFrame, depth: int, n_tokens: int, filter_bits: int, block: int = 2_000_000) -> DataFrame:
+def next_counts(training: DataFrame, contexts: DataFrame, listed: DataFrame, depth: int, n_tokens: int, filter_bits: int, parts: int = 4096, block: int = 2_000_000) -> DataFrame:
     """``ctx``, ``up``, ``n``: how often each symbol follows each of ``contexts`` (key, total), a context of ``depth`` words.
 
     ``up`` is the n-gram without its first word, one of ``listed`` (key): a rarer one can't
-    reach the floor. A task sends each context with all its symbols in one row; the filters
-    may let others through.
+    reach the floor. A task sends its counts in ``parts`` rows, dealt out by context (the
+    hottest also by symbol); the filters may let others through.
     """
     spark = training.sparkSession
     hot = contexts.where(F.col("total") * HOT_SHARE >= n_tokens).select("key").toArrow().column(0).to_numpy()
     sent = spark.sparkContext.broadcast((Filter(contexts, filter_bits), Filter(listed, filter_bits), np.sort(hot)))
 
     def rows_of(ctx: np.ndarray, up: np.ndarray, salt: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((up, salt, ctx) if salt.any() else (up, ctx))
-        ctx, up, salt = ctx[order], up[order], salt[order]
-        apart = (ctx[1:] != ctx[:-1]) | (salt[1:] != salt[:-1])
-        first = np.flatnonzero(np.concatenate([[True], apart | (up[1:] != up[:-1])]))
+        part = (mix(ctx.view(np.uint64) + salt.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((up, ctx, part))
+        part, ctx, up = part[order], ctx[order], up[order]
+        first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (up[1:] != up[:-1])]))
         n = np.diff(np.append(first, len(ctx)))
-        ctx, up, salt = ctx[first], up[first], salt[first]
-        group = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (salt[1:] != salt[:-1])]))
+        part, ctx, up = part[first], ctx[first], up[first]
+        group = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         offsets = pa.array(np.append(group, len(ctx)), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (up, n.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array(ctx[group]), pa.array(salt[group], pa.int32()), *lists], names=["ctx", "salt", "ups", "ns"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ctx, up, n.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(part[group], pa.int32()), *lists], names=["part", "ctxs", "ups", "ns"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, fine, often = sent.value
@@ -126,9 +126,9 @@ def next_counts(training: DataFrame, contexts: DataFrame, listed: DataFrame, dep
                     if len(ctx):
                         yield rows_of(ctx, up, salt)
 
-    rows = arrow(training.select("text"), count, "ctx long, salt int, ups array<long>, ns array<int>")
-    each = rows.repartition("ctx", "salt").select("ctx", "salt", F.explode(F.arrays_zip("ups", "ns")).alias("x"))
-    return each.groupBy("ctx", "salt", F.col("x.ups").alias("up")).agg(F.sum("x.ns").alias("n")).drop("salt")
+    rows = arrow(training.select("text"), count, "part int, ctxs array<long>, ups array<long>, ns array<int>")
+    each = rows.repartition("part").select("part", F.explode(F.arrays_zip("ctxs", "ups", "ns")).alias("x"))
+    return each.groupBy("part", F.col("x.ctxs").alias("ctx"), F.col("x.ups").alias("up")).agg(F.sum("x.ns").alias("n")).drop("part")
 
 
 def level(counts: DataFrame, contexts: DataFrame, parents: DataFrame, min_symbol: int, discount: float, gain_per_symbol: float) -> DataFrame:
