@@ -1,4 +1,4 @@
-"""The ten training-data queries: thin digests over the operators, on whole tables."""
+"""The training-data queries: thin digests over the operators, on whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_classifier, licenses, mixing, near_duplicates, quality_rules, repeats, suffix_tree, token_counts
+from . import decontaminate, divergence, host_classifier, lexical_search, licenses, mixing, near_duplicates, quality_rules, repeats, suffix_tree, token_counts
 from .common import table
 
 SHARDS = 40
@@ -76,6 +76,16 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lexical_search.ranked_search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select("item_id", "rank", "doc_id", "score")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_fair_queue_mix,
         op10_remove_repeats,
+        op11_block_max_search,
+        op13_source_divergence,
     )
 }
 
@@ -117,5 +129,39 @@ select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or words_left < 10 or words_left < n_words * 0.3) as kept
 from verdict"""
 
-ORACLE_SQL: dict[str, str] = {"op2_line_frequency_quality": QUALITY_SQL}
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH_SQL = rf"""
+with docs as (select row_number() over () as row_id, doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+sized as (select row_id, doc_id, len(terms) as n from docs where len(terms) > 0),
+corpus as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from sized),
+tf as (select row_id, term, count(*) as tf from (select row_id, unnest(terms) as term from docs) group by row_id, term),
+df as (select term, count(*) as df from tf group by term),
+items as (select row_number() over () as item_row, item_id, list_distinct(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as terms from benchmark),
+asked as (select item_row, item_id, unnest(terms) as term from items),
+weighed as (select item_row, item_id, term, cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w from asked join df using (term), corpus),
+scored as (
+  select item_row, item_id, row_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) as bigint) as score
+  from weighed join tf using (term) join sized using (row_id), corpus group by item_row, item_id, row_id, doc_id),
+ranked as (select item_id, doc_id, score, row_number() over (partition by item_row order by score desc, doc_id nulls last) as rank from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 50"""
+
+DIVERGENCE_SQL = rf"""
+with d as (select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWER_SQL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+words as (select row_id, lang, source, unnest(terms) as term from d),
+kept as (select lang, term, count(*) as lang_n from words group by lang, term having count(distinct row_id) >= 30),
+voc as (select lang, count(*) as v, cast(sum(lang_n) as hugeint) as total from kept group by lang),
+tf as (select lang, source, term, count(*) as n from words join kept using (lang, term) group by lang, source, term),
+grp as (select g.lang, g.source, coalesce(sum(n), 0) as total from (select distinct lang, source from d) g left join tf on g.lang = tf.lang and g.source = tf.source group by g.lang, g.source),
+share as (
+  select g.lang, g.source, k.term, coalesce(n, 0) as n, 1 + (1000000000 * (coalesce(n, 0) + 5)::hugeint) // (g.total + 5 * v) as p, 1 + (1000000000 * (lang_n + 5)::hugeint) // (voc.total + 5 * v) as q
+  from grp g join kept k on g.lang = k.lang join voc on voc.lang = g.lang left join tf on tf.lang = g.lang and tf.source = g.source and tf.term = k.term),
+apart as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from share a join share b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+rows_ as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from grp a join grp b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', term, p - q from share where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from rows_)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 50"""
+
+ORACLE_SQL: dict[str, str] = {"op2_line_frequency_quality": QUALITY_SQL, "op11_block_max_search": SEARCH_SQL, "op13_source_divergence": DIVERGENCE_SQL}
 
