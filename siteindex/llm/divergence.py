@@ -45,41 +45,76 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def term_counts(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
-    """``lang``, ``source``, ``term``, ``n`` (occurrences) and ``documents`` that hold the term."""
+class _Tally:
+    """Counts by group and term of one task's texts, until they are sent."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.entries = 0
+
+    def add(self, rows: list[tuple[str, str]], texts: list[bytes]) -> None:
+        # Texts of a group stand together, so that a term's tokens, in order, do so too.
+        number = [self.groups.setdefault(r, len(self.groups)) for r in rows]
+        order = sorted(range(len(texts)), key=number.__getitem__)
+        group_of = np.array([number[k] for k in order])
+        found = terms_of([texts[k] for k in order], LETTER_TERMS)
+        by_term = np.argsort(found.hashes, kind="stable")
+        hashes, text = found.hashes[by_term], found.text[by_term]
+        first = run_starts(hashes, text)  # one for each term of a text
+        times = np.diff(np.append(first, len(hashes)))
+        hashes, group = hashes[first], group_of[text[first]]
+        row = run_starts(hashes, group)
+        if len(row):
+            shown = by_term[first[row]]
+            letters, offsets = taken(np.frombuffer(found.data, np.uint8), found.begins[shown], found.ends[shown])
+            self.parts.append((hashes[row], group[row], np.add.reduceat(times, row), np.diff(np.append(row, len(hashes))), np.diff(offsets), letters))
+            self.entries += len(row)
+
+    def sent(self, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+        """All counts so far, each group and term once."""
+        if not self.parts:
+            return
+        hashes, group, n, documents, sizes, letters = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        ends = np.cumsum(sizes)
+        order = np.lexsort((group, hashes))
+        first = run_starts(hashes[order], group[order])
+        n, documents, shown = np.add.reduceat(n[order], first), np.add.reduceat(documents[order], first), order[first]
+        names = [pa.array([g[k] for g in self.groups], pa.string()) for k in (0, 1)]
+        for a in range(0, len(first), rows):
+            part = shown[a : a + rows]
+            data, offsets = taken(letters, ends[part] - sizes[part], ends[part])
+            term = pa.StringArray.from_buffers(len(part), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+            lang, source = (x.take(pa.array(group[part])) for x in names)
+            yield pa.RecordBatch.from_arrays([lang, source, term, pa.array(n[a : a + rows]), pa.array(documents[a : a + rows])], names=["lang", "source", "term", "n", "documents"])
+        self.parts, self.entries = [], 0
+
+
+def term_counts(docs: DataFrame, block_bytes: int = 1 << 20, held_entries: int = 1_000_000) -> DataFrame:
+    """``lang``, ``source``, ``term``, ``n`` (occurrences), ``documents`` that hold the term, in one row or more; dealt out by language and term.
+
+    A task sums ``held_entries`` counts before it sends them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups, texts in text_blocks(batches, block_bytes):
-            # Texts of a group stand together, so that a term's tokens, in order, do so too.
-            names = sorted(set(groups))
-            number = {g: k for k, g in enumerate(names)}
-            order = sorted(range(len(texts)), key=lambda k: number[groups[k]])
-            group_of = np.array([number[groups[k]] for k in order])
-            found = terms_of([texts[k] for k in order], LETTER_TERMS)
-            by_term = np.argsort(found.hashes, kind="stable")
-            hashes, text = found.hashes[by_term], found.text[by_term]
-            first = run_starts(hashes, text)  # one for each term of a text
-            times = np.diff(np.append(first, len(hashes)))
-            hashes, group = hashes[first], group_of[text[first]]
-            row = run_starts(hashes, group)
-            if not len(row):
-                continue
-            shown = by_term[first[row]]
-            spans = zip(found.begins[shown].tolist(), found.ends[shown].tolist(), strict=True)
-            group = group[row].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[g][0] for g in group], pa.string()),
-                    pa.array([names[g][1] for g in group], pa.string()),
-                    pa.array([found.data[a:b] for a, b in spans], pa.binary()).cast(pa.string()),
-                    pa.array(np.add.reduceat(times, row), pa.int64()),
-                    pa.array(np.diff(np.append(row, len(hashes))), pa.int64()),
-                ],
-                names=["lang", "source", "term", "n", "documents"],
-            )
+        tally = _Tally()
+        for rows, texts in text_blocks(batches, block_bytes):
+            tally.add(rows, texts)
+            if tally.entries >= held_entries:
+                yield from tally.sent()
+        yield from tally.sent()
 
     rows = arrow(_named(docs), count, "lang string, source string, term string, n long, documents long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    return rows.repartition("lang", "term")
+
+
+def kept_postings(docs: DataFrame, min_documents: int) -> DataFrame:
+    """``lang``, ``term``, ``source``, ``n`` and ``lang_n`` of the terms in at least ``min_documents`` documents of their language."""
+    counts = term_counts(docs).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    # A term has a row for each source at most, in the partition where it is.
+    whole = W.Window.partitionBy("lang", "term")
+    sums = counts.select("lang", "term", "source", "n", F.sum("n").over(whole).alias("lang_n"), F.sum("documents").over(whole).alias("in_documents"))
+    return sums.where(F.col("in_documents") >= min_documents).drop("in_documents")
 
 
 def _share(count: Column | str, total: str, kept: str) -> Column:
@@ -99,12 +134,6 @@ def _groups(docs: DataFrame, posted: DataFrame, languages: DataFrame) -> DataFra
     return rows.withColumn("p0", F.when(F.col("kept") > 0, _share(F.lit(0).cast("long"), "total", "kept")))
 
 
-def kept_postings(counts: DataFrame, min_documents: int) -> DataFrame:
-    """``lang``, ``term``, ``source``, ``n`` and ``lang_n`` of the terms in at least ``min_documents`` documents of their language."""
-    terms = counts.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("lang_n")).where(F.col("documents") >= min_documents)
-    return counts.select("lang", "term", "source", "n").join(terms.select("lang", "term", "lang_n"), ["lang", "term"])
-
-
 def pair_divergence(shares: DataFrame, groups: DataFrame) -> DataFrame:
     """``lang``, ``source``, ``item`` (another source) and ``value``, for every ordered pair of sources of a language."""
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"), F.col("support").alias("item_support"))
@@ -133,7 +162,7 @@ def divergence_audit(docs: DataFrame, min_documents: int = 30, most_terms: int =
     Part `pair`: every other source of the language by its divergence. Part `term`: the
     ``most_terms`` terms that a source holds most above its language's probability.
     """
-    posted = written(kept_postings(written(term_counts(docs)), min_documents))
+    posted = written(kept_postings(docs, min_documents))
     languages = posted.select("lang", "term", "lang_n").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
     groups = written(_groups(docs, posted, languages))
     known = posted.join(groups.select("lang", "source", "total", "kept", "p0"), ["lang", "source"]).join(languages.select("lang", "lang_total"), "lang")

@@ -51,7 +51,7 @@ IMPACT = 1_000_000_000
 LEAD = 16
 
 
-def corpus_size(docs: DataFrame, block_bytes: int = 4 << 20) -> tuple[int, int]:
+def corpus_size(docs: DataFrame, block_bytes: int = 1 << 20) -> tuple[int, int]:
     """Documents with a term, and all their terms with repeats."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ class Postings:
 INDEX = "segment long, term long, n int, firsts array<int>, lasts array<int>, tops array<int>, forms array<tinyint>, data binary, ids array<long>, sizes array<int>"
 
 
-def build_index(docs: DataFrame, n_documents: int, n_terms: int, segment_postings: int = 3_000_000, block_bytes: int = 4 << 20) -> DataFrame:
+def build_index(docs: DataFrame, n_documents: int, n_terms: int, segment_postings: int = 3_000_000, block_bytes: int = 1 << 20) -> DataFrame:
     """The index as a written table: a row for each segment and term, and one without a term that lists the segment's documents."""
 
     def segment_rows(segment: int, parts: list[tuple[np.ndarray, ...]], ids: list, sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:

@@ -61,6 +61,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator
         yield rows, texts
 
 
+def taken(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``data`` one after the other, and the offset of each and of the end."""
+    sizes = ends - begins
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return data[np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], sizes)], offsets
+
+
 def run_starts(*keys: np.ndarray) -> np.ndarray:
     """Where a new run of equal keys begins in sorted arrays."""
     if not len(keys[0]):
