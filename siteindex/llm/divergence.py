@@ -36,7 +36,7 @@ from pyspark.sql import window as W
 
 from ..lineage import written
 from .common import arrow
-from .terms import LETTER_TERMS, run_starts, terms_of, text_blocks
+from .terms import LETTER_TERMS, run_starts, taken, terms_of, text_blocks
 
 SCALE, SMOOTHING = 1_000_000_000, 5
 
