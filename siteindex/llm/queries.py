@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, host_classifier, lexical_search, licenses, mixing, near_duplicates, quality_rules, repeats, suffix_tree, token_counts
+from . import decontaminate, divergence, host_classifier, lexical_search, licenses, mixing, near_duplicates, quality_rules, repeats, suffix_tree, token_counts, toxicity
 from .common import table
 
 SHARDS = 40
 #: Tokens above which a document is over the limit.
 TOKEN_LIMIT = 2048
+#: Score from which a document is predicted toxic.
+TOXIC = 0.7
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -82,6 +84,11 @@ def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", "rank", "doc_id", "score")
 
 
+def op12_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_fair_queue_mix,
         op10_remove_repeats,
         op11_block_max_search,
+        op12_noisy_channel_toxicity,
         op13_source_divergence,
     )
 }
