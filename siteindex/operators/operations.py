@@ -1,8 +1,7 @@
-"""Costs, run logs, job queues and ordered edits."""
+"""Costs, run logs and job queues."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -65,43 +64,3 @@ def eligible_jobs(jobs: DataFrame) -> DataFrame:
 
 def next_job(jobs: DataFrame) -> DataFrame:
     return eligible_jobs(jobs).orderBy(F.desc("priority"), "id").limit(1)
-
-
-def apply_edits(pages: DataFrame, operations: DataFrame) -> DataFrame:
-    """(doc, url, section, optional, included, applied, rejected) after each document's operations in order.
-
-    The fold is sequential inside a document (a rename changes what a later move
-    refers to), so each document is one pandas group; documents are independent.
-    """
-    log = operations.select("doc", F.lit(1).alias("kind"), "seq", "op", "url", "section", "text")
-    state = pages.select("doc", F.lit(0).alias("kind"), F.col("ord").alias("seq"), F.lit("page").alias("op"), "url", "section", F.lit("").alias("text"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["kind", "seq"]).itertuples(index=False)
-        held: dict[str, dict] = {}
-        applied = rejected = 0
-        for r in rows:
-            if r.kind == 0:
-                held[r.url] = {"section": r.section, "optional": False, "included": True}
-                continue
-            page = held.get(r.url)
-            sections = {p["section"] for p in held.values()}
-            done = True
-            if r.op == "rename_section" and r.section and r.text and r.section in sections:
-                for p in held.values():
-                    if p["section"] == r.section:
-                        p["section"] = r.text
-            elif r.op == "move_page" and page and r.section:
-                page.update(section=r.section, optional=False)
-            elif r.op in ("set_optional", "clear_optional") and page:
-                page["optional"] = r.op == "set_optional"
-            elif r.op in ("exclude_page", "include_page") and page:
-                page["included"] = r.op == "include_page"
-            else:
-                done = False
-            applied, rejected = applied + done, rejected + (not done)
-        doc = group["doc"].iloc[0]
-        out = [(doc, u, p["section"], p["optional"], p["included"], applied, rejected) for u, p in held.items()]
-        return pd.DataFrame(out, columns=["doc", "url", "section", "optional", "included", "applied", "rejected"])
-
-    return state.unionByName(log).groupBy("doc").applyInPandas(fold, "doc long, url string, section string, optional boolean, included boolean, applied long, rejected long")

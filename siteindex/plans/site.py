@@ -11,8 +11,8 @@ from pyspark.sql import window as W
 from .. import streaming
 from ..functions import patterns, ranking
 from ..lineage import shared_folder
+from ..operators import edits, fingerprints, review, site
 from ..operators import operations as ops
-from ..operators import fingerprints, review, site
 from ..sources import store
 from .inputs import select_list, sql_path
 from .registry import query, table
@@ -262,14 +262,43 @@ def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.windowed_counts(table(spark, sf_dir, "events"))
 
 
+def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations as edit logs: a turn is an operation on pages and sections that earlier turns name."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("seq"), "text")
+    n = F.col("seq")
+    url = F.concat(F.lit("https://x.example/"), (n % 4).cast("string"))
+    section = lambda k: F.concat(F.lit("S"), (k % 3).cast("string"))
+    first = c.groupBy("doc", url.alias("url")).agg(F.min("seq").alias("ord"), F.min_by("text", "seq").alias("title"))
+    described = F.when(F.col("ord") % 3 == 0, "").otherwise("About this page.")
+    pages = first.select("doc", "url", "ord", "title", described.alias("description"), section(F.col("ord")).alias("section"), F.lit(False).alias("optional"), F.lit(True).alias("included"))
+    sites = c.select("doc").distinct().select("doc", F.lit("Site").alias("site_name"), F.lit("").alias("site_summary"), F.lit("").alias("notes"))
+    kinds = F.array(*[F.lit(x) for x in (*edits.HANDLERS, "delete_everything")])
+    log = c.select(
+        "doc",
+        "seq",
+        F.get(kinds, F.pmod(F.xxhash64("doc", "seq"), F.lit(len(edits.HANDLERS) + 1)).cast("int")).alias("op"),
+        F.when(n % 7 == 6, F.concat(url, F.lit("/"))).otherwise(url).alias("url"),
+        F.when(n % 5 != 4, section(n + 1)).otherwise("").alias("section"),
+        F.when(n % 6 == 5, F.concat(F.lit("# "), "text")).otherwise(F.concat(F.lit("S"), (n % 4).cast("string"))).alias("text"),
+        F.when(n % 2 == 0, F.concat(F.lit("Title "), n.cast("string"))).alias("title"),
+        F.when(n % 3 == 0, "text").otherwise("").alias("description"),
+        (n % 2 == 1).alias("flag"),
+        F.array(section(n), section(n + 1)).alias("sections"),
+    )
+    return pages, sites, log
+
+
 @query("t05_edit_fold")
 def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    url = F.concat(F.lit("u"), (F.col("turn") % 4).cast("string"))
-    pages = c.groupBy(F.col("conv_id").alias("doc"), url.alias("url")).agg(F.min("turn").alias("ord")).withColumn("section", F.concat(F.lit("S"), (F.col("ord") % 2).cast("string")))
-    kinds = F.array(*[F.lit(x) for x in ("move_page", "rename_section", "exclude_page", "set_optional", "include_page", "noise")])
-    log = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("seq"), F.get(kinds, (F.col("turn") % 6).cast("int")).alias("op"), url.alias("url"), F.concat(F.lit("S"), (F.col("turn") % 2).cast("string")).alias("section"), F.concat(F.lit("R"), F.col("turn").cast("string")).alias("text"))
-    return ops.apply_edits(pages, log)
+    """Every page after its document's ten kinds of edits."""
+    out = edits.edited(*_edits(spark, sf_dir)).where("kind = 'page'")
+    return out.select("doc", "url", "title", "description", "section", "optional", "included")
+
+
+@query("t05_edit_report")
+def t05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every operation, and why it was refused."""
+    return edits.edited(*_edits(spark, sf_dir)).where("kind = 'operation'").select("doc", "seq", "op", "url", "reason")
 
 
 _CODES = "e as (select user_id as run, event_id % 2 = 1 as after, event_type || '-' || event_id % 3 as code from events where event_type in ('error', 'click'))"
