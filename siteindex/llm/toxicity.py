@@ -12,11 +12,11 @@ each separator may be dropped or be a bound. Viterbi finds the likeliest path; i
 are the last three characters, all of them, without a beam. The restored letters take the
 place of the span. Other text stays as it is.
 
-Score. Logistic regression over the restored text's words and word beginnings (3 to 8
-bytes), each as present, twice and four times or more. Features are told apart by 64-bit
-hashes. Those whose classes clearly differ in the labelled rows are used; the model is
-fitted by Spark on labelled rows that are not held out, at most about ``max_labelled`` (a hash
-threshold), and at most ``max_features`` features.
+Score. Logistic regression over the restored text's words (to 10 bytes) and word beginnings
+(3 to 8 bytes), each as present, twice and four times or more. Features are told apart by
+62-bit hashes. Those whose classes clearly differ in the labelled rows are used; the model
+is fitted by Spark on labelled rows that are not held out, at most about ``max_labelled``
+(a hash threshold), and at most ``max_features`` features.
 
 Labels teach only by rows that are not held out; language, source and id are no features.
 
@@ -160,32 +160,92 @@ class Restorer:
 
         return SUSPECT.sub(restored, text.lower())
 
+    def restore_all(self, texts: list[bytes]) -> list[bytes]:
+        flagged = may_be_disguised(texts)
+        return [self.restore(t) if f else t.lower() for t, f in zip(texts, flagged.tolist(), strict=True)]
 
-def features_of(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of restored texts: each text's place and the feature's hash, sorted, once each; only those of the sorted ``keep``."""
+
+def _class_of(characters: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(characters.encode())] = True
+    return out
+
+
+_LETTER, _SIGN, _BANG, _APART, _MARK = (_class_of(x) for x in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789@$|+", "!", SEPARATORS, SEPARATORS.replace(" ", "")))
+
+
+def may_be_disguised(texts: list[bytes]) -> np.ndarray:
+    """False for texts in which ``SUSPECT`` finds nothing, from neighbouring characters alone."""
+    data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n" * 6, np.uint8)
+    size = len(data) - 6
+    at = lambda x, k: x[k : k + size]
+    letter, sign, bang, apart, mark = _LETTER[data], _SIGN[data], _BANG[data], _APART[data], _MARK[data]
+    piece = letter | sign | bang
+    same = np.append(letter[:-1] & ((data[:-1] | 32) == (data[1:] | 32)), False)
+    among = at(letter | bang, 0) & at(sign, 1) | at(sign, 0) & at(letter | bang, 1) | at(bang, 0) & at(letter, 1)
+    single = ~at(piece, 0) & at(piece, 1) & at(apart, 2) & at(piece, 3) & at(apart, 4) & at(piece, 5) & ~at(piece, 6)
+    pieces = at(mark, 0) & at(piece, 1) & (at(mark, 2) | at(piece, 2) & at(mark, 3))
+    again = at(same, 0) & at(same, 1) | at(same, 0) & at(same, 2) & at(same, 4)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    out = np.zeros(len(texts) + 1, bool)
+    out[np.searchsorted(ends, np.flatnonzero(among | single | pieces | again), "right")] = True
+    return out[:-1]
+
+
+#: A text has a feature at level 0, 1, 2 if it holds it so often.
+LEVELS = (1, 2, 4)
+#: Longer words count by their beginnings alone.
+WORD = 10
+
+
+def bases_of(texts: list[bytes], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and beginnings of restored texts: the text's place, the hash (its last two bits zero) and how often it stands there, once each.
+
+    With ``among`` (a table of 2^20 flags by the hash's next bits) others may be left out.
+    """
     found = terms_of(texts, LETTER_TERMS)
     sizes = found.ends - found.begins
     sums = Hashes(BYTES[np.frombuffer(found.data, np.uint8)], POWERS[0])
-    text, keys = [found.text], [found.hashes]
-    for n in range(3, 9):
-        longer = np.flatnonzero(sizes > n)
-        text.append(found.text[longer])
-        keys.append(mix(sums.of(found.begins[longer], found.begins[longer] + n)))  # a beginning is no word
+    text, keys = [], []
+    for n in (0, 3, 4, 5, 6, 7, 8):
+        fine = np.flatnonzero(sizes > n if n else sizes <= WORD)
+        hashes = found.hashes[fine] if not n else mix(sums.of(found.begins[fine], found.begins[fine] + n))  # a beginning is no word
+        hashes = hashes & ~np.uint64(3)
+        if among is not None:
+            known = among[(hashes >> np.uint64(2)) & np.uint64((1 << 20) - 1)]
+            fine, hashes = fine[known], hashes[known]
+        text.append(found.text[fine])
+        keys.append(hashes)
     rows, hashes = np.concatenate(text), np.concatenate(keys)
-    order = np.lexsort((hashes, rows))
+    order = np.argsort(hashes, kind="stable")
+    order = order[np.argsort(rows[order], kind="stable")]
     rows, hashes = rows[order], hashes[order]
     first = run_starts(rows, hashes)
-    times = np.diff(np.append(first, len(rows)))
-    rows, hashes = rows[first], hashes[first]
-    levels = [np.flatnonzero(times >= n) for n in (1, 2, 4)]
-    rows = np.concatenate([rows[x] for x in levels])
-    hashes = np.concatenate([mix(hashes[x] + np.uint64(k)) for k, x in enumerate(levels)])
-    if keep is not None:
-        at = np.minimum(np.searchsorted(keep, hashes), max(len(keep) - 1, 0))
-        known = keep[at] == hashes if len(keep) else np.zeros(len(hashes), bool)
-        rows, hashes = rows[known], hashes[known]
-    order = np.lexsort((hashes, rows))
-    return rows[order], hashes[order]
+    return rows[first], hashes[first], np.diff(np.append(first, len(rows)))
+
+
+class Known:
+    """Finds the features that a model has; ``keys`` are sorted, a hash plus its level each."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.among = np.zeros(1 << 20, bool)
+        self.among[(keys >> np.uint64(2)) & np.uint64((1 << 20) - 1)] = True
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's place and the place of each of its features in ``keys``."""
+        rows, hashes, times = bases_of(texts, self.among)
+        place, at = [], []
+        for level, least in enumerate(LEVELS):
+            often = times >= least
+            keys = hashes[often] + np.uint64(level)
+            found = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            hit = self.keys[found] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            place.append(rows[often][hit])
+            at.append(found[hit])
+        place, at = np.concatenate(place), np.concatenate(at)
+        order = np.argsort(place, kind="stable")
+        return place[order], at[order]
 
 
 def train_language_model(texts: DataFrame) -> np.ndarray:
@@ -214,59 +274,95 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int)
     return docs.join(marked, F.col("doc_id") == F.col("label_id")).select("y", "text")
 
 
+def _feature_counts(labelled: DataFrame, held: int = 1_000_000) -> DataFrame:
+    """``key`` (a hash and its level), ``a`` and ``b``: labelled rows of class 0 and 1 that have the feature. A task sums ``held`` keys before it sends them."""
+    names = [f"{c}{k}" for k in range(len(LEVELS)) for c in "ab"]
+
+    def sent(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        hashes, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        first = run_starts(hashes[order])
+        sums = [np.add.reduceat(c[order], first) for c in counts]
+        return pa.RecordBatch.from_arrays([pa.array(hashes[order][first].view(np.int64)), *(pa.array(c, pa.int64()) for c in sums)], names=["hash", *names])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for rows, texts in text_blocks(batches, 1 << 20):
+            y = np.array([r[0] for r in rows], np.int64)
+            text, hashes, times = bases_of(texts)
+            y = y[text]
+            parts.append((hashes, *((times >= n) & (y == c) for n in LEVELS for c in (0, 1))))
+            parts[-1] = (hashes, *(x.astype(np.int64) for x in parts[-1][1:]))
+            size += len(hashes)
+            if size >= held:
+                yield sent(parts)
+                parts, size = [], 0
+        if parts:
+            yield sent(parts)
+
+    rows = arrow(labelled.select("y", "text"), count, "hash long, " + ", ".join(f"{n} long" for n in names))
+    sums = rows.groupBy("hash").agg(*[F.sum(n).alias(n) for n in names])
+    levels = F.array(*[F.struct((F.col("hash") + k).alias("key"), F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b")) for k in range(len(LEVELS))])
+    return sums.select(F.explode(levels).alias("x")).select("x.*")
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, max_features: int, remembered: int, min_documents: int = 3, min_z: float = 2.5, min_odds: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """The language model, the features (sorted hashes), their weights and the intercept."""
+    """The language model, the features (sorted keys), their weights and the intercept."""
     spark = docs.sparkSession
     model = train_language_model(docs.where(~held_out(F.col("doc_id"))))
     sent = spark.sparkContext.broadcast(model)
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(sent.value, remembered)
         for rows, texts in text_blocks(batches, 1 << 20):
-            place, keys = features_of([restorer.restore(t) for t in texts])
-            offsets = np.searchsorted(place, np.arange(len(texts) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lists], names=["y", "keys"])
+            restored = pa.array(restorer.restore_all(texts), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), restored], names=["y", "text"])
 
-    rows = written(arrow(_labelled(docs, labels, label, max_labelled), extract, "y long, keys array<long>"))
-    head = rows.agg(F.sum("y"), F.count(F.lit(1))).first()
+    labelled = written(arrow(_labelled(docs, labels, label, max_labelled), restore, "y long, text string"))
+    head = labelled.agg(F.sum("y"), F.count(F.lit(1))).first()
     n, n1 = head[1], head[0] or 0
     n0 = n - n1
     nothing = np.zeros(0, np.uint64), np.zeros(0)
     base = math.log((n1 + 0.5) / (n0 + 0.5))
     if not n1 or not n0:
         return model, *nothing, base
-    seen = rows.select("y", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("y").alias("b"), F.count(F.lit(1)).alias("n"))
-    a, b = F.col("n") - F.col("b"), F.col("b")
+    a, b = F.col("a"), F.col("b")
     odds = F.log((b + 0.5) / (n1 + 1.0)) - F.log((a + 0.5) / (n0 + 1.0))
     z = F.abs(odds) / F.sqrt(1 / (b + 0.5) + 1 / (a + 0.5))
-    strong = seen.where((F.col("n") >= min_documents) & (F.abs(odds) >= min_odds) & (z >= min_z)).select("key", F.floor(64 * z).alias("z"))
-    keys = sorted(r["key"] for r in most_frequent(strong, "z", max_features).toLocalIterator())
-    if not keys:
+    strong = _feature_counts(labelled).where((a + b >= min_documents) & (F.abs(odds) >= min_odds) & (z >= min_z)).select("key", F.floor(64 * z).alias("z"))
+    keys = np.array([r["key"] for r in most_frequent(written(strong), "z", max_features).toLocalIterator()], np.int64).view(np.uint64)
+    if not len(keys):
         return model, *nothing, base
-    vectors = CountVectorizerModel.from_vocabulary([str(k) for k in keys], "words", "features").setBinary(True)
-    points = vectors.transform(rows.select(F.col("y").cast("double").alias("label"), F.col("keys").cast("array<string>").alias("words")))
-    fitted = LogisticRegression(maxIter=100, regParam=0.5 / n, standardization=False).fit(points.select("label", "features"))
-    features = np.array(keys, np.int64).view(np.uint64)
-    order = np.argsort(features)
-    return model, features[order], fitted.coefficients.toArray()[order], float(fitted.intercept)
+    known = spark.sparkContext.broadcast(Known(np.sort(keys)))
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_blocks(batches, 1 << 20):
+            place, at = known.value.of(texts)
+            offsets = np.searchsorted(place, np.arange(len(texts) + 1))
+            words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([float(r[0]) for r in rows]), words], names=["label", "words"])
+
+    points = written(arrow(labelled, extract, "label double, words array<string>"))
+    vectors = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(keys))], "words", "features").setBinary(True)
+    fitted = LogisticRegression(maxIter=60, regParam=0.5 / n, standardization=False).fit(vectors.transform(points).select("label", "features"))
+    return model, known.value.keys, fitted.coefficients.toArray(), float(fitted.intercept)
 
 
 @any_columns
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 200_000, max_features: int = 50_000, remembered: int = 200_000, **parameters) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 50_000, max_features: int = 20_000, remembered: int = 200_000, **parameters) -> DataFrame:
     """``docs`` without its text plus ``held_out`` and ``score``, the probability that the label is 1."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(train(docs, labels, label, max_labelled, max_features, remembered, **parameters))
     names = [c for c in docs.columns if c != "text"]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, features, weights, intercept = sent.value
-        restorer = Restorer(model, remembered)
+        model, keys, weights, intercept = sent.value
+        restorer, known = Restorer(model, remembered), Known(keys)
         for batch in batches:
             out: list[np.ndarray] = []
             for _, texts in text_blocks(iter([batch.select([batch.num_columns - 1])]), 1 << 20):
-                place, keys = features_of([restorer.restore(t) for t in texts], features)
-                sums = intercept + np.bincount(place, weights[np.searchsorted(features, keys)], len(texts))
+                place, at = known.of(restorer.restore_all(texts))
+                sums = intercept + np.bincount(place, weights[at], len(texts))
                 out.append(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
             scores = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
