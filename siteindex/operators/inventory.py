@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import ranking
+from ..functions.order import numbered_within
 
 
 def marked_duplicates(entries: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
@@ -68,4 +69,5 @@ def filter_chain(entries: DataFrame, near: bool = False, thin: bool = False, thr
 def by_importance(entries: DataFrame) -> DataFrame:
     """``entries`` plus ``score`` and ``place``; ties keep the input order."""
     scored = entries.withColumn("score", ranking.importance())
-    return scored.withColumn("place", F.row_number().over(W.Window.partitionBy("site").orderBy(F.desc("score"), "ord")))
+    ranked = numbered_within(scored, ("site",), [F.desc("score"), F.col("ord")], "place")
+    return ranked.withColumn("place", (F.col("place") + 1).cast("int"))

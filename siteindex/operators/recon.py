@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import urls
+from ..functions.order import numbered_within
 from ..lineage import written
 
 #: A prefix with this many different next segments is variable. Fixed value.
@@ -67,21 +68,45 @@ def heuristic_plan(counted: DataFrame) -> DataFrame:
     return counted.withColumn("action", action).withColumn("priority", priority.cast("bigint"))
 
 
+def _trie(plan: DataFrame) -> DataFrame:
+    """(site, node, key, child): the steps from a template's beginning to a longer one.
+
+    A node is the beginning itself. A step's key is "=" and the segment, or "{" for any
+    segment; templates with different placeholders there are different children.
+    """
+    steps = plan.select("site", "t_", F.explode(F.sequence(F.lit(1), F.size("t_"))).alias("i")).where(F.size("t_") > 0)
+    segment = F.element_at("t_", F.col("i"))
+    key = F.when(segment.startswith("{"), "{").otherwise(F.concat(F.lit("="), segment))
+    prefix = lambda n: F.array_join(F.slice("t_", F.lit(1), n), "/")
+    return steps.select("site", prefix(F.col("i") - 1).alias("node"), key.alias("key"), prefix(F.col("i")).alias("child")).distinct()
+
+
 def matches(members: DataFrame, plan: DataFrame) -> DataFrame:
     """URLs with every template they match: as many segments, each equal or a placeholder.
 
-    The number of segments is an equality key, so this is a hash join with a residual.
+    Distinct segment paths descend the trie of templates, a segment a round; each round
+    joins by site, node and key, so that only steps that fit are made. Rounds are as many
+    as the longest template has segments.
     """
-    u = members.withColumn("s", urls.segments(F.col("url"))).withColumn("n_", F.size("s"))
-    t = plan.withColumn("t_", F.filter(F.split("template", "/"), lambda x: x != "")).withColumn("n_", F.size("t_"))
-    fits = F.forall(F.zip_with("s", "t_", lambda a, b: b.startswith("{") | (a == b)), lambda x: x)
-    return u.join(t, ["site", "n_"]).where(fits).drop("s", "t_", "n_")
+    held = plan.withColumn("t_", F.filter(F.split("template", "/"), lambda x: x != ""))
+    depth = held.agg(F.max(F.size("t_"))).first()[0]
+    keyed = members.withColumn("s_", urls.segments(F.col("url")))
+    # A path that ends waits at its node while longer ones go on.
+    front = keyed.select("site", "s_").distinct().where(F.size("s_") <= F.lit(depth if depth is not None else -1)).withColumn("node", F.lit(""))
+    trie = _trie(held)
+    for i in range(depth or 0):
+        here = F.get("s_", F.lit(i))
+        keys = F.when(here.isNotNull(), F.array(F.concat(F.lit("="), here), F.lit("{"))).otherwise(F.array(F.lit("")))
+        went = front.withColumn("key", F.explode(keys)).join(trie, ["site", "node", "key"], "left")
+        front = went.where((F.col("key") == "") | F.col("child").isNotNull()).select("site", "s_", F.coalesce("child", "node").alias("node"))
+    ends = held.withColumn("node", F.array_join("t_", "/")).withColumn("n_", F.size("t_")).drop("t_")
+    met = front.withColumn("n_", F.size("s_")).join(ends, ["site", "node", "n_"]).drop("node", "n_")
+    return keyed.join(met, ["site", "s_"]).drop("s_")
 
 
 def even_sample(rows: DataFrame, part: tuple[str, ...], size: Column, order: str = "ord") -> DataFrame:
     """``rows`` with ``picked``: positions floor(i * n / size), or all where there are no more than ``size``."""
-    by = W.Window.partitionBy(*part)
-    r = rows.withColumn("at_", F.row_number().over(by.orderBy(order)) - 1).withColumn("n_", F.count(F.lit(1)).over(by)).withColumn("size_", size)
+    r = numbered_within(rows.withColumn("size_", size), part, [F.col(order)], "at_", "n_")
     stride = F.col("n_") / F.col("size_")
     i = F.ceil(F.col("at_") / stride)
     # floor(i * stride) meets this position for i or, by rounding, a neighbour of it.
@@ -114,11 +139,13 @@ def selection(site_urls: DataFrame, rules: DataFrame, cap: int, sample_size: int
     every = chosen.unionByName(more)
     once = W.Window.partitionBy("site", "url").orderBy("priority", "extra", "template_ord", "ord")
     listed = every.withColumn("rank_", F.row_number().over(once)).where("rank_ = 1")
-    place = W.Window.partitionBy("site").orderBy("priority", "extra", "template_ord", "ord")
-    numbered = listed.withColumn("place", F.row_number().over(place)).select("site", "place", "url")
+    best = numbered_within(listed, ("site",), [F.col(c) for c in ("priority", "extra", "template_ord", "ord")], "place")
+    # A homepage that is not listed comes first and moves the others by one.
     home = site_urls.select("site").distinct().withColumn("url", F.concat(F.lit("https://"), "site", F.lit("/")))
-    absent = home.join(numbered.select("site", "url"), ["site", "url"], "left_anti").withColumn("place", F.lit(0)).select("site", "place", "url")
-    final = numbered.unionByName(absent).withColumn("place", F.row_number().over(W.Window.partitionBy("site").orderBy("place")))
+    absent = written(home.join(best.select("site", "url"), ["site", "url"], "left_anti"))
+    moved = best.join(absent.select("site", F.lit(1).alias("moved")), "site", "left")
+    final = moved.select("site", (F.col("place") + 1 + F.coalesce("moved", F.lit(0))).cast("int").alias("place"), "url")
+    final = final.unionByName(absent.select("site", F.lit(1).alias("place"), "url"))
     return final.where(F.col("place") <= cap) if cap > 0 else final
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import window as W
 
 from .. import streaming
 from ..functions import patterns, ranking
+from ..functions.order import numbered_within
 from ..lineage import shared_folder
 from ..operators import edits, fingerprints, review, site
 from ..operators import operations as ops
@@ -224,8 +225,8 @@ def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w10_batches", "select source, doc_id, (row_number() over (partition by source order by doc_id) - 1) // 40 as batch from documents")
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(W.Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.floor(n / 40).alias("batch"))
+    ranked = numbered_within(table(spark, sf_dir, "documents").select("source", "doc_id"), ("source",), [F.col("doc_id")], "n")
+    return ranked.select("source", "doc_id", F.floor(F.col("n") / 40).alias("batch"))
 
 
 _JOBS = "select o_orderkey as id, case when o_custkey % 10 = 0 then null else 'l' || (o_custkey % 400) end as lock, cast(o_shippriority_ as integer) as priority, case o_orderkey % 7 when 0 then 'doing' when 1 then 'done' else 'todo' end as status from (select *, o_custkey % 3 as o_shippriority_ from orders)"

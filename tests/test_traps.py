@@ -1,11 +1,12 @@
 """Semantics that engines and languages disagree on, and properties of single operators."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from siteindex.functions import patterns, text, urls
+from siteindex.functions import order, patterns, text, urls
 from siteindex.operators import inventory, metrics, recon
 from siteindex.sources import crawl
 
@@ -130,6 +131,40 @@ def test_even_sample_positions(spark, n, size):
     assert sorted(r["ord"] for r in got.collect()) == want
 
 
+def test_places_inside_a_hot_key(spark):
+    """One key has nine tenths of the rows: its places are right, and they were ranked in many ranges."""
+    rng = random.Random(4)
+    rows = [("hot" if k % 10 else rng.choice(["a", None]), v) for k, v in enumerate(rng.sample(range(10_000), 3000))]
+    df = spark.createDataFrame(rows, "site string, ord long").repartition(3)
+    got = order.numbered_within(df, ("site",), [F.col("ord").desc()], "place", "n", partitions=20)
+    want = []
+    for key in ("hot", "a", None):
+        mine = sorted((o for s, o in rows if s == key), reverse=True)
+        want += [(key, o, i, len(mine)) for i, o in enumerate(mine)]
+    assert sorted(map(tuple, got.select("site", "ord", "place", "n").collect()), key=repr) == sorted(want, key=repr)
+    held = spark.read.parquet(got.inputFiles()[0].rpartition("/")[0])  # the ranges that were ranked
+    sizes = [r["count"] for r in held.groupBy("range_", "site").count().collect()]
+    assert max(sizes) < len(rows) / 10 and len(sizes) >= 20
+
+
+def test_trie_descent_finds_every_match(spark):
+    rng = random.Random(6)
+    parts = ["a", "b", "{slug}", "{id}", "c", "{"]
+    templates = sorted({"/" + "/".join(rng.choice(parts) for _ in range(rng.randrange(5))) for _ in range(120)})
+    urls_ = [f"https://x.example/{'/'.join(rng.choice('abcd{') for _ in range(rng.randrange(6)))}?q={i}" for i in range(300)]
+    members = spark.createDataFrame([(f"s{i % 2}", u, i) for i, u in enumerate(urls_)], "site string, url string, ord long")
+    plan = spark.createDataFrame([(f"s{k}", t) for t in templates for k in (0, 1) if k or rng.random() < 0.7], "site string, template string")
+    got = Counter((r["site"], r["ord"], r["template"]) for r in recon.matches(members, plan).collect())
+    want = Counter()
+    for site, template in map(tuple, plan.collect()):
+        t = [x for x in template.split("/") if x]
+        for i, u in enumerate(urls_):
+            s = [x for x in u.partition("?")[0].split("/")[3:] if x]
+            if site == f"s{i % 2}" and len(s) == len(t) and all(b[0] == "{" or a == b for a, b in zip(s, t, strict=True)):
+                want[site, i, template] += 1
+    assert got == want and len(want) > 200
+
+
 def test_clustering_does_not_depend_on_partitions(spark):
     rows = [("s", f"https://x.com/blog/post-{i}", i) for i in range(40)] + [("s", f"https://x.com/docs/{d}", 40 + i) for i, d in enumerate("abc")]
     random.Random(1).shuffle(rows)
