@@ -39,8 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -274,7 +272,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int)
     return docs.join(marked, F.col("doc_id") == F.col("label_id")).select("y", "text")
 
 
-def _feature_counts(labelled: DataFrame, held: int = 1_000_000) -> DataFrame:
+def _feature_counts(labelled: DataFrame, held: int = 300_000) -> DataFrame:
     """``key`` (a hash and its level), ``a`` and ``b``: labelled rows of class 0 and 1 that have the feature. A task sums ``held`` keys before it sends them."""
     names = [f"{c}{k}" for k in range(len(LEVELS)) for c in "ab"]
 
@@ -308,6 +306,9 @@ def _feature_counts(labelled: DataFrame, held: int = 1_000_000) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, max_features: int, remembered: int, min_documents: int = 3, min_z: float = 2.5, min_odds: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """The language model, the features (sorted keys), their weights and the intercept."""
+    from pyspark.ml.classification import LogisticRegression  # here, as workers that only score need none of it
+    from pyspark.ml.feature import CountVectorizerModel
+
     spark = docs.sparkSession
     model = train_language_model(docs.where(~held_out(F.col("doc_id"))))
     sent = spark.sparkContext.broadcast(model)
@@ -344,7 +345,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, max
 
     points = written(arrow(labelled, extract, "label double, words array<string>"))
     vectors = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(keys))], "words", "features").setBinary(True)
-    fitted = LogisticRegression(maxIter=60, regParam=0.5 / n, standardization=False).fit(vectors.transform(points).select("label", "features"))
+    # A few features for each of at most max_labelled rows: few tasks, each of which sends one gradient a step.
+    fitted = LogisticRegression(maxIter=60, regParam=0.5 / n, standardization=False).fit(vectors.transform(points.coalesce(4)).select("label", "features"))
     return model, known.value.keys, fitted.coefficients.toArray(), float(fitted.intercept)
 
 
