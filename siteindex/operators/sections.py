@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import ranking, urls
+from ..functions.order import numbered_within
+from ..lineage import written
 
 PINNED_FIRST = ("Main",)
 PINNED_LAST = ("Contact", "Optional")
@@ -86,25 +88,75 @@ def render_index(pages: DataFrame, optional: DataFrame, pattern: str, generated:
     return both.select("site", F.concat(F.concat_ws("\n", head, "sections", tail, foot), F.lit("\n")).alias("body"))
 
 
-def greedy_full(pages: DataFrame, max_chars: int) -> DataFrame:
+def _taken(blocks: DataFrame, room: DataFrame, folded: int) -> DataFrame:
+    """(site, place) of the blocks (site, place, size) that a greedy pass takes, in order of place, into ``room`` (site, room).
+
+    A round takes every block before the first that overflows, by running sums in
+    buckets of places; that block and all larger than what is left can never be taken.
+    What remains of a site is folded in one array once it has at most ``folded`` blocks.
+    """
+    parts: list[DataFrame] = []
+    left = blocks.join(room, "site").where("size <= room")
+    while True:
+        left = written(left)
+        most = left.groupBy("site").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if most is None:
+            break
+        if most <= folded:
+            parts.append(_folded(left))
+            break
+        bucket = F.floor(F.col("place") / folded)
+        sums = left.groupBy("site", bucket.alias("bucket")).agg(F.sum("size").alias("all_"))
+        ahead = W.Window.partitionBy("site").orderBy("bucket")
+        offsets = sums.select("site", "bucket", (F.sum("all_").over(ahead) - F.col("all_")).alias("ahead"))
+        inside = W.Window.partitionBy("site", "bucket").orderBy("place")
+        running = left.withColumn("bucket", bucket).join(offsets, ["site", "bucket"]).withColumn("upto", F.sum("size").over(inside) + F.col("ahead"))
+        running = written(running.drop("bucket", "ahead"))
+        # A site without overflow is done: all its blocks are taken.
+        over = running.where("upto > room").groupBy("site").agg(F.min("place").alias("over"))
+        marked = running.join(over, "site", "left")
+        first = marked.where("over is null or place < over")
+        parts.append(written(first.select("site", "place")))
+        spent = first.groupBy("site").agg(F.sum("size").alias("spent"))
+        rest = marked.where("place > over").join(spent, "site", "left").withColumn("room", F.col("room") - F.coalesce("spent", F.lit(0)))
+        left = rest.where("size <= room").select("site", "place", "size", "room")
+    if not parts:
+        return blocks.select("site", "place").where(F.lit(False))
+    taken = parts[0]
+    for p in parts[1:]:
+        taken = taken.unionByName(p)
+    return taken
+
+
+def _folded(left: DataFrame) -> DataFrame:
+    sites = left.groupBy("site").agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct("place", "size"))).alias("blocks"))
+    start = F.struct(F.col("room").cast("bigint").alias("room"), F.array().cast("array<bigint>").alias("taken"))
+
+    def step(s, x):
+        fits = x["size"] <= s["room"]
+        return F.struct((s["room"] - F.when(fits, x["size"]).otherwise(0)).cast("bigint").alias("room"), F.when(fits, F.array_append(s["taken"], x["place"])).otherwise(s["taken"]).alias("taken"))
+
+    return sites.select("site", F.explode(F.aggregate("blocks", start, step)["taken"]).alias("place"))
+
+
+def greedy_full(pages: DataFrame, max_chars: int, folded: int = 10_000) -> DataFrame:
     """(site, body, omitted): blocks in order of score as long as they fit; smaller later ones still can.
 
-    A fold over each site's sorted blocks: whether a block fits depends on all that
-    were taken before it, which no running sum gives.
+    The choice is made on sizes and places alone. Texts are joined to what was taken,
+    which is at most ``max_chars`` characters a site.
     """
     block = F.concat(F.lit("\n---\n\n## "), F.col("display_title"), F.lit("\n\nSource: "), F.col("url"), F.lit("\n\n"), F.col("markdown"), F.lit("\n"))
-    entry = F.struct((-F.col("score")).alias("a"), F.col("ord").alias("b"), block.alias("block"))
-    sites = pages.where("markdown <> ''").groupBy("site").agg(F.array_sort(F.collect_list(entry)).alias("blocks"))
     head = F.concat(F.lit("# "), F.col("site"), F.lit("\n"))
-    start = F.struct(F.length(head).alias("used"), F.lit(0).alias("omitted"), F.array().cast("array<int>").alias("taken"))
-
-    def step(s, x):
-        size = F.length(x["e"]["block"])
-        fits = s["used"] + size <= max_chars
-        return F.struct((s["used"] + F.when(fits, size).otherwise(0)).alias("used"), (s["omitted"] + F.when(fits, 0).otherwise(1)).alias("omitted"), F.when(fits, F.array_append(s["taken"], x["i"])).otherwise(s["taken"]).alias("taken"))
-
-    placed = F.transform("blocks", lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-    folded = sites.withColumn("fold", F.aggregate(placed, start, step))
-    body = F.concat(head, F.array_join(F.transform("fold.taken", lambda i: F.get("blocks", i)["block"]), ""))
-    note = F.concat(F.lit("\n---\n\n*"), F.col("fold.omitted").cast("string"), F.lit(f" lower-priority page(s) omitted to keep this file under {max_chars:,} characters.*\n"))
-    return folded.select("site", F.concat(body, F.when(F.col("fold.omitted") > 0, note).otherwise("")).alias("body"), F.col("fold.omitted").cast("bigint").alias("omitted"))
+    shown = pages.where("markdown <> ''")
+    sized = shown.select("site", "ord", "score", F.length(block).cast("bigint").alias("size"))
+    totals = written(sized.groupBy("site").agg(F.count(F.lit(1)).alias("blocks")).withColumn("room", (F.lit(max_chars) - F.length(head)).cast("bigint")))
+    small = sized.where(F.col("size") <= F.lit(max_chars) - F.length(head))
+    placed = written(numbered_within(small, ("site",), [F.desc("score"), F.col("ord")], "place").select("site", "ord", "place", "size"))
+    taken = placed.join(_taken(placed.drop("ord"), totals.select("site", "room"), folded), ["site", "place"]).select("site", "ord", "place")
+    texts = shown.join(taken, ["site", "ord"]).select("site", "place", block.alias("block"))
+    bodies = texts.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("place", "block"))).alias("b"))
+    joined = totals.join(bodies, "site", "left").withColumn("b", F.coalesce("b", F.array().cast(bodies.schema["b"].dataType)))
+    omitted = F.col("blocks") - F.size("b")
+    note = F.concat(F.lit("\n---\n\n*"), omitted.cast("string"), F.lit(f" lower-priority page(s) omitted to keep this file under {max_chars:,} characters.*\n"))
+    body = F.concat(head, F.array_join(F.transform("b", lambda x: x["block"]), ""), F.when(omitted > 0, note).otherwise(""))
+    return joined.select("site", body.alias("body"), omitted.cast("bigint").alias("omitted"))

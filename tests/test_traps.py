@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteindex.functions import order, patterns, text, urls
-from siteindex.operators import inventory, metrics, recon
+from siteindex.operators import inventory, metrics, recon, sections
 from siteindex.sources import crawl
 
 
@@ -147,6 +147,24 @@ def test_places_inside_a_hot_key(spark):
     assert max(sizes) < len(rows) / 10 and len(sizes) >= 20
 
 
+@pytest.mark.parametrize("folded", [3, 10_000])
+def test_greedy_texts_equal_a_plain_pass(spark, folded):
+    """Few rows to a fold, so that most is decided by running sums; one site where tiny blocks stand between large ones."""
+    rng = random.Random(8)
+    rows = [("a", i, f"t{i}", f"https://a/{i}", "x" * rng.choice([1, 5, 40, 200, 900, 5000]), float(rng.randrange(30))) for i in range(200)]
+    rows += [("b", i, "t", "u", "y" * (1 if i % 2 else 400 - i), 0.0) for i in range(60)] + [("c", 0, "t", "u", "z" * 9000, 1.0), ("c", 1, "t", "u", "", 1.0), ("d", 0, "t", "u", "", 1.0)]
+    df = spark.createDataFrame(rows, "site string, ord long, display_title string, url string, markdown string, score double").repartition(5)
+    got = {r["site"]: (r["body"], r["omitted"]) for r in sections.greedy_full(df, 3000, folded=folded).collect()}
+    want = {}
+    for site in "abc":
+        body, omitted = f"# {site}\n", 0
+        for _, _, title, url, text, _ in sorted((r for r in rows if r[0] == site and r[4]), key=lambda r: (-r[5], r[1])):
+            block = f"\n---\n\n## {title}\n\nSource: {url}\n\n{text}\n"
+            body, omitted = (body + block, omitted) if len(body + block) <= 3000 else (body, omitted + 1)
+        want[site] = body + (f"\n---\n\n*{omitted} lower-priority page(s) omitted to keep this file under 3,000 characters.*\n" if omitted else ""), omitted
+    assert got == want
+
+
 def test_trie_descent_finds_every_match(spark):
     rng = random.Random(6)
     parts = ["a", "b", "{slug}", "{id}", "c", "{"]
