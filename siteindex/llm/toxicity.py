@@ -269,7 +269,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int)
     if n > max_labelled:
         share = 1 << 20
         marked = marked.where(F.pmod(F.xxhash64("label_id"), F.lit(share)) < F.lit(int(share * max_labelled / n)))
-    return docs.join(marked, F.col("doc_id") == F.col("label_id")).select("y", "text")
+    # About max_labelled ids, so that no text is shuffled.
+    return docs.join(F.broadcast(marked), F.col("doc_id") == F.col("label_id")).select("y", "text")
 
 
 def _feature_counts(labelled: DataFrame, held: int = 300_000) -> DataFrame:
