@@ -6,8 +6,6 @@ what it needs was not given. Skipped rules leave the score's denominator.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -58,90 +56,6 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("*", (F.col("is_link") & ~fine).alias("malformed"), part(1).alias("title"), part(2).alias("url"), part(3).alias("description")).drop("fenced")
 
 
-Match = Callable[[str, str], str]
-
-
-def any_word(match: Match, column: str, words: tuple[str, ...], before: str = "", after: str = "") -> str:
-    return match(f"lower({column})", f"{before}({'|'.join(w.replace('-', '[-]') for w in words)}){after}")
-
-
-def measures(match: Match) -> dict[str, str]:
-    """Aggregates over a document's lines, as SQL; ``match`` writes a regular expression test."""
-    fine = "is_link and not malformed"
-    path = "coalesce(nullif(regexp_replace(url, '^[a-z]+://[^/]*', ''), ''), '/')"
-    dirlike = f"{fine} and {path} <> '/' and not {match(path, '[.][^/]*$')}"
-    return {
-        "h1s": "count_if(level = 1)",
-        "h1_line": "min(case when level = 1 then line end)",
-        "first_line": "min(case when trim(raw) <> '' then line end)",
-        "first_h2": "min(case when level = 2 then line end)",
-        "last_link": "max(case when is_link then line end)",
-        "links": "count_if(is_link)",
-        "malformed_links": "count_if(malformed)",
-        "relative_links": f"count_if({fine} and not {match('url', '^https?://')})",
-        "insecure_links": f"count_if({fine} and {match('url', '^http://')})",
-        "with_slash": f"count_if({dirlike} and {match(path, '/$')})",
-        "without_slash": f"count_if({dirlike} and not {match(path, '/$')})",
-        "urls": f"count(distinct case when {fine} then url end)",
-        "fine_links": f"count_if({fine})",
-        "undescribed": f"count_if({fine} and coalesce(description, '') = '')",
-        "superlatives": f"count_if({fine} and {any_word(match, 'description', SUPERLATIVES, chr(92) + 'b', chr(92) + 'b')})",
-        "openers": f"count_if({fine} and {any_word(match, 'description', OPENERS, '^')})",
-        "gated": f"count_if({fine} and (contains(url, '?') or {any_word(match, path, AUTH)}))",
-        "stranded": f"count_if({fine} and lower(section) = 'optional' and {any_word(match, 'url', IDENTITY)})",
-        "images": f"count_if({match('raw', '!' + chr(92) + '[[^' + chr(92) + ']]*' + chr(92) + '][(][^)]*[)]')})",
-        "tags": f"count_if({match('lower(raw)', '<(div|span|p|img|script|style|br|table|iframe)' + chr(92) + 'b')})",
-        "optional_no": "min(case when level = 2 and lower(heading) = 'optional' then section_no end)",
-        "sections": "max(coalesce(section_no, 0))",
-        "bytes": "sum(octet_length(raw) + 1) - 1",
-        **{f"locale_{i}": f"least(count_if({match('lower(raw)', chr(92) + 'b' + a)}), count_if({match('lower(raw)', chr(92) + 'b' + b)}))" for i, (a, b) in enumerate(LOCALE_PAIRS)},
-    }
-
-
-def second_measures(match: Match) -> dict[str, str]:
-    """Aggregates that need the first ones beside each line."""
-    return {
-        "quote_line": "min(case when line > coalesce(h1_line, -1) and line < coalesce(first_h2, 1000000000) and substr(trim(raw), 1, 1) = '>' then line end)",
-        "intro_headings": "count_if(level is not null and level <> 1 and line > coalesce(h1_line, -1) and line < coalesce(first_h2, 1000000000))",
-        "after_links": "count_if(sections > 0 and line > coalesce(last_link, first_h2) and trim(raw) <> '')",
-        "after_footer": f"count_if(sections > 0 and line > coalesce(last_link, first_h2) and trim(raw) <> '' and {match('raw', FOOTER)})",
-    }
-
-
-#: Index rules: severity and the count of faults over the measures (null: skipped).
-INDEX_RULES: dict[str, tuple[str, str]] = {
-    "IDX-001": ("error", "case when h1s <> 1 then greatest(1, h1s) when h1_line <> first_line then 1 else 0 end"),
-    "IDX-002": ("error", "case when quote_line is null or (h1_line is not null and quote_line > h1_line + 3) then 1 else 0 end"),
-    "IDX-003": ("warning", "intro_headings"),
-    "IDX-004": ("warning", "case when optional_no < sections then 1 else 0 end"),
-    "IDX-005": ("warning", "case when after_links = 0 or (after_links = after_footer and after_links <= 3) then 0 else after_links - after_footer end"),
-    "IDX-006": ("error", "malformed_links"),
-    "IDX-007": ("error", "case when relative_links > 0 then relative_links when insecure_links > 0 then insecure_links when least(with_slash, without_slash) * 20 > with_slash + without_slash then least(with_slash, without_slash) else 0 end"),
-    "IDX-008": ("warning", "fine_links - urls"),
-    "IDX-009": ("warning", "case when max_bytes is null then null when bytes > max_bytes then bytes else 0 end"),
-    "IDX-010": ("warning", "case when max_links is null then null when links > max_links or links < min_links then links else 0 end"),
-    "IDX-012": ("warning", "undescribed"),
-    "IDX-013": ("warning", "superlatives"),
-    "IDX-014": ("warning", "openers"),
-    "IDX-015": ("info", " + ".join(f"case when locale_{i} > 0 then 1 else 0 end" for i in range(len(LOCALE_PAIRS)))),
-    "IDX-016": ("warning", "gated"),
-    "IDX-017": ("error", "stranded"),
-    "IDX-018": ("warning", "case when images > 0 then 1 else 0 end + case when tags > 0 then 1 else 0 end"),
-}
-
-
-def spark_match(column: str, pattern: str) -> str:
-    return f"coalesce(rlike({column}, r'{pattern}'), false)"
-
-
-def measured(parsed: DataFrame) -> DataFrame:
-    """One row of measures for each document of ``lines``."""
-    first = parsed.groupBy("doc").agg(*[F.expr(e).alias(n) for n, e in measures(spark_match).items()])
-    both = parsed.select("doc", "line", "raw", "level").join(first.select("doc", "h1_line", "first_h2", "last_link", "sections"), "doc")
-    second = both.groupBy("doc").agg(*[F.expr(e).alias(n) for n, e in second_measures(spark_match).items()])
-    return first.join(second, "doc")
-
-
 def findings(stats: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
     """(doc, rule_id, severity, outcome, count): one row for each document and rule."""
     each = [F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.expr(e).cast("bigint").alias("count")) for r, (s, e) in rules.items()]
@@ -150,7 +64,7 @@ def findings(stats: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """(doc, score, capped_by): share of applicable weight that passed, half-even, capped by the worst failure."""
+    """(doc, score, capped_by) of findings: share of applicable weight that passed, half-even, capped by the worst failure."""
     weight = F.coalesce(*[F.when(F.col("severity") == s, F.lit(w)) for s, w in SEVERITY_WEIGHT.items()])
     applicable, passed = F.col("outcome") != "skipped", F.col("outcome") == "pass"
     sums = found.groupBy("doc").agg(
@@ -165,13 +79,6 @@ def report(found: DataFrame) -> DataFrame:
     return sums.select("doc", F.least(raw, cap).cast("bigint").alias("score"), by.alias("capped_by"))
 
 
-def unresolved(parsed: DataFrame, status: DataFrame) -> DataFrame:
-    """(doc, broken) links without a good status, where ``status`` (url, status) was probed."""
-    urls = parsed.where("is_link and not malformed").select("doc", "url")
-    checked = urls.join(status, "url", "left")
-    return checked.groupBy("doc").agg(F.count_if(F.col("status").isNull() | (F.col("status") >= 400)).alias("broken"))
-
-
 def companions(docs: DataFrame) -> DataFrame:
     """(doc, url): the companion files that documents (doc, text) refer to, by link or bare address."""
     links = F.filter(F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1)), lambda u: u.contains("llms-full.txt") | u.contains("llms.txt"))
@@ -179,19 +86,6 @@ def companions(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.explode(F.array_union(links, bare)).alias("url"))
 
 
-def companions_resolve(docs: DataFrame, status: DataFrame | None) -> DataFrame:
-    """IDX-019: (doc, outcome, count); ``status`` (url, status) is None where nothing was probed."""
-    named = companions(docs)
-    if status is None:
-        counted = named.groupBy("doc").agg(F.lit(None).cast("bigint").alias("count"), F.lit(True).alias("named"))
-    else:
-        bad = F.col("status").isNull() | (F.col("status") >= 400)
-        counted = named.join(status, "url", "left").groupBy("doc").agg(F.count_if(bad).alias("count"), F.lit(True).alias("named"))
-    rows = docs.select("doc").join(counted, "doc", "left")
-    count = F.when(F.col("named").isNull(), F.lit(0)).otherwise(F.col("count"))
-    return rows.select("doc", F.when(count.isNull(), "skipped").when(count > 0, "fail").otherwise("pass").alias("outcome"), count.cast("bigint").alias("count"))
-
-
 def full_pages(parsed: DataFrame) -> DataFrame:
     """``parsed`` plus ``source``, ``boundary`` (an H2 with a source within six lines) and ``page_no``."""
     by = W.Window.partitionBy("doc").orderBy("line")
@@ -201,40 +95,6 @@ def full_pages(parsed: DataFrame) -> DataFrame:
     return rows.withColumn("page_no", F.sum(F.col("boundary").cast("int")).over(by))
 
 
-def full_measures(parsed: DataFrame) -> DataFrame:
-    """One row of measures for each full document of ``full_pages``."""
-    blank = F.btrim("raw", F.lit(" \t\r")) == ""
-    by = W.Window.partitionBy("doc").orderBy("line")
-    runs = parsed.withColumn("blank_", blank).withColumn("island", F.col("line") - F.sum(F.col("blank_").cast("int")).over(by))
-    gaps = runs.where("blank_").groupBy("doc", "island").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").groupBy("doc").agg(F.count(F.lit(1)).alias("blank_runs"))
-    pages = parsed.where("page_no > 0").groupBy("doc", "page_no").agg((F.sum(F.when(~F.col("boundary"), F.length("raw") + 1).otherwise(0)) - 1).alias("chars"))
-    thin = pages.groupBy("doc").agg(F.count_if((F.col("chars") > 0) & (F.col("chars") < 3000)).alias("thin_pages"), F.count(F.lit(1)).alias("pages"))
-    sums = parsed.groupBy("doc").agg(
-        F.count_if(F.col("level") == 1).alias("h1s"),
-        F.count_if(F.col("level") == 2).alias("h2s"),
-        F.count_if(F.col("source").isNotNull()).alias("sources"),
-        F.count_if((F.col("level") == 2) & ~F.col("boundary")).alias("orphan_h2s"),
-        F.count_if((F.col("level") == 1) & (F.col("page_no") > 0)).alias("body_h1s"),
-        F.count_if(F.col("raw").rlike(r"[ \t]+$") & ~blank).alias("trailing_space"),
-        F.count_if(F.col("raw").rlike(r"^#{1,6}\s+(\*\*.*\*\*|\*.*\*|__.*__|_.*_)\s*$")).alias("emphasis_headings"),
-        (F.sum(F.length("raw") + 1) - 1).alias("chars"),
-    )
-    out = sums.join(gaps, "doc", "left").join(thin, "doc", "left")
-    return out.fillna(0, ["blank_runs", "thin_pages", "pages"])
-
-
-FULL_RULES: dict[str, tuple[str, str]] = {
-    "FULL-001": ("error", "case when h1s = 1 then 0 else greatest(1, h1s) end"),
-    "FULL-002": ("error", "case when h2s = sources and sources = pages then 0 else greatest(1, abs(h2s - sources)) end"),
-    "FULL-003": ("error", "orphan_h2s + body_h1s"),
-    "FULL-004": ("warning", "case when pages = 0 then 1 else 0 end"),
-    "FULL-006": ("info", "blank_runs + trailing_space"),
-    "FULL-007": ("info", "emphasis_headings"),
-    "FULL-008": ("info", "thin_pages"),
-    "FULL-009": ("warning", "case when chars div 4 <= 200000 then 0 else chars div 4 end"),
-}
-
-
 def repeated_blocks(pages: DataFrame, least_chars: int = 200, more_than: int = 3) -> DataFrame:
     """(doc, blocks, wasted_tokens): blocks that occur on more than ``more_than`` pages (doc, page, body)."""
     split = pages.select("doc", "page", F.explode(F.split("body", r"\n\s*\n")).alias("block"))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
+from ..operators import audit, review
 from ..operators import documents as d
-from ..operators import review
 from .registry import query, table
 
 _NL = "chr(10)"
@@ -71,38 +70,82 @@ def w17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).where("is_link").select("doc", "line", "section", "title", "url", "description", "malformed")
 
 
-def _aggregates(items: dict[str, str]) -> str:
-    return ", ".join(f"{e} as {n}" for n, e in items.items()).replace("octet_length(raw)", "octet_length(encode(raw))")
+def _found_sql(rules: dict[str, tuple[str, str]], stats: str) -> str:
+    each = " union all ".join(f"select doc, '{r}' as rule_id, '{s}' as severity, cast({e.replace(' div ', ' // ')} as bigint) as count from {stats}" for r, (s, e) in rules.items())
+    return f"found as (select *, case when count is null then 'skipped' when count > 0 then 'fail' else 'pass' end as outcome from ({each}))"
 
 
-_STATS = f"""{_LINES}, m1 as (select doc, {_aggregates(d.measures(_M))} from lines group by doc),
-m2 as (select doc, {_aggregates(d.second_measures(_M))} from lines join (select doc, h1_line, first_h2, last_link, sections from m1) using (doc) group by doc),
-stats as (select *, case when doc % 2 = 0 then 1500 end as max_bytes, case when doc % 2 = 0 then 11 end as max_links, 3 as min_links from m1 join m2 using (doc))"""
+# The rules in SQL, written apart from the operator's expressions.
+_RULES = rf"""{_LINES}, m as (select doc, count(*) filter (level = 1) as h1s, min(line) filter (level = 1) as h1_line, min(line) filter (trim(raw) <> '') as first_line, min(line) filter (level = 2) as first_h2, greatest(max(line) filter (is_link), max(line) filter (level = 2)) as tail,
+  count(*) filter (is_link) as links, min(section_no) filter (level = 2 and lower(heading) = 'optional') as opt, arg_max(heading, line) filter (level = 2) as last_section from lines group by doc),
+q as (select m.doc, min(line) as quote_line from m join lines using (doc) where line > coalesce(h1_line, -1) and line < first_h2 and starts_with(trim(raw), '>') group by m.doc),
+p as (select m.*, quote_line, octet_length(encode(text)) as bytes from m join docs using (doc) left join q using (doc)),
+x as (select lines.*, p.h1_line, p.first_h2, p.quote_line, p.tail, p.opt from lines join p using (doc)),
+fl as (select *, regexp_extract(regexp_replace(url, '^https?://[^/?#]*', ''), '^[^?#]*') as path, regexp_matches(url, '[?][^#]') as asks from x where is_link and not malformed),
+slash as (select doc, count(*) filter (suffix(path, '/')) as w, count(*) filter (not suffix(path, '/')) as wo from fl where path not in ('', '/') and not contains(regexp_extract(path, '[^/]*$'), '.') group by doc),
+status as (select url, case when page_id % 9 = 0 then 404 when page_id % 8 = 0 then null else 200 end as status from pages),
+bounds as (select doc, section, least, most from docs cross join (values ('Pages', 5, null), ('More', null, 6), ('Absent', 1, null)) b(section, least, most) where doc % 3 = 1),
+sized as (select doc, section, count(*) filter (is_link) as n from lines where section is not null group by all),
+spelt as (select doc, a, b from docs cross join (values ('optimize', 'optimise'), ('analyze', 'analyse'), ('organize', 'organise'), ('recognize', 'recognise'), ('prioritize', 'prioritise'), ('specialize', 'specialise'), ('customize', 'customise'), ('maximize', 'maximise'), ('color', 'colour'), ('center', 'centre'), ('catalog', 'catalogue'), ('license', 'licence'), ('behavior', 'behaviour'), ('favorite', 'favourite')) w(a, b) where regexp_matches(lower(text), '\b' || a) and regexp_matches(lower(text), '\b' || b)),
+faults as (
+  select doc, 'IDX-001' as rule_id, 1 as n from p where h1s = 0 or h1_line <> first_line and h1s = 1 union all select doc, 'IDX-001', h1s from p where h1s > 1
+  union all select doc, 'IDX-002', 1 from p where quote_line is null or quote_line > h1_line + 3
+  union all select doc, 'IDX-003', 1 from x where level is not null and line > coalesce(quote_line, h1_line, -1) and line < first_h2
+  union all select doc, 'IDX-004', 1 from p where opt is not null and lower(last_section) <> 'optional'
+  union all select doc, 'IDX-005', 1 from x where line > tail and trim(raw) <> '' and not (raw = '---' or raw = '*Generated today*')
+  union all select doc, 'IDX-006', 1 from x where malformed
+  union all select doc, 'IDX-007', 1 from fl where not starts_with(url, 'http')
+  union all select doc, 'IDX-007', 1 from fl where starts_with(url, 'http://') and doc not in (select doc from fl where not starts_with(url, 'http'))
+  union all select doc, 'IDX-007', least(w, wo) from slash where least(w, wo) > 0.05 * (w + wo) and doc not in (select doc from fl where not starts_with(url, 'https'))
+  union all select doc, 'IDX-008', 1 from fl group by doc, url having count(*) > 1
+  union all select doc, 'IDX-008', 1 from fl where title <> '' group by doc, lower(title) having count(*) > 1
+  union all select doc, 'IDX-009', bytes from p where doc % 2 = 0 and bytes > 1500
+  union all select doc, 'IDX-010', links from p where doc % 2 = 0 and (links > 11 or links < 3)
+  union all select doc, 'IDX-011', 1 from bounds left join sized using (doc, section) where coalesce(n, 0) < least
+  union all select doc, 'IDX-011', 1 from bounds left join sized using (doc, section) where n > most
+  union all select doc, 'IDX-012', 1 from fl where coalesce(description, '') = ''
+  union all select doc, 'IDX-013', len(regexp_extract_all(lower(description), '\b(?:award-winning|best|leading|top|world-class|dominate|ultimate|premier|cutting-edge|proven|expert)\b')) from fl
+  union all select doc, 'IDX-014', 1 from fl where regexp_matches(lower(description), '^(?:learn|discover|explore|understand|find out|dive into|unlock)')
+  union all select doc, 'IDX-015', 1 from spelt
+  union all select doc, 'IDX-016', 1 from fl where asks or regexp_matches(lower(path), '/(?:login|signin|sign-in|account|admin|wp-admin|cart|checkout)')
+  union all select doc, 'IDX-017', 1 from fl where section_no = opt and regexp_matches(lower(url), '/(?:about|about-us|contact|case-stud|our-work|portfolio|team|testimonial|clients)')
+  union all select distinct doc, 'IDX-018', 1 from x where regexp_matches(raw, '!\[[^\]]*\]\([^)]*\)') union all select distinct doc, 'IDX-018', 1 from x where regexp_matches(lower(raw), '<(?:div|span|p|img|script|style|br|table|iframe)\b')
+  union all select doc, 'IDX-020', 1 from fl join status using (url) where status is null or status >= 400),
+rules as (select * from (values ('IDX-001', 'error'), ('IDX-002', 'error'), ('IDX-003', 'warning'), ('IDX-004', 'warning'), ('IDX-005', 'warning'), ('IDX-006', 'error'), ('IDX-007', 'error'), ('IDX-008', 'warning'), ('IDX-009', 'warning'), ('IDX-010', 'warning'), ('IDX-011', 'info'), ('IDX-012', 'warning'), ('IDX-013', 'warning'),
+  ('IDX-014', 'warning'), ('IDX-015', 'info'), ('IDX-016', 'warning'), ('IDX-017', 'error'), ('IDX-018', 'warning'), ('IDX-019', 'warning'), ('IDX-020', 'warning')) r(rule_id, severity)),
+summed as (select doc, rule_id, sum(n) as n from faults group by all having sum(n) > 0),
+found as (select doc, rule_id, severity, case when (rule_id in ('IDX-009', 'IDX-010') and doc % 2 <> 0) or (rule_id = 'IDX-011' and doc % 3 <> 1) then 'skipped' when n is not null then 'fail' else 'pass' end as outcome, cast(coalesce(n, 0) as bigint) as count from docs cross join rules left join summed using (doc, rule_id))"""
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    i = F.col("page_id")
+    status = table(spark, sf_dir, "pages").select("url", F.when(i % 9 == 0, 404).when(i % 8 != 0, 200).alias("status"))
+    profile = docs.where("doc % 2 = 0").select("doc", F.lit(1500).alias("max_bytes"), F.lit(11).alias("max_links"), F.lit(3).alias("min_links"))
+    sections = spark.createDataFrame([("Pages", 5, None, 0), ("More", None, 6, 1), ("Absent", 1, None, 2)], "section string, least int, most int, ord int")
+    bounds = docs.where("doc % 3 = 1").select("doc", F.explode(F.array(*[F.lit(x) for x in ("Pages", "More", "Absent")])).alias("section")).join(F.broadcast(sections), "section")  # three rows
+    return audit.index_findings(docs, profile, bounds, status)
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = F.col("doc") % 2 == 0
-    return d.measured(_lines(spark, sf_dir)).withColumns({"max_bytes": F.when(even, 1500), "max_links": F.when(even, 11), "min_links": F.lit(3)})
+@query("idx_rules", f"with {_RULES} select doc, rule_id, severity, outcome, count from found")
+def idx_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audited(spark, sf_dir).select("doc", "rule_id", "severity", "outcome", "count")
 
 
-def _found_sql(rules: dict[str, tuple[str, str]], stats: str) -> str:
-    each = " union all ".join(f"select doc, '{r}' as rule_id, '{s}' as severity, cast({e.replace(' div ', ' // ')} as bigint) as count from {stats}" for r, (s, e) in rules.items())
-    return f"found as (select *, case when count is null then 'skipped' when count > 0 then 'fail' else 'pass' end as outcome from ({each}))"
+@query("idx_findings")
+def idx_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the failed rules say, with their first examples."""
+    return _audited(spark, sf_dir).where("outcome = 'fail'").select("doc", "rule_id", "message", "count", "examples")
 
 
-@query("idx_rules", f"with {_STATS}, {_found_sql(d.INDEX_RULES, 'stats')} select doc, rule_id, severity, outcome, count from found")
-def idx_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.findings(_stats(spark, sf_dir), d.INDEX_RULES).select("doc", "rule_id", "severity", "outcome", "count")
+_SCORED = """w as (select *, case severity when 'error' then 5e0 when 'warning' then 2e0 else 1e0 end as weight from found),
+    scored as (select doc, coalesce(sum(weight) filter (outcome <> 'skipped'), 0) as applicable, coalesce(sum(weight) filter (outcome = 'pass'), 0) as passed, bool_or(severity = 'error' and outcome = 'fail') as e, bool_or(severity = 'warning' and outcome = 'fail') as w from w group by doc)
+    select doc, cast(least(case when applicable > 0 then round_even(100 * passed / applicable, 0) else 0 end, case when e then 49 when w then 79 else 100 end) as bigint) as score, case when e then 'error' when w then 'warning' end as capped_by from scored"""
 
 
-@query(
-    "a20_rule_score",
-    f"""with {_STATS}, {_found_sql(d.INDEX_RULES, 'stats')}, w as (select *, case severity when 'error' then 5e0 when 'warning' then 2e0 else 1e0 end as weight from found),
-    t as (select doc, coalesce(sum(weight) filter (outcome <> 'skipped'), 0) as applicable, coalesce(sum(weight) filter (outcome = 'pass'), 0) as passed, bool_or(severity = 'error' and outcome = 'fail') as e, bool_or(severity = 'warning' and outcome = 'fail') as w from w group by doc)
-    select doc, cast(least(case when applicable > 0 then round_even(100 * passed / applicable, 0) else 0 end, case when e then 49 when w then 79 else 100 end) as bigint) as score, case when e then 'error' when w then 'warning' end as capped_by from t""",
-)
+@query("a20_rule_score", f"with {_RULES}, {_SCORED}")
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.report(d.findings(_stats(spark, sf_dir), d.INDEX_RULES))
+    return d.report(_audited(spark, sf_dir))
 
 
 @query("idx_008_duplicates", f"with {_LINES}, u as (select doc, url, count(*) as n from lines where is_link and not malformed group by all), t as (select doc, lower(title) as t, count(*) as n from lines where is_link and not malformed and title <> '' group by all) select doc, (select count(*) from u where u.doc = docs.doc and n > 1) as urls, (select count(*) from t where t.doc = docs.doc and n > 1) as titles from docs")
@@ -122,24 +165,24 @@ def idx_011(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATUS = "status as (select url, case when page_id % 9 = 0 then 404 when page_id % 8 = 0 then null else 200 end as status from pages)"
 
 
-@query("idx_020_links_resolve", f"with {_LINES}, {_STATUS} select doc, count(*) filter (status is null or status >= 400) as broken from lines left join status using (url) where is_link and not malformed group by doc")
+@query("idx_020_links_resolve", f"with {_LINES}, {_STATUS} select doc, count(*) as broken from lines left join status using (url) where is_link and not malformed and (status is null or status >= 400) group by doc")
 def idx_020(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("page_id")
-    status = table(spark, sf_dir, "pages").select("url", F.when(i % 9 == 0, 404).when(i % 8 != 0, 200).alias("status"))
-    return d.unresolved(_lines(spark, sf_dir), status)
+    return _audited(spark, sf_dir).where("rule_id = 'IDX-020' and outcome = 'fail'").select("doc", F.col("count").alias("broken"))
 
 
-_FULL = f"""fulls as (select doc_id as doc, '# Doc ' || doc_id || chr(10) || chr(10) || '## One' || chr(10) || 'Source: https://x/' || doc_id || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || '## **Two** ' || chr(10) || case when doc_id % 3 = 0 then 'Source: https://y/' || doc_id else '' end || chr(10) || '# Body' || chr(10) || '## _Three_' || chr(10) || 'end  ' as text from documents),
+_FULL = rf"""fulls as (select doc_id as doc, '# Doc ' || doc_id || chr(10) || chr(10) || '## One' || chr(10) || 'Source: https://x/' || doc_id || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || '## **Two** ' || chr(10) || case when doc_id % 3 = 0 then 'Source: https://y/' || doc_id else '' end || chr(10) || '# Body' || chr(10) || '## _Three_' || chr(10) || 'end  ' as text from documents),
 r as (select doc, unnest(range(0, len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as raw from fulls),
-h as (select *, case when regexp_matches(raw, '{d.HEADING}') then length(regexp_extract(raw, '{d.HEADING}', 1)) end as level, case when regexp_matches(raw, '{d.SOURCE}') then regexp_extract(raw, '{d.SOURCE}', 1) end as source, trim(raw, ' ' || chr(9) || chr(13)) = '' as blank from r),
-b as (select *, coalesce(level = 2 and max(cast(source is not null as int)) over (partition by doc order by line rows between 1 following and 6 following) = 1, false) as boundary from h),
-p as (select *, sum(cast(boundary as int)) over (partition by doc order by line) as page_no, line - sum(cast(blank as int)) over (partition by doc order by line) as island from b),
-gaps as (select doc, count(*) as blank_runs from (select doc, island from p where blank group by all having count(*) >= 3) group by doc),
-pages_ as (select doc, page_no, sum(case when boundary then 0 else length(raw) + 1 end) - 1 as chars from p where page_no > 0 group by all),
-thin as (select doc, count(*) filter (chars > 0 and chars < 3000) as thin_pages, count(*) as pages from pages_ group by doc),
-fstats as (select p.doc, count_if(level = 1) as h1s, count_if(level = 2) as h2s, count_if(source is not null) as sources, count_if(level = 2 and not boundary) as orphan_h2s, count_if(level = 1 and page_no > 0) as body_h1s,
-  count_if({_M('raw', '[ ' + chr(92) + 't]+$')} and not blank) as trailing_space, count_if({_M('raw', '^#{1,6}' + chr(92) + 's+(' + chr(92) + '*' + chr(92) + '*.*' + chr(92) + '*' + chr(92) + '*|' + chr(92) + '*.*' + chr(92) + '*|__.*__|_.*_)' + chr(92) + 's*$')}) as emphasis_headings,
-  sum(length(raw) + 1) - 1 as chars, coalesce(any_value(blank_runs), 0) as blank_runs, coalesce(any_value(thin_pages), 0) as thin_pages, coalesce(any_value(pages), 0) as pages from p left join gaps using (doc) left join thin using (doc) group by p.doc)"""
+h as (select *, case when regexp_matches(raw, '^# ') then 1 when regexp_matches(raw, '^## ') then 2 end as level, regexp_matches(raw, '^Source:\s*\S+\s*$') as cites, not regexp_matches(raw, '\S') as blank from r),
+b as (select *, level is not distinct from 2 and coalesce(bool_or(cites) over (partition by doc order by line rows between 1 following and 6 following), false) as boundary from h),
+g as (select *, sum(cast(boundary as int)) over (partition by doc order by line) as page_no, line - sum(cast(blank as int)) over (partition by doc order by line) as island from b),
+gaps as (select doc, count(*) as blank_runs from (select doc, island from g where blank group by all having count(*) >= 3) group by doc),
+body as (select doc, page_no, sum(case when boundary then 0 else length(raw) + 1 end) - 1 as chars from g where page_no > 0 group by all),
+t as (select g.doc, count_if(level = 1) as h1s, count_if(level = 2) as h2s, count_if(cites) as cites, count_if(boundary) as pages, count_if(level = 2 and not boundary) + count_if(level = 1 and page_no > 0) as inside, count_if(regexp_matches(raw, '[ \t]$')) as spaced,
+  count_if(regexp_matches(raw, '^#+\s+[*_]')) as wrapped, sum(length(raw) + 1) - 1 as chars from g group by g.doc),
+f as (select doc, 'FULL-001' as rule_id, 'error' as severity, h1s <> 1 as bad, greatest(1, h1s) as n from t union all select doc, 'FULL-002', 'error', h2s <> cites or cites <> pages, abs(h2s - cites) from t union all select doc, 'FULL-003', 'error', inside > 0, inside from t
+  union all select doc, 'FULL-004', 'warning', pages = 0, 1 from t union all select doc, 'FULL-005', 'warning', false, 0 from t union all select doc, 'FULL-006', 'info', coalesce(blank_runs, 0) + spaced > 0, coalesce(blank_runs, 0) + spaced from t left join gaps using (doc) union all select doc, 'FULL-007', 'info', wrapped > 0, wrapped from t
+  union all select t.doc, 'FULL-008', 'info', coalesce(n, 0) > 0, coalesce(n, 0) from t left join (select doc, count(*) as n from body where chars between 1 and 2999 group by doc) using (doc) union all select doc, 'FULL-009', 'warning', chars // 4 > 200000, chars // 4 from t),
+found as (select doc, rule_id, severity, case when bad then 'fail' else 'pass' end as outcome, cast(case when bad then n else 0 end as bigint) as count from f)"""
 
 
 def _fulls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,14 +192,19 @@ def _fulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), text.alias("text"))
 
 
-@query("full_rules", f"with {_FULL}, {_found_sql(d.FULL_RULES, 'fstats')} select doc, rule_id, severity, outcome, count from found")
+@query("full_rules", f"with {_FULL} select doc, rule_id, severity, outcome, count from found")
 def full_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.findings(d.full_measures(d.full_pages(d.lines(_fulls(spark, sf_dir)))), d.FULL_RULES).select("doc", "rule_id", "severity", "outcome", "count")
+    return audit.full_findings(_fulls(spark, sf_dir)).select("doc", "rule_id", "severity", "outcome", "count")
+
+
+@query("a20_full_score", f"with {_FULL}, {_SCORED}")
+def a20_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.report(audit.full_findings(_fulls(spark, sf_dir)))
 
 
 @query("w19_blank_runs", f"with {_FULL} select doc, blank_runs from gaps")
 def w19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.full_measures(d.full_pages(d.lines(_fulls(spark, sf_dir)))).where("blank_runs > 0").select("doc", "blank_runs")
+    return audit.blank_runs(d.lines(_fulls(spark, sf_dir)))
 
 
 @query(
@@ -320,8 +368,9 @@ def val_broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.link_issues(_lines(spark, sf_dir).where("is_link and not malformed").select("doc", "url"), status)
 
 
-@query("idx_019_companions", f"with {_VDOCS}, n as (select distinct doc, unnest(regexp_extract_all(text, 'https?://\\S*llms-full\\.txt')) as url from vdocs), st as (select 'https://x/llms-full.txt' as url, 404 as status) select v.doc, case when count(n.url) = 0 then 'pass' when count_if(n.url is not null and (status is null or status >= 400)) > 0 then 'fail' else 'pass' end as outcome, count_if(n.url is not null and (status is null or status >= 400)) as count from vdocs v left join n on v.doc = n.doc left join st on n.url = st.url group by v.doc")
+@query("idx_019_companions", f"with {_VDOCS}, n as (select distinct doc, unnest(regexp_extract_all(text, 'https?://\\S*llms-full\\.txt')) as url from vdocs) select v.doc, case when count(n.url) > 0 then 'fail' else 'pass' end as outcome, count(n.url) as count from vdocs v left join n on v.doc = n.doc group by v.doc")
 def idx_019(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc")
-    docs = _docs(spark, sf_dir).select("doc", F.concat("text", F.when(k % 3 == 1, "\nFull: https://x/llms-full.txt").otherwise("")).alias("text"))
-    return d.companions_resolve(docs, spark.createDataFrame([("https://x/llms-full.txt", 404)], "url string, status int"))
+    docs = _docs(spark, sf_dir).select("doc", F.concat("text", F.when(F.col("doc") % 3 == 1, "\nFull: https://x/llms-full.txt").otherwise("")).alias("text"))
+    # Only pages were probed, so that no companion is known to resolve.
+    status = table(spark, sf_dir, "pages").select("url", F.lit(200).alias("status"))
+    return audit.index_findings(docs, status=status).where("rule_id = 'IDX-019'").select("doc", "outcome", "count")
