@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 #: Components: family, priority, layer, effort, applies to (content, app_api, ecommerce), artifact, templated. Fixed values.
 COMPONENTS = (
@@ -138,25 +137,6 @@ def profile_services(body: Column) -> Column:
     return F.filter(rows, lambda r: F.coalesce(r["endpoint"], F.lit("")) != "")
 
 
-def html_checks(html: Column) -> dict[str, Column]:
-    """pass, fail or n/a of each static page check."""
-    low = F.lower(html)
-    tags = [F.when(low.contains(t), F.lit(t)) for t in ("<header", "<nav", "<main", "<article", "<aside", "<footer")]
-    landmarks = F.size(F.array_compact(F.array(*tags)))
-    ids = F.regexp_extract_all(html, F.lit(r'\sid="([^"]*)"'), F.lit(1))
-    inputs = F.filter(F.regexp_extract_all(low, F.lit("(<input[^>]*>)"), F.lit(1)), lambda t: ~t.contains('type="hidden"'))
-    labels = F.regexp_extract_all(html, F.lit(r'<label[^>]*for="([^"]*)"'), F.lit(1))
-    bare = F.filter(inputs, lambda t: ~t.contains("aria-label") & ~F.array_contains(labels, F.regexp_extract(t, r'\sid="([^"]*)"', 1)))
-    divs = F.regexp_extract_all(low, F.lit(r"(<div[^>]*(?:tabindex|onclick)[^>]*>)"), F.lit(1))
-    unroled = F.filter(divs, lambda t: ~t.contains("role="))
-    return {
-        "semantic-html": F.when(landmarks >= 3, "pass").otherwise("fail"),
-        "roles": F.when(F.size(unroled) == 0, "pass").otherwise("fail"),
-        "labels": F.when(F.size(inputs) == 0, "n/a").when(F.size(bare) == 0, "pass").otherwise("fail"),
-        "unique-ids": F.when(F.size(ids) == 0, "n/a").when(F.size(F.array_distinct(ids)) == F.size(ids), "pass").otherwise("fail"),
-    }
-
-
 def worst_of(checks: DataFrame) -> DataFrame:
     """(site, key, state, failed): any failing page fails, all n/a is n/a, else pass."""
     g = checks.groupBy("site", "key").agg(F.count_if(F.col("state") == "fail").alias("failed"), F.every(F.col("state") == "n/a").alias("na"))
@@ -235,9 +215,3 @@ def catalog_entries(surfaces: DataFrame, least: int = 2) -> DataFrame:
     entry = F.to_json(F.struct("kind", "url"))
     g = fine.groupBy("site").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     return g.where(F.size("e") >= least).select("site", F.concat(F.lit("["), F.array_join("e", ","), F.lit("]")).alias("entries"))
-
-
-def latest(rows: DataFrame, key: tuple[str, ...], order: str) -> DataFrame:
-    """The last row of each key: an upsert's state."""
-    by = W.Window.partitionBy(*key).orderBy(F.desc(order))
-    return rows.withColumn("rank_", F.row_number().over(by)).where("rank_ = 1").drop("rank_")

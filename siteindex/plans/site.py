@@ -12,7 +12,7 @@ from .. import streaming
 from ..functions import patterns, ranking
 from ..functions.order import numbered_within
 from ..lineage import shared_folder
-from ..operators import edits, fingerprints, review, site
+from ..operators import edits, fingerprints, markup, review, site
 from ..operators import operations as ops
 from ..sources import store
 from .inputs import select_list, sql_path
@@ -472,30 +472,38 @@ def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _responses(spark, sf_dir).where("status = 200").groupBy("site", F.col("content_type").alias("label")).agg(F.min("id").alias("first"))
 
 
-_HTML = """h as (select page_id, html || case page_id % 4 when 0 then '<input type="text" id="a"><label for="a">x</label>' when 1 then '<input type="hidden"><div tabindex="0">y</div>' when 2 then '<input id="q"><p id="q"></p>' else '<div role="button" onclick="z()"></div>' end as html from pages)"""
+# Pages with forms, roles and ids beside their own markup, by their number.
+_TAILS = (
+    ("page_id % 4", ('<input type="text" id="a"><label for="a">x</label>', '<input type="hidden"><div tabindex="0">y</div>', '<input id="q"><p id="q"></p>', '<div role="button" onclick="z()"></div>')),
+    ("page_id % 5", ('<ul role="directory"></ul>', '<span role="Widget dialogbox" tabindex="0"></span>', '<nav2 role="doc-toc">', '<input type=submit><i id="z" aria-controls="q z"></i><i id="z"></i>', '<INPUT aria-label="x" type=text>')),
+)
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("page_id") % 4
-    tail = F.when(i == 0, '<input type="text" id="a"><label for="a">x</label>').when(i == 1, '<input type="hidden"><div tabindex="0">y</div>').when(i == 2, '<input id="q"><p id="q"></p>').otherwise('<div role="button" onclick="z()"></div>')
-    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", tail).alias("html"))
+    html = F.when(F.expr("page_id % 3 = 0"), F.replace("html", F.lit("<nav>"), F.lit('<div role="navigation">'))).when(F.expr("page_id % 3 = 1"), F.replace("html", F.lit("<nav>"), F.lit("<div>"))).otherwise(F.col("html"))
+    tails = [F.get(F.array(*[F.lit(x) for x in options]), F.expr(f"cast({k} as int)")) for k, options in _TAILS]
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(html, *tails).alias("html"))
 
 
 @query(
     "r08_html_checks",
-    f"""with {_HTML}, n as (select page_id, cast(contains(lower(html), '<header') as int) + cast(contains(lower(html), '<nav') as int) + cast(contains(lower(html), '<main') as int) + cast(contains(lower(html), '<article') as int) + cast(contains(lower(html), '<aside') as int) + cast(contains(lower(html), '<footer') as int) as marks from h)
-    select page_id, case when marks >= 3 then 'pass' else 'fail' end as semantic, case when page_id % 4 = 1 then 'fail' else 'pass' end as roles, case page_id % 4 when 0 then 'pass' when 2 then 'fail' else 'n/a' end as labels, case page_id % 4 when 0 then 'pass' when 2 then 'fail' else 'n/a' end as ids from n""",
+    """with n as (select page_id, page_id % 3 as a, page_id % 4 as b, page_id % 5 as c, list_sum([cast(contains(lower(html), t) as int) for t in ['<main', '<article', '<section', '<header', '<footer', '<aside']]) + cast(a <> 1 and contains(html, '<nav>') as int) as marks from pages),
+    s as (select page_id, unnest(['semantic-html', 'roles', 'labels', 'aria-roles', 'unique-ids']) as "check", unnest([case when marks >= 3 then 'pass' else 'fail' end, case when b = 1 then 'fail' else 'pass' end, case when b = 2 then 'fail' when b = 0 or c = 4 then 'pass' else 'n/a' end,
+      case when c in (0, 1) then 'fail' when a = 0 or b = 3 or c = 2 then 'pass' else 'n/a' end, case when b = 2 or c = 3 then 'fail' when b = 0 then 'pass' else 'n/a' end]) as state from n) select * from s""",
 )
 def r08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = site.html_checks(F.col("html"))
-    return _html(spark, sf_dir).select("page_id", c["semantic-html"].alias("semantic"), c["roles"].alias("roles"), c["labels"].alias("labels"), c["unique-ids"].alias("ids"))
+    return markup.markup_checks(_html(spark, sf_dir), "page_id").select("page_id", "check", "state")
+
+
+@query("r08_details")
+def r08_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the failed checks say."""
+    return markup.markup_checks(_html(spark, sf_dir), "page_id").where("state = 'fail'").select("page_id", "check", "detail")
 
 
-@query("j13_duplicate_ids_referenced", "select conv_id, turn, list_contains(['user', 'system'], role) as dangerous from conversations")
+@query("j13_duplicate_ids_referenced", "select page_id, 'q' as id, 2 as n, page_id % 5 = 3 as referenced from pages where page_id % 4 = 2 union all select page_id, 'z', 2, true from pages where page_id % 5 = 3")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array("role", "role", F.lit("x"))
-    twice = F.filter(F.array_distinct(ids), lambda i: F.size(F.filter(ids, lambda j: i == j)) > 1)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(F.array_intersect(twice, F.array(F.lit("user"), F.lit("system")))) > 0).alias("dangerous"))
+    return markup.repeated_ids(markup.elements(_html(spark, sf_dir), "page_id"), "page_id")
 
 
 _CHECKS = "checks as (select 's' || (o_custkey % 30) as site, case o_orderkey % 4 when 0 then 'robots' when 1 then 'llms-txt' when 2 then 'labels' else 'mcp-card' end as key, case when o_custkey % 30 < 4 and o_orderkey % 4 = 2 then 'n/a' when o_orderkey % 11 = 0 and o_custkey % 5 = 0 then 'fail' when o_orderkey % 3 = 0 then 'n/a' else 'pass' end as state from orders)"
