@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from ..functions import ranking, text, urls
 from ..operators import inventory as inv
 from ..operators import sections as sec
-from ..sources import crawl
+from ..sources import crawl, exports
 from .inputs import INVENTORY_SQL, inventory, select_list, sql_path
 from .registry import query, table
 from .scalars import _NUMBER, CONTACT_SQL, SECTION_SQL
@@ -85,6 +85,36 @@ def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.metric_rows(raw).select("url", "clicks", "impressions", "ctr", "position")
 
 
+# Pages as the lines of export files in four languages, quoted, some with a line break inside a cell.
+_HEADERS = ("Top pages,Notes,Clicks,Impressions,CTR,Position", "Seite,Notiz,Klicks,Impressionen,CTR,Durchschnittliche Position", "P\u00e1gina,Notas,Clics,Impresiones,CTR,Posici\u00f3n", "Query,Clicks")
+
+
+def _export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    p = table(spark, sf_dir, "pages").select(i, F.col("url"), F.floor(i / 50).alias("k"))
+    note = F.when(i % 3 == 0, F.lit('"two\nlines, ""quoted"""')).otherwise(F.lit(""))
+    url = F.when(i % 8 == 0, F.lit("some words")).otherwise(F.col("url"))
+    row = F.concat(F.lit('"'), url, F.lit('",'), note, F.lit(',"1,2'), i.cast("string"), F.lit('",'), (i * 40).cast("string"), F.lit(","), (i % 10).cast("string"), F.lit(".5%,4.2"))
+    first = p.select("k").distinct().select("k", F.lit(-1).cast("bigint").alias("page_id"), F.get(F.array(*[F.lit(h) for h in _HEADERS]), (F.col("k") % 4).cast("int")).alias("record"))
+    records = p.select("k", "page_id", row.alias("record")).unionByName(first)
+    lines = records.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("file"), F.floor(i / 20).alias("block"), i, F.posexplode(F.split("record", "\n")).alias("n", "value"))
+    return lines.select("file", "block", (i * 2 + F.col("n")).alias("at"), "value")
+
+
+@query(
+    "s04_export_files",
+    """with f as (select *, page_id // 50 as k, row_number() over (partition by page_id // 50 order by page_id) - 1 as ord from pages where (page_id // 50) % 4 <> 3)
+    select 'f' || k as file, ord, url, cast('12' || page_id as bigint) as clicks, page_id * 40 as impressions, (page_id % 10 + 0.5e0) / 100 as ctr, 4.2e0 as position from f where page_id % 8 <> 0""",
+)
+def s04_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.metric_rows(exports.csv_records(_export_lines(spark, sf_dir))).drop("source")
+
+
+@query("s05_refused_exports", "select distinct 'f' || (page_id // 50) as file, 'this is an export of queries, not of pages (column ''query'')' as problem from pages where (page_id // 50) % 4 = 3")
+def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.refused_files(exports.csv_records(_export_lines(spark, sf_dir)))
+
+
 @query("f05_url_scheme", f"with raw as ({_METRIC_RAW.format(s='varchar')}) select regexp_matches(\"Top pages\", '^https?://') as absolute, count(*) as n from raw group by 1")
 def f05(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "pages").selectExpr(*select_list(_METRIC_RAW.format(s="string")))

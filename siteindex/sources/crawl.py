@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -52,12 +49,6 @@ WRONG_DIMENSION = {
 }
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as string, with ``ord``, the row's place in the file order."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"')
-    return rows.withColumn("ord", F.monotonically_increasing_id())
-
-
 def aliased(raw: DataFrame) -> DataFrame:
     """One string column for each field: the first alias with a value, stripped; "" where there is none."""
     headers = {h.lower().strip().lstrip("﻿"): h for h in raw.columns}
@@ -80,7 +71,12 @@ def accepted(rows: DataFrame) -> Column:
 
 def crawl_entries(raw: DataFrame, max_urls: int = 0, part: str | None = None) -> DataFrame:
     """Typed page entries with ``index``, in file order; ``part`` numbers each site alone."""
-    rows = aliased(raw).where(accepted(raw))
+    return entries_of(aliased(raw), max_urls, part)
+
+
+def entries_of(fields: DataFrame, max_urls: int = 0, part: str | None = None) -> DataFrame:
+    """:func:`crawl_entries` of rows that have one string column for each field."""
+    rows = fields.where(accepted(fields))
     if part:
         numbered = rows.withColumn("index", (F.row_number().over(W.Window.partitionBy(part).orderBy("ord")) - 1).cast("bigint"))
     else:
@@ -119,29 +115,6 @@ def metric_rows(raw: DataFrame, source: str = "upload") -> DataFrame:
     return rows.select("ord", url.alias("url"), cell("clicks").cast("bigint").alias("clicks"), cell("impressions").cast("bigint").alias("impressions"), cell("ctr").alias("ctr"), cell("position").alias("position"), F.lit(source).alias("source"))
 
 
-def read_metrics_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the first pages CSV in each zipped export, every value as string."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    first = files.select("content").limit(1).collect()  # one file decides the columns of all
-    columns = list(_pages_csv(bytes(first[0]["content"])).columns) if first else []
-
-    def unzip(batches):
-        for batch in batches:
-            for content in batch["content"]:
-                yield _pages_csv(bytes(content)).reindex(columns=columns).reset_index(names="ord")
-
-    schema = "ord long, " + ", ".join(f"`{c}` string" for c in columns)
-    return files.mapInPandas(unzip, schema)
-
-
-def _pages_csv(content: bytes) -> pd.DataFrame:
-    with zipfile.ZipFile(io.BytesIO(content)) as bundle:
-        name = next((n for n in bundle.namelist() if "page" in n.lower() and n.lower().endswith(".csv")), None)
-        if name is None:
-            raise ValueError(f"no pages export among {bundle.namelist()}")
-        return pd.read_csv(io.BytesIO(bundle.read(name)), dtype=str, keep_default_na=False, encoding="utf-8-sig")
-
-
 def robots_lines(files: DataFrame) -> DataFrame:
     """(site, pos, field, value) of every directive of robots.txt texts (site, body)."""
     lines = files.select("site", F.posexplode(F.split("body", "\r?\n")).alias("pos", "raw"))

@@ -192,23 +192,6 @@ def test_clustering_does_not_depend_on_partitions(spark):
     assert ("/blog/{slug}", 40) in results[0] and ("/docs/a", 1) in results[0]
 
 
-def test_crawl_csv_round_trip(spark, tmp_path):
-    path = tmp_path / "export.csv"
-    path.write_text('Address,Status Code,Content Type,Title 1,Word Count\nhttps://x.com/,200,text/html,"A, quoted",120\nhttps://x.com/b,404,text/html,B,1\nhttps://x.com/c,200,application/pdf,C,1\n')
-    got = crawl.crawl_entries(crawl.read_csv(spark, str(path))).collect()
-    assert [(r["url"], r["title"], r["word_count"], r["crawl_depth"]) for r in got] == [("https://x.com/", "A, quoted", 120, -1)]
-
-
-def test_metrics_zip(spark, tmp_path):
-    import zipfile
-
-    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        z.writestr("Queries.csv", "Query,Clicks\nq,1\n")
-        z.writestr("Pages.csv", "Top pages,Clicks\nhttps://x.com/,\"1,200\"\nnot a url,3\n")
-    rows = crawl.metric_rows(crawl.read_metrics_zip(spark, str(tmp_path / "a.zip"))).collect()
-    assert [(r["url"], r["clicks"]) for r in rows] == [("https://x.com/", 1200)]
-
-
 def test_stream_of_events(spark, sf_dir, tmp_path):
     from siteindex import streaming
 
