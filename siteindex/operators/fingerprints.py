@@ -3,15 +3,21 @@
 A technology's patterns become rows (surface, key, pattern). Responses become rows of
 the same surfaces (header, cookie and meta by name; script sources and the URL as one
 text each), so that named surfaces meet by an equality join on (surface, key) and only
-patterns of that name are tried. Script and URL patterns have no key: the distinct texts
-of a surface meet the table once, however many responses share them.
+patterns of that name are tried. Script and URL patterns have no name. They meet texts by
+an index of character grams: a text that matches must contain the pattern's longest
+certain literal, hence the gram of that literal that fewest texts hold; the expression is
+tried on those texts alone. Patterns without such a literal are tried on every text.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+from ..lineage import written
+
 #: Surfaces in order of trust, categories that decide a profile, and what finds tags. Fixed values.
 SURFACES = ("header", "cookie", "meta", "script", "url")
 FIELDS = {"headers": "header", "cookies": "cookie", "meta": "meta", "scriptSrc": "script", "url": "url"}
@@ -21,22 +27,21 @@ META_CONTENT = r"""(?i)<meta[^>]+name=["'][^"']+["'][^>]+content=["']([^"']*)["'
 SCRIPT_SRC = r"""(?i)<script[^>]+src=["']([^"']+)["']"""
 
 
-def load_shards(spark: SparkSession, fresh: str | None, stale: str | None = None) -> DataFrame:
-    """(name, spec) of every technology in folders of JSON shards, one object of technologies in each file.
+#: Length of the grams of the index.
+GRAM = 4
 
-    ``fresh`` holds the shards inside their time to live; a technology that only ``stale``
-    has (an expired copy) is taken from there, so that a failed refresh loses nothing.
-    """
-    empty = spark.createDataFrame([], "name string, spec string")
 
-    def read(folder: str | None) -> DataFrame:
-        if folder is None:
-            return empty
-        text = spark.read.option("wholetext", True).text(folder)
-        entries = F.from_json("value", "map<string,string>")
-        return text.select(F.explode(entries).alias("name", "spec"))
+def load_shards(spark: SparkSession, folder: str, now: Column | None = None, days: int = 7) -> DataFrame:
+    """(name, spec) of every technology in a folder of JSON shards, one object of technologies in each file.
 
-    return with_fallback(read(fresh), read(stale))
+    Shards not modified for ``days`` are expired: a technology that only they have is still
+    taken, so that a failed refresh loses nothing.
+    """
+    text = spark.read.option("wholetext", True).text(folder)
+    old = expired(F.col("_metadata.file_modification_time"), F.current_timestamp() if now is None else now, days)
+    rows = text.select(old.alias("old"), F.explode(F.from_json("value", "map<string,string>")).alias("name", "spec"))
+    part = lambda c: rows.where(c).select("name", "spec")
+    return with_fallback(part(~F.col("old")), part(F.col("old")))
 
 
 def with_fallback(fresh: DataFrame, stale: DataFrame) -> DataFrame:
@@ -77,14 +82,93 @@ def surfaces(responses: DataFrame) -> DataFrame:
     return responses.select("id", F.explode(F.concat(pairs, cookies, metas, whole)).alias("x")).select("id", "x.*")
 
 
+def required_literal(pattern: str) -> str:
+    """The longest run of characters that every match of a regular expression contains, in lower case; "" if none is certain."""
+    runs, run, depth, i = [], "", 0, 0
+
+    def end() -> None:
+        nonlocal run
+        runs.append(run)
+        run = ""
+
+    while i < len(pattern):
+        c = pattern[i]
+        i += 1
+        if c == "|" and depth == 0:
+            return ""
+        if c == "\\" and i < len(pattern):
+            c, i = pattern[i], i + 1
+            if depth == 0 and not c.isalnum():
+                run += c
+            else:
+                end()
+        elif c == "[":  # a class; what stands in it is no certain character
+            end()
+            i += pattern[i : i + 1] == "^"
+            i += pattern[i : i + 1] == "]"
+            while i < len(pattern) and pattern[i] != "]":
+                i += 1 + (pattern[i] == "\\")
+            i += 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            end()
+        elif c in "?*{":  # what stands before it may be absent
+            run = run[:-1]
+            end()
+            if c == "{":
+                i = pattern.find("}", i) + 1 or len(pattern)
+        elif c in ".^$+":
+            end()
+        elif depth == 0:
+            run += c.lower()
+    end()
+    return max(runs, key=len)
+
+
+def _grams(text: Column) -> Column:
+    count = F.length(text) - GRAM + 1
+    return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def _fits() -> Column:
+    return F.expr("pattern = '' or rlike(value, concat('(?i)', pattern))")
+
+
+def unnamed_hits(values: DataFrame, patterns: DataFrame, salts: int = 16) -> DataFrame:
+    """(surface, value, name, categories) of the texts (surface, value) that patterns (surface, name, categories, pattern) match."""
+    ship(values.sparkSession)
+
+    @F.pandas_udf("string")
+    def literal(expressions: pd.Series) -> pd.Series:
+        return expressions.map(required_literal)
+
+    known = written(patterns.select("surface", "name", "categories", "pattern").distinct().withColumn("literal", literal("pattern")))
+    low = F.lower("value")
+    steps = known.select("surface", "name", "pattern", F.explode(_grams(F.col("literal"))).alias("gram"))
+    used = steps.select("surface", "gram").distinct()
+    held = values.select("surface", "value", F.explode(_grams(low)).alias("gram")).join(used, ["surface", "gram"])
+    held = written(held)
+    texts = held.groupBy("surface", "gram").agg(F.count(F.lit(1)).alias("texts"))
+    # Each pattern is found by the gram that fewest texts hold.
+    best = steps.join(texts, ["surface", "gram"], "left").groupBy("surface", "name", "pattern").agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
+    keyed = best.join(known, ["surface", "name", "pattern"])
+    candidates = held.join(keyed, ["surface", "gram"]).where(F.contains(low, F.col("literal")))
+    # The others meet all texts of their surface, which are dealt out by a salt.
+    rest = known.where(F.length("literal") < GRAM).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    every = values.select("surface", "value", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int").alias("salt")).join(rest, ["surface", "salt"])
+    columns = ["surface", "value", "name", "categories", "pattern"]
+    return candidates.select(columns).unionByName(every.select(columns)).where(_fits()).select(columns[:-1]).distinct()
+
+
 def detect(responses: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, name, categories, surface): each technology once, by its most trusted surface."""
     seen = surfaces(responses)
-    # Each different value meets the patterns of its surface and name once.
-    values = seen.select("surface", "key", "value").distinct()
-    hits = values.join(patterns, ["surface", "key"]).where(F.expr("pattern = '' or rlike(value, concat('(?i)', pattern))"))
+    # Each different value meets patterns once.
+    values = written(seen.select("surface", "key", "value").distinct())
+    named = values.where("key <> ''").join(patterns, ["surface", "key"]).where(_fits()).select("surface", "key", "value", "name", "categories")
+    unnamed = unnamed_hits(values.where("key = ''").select("surface", "value"), patterns.where("key = ''")).select("surface", F.lit("").alias("key"), "value", "name", "categories")
     rank = F.array_position(F.array(*[F.lit(s) for s in SURFACES]), F.col("surface"))
-    met = seen.join(hits.select("surface", "key", "value", "name", "categories"), ["surface", "key", "value"])
+    met = seen.join(named.unionByName(unnamed), ["surface", "key", "value"])
     return met.groupBy("id", "name").agg(F.first("categories").alias("categories"), F.min_by("surface", rank).alias("surface"))
 
 
