@@ -12,9 +12,9 @@ from .. import streaming
 from ..functions import patterns, ranking
 from ..functions.order import numbered_within
 from ..lineage import shared_folder
-from ..operators import edits, fingerprints, markup, review, site
+from ..operators import edits, embargo, fingerprints, markup, review, site
 from ..operators import operations as ops
-from ..sources import store
+from ..sources import store, versions
 from .inputs import select_list, sql_path
 from .registry import query, table
 
@@ -61,6 +61,38 @@ def f08(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_HELD = f"""d as (select page_id // 50 as run, string_agg('- [p](' || url || ')' || case when page_id % 4 = 0 then ' see https://x.example/fr/1' else '' end, chr(10) order by page_id) as text, string_agg(url, ' and ' order by page_id) filter (page_id % 3 = 0) as body from pages group by 1),
+revs as (select run, k as revision, text, case when k = 1 then '' else body end as body from d, (select unnest([1, 2]) as k)),
+gone as (select url glob '*/fr/*' or url glob '*.html' or url glob '*/es/[1-4]*' as hit from pages)"""
+_HITS = "len(list_filter(regexp_extract_all({0}, 'https?://[^\\s<>\")\\]]+'), lambda x: x glob '*/fr/*' or x glob '*.html' or x glob '*/es/[1-4]*')) > 0"
+_LINES_GONE = f"len(list_filter(string_split(text, chr(10)), lambda l: {_HITS.format('l')}))"
+
+
+@query(
+    "f08_purge_of_all_tables",
+    f"""with {_HELD}, r as (select 'runs' as "table", {_LINES_GONE} as n, {_HITS.format("coalesce(body, '')")} as f from d union all select 'revisions', {_LINES_GONE}, {_HITS.format("coalesce(body, '')")} from revs)
+    select 'pages' as "table", count(*) filter (hit) as rows, 0 as index_lines, 0 as full_texts, count(*) filter (not hit) as left_ from gone union all select 'metrics', count(*) filter (hit), 0, 0, count(*) filter (not hit) from gone
+    union all select "table", count(*) filter (n > 0 or f), sum(n), count(*) filter (f), count(*) from r group by 1""",
+)
+def f08_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, metrics, runs and revisions are committed, purged in one change, and read back."""
+    i = F.col("page_id")
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    line = F.concat(F.lit("- [p]("), "url", F.lit(")"), F.when(i % 4 == 0, " see https://x.example/fr/1").otherwise(""))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c[1], F.struct("page_id", c[0].alias("x"))))), lambda e: e["x"])
+    runs = p.groupBy(F.floor(i / 50).alias("run")).agg(F.array_join(ordered((line, F.lit(True))), "\n").alias("index_text"), F.array_join(ordered((F.col("url"), i % 3 == 0)), " and ").alias("full_text"))
+    revisions = runs.select("run", F.explode(F.array(F.lit(1), F.lit(2))).alias("revision"), "index_text", "full_text").withColumn("full_text", F.when(F.col("revision") == 1, "").otherwise(F.col("full_text")))
+    root = f"{shared_folder(spark)}/siteindex/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    versions.commit(spark, root, {"pages": p, "metrics": p.select("url", (i % 7).alias("clicks")), "runs": runs, "revisions": revisions}, 0)
+    before = versions.tables(spark, root)
+    versions.change(spark, root, lambda held: embargo.purged(held, EMBARGO))
+    left = None
+    for name, rows in versions.tables(spark, root).items():
+        n = rows.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("left_"))
+        left = n if left is None else left.unionByName(n)
+    return embargo.purge_report(before, EMBARGO).join(left, "table")
+
+
 @query("f09_matching_patterns", "select p as pattern from (select unnest(['*/fr/*', '*/zz/*', '*.html', '/en/*']) as p) where exists (select 1 from pages where url glob p)")
 def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("*/fr/*", "*/zz/*", "*.html", "/en/*")
@@ -688,8 +720,10 @@ def k17_clone_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"))
     pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("page"))
     named = runs.where("run % 5 = 0").select("run", (F.col("run") + 1_000_000_000).alias("clone"))
-    held = store.clone_runs({"runs": runs, "pages": pages}, named)
-    held = store.delete_runs(held, held["runs"].where("run % 7 = 1").select("run"))
+    root = f"{shared_folder(spark)}/siteindex/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    versions.commit(spark, root, store.clone_runs({"runs": runs, "pages": pages}, named), 0)
+    versions.change(spark, root, lambda held: store.delete_runs(held, held["runs"].where("run % 7 = 1").select("run")))
+    held = versions.tables(spark, root)
     counted = held["pages"].groupBy("run").agg(F.count("page").alias("pages"))
     return held["runs"].join(counted, "run", "left").select("run", "status", F.coalesce("pages", F.lit(0)).alias("pages"))
 
