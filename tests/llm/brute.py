@@ -197,3 +197,47 @@ def targets(sizes, weights=(5, 2, 1), epochs=3):
             return out | share
         out |= {s: epochs * sizes[s] for s in full}
         open_ -= full
+
+
+def search(docs, items, k=50):
+    """The k best documents of each item, by the formula over every document."""
+    terms = lambda t: re.findall("[^\x00-/:-@\\[-`{-\x7f]+", lower(t))
+    counted = [(i, Counter(terms(t))) for i, t in docs]
+    counted = [(i, c) for i, c in counted if c]
+    n_docs, n_terms = len(counted), sum(sum(c.values()) for _, c in counted)
+    df = Counter(x for _, c in counted for x in c)
+    out = []
+    for row, (item, text) in enumerate(items):
+        w = {x: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) for x in set(terms(text)) if df[x]}
+        found = []
+        for i, c in counted:
+            m = 100 - 50 + (50 * sum(c.values()) * n_docs) // n_terms
+            score = sum(v * ((1_000_000_000 * c[x]) // (1000 * c[x] + 20 * m)) for x, v in w.items() if c[x])
+            if score > 0:
+                found.append((i is None, i or 0, score))
+        found.sort(key=lambda x: (-x[2], x[0], x[1]))
+        out += [(row, item, r, None if null else i, s) for r, (null, i, s) in enumerate(found[:k], 1)]
+    return out
+
+
+def divergence(docs, least=30, most=50):
+    """Pair and term rows over every kept term of a language, absent ones too."""
+    words = [(x or "", s or "", re.findall("[^\x00-@\\[-`{-\x7f]+", lower(t))) for x, s, t in docs]
+    seen, counts = defaultdict(Counter), defaultdict(Counter)
+    for lang, source, w in words:
+        seen[lang].update(set(w))
+        counts[lang, source].update(w)
+    out = []
+    for lang in {x[0] for x in words}:
+        kept = [t for t, n in seen[lang].items() if n >= least]
+        groups = {g[1]: counts[g] for g in counts if g[0] == lang}
+        share = lambda c, kept=kept: {t: 1 + 1_000_000_000 * (c[t] + 5) // (sum(c[x] for x in kept) + 5 * len(kept)) for t in kept}
+        p = {s: share(c) for s, c in groups.items()}
+        whole = share(sum(groups.values(), Counter()))
+        for s in groups:
+            pairs = [(sum(abs(p[s][t] - p[x][t]) for t in kept), x) for x in groups if x != s]
+            terms = [(p[s][t] - whole[t], t) for t in kept if groups[s][t] and p[s][t] > whole[t]]
+            for part, rows, top in (("pair", pairs, None), ("term", terms, most)):
+                rows.sort(key=lambda r: (-r[0], r[1].encode()))
+                out += [(lang, s, part, x, v, r) for r, (v, x) in enumerate(rows[:top], 1)]
+    return out
