@@ -288,7 +288,7 @@ def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, thre
     members = members.join(sketches(texts.join(members.select("id").distinct(), "id"), width, power), "id").withColumn("led", F.lit(False))
     bucket = W.Window.partitionBy("band", "bucket")
     while True:
-        open_ = _apart(members, roots)
+        open_ = written(_apart(members, roots))  # a round's rows are made once, whatever reads them
         waiting = (F.col("root") != F.col("largest")) & ~F.col("led")
         turns = open_.where(waiting).withColumn("turn", F.row_number().over(bucket.orderBy("id"))).where(F.col("turn") <= leaders)
         turns = written(turns.select("band", "bucket", F.col("id").alias("leader"), F.col("root").alias("leader_root"), *[F.col(c).alias(f"leader_{c}") for c in traits]))
