@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,9 +78,19 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def fingerprint(text: Column, least: int = 200) -> Column:
-    """Hash of the text with case and white space levelled; empty for short texts."""
-    level = F.lower(F.regexp_replace(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\f\x0b")), r"\s+", " "))
-    return F.when(F.length(level) < least, F.lit("")).otherwise(F.md5(level))
+    """BLAKE2b of 128 bits, in hex, of the text with case folded and white space levelled; empty for short texts."""
+
+    @F.pandas_udf("string")
+    def digests(texts: pd.Series) -> pd.Series:
+        from hashlib import blake2b
+
+        def one(raw: str | None) -> str:
+            level = " ".join((raw or "").split()).casefold()
+            return blake2b(level.encode(), digest_size=16).hexdigest() if len(level) >= least else ""
+
+        return texts.map(one)
+
+    return digests(text)
 
 
 def usd(value: Column, digits: int = 2) -> Column:

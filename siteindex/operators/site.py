@@ -201,14 +201,6 @@ def size_warnings(total: Column, html: Column, indexed: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]))
 
 
-def robots_rules(policies: DataFrame, bots: DataFrame) -> DataFrame:
-    """(site, body): rules of each bot (bot, kind) under the site's policy."""
-    rows = policies.join(F.broadcast(bots), F.lit(True))  # a fixed list of bots
-    blocked = (F.col("policy") == "block_all") | ((F.col("policy") == "search_only") & (F.col("kind") == "training"))
-    block = F.concat(F.lit("User-agent: "), "bot", F.lit("\n"), F.when(blocked, "Disallow: /").otherwise("Allow: /"))
-    return rows.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "bot", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("body"))
-
-
 def catalog_entries(surfaces: DataFrame, least: int = 2) -> DataFrame:
     """(site, entries): JSON of a site's verified surfaces, sitemaps left out, where there are enough."""
     fine = surfaces.where((F.col("state") == "present") & (F.col("kind") != "sitemap"))

@@ -87,7 +87,7 @@ def p08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("p09_content_fingerprint", r"with t as (select doc_id, lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) as level from documents) select doc_id, case when length(level) < 200 then '' else md5(level) end as fingerprint from t")
+@query("p09_content_fingerprint")
 def p09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))
 

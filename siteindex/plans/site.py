@@ -12,7 +12,7 @@ from .. import streaming
 from ..functions import patterns, ranking
 from ..functions.order import numbered_within
 from ..lineage import shared_folder
-from ..operators import edits, embargo, fingerprints, markup, review, site
+from ..operators import agents, edits, embargo, fingerprints, markup, review, site
 from ..operators import operations as ops
 from ..sources import store, versions
 from .inputs import select_list, sql_path
@@ -650,12 +650,52 @@ def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections(spark, sf_dir)
 
 
-@query("k10_agent_document", f"with {_SECTIONS}, {_P29} select n_nationkey as site, '# Agents guide' || chr(10) || chr(10) || string_agg('## ' || replace(section, '_', ' '), chr(10) || chr(10) order by pos) as body from p join shapes using (profile) where {_EVIDENCE} group by 1")
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites with their suppliers' and customers' addresses as evidence."""
+    k = F.col("site")
+    url = F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example"))
+    link = lambda label, path: F.struct(F.lit(label).alias("label"), F.concat(url, F.lit(path)).alias("url"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("site"), "n_name")
+    rows = _sections(spark, sf_dir)
+    kept = rows.groupBy("site").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("pos", "section")))), lambda x: x["section"]).alias("sections"),
+        F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("section")))).alias("omitted"),
+    )
+    return kept.join(_profiled(spark, sf_dir).select(F.col("n_nationkey").alias("site"), "profile"), "site").join(names, "site").select(
+        "site", "profile", "sections", "omitted",
+        url.alias("site_url"),
+        F.when(k % 4 != 0, F.initcap("n_name")).alias("site_name"),
+        F.when(k % 3 != 0, F.concat(F.lit("> About "), "n_name")).alias("summary"),
+        F.when(k % 5 == 0, "  Ask first. ").alias("guidance"),
+        F.array(F.struct(F.lit("Orders").alias("label"), F.concat(url, F.lit("/mcp")).alias("url"), F.lit("mcp").alias("transport"))).alias("capabilities"),
+        F.array(link("Catalogue", "/c"), link("Search", "/s")).alias("read_only"),
+        F.array(link("Privacy", "/p")).alias("policies"),
+        F.concat(url, F.lit("/contact")).alias("contact_url"),
+        F.lit("One a second. ").alias("rate_limit"),
+        F.when(k % 2 == 1, F.concat(url, F.lit("/llms.txt"))).alias("llms_url"),
+        F.lit("2026-04-08").alias("version"),
+        F.array(F.lit("2026-01-23"), F.lit("2026-04-08")).alias("supported"),
+    )
+
+
+_E = "'https://' || lower(n_name) || '.example"
+
+
+@query(
+    "k10_agent_document",
+    rf"""with {_SECTIONS}, {_P29}, e as (select n.*, profile, {_E}' as url from nation n join p using (n_nationkey)), kept as (select n_nationkey, pos, section, profile from p join shapes using (profile) where {_EVIDENCE}),
+    lost as (select distinct n_nationkey from p join shapes using (profile) where section = 'contact' and not {_EVIDENCE}),
+    b as (select n_nationkey, pos, case section when 'identity' then '## About this site' || chr(10) || chr(10) || case when n_nationkey % 5 = 0 then 'Ask first.' else 'Canonical site: ' || url end || case when n_nationkey % 2 = 1 and not exists (select 1 from kept k2 where k2.n_nationkey = e.n_nationkey and k2.section = 'api_access') then chr(10) || chr(10) || 'Content overview for language models: ' || url || '/llms.txt' else '' end
+      when 'read_only' then '## Read-only browsing (no authentication)' || chr(10) || chr(10) || '- Catalogue: `' || url || '/c`' || chr(10) || '- Search: `' || url || '/s`'
+      when 'contact' then '## Contact' || chr(10) || chr(10) || '- Enquiries: `' || url || '/contact`' || chr(10) || chr(10) || 'Submit an enquiry only when the person you are acting for has asked you to, and pass on only details they have given you for that purpose.'
+      when 'policies' then '## Policies' || chr(10) || chr(10) || '- Privacy: `' || url || '/p`' || chr(10) || chr(10) || 'Read these before acting on this site; they govern what is permitted.'
+      when 'not_supported' then '## Not supported' || chr(10) || chr(10) || case when e.profile in ('ecommerce_retail', 'ecommerce') then '- No agent commerce protocol is published for this site yet. Do not attempt to transact programmatically; direct the person you are acting for to the site itself.' else '- This site does not sell through an agent protocol. There is no cart, checkout or ordering endpoint; do not attempt to transact here.' end || chr(10)
+        || case when n_nationkey in (select n_nationkey from lost) then '- No contact endpoint is published for agent use.' || chr(10) else '' end || '- Do not submit forms, create accounts, or take any action that changes state on this site without explicit instruction from the person you are acting for.' end as block from kept join e using (n_nationkey))
+    select n_nationkey as site, '# ' || case when n_nationkey % 4 <> 0 then upper(n_name[1]) || lower(n_name[2:]) else any_value(url) end || chr(10) || chr(10) || case when n_nationkey % 3 <> 0 then '> About ' || n_name || chr(10) || chr(10) else '' end || string_agg(block, chr(10) || chr(10) order by pos) || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+      || '*Generated 2026-08-20. Follows the agents.md convention as published by Shopify (May 2026). agents.md is a convention rather than a ratified specification; the machine-readable contract for commerce is UCP, at /.well-known/ucp.*' || chr(10) as body from b join e using (n_nationkey) group by n_nationkey, n_name""",
+)
 def k10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _sections(spark, sf_dir).where("kept")
-    block = F.concat(F.lit("## "), F.replace("section", F.lit("_"), F.lit(" ")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]), "\n\n")
-    return kept.groupBy("site").agg(F.concat(F.lit("# Agents guide\n\n"), body).alias("body"))
+    return agents.render_agents(_evidence(spark, sf_dir), "2026-08-20").select("site", "body")
 
 
 @query("k11_capability_catalog", """with s as (select n_regionkey as site, case n_nationkey % 3 when 0 then 'sitemap' when 1 then 'mcp' else 'api' end as kind, 'https://e/' || n_nationkey as url, case when n_nationkey % 5 = 0 then 'absent' else 'present' end as state from nation), g as (select site, count(*) as n, '[' || string_agg('{"kind":"' || kind || '","url":"' || url || '"}', ',' order by '{"kind":"' || kind || '","url":"' || url || '"}') || ']' as entries from s where state = 'present' and kind <> 'sitemap' group by site) select site, entries from g where n >= 2""")
@@ -671,19 +711,43 @@ def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _states(spark, sf_dir).groupBy("site", "effort").agg(F.count_if(F.col("state").isin("missing", "ready", "template")).alias("todo"), F.count_if(F.col("state") == "not_applicable").alias("not_needed"))
 
 
-@query("k13_robots_rules", "with b as (select * from (values ('bot-a', 'search'), ('bot-b', 'search'), ('bot-c', 'training')) t(bot, kind)), p as (select n_nationkey as site, ['block_all', 'search_only', 'allow'][1 + n_nationkey % 3] as policy from nation) select site, string_agg('User-agent: ' || bot || chr(10) || case when policy = 'block_all' or (policy = 'search_only' and kind = 'training') then 'Disallow: /' else 'Allow: /' end, chr(10) || chr(10) order by kind, bot) as body from p cross join b group by site")
+_BOTS = "b as (select * from (values (0, 'OAI-SearchBot', 'search'), (1, 'PerplexityBot', 'search'), (2, 'ClaudeBot', 'search'), (3, 'Google-Extended', 'search'), (4, 'GPTBot', 'training'), (5, 'CCBot', 'training'), (6, 'anthropic-ai', 'training')) t(i, bot, kind))"
+
+
+@query(
+    "k13_robots_rules",
+    f"""with {_BOTS}, p as (select n_nationkey as site, lower(n_name) as host, ['block_all', 'search_only', 'allow'][1 + n_nationkey % 3] as policy from nation),
+    r as (select site, host, policy, string_agg('User-agent: ' || bot || chr(10) || case when policy = 'block_all' or (policy = 'search_only' and kind = 'training') then 'Disallow: /' else 'Allow: /' end || chr(10) || chr(10), '' order by i) as rules from p cross join b group by all)
+    select site, '# AI crawler rules — add these to your existing robots.txt.' || chr(10) || chr(10) || rules || 'User-agent: *' || chr(10) || 'Allow: /' || chr(10) || 'Content-Signal: ai-train=' || case policy when 'allow' then 'yes' else 'no' end || ', search=' || case policy when 'block_all' then 'no' else 'yes' end || ', ai-input=' || case policy when 'block_all' then 'no' else 'yes' end || chr(10) || chr(10)
+      || case when site % 2 = 0 then 'Sitemap: https://' || host || '.example/sitemap.xml' || chr(10) || chr(10) else '' end
+      || case when policy = 'search_only' then '# Note: on Cloudflare, blocking Training also blocks Googlebot, Bingbot' || chr(10) || '# and Applebot from 15 September 2026 — multi-purpose crawlers are judged' || chr(10) || '# by their strictest rule. Check your CDN''s AI crawler settings as well;' || chr(10) || '# these lines alone will not produce the outcome above.' || chr(10) else '' end as body from r""",
+)
 def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bots = spark.createDataFrame([("bot-a", "search"), ("bot-b", "search"), ("bot-c", "training")], "bot string, kind string")
-    names = F.array(*[F.lit(x) for x in ("block_all", "search_only", "allow")])
-    policies = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("site"), F.get(names, F.col("n_nationkey") % 3).alias("policy"))
-    return site.robots_rules(policies, bots)
+    k = F.col("n_nationkey")
+    policy = F.get(F.array(*[F.lit(x) for x in ("block_all", "search_only", "allow")]), k % 3)
+    sitemap = F.when(k % 2 == 0, F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example/sitemap.xml")))
+    return table(spark, sf_dir, "nation").select(k.alias("site"), agents.robots_rules(policy, sitemap).alias("body"))
+
+
+@query(
+    "k13_header_file",
+    """select n_nationkey as site, '# Cloudflare Pages _headers — agent-aware Link rels.' || chr(10) || chr(10) || '/*' || chr(10) || '  Link: </sitemap.xml>; rel="sitemap"' || chr(10) || case when n_nationkey % 2 = 0 then '  Link: </llms.txt>; rel="describedby"; type="text/markdown"' || chr(10) else '' end
+    || case when n_nationkey % 3 = 0 then '  Link: </.well-known/ai-catalog.json>; rel="ai-catalog"' || chr(10) else '' end || case when n_nationkey % 5 = 0 then '  Link: <https://' || lower(n_name) || '.example/api>; rel="service-desc"; type="application/vnd.oai.openapi+json"' || chr(10) else '' end as body from nation""",
+)
+def k13_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    spec = F.when(k % 5 == 0, F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example/api")))
+    return table(spark, sf_dir, "nation").select(k.alias("site"), agents.header_file(k % 2 == 0, k % 3 == 0, spec).alias("body"))
 
 
-@query("k14_templates", f"with {_COMPONENTS} select n_nationkey, key, '{{\"_comment\":\"REPLACE_ME\",\"host\":\"' || lower(n_name) || '\",\"key\":\"' || key || '\"}}' as body from nation cross join components where templated")
+@query("k14_templates", "select n_nationkey, key, case when key = 'link-header' and n_nationkey % 4 = 0 then 'no' when key in ('webmcp', 'link-header', 'markdown-negotiation') then 'text' else 'https://' || lower(n_name) || '.example' end as shown from nation cross join (select unnest(['mcp-card', 'a2a-card', 'oauth-resource', 'skills', 'api-catalog', 'webmcp', 'link-header', 'markdown-negotiation']) as key)")
 def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hosts = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("host"))
-    rows = hosts.join(F.broadcast(site.component_table(spark).where("templated").select("key")), F.lit(True))
-    return rows.select("n_nationkey", "key", F.to_json(F.struct(F.lit("REPLACE_ME").alias("_comment"), "host", "key")).alias("body"))
+    """The site that each template names: in the service documents read back from their JSON."""
+    sites = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example")).alias("site_url"), F.col("n_name").alias("site_name"), F.when(F.col("n_nationkey") % 4 == 0, "wix").otherwise("nginx").alias("platform"))
+    t = agents.service_templates(sites)
+    paths = {"mcp-card": "$.authentication.resourceMetadata", "a2a-card": "$.url", "oauth-resource": "$.resource", "skills": "$.skills[0].endpoint", "api-catalog": "$.linkset[0].anchor"}
+    read = F.coalesce(*[F.when(F.col("key") == k, F.regexp_extract(F.get_json_object("body", p), "^https://[^/]*", 0)) for k, p in paths.items()])
+    return t.select("n_nationkey", "key", F.coalesce(read, F.when(F.col("body").contains("sets no response headers"), "no").otherwise("text")).alias("shown"))
 
 
 @query("k15_plan_text", "select source, rpad(source, 10, ' ') || lpad(cast(count(*) as varchar), 7, ' ') as line from documents group by source")

@@ -203,3 +203,13 @@ def test_stream_of_events(spark, sf_dir, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     assert log.count() == 200
     assert streaming.windowed_counts(log).groupBy().sum("n").first()[0] == 200
+
+
+def test_fingerprints_are_blake2b_of_folded_texts(spark):
+    from hashlib import blake2b
+
+    long = "STRASSE und Straße, ΣΑΣ  " * 20
+    want = blake2b(" ".join(long.split()).casefold().encode(), digest_size=16).hexdigest()
+    for raw, expected in ((long, want), (f"\n {long.lower()}\t", want), ("short", ""), (None, ""), ("x" * 199, ""), ("x" * 200, blake2b(b"x" * 200, digest_size=16).hexdigest())):
+        df = spark.createDataFrame([(raw,)], "v string").select(text.fingerprint(F.col("v")).alias("x"))
+        assert df.first()["x"] == expected
