@@ -27,6 +27,11 @@ def _uniform(seed: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def _phase(seed: int) -> Column:
+    """A share in (0, 1] for each ``source_key``."""
+    return 1 - _uniform(seed, F.lit("phase"), F.col("source_key"))
+
+
 def _running(rows: DataFrame, part: str, measure: str, buckets: int) -> DataFrame:
     """``rows`` (with ``u``, ``tie``) plus ``before``: the measure's sum ahead of each row of ``part``.
 
@@ -89,8 +94,9 @@ def fair_queue_mix(docs: DataFrame, source: str = "source", weights: tuple[int,
     """``docs`` without its text, plus size, source_size, target and taken (words the mix takes, repeats counted).
 
     Each source's documents stand in a seeded order; a document's virtual finish time
-    is its source's cumulative words over the source's weight, later epochs following
-    on the same order. All copies are ranged by finish time and the mix ends where the
+    is its source's cumulative words over the source's weight, of its own words a seeded
+    share (one for each source, so that small sources of equal sizes don't all finish at
+    one time), later epochs following on the same order. All copies are ranged by finish time and the mix ends where the
     budget of all words is spent. Only the time slice in which the budget runs out
     needs a running sum; slices before it are taken whole. Words are counted once: what
     is ranked is a written table of sizes.
@@ -122,7 +128,7 @@ def _queued(docs: DataFrame, source: str, weights: tuple[int, ...] = (5, 2, 1),
     buckets = max(1, -(-rows // ROWS_IN_BUCKET))
     queued = _running(sized, "source_key", "size", buckets).drop("part_total", "u")
     slices = max(64, buckets)
-    finish = lambda e: (F.col("source_size") * F.lit(e) + F.col("before") + F.col("size")) / F.col("weight")
+    finish = lambda e: (F.col("source_size") * F.lit(e) + F.col("before") + F.col("size") * _phase(seed)) / F.col("weight")
     slot = lambda v: F.when(F.col("stop") > 0, F.floor(v / F.col("stop") * slices)).otherwise(F.lit(0)).cast("long")
     copies = F.array(*[F.struct(F.lit(e).alias("epoch"), finish(e).alias("finish"), slot(finish(e)).alias("slice")) for e in range(epochs)])
     queued = written(queued.join(written(targets), "source_key").withColumn("copies", copies))
@@ -147,7 +153,8 @@ def stratified_shards(docs: DataFrame, shards: int = 40, source: str = "source",
     """``docs`` without its text, plus shard and slot by proportional stratified interleaving.
 
     Rows of a source stand in a seeded order and get the fractional rank
-    (rank - 1/2) / rows of the source; in the order of that fraction the table is cut
+    (rank - phase) / rows of the source, the phase being seeded in [0, 1) for each source,
+    so that sources of one row lie anywhere and not all in the middle; in the order of that fraction the table is cut
     into ``shards`` runs whose row counts differ by one at most, so that each run has
     the table's mixture. What is ranked is a written table without texts.
 
@@ -170,9 +177,9 @@ def _placed(docs: DataFrame, shards: int, source: str = "source", seed: int = 7)
     rows = keyed.count()
     buckets = max(1, -(-rows // ROWS_IN_BUCKET))
     ranked = _running(keyed, "source_key", "one", buckets)
-    ranked = ranked.withColumn("u", (F.col("before") + F.lit(0.5)) / F.col("part_total")).withColumn("order", F.xxhash64(F.lit(seed), F.col("tie"))).drop("before", "part_total")
+    ranked = ranked.withColumn("u", (F.col("before") + _phase(seed)) / F.col("part_total")).withColumn("order", F.xxhash64(F.lit(seed), F.col("tie"))).drop("before", "part_total")
     # Every bucket of the fraction holds its share of every source; a bucket is one window.
-    ranked = written(ranked.withColumn("bucket", F.floor(F.col("u") * buckets).cast("long")))
+    ranked = written(ranked.withColumn("bucket", F.least(F.floor(F.col("u") * buckets), F.lit(buckets - 1)).cast("long")))
     sums = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
     offsets = sums.select("bucket", (F.sum("in_bucket").over(W.Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("in_bucket")).alias("offset"))
     inside = W.Window.partitionBy("bucket").orderBy("u", "order", "tie")

@@ -260,6 +260,69 @@ def test_shards(docs, rows):
             assert abs(sum(r["shard"] == shard and r["source"] == s for r in out) - n / 7) <= 2
 
 
+def plain_shares(spark, docs, seed):
+    """Each row's source, keys and size, and each source's phase, as the operators hash them."""
+    key = mixing._source_key("source")
+    tie = mixing.tie_of(docs.select("doc_id", "source", "text"))
+    words = F.size(mixing.words_of(F.col("text")))
+    return docs.select("doc_id", key.alias("source_key"), tie.alias("tie"), mixing._uniform(seed, tie).alias("u"), F.xxhash64(F.lit(seed), tie).alias("order"), words.alias("size")).withColumn("phase", mixing._phase(seed)).collect()
+
+
+@pytest.mark.parametrize("shards", [7, 40])
+def test_shards_equal_a_plain_sort(spark, docs, shards):
+    by = defaultdict(list)
+    for r in plain_shares(spark, docs, 7):
+        by[r["source_key"]].append(r)
+    ranked = []
+    for own in by.values():
+        own.sort(key=lambda r: (r["u"], r["tie"]))
+        ranked += [((i + r["phase"]) / len(own), r["order"], r["tie"], r["doc_id"]) for i, r in enumerate(own)]
+    ranked.sort(key=lambda x: x[:3])
+    want, slots = Counter(), Counter()
+    for i, (*_, doc) in enumerate(ranked):
+        shard = i * shards // len(ranked)
+        want[doc, shard, slots[shard]] += 1
+        slots[shard] += 1
+    got = Counter(map(tuple, mixing.stratified_shards(docs, shards).select("doc_id", "shard", "slot").collect()))
+    assert got == want
+
+
+def test_mix_equals_a_plain_queue(spark, docs):
+    rows = plain_shares(spark, docs, 9)
+    by = defaultdict(list)
+    for r in rows:
+        by[r["source_key"]].append(r)
+    name = lambda k: None if k == "null" else k[2:]
+    weights = {k: (5, 2, 1)[i % 3] for i, k in enumerate(sorted(by, key=lambda k: (name(k) is None, name(k) or "")))}
+    times, budget = [], sum(r["size"] for r in rows)
+    for key, own in by.items():
+        own.sort(key=lambda r: (r["u"], r["tie"]))
+        whole, before = sum(r["size"] for r in own), 0
+        for r in own:
+            times += [((whole * e + before + r["size"] * r["phase"]) / weights[key], key, r["tie"], e, r["size"], r["doc_id"]) for e in range(3) if r["size"]]
+            before += r["size"]
+    times.sort(key=lambda x: x[:4])
+    taken, spent = Counter(), 0
+    for *_, size, doc in times:
+        if spent + size > budget:
+            break
+        taken[doc] += size
+        spent += size
+    got = Counter()
+    for r in mixing.fair_queue_mix(docs).collect():
+        got[r["doc_id"]] += r["taken"]
+    assert +got == taken
+
+
+def test_many_small_sources_share_every_shard_with_a_large_one(spark):
+    rows = [(i, "a b c", "en", f"s{i}", 1) for i in range(4000)] + [(10_000 + i, f"d e {i}", "en", "big", 1) for i in range(4000)]
+    out = mixing.stratified_shards(spark.createDataFrame(rows, SCHEMA).repartition(4), 40)
+    for r in out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "big").alias("big")).collect():
+        assert r["n"] == 200 and abs(r["big"] - 100) <= 30
+    queued = mixing._queued(spark.createDataFrame(rows, SCHEMA), "source")
+    assert abs(queued.where("source = 'big'").agg(F.sum("taken")).first()[0] - queued.where("source = 'big'").first()["target"]) <= 30
+
+
 def test_whole_rows_are_mixed_and_sharded_like_their_ranks(spark, docs, rows):
     taken = Counter()
     for r in mixing.fair_queue_mix(docs).collect():
