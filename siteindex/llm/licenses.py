@@ -3,17 +3,23 @@
 Known licence sentences are sequences of lower-case words (runs of a-z and 0-9, whatever
 stands between them, so that line wraps, comment marks and punctuation inside do not
 matter). A sentence is found where its words stand between two bounds: it starts at a
-line's start or after a sentence mark, and ends at a line's end or before a mark. Of
-several that start at one place the longest counts. Found sentences become their
-identifiers, in order of the text; a licence is recognised where the identifiers of one
-of its rules occur in that order (others may stand between).
+line's start or after a sentence mark, and ends at a line's end or before a mark. {} in a
+sentence is a slot for one to ``SLOT`` words (a holder, a year). Of several that start at
+one place the one of most words counts. Found sentences become their identifiers, in order of the
+text; a rule of a licence is met where its identifiers occur in that order (others may
+stand between). Rules exclude each other: the one of most identifiers takes its sentences,
+and only rules of sentences that are left are met after it, so that a text shows the licence
+that explains most of it. A reserved right shows a proprietary text only where no licence is
+met; a sentence that puts a text under a licence and isn't known shows "unknown" there.
 
 Only texts that hold one of a few anchor words, of which every known sentence has one,
 are read word by word; the tables are small and fixed.
 
 Defined cases: null, blank and empty texts have no identifiers; a sentence that repeats
 gives its identifier each time; several licences can be found in one text, listed once
-each; rows that repeat stay rows; an empty table gives an empty result.
+each; of rules of as many identifiers the first in the text is met, then the first by name; very
+long texts are read whole; rows that repeat stay rows; an empty table gives an empty
+result; other columns are kept but for those of the result's names.
 """
 
 from __future__ import annotations
@@ -52,8 +58,10 @@ SENTENCES = {
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-advertise": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd-endorse": "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-name": "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY {} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
     "apache-notice-you": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "apache-copy": "You may obtain a copy of the License at",
@@ -107,8 +115,9 @@ RULES = {
     "0BSD": (("0bsd-grant", "isc-disclaims"),),
     "AGPL-3.0": (("agpl-free",), ("agpl-title", "agpl-version")),
     "Apache-2.0": (("apache-notice",), ("apache-notice-you",), ("apache-copy", "apache-unless"), ("apache-title", "apache-version", "apache-terms")),
-    "BSD-2-Clause": (("bsd-redistribution", "bsd-source"), ("bsd-redistribution", "bsd-binary")),
-    "BSD-3-Clause": (("bsd-redistribution", "bsd-endorse"),),
+    "BSD-2-Clause": (("bsd-redistribution", "bsd-source", "bsd-binary"), ("bsd-redistribution", "bsd-source"), ("bsd-redistribution", "bsd-binary")),
+    "BSD-3-Clause": (("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"), ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse-name"), ("bsd-redistribution", "bsd-binary", "bsd-endorse"), ("bsd-redistribution", "bsd-endorse")),
+    "BSD-4-Clause": (("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertise", "bsd-endorse"), ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertise", "bsd-endorse-name")),
     "BSL-1.0": (("bsl-title",), ("bsl-distributed",)),
     "CC-BY-4.0": (("cc-by-4",), ("cc-by-work",)),
     "CC-BY-NC-4.0": (("cc-by-nc-4",), ("cc-by-nc-work",)),
@@ -122,13 +131,17 @@ RULES = {
     "ISC": (("isc-grant",), ("isc-title", "isc-disclaims")),
     "LGPL-2.1": (("lgpl21-free",), ("lgpl21-title", "lgpl21-version")),
     "LGPL-3.0": (("lgpl3-free",), ("lgpl21-title", "gpl-version-3")),
-    "MIT": (("mit-notice",), ("mit-licensed",), ("mit-project",), ("mit-title", "mit-grant"), ("mit-title-the", "mit-grant"), ("mit-grant", "mit-kept"), ("mit-grant", "mit-as-is")),
+    "MIT": (("mit-title", "mit-grant", "mit-kept", "mit-as-is", "mit-liable"), ("mit-title-the", "mit-grant", "mit-kept", "mit-as-is", "mit-liable"), ("mit-notice",), ("mit-licensed",), ("mit-project",), ("mit-title", "mit-grant"), ("mit-title-the", "mit-grant"), ("mit-grant", "mit-kept"), ("mit-grant", "mit-as-is")),
     "MPL-2.0": (("mpl-subject",), ("mpl-if",)),
     "Unlicense": (("unlicense-free",), ("unlicense-anyone",)),
     "WTFPL": (("wtfpl-title",),),
     "Zlib": (("zlib-as-is", "zlib-grant"),),
-    "proprietary": (("reserved",),),
 }
+#: What is shown where no licence is met: by this sentence, or by a sentence that begins like one that grants a licence. Fixed values.
+RESERVED, PROPRIETARY, UNKNOWN = "reserved", "proprietary", "unknown"
+GRANTS = ("licensed under", "released under the", "distributed under the", "this work is licensed under", "this project is licensed under", "this program is licensed under", "this software is licensed under", "spdx license identifier")
+#: Words that a slot takes at most.
+SLOT = 12
 
 #: Words of which every known sentence holds one. Fixed values.
 ANCHORS = ("license", "licence", "licensed", "permission", "redistribution", "redistributions", "copyright", "warranty", "warranties", "liability", "redistribute", "cc", "version", "reserved", "software", "mpl", "reproduction")
@@ -146,22 +159,24 @@ class Sentences:
     """Known sentences by their first two words, the longest first."""
 
     def __init__(self, sentences: dict[str, str]) -> None:
-        self.by_start: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], str]]] = {}
+        self.by_start: dict[tuple[bytes, ...], list[tuple[list[tuple[bytes, ...]], str]]] = {}
         for name, text in sentences.items():
-            words = normalised(text)
-            self.by_start.setdefault(words[:2], []).append((words, name))
+            parts = [normalised(x) for x in text.split("{}")]
+            self.by_start.setdefault(parts[0][:2], []).append((parts, name))
         for known in self.by_start.values():
-            known.sort(key=lambda x: -len(x[0]))
+            known.sort(key=lambda x: -sum(map(len, x[0])))
+        self.grants = tuple(normalised(g) for g in GRANTS)
         plain = {w for text in sentences.values() for w in normalised(text)}
         anchors = [a.encode() for a in ANCHORS if a.encode() in plain]
         # Sentences without an anchor bring their longest word.
         missing = {max(w, key=len) for w in map(normalised, sentences.values()) if not any(a in w for a in anchors)}
         self.anchors = [*anchors, *sorted(missing)]
 
-    def find(self, text: bytes) -> list[str]:
+    def find(self, text: bytes) -> tuple[list[str], bool]:
+        """Identifiers in order of the text; whether an unknown sentence puts it under a licence."""
         low = text.lower()
         if not any(a in low for a in self.anchors):
-            return []
+            return [], False
         words: list[bytes] = []
         starts, ends = [0], set()
         for token in _TOKEN.findall(low):
@@ -172,22 +187,59 @@ class Sentences:
                 words.append(token)
         ends.add(len(words))
         found: list[str] = []
-        free = 0
+        free, unknown = 0, False
         for p in dict.fromkeys(starts):
             if p < free:
                 continue
             for key in (tuple(words[p : p + 2]), tuple(words[p : p + 1])):
-                match = next(((k, name) for k, name in self.by_start.get(key, ()) if p + len(k) in ends and tuple(words[p : p + len(k)]) == k), None)
+                match = next(((end, name) for parts, name in self.by_start.get(key, ()) if (end := _end(words, p, parts)) in ends), None)
                 if match:
                     found.append(match[1])
-                    free = p + len(match[0])
+                    free = match[0]
                     break
-        return found
+            else:
+                unknown |= any(tuple(words[p : p + len(g)]) == g for g in self.grants)
+        return found, unknown
+
 
+def _end(words: list[bytes], at: int, parts: list[tuple[bytes, ...]]) -> int:
+    """Where a sentence that starts at a place ends; -1 if it isn't there. A slot takes as few words as it can."""
+    for i, part in enumerate(parts):
+        gaps = range(1, SLOT + 1) if i else (0,)
+        at = next((at + g + len(part) for g in gaps if tuple(words[at + g : at + g + len(part)]) == part), -1)
+        if at < 0:
+            break
+    return at
 
-def _pattern(sequences: tuple[tuple[str, ...], ...]) -> str:
-    """A regular expression over the comma-joined identifiers, each between two commas."""
-    return "|".join("(?:,[^,]+)*?,".join(["," + re.escape(s[0]), *map(re.escape, s[1:])]) + "," for s in sequences)
+
+def met_licenses(ids: list[str], unknown: bool, rules: list[tuple[str, tuple[str, ...]]]) -> list[str]:
+    """Licences of a text's identifiers by (licence, sequence) rules, the longest sequences first; each identifier serves one rule."""
+    left: list[str | None] = list(ids)
+    out = set()
+    held = set(ids)
+    for size in sorted({len(s) for _, s in rules}, reverse=True):
+        while True:
+            places = [(at, name) for name, s in rules if len(s) == size and held.issuperset(s) and (at := _subsequence(left, s))]
+            if not places:
+                break
+            at, name = min(places)
+            out.add(name)
+            for p in at:
+                left[p] = None
+    if not out:
+        return [PROPRIETARY] if RESERVED in held else [UNKNOWN] if unknown else []
+    return sorted(out)
+
+
+def _subsequence(ids: list[str | None], sequence: tuple[str, ...]) -> list[int]:
+    """Places of the first occurrence in order, or none."""
+    at, out = -1, []
+    for s in sequence:
+        at = next((i for i in range(at + 1, len(ids)) if ids[i] == s), -1)
+        if at < 0:
+            return []
+        out.append(at)
+    return out
 
 
 @any_columns
@@ -201,14 +253,18 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
             named[family] = (*named.get(family, ()), (f"spdx-{x.lower()}",))
     names = [c for c in docs.columns if c != "text"]
 
+    listed = [(name, s) for name, sequences in sorted(named.items()) for s in sequences]
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Sentences(known)
         for batch in batches:
-            ids = [table.find(t) for t in texts_as_bytes(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "sentence_ids"])
-
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("sentence_ids", T.ArrayType(T.StringType()))])
-    out = arrow(docs.select(*names, "text"), find, schema)
-    line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    shown = [F.when(line.rlike(_pattern(sequences)), F.lit(name)) for name, sequences in sorted(named.items())]
-    return out.withColumn("n_sentences", F.size("sentence_ids").cast("long")).withColumn("licenses", F.array_compact(F.array(*shown)))
+            found = [table.find(t) for t in texts_as_bytes(batch.column(batch.num_columns - 1))]
+            ids = pa.array([f[0] for f in found], pa.list_(pa.string()))
+            shown = pa.array([met_licenses(*f, listed) for f in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, shown], names=[*batch.schema.names[:-1], "sentence_ids", "licenses"])
+
+    strings = T.ArrayType(T.StringType())
+    schema = T.StructType([*(docs.schema[c] for c in names if c not in ("sentence_ids", "licenses")), T.StructField("sentence_ids", strings), T.StructField("licenses", strings)])
+    kept = [c for c in names if c not in ("sentence_ids", "licenses")]
+    out = arrow(docs.select(*kept, "text"), find, schema)
+    return out.withColumn("n_sentences", F.size("sentence_ids").cast("long"))
