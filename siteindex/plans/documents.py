@@ -223,7 +223,7 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", "u").join(p.where("page_id % 3 <> 0").select("u").distinct(), "u", "left_anti").select("page_id", "url")
 
 
-_XF = f"""{_DOCS}, fulls as (select doc, case doc % 3 when 0 then text when 1 then replace(text, '> About', '> All about') else replace(text, '> About', 'About') end as text from docs where doc % 7 <> 3),
+_XF = f"""{_DOCS}, fulls as (select doc, case doc % 3 when 0 then text when 1 then replace(text, '> About', '> All about') else replace(text, '> About', 'About') end as whole, case when doc % 7 <> 3 then whole end as text from docs),
 i as (select doc, trim(regexp_extract(text, '(?m)^> ?(.*)$', 1)) as mine from docs), o as (select doc, trim(regexp_extract(text, '(?m)^> ?(.*)$', 1)) as other from fulls)"""
 
 
@@ -231,7 +231,7 @@ i as (select doc, trim(regexp_extract(text, '(?m)^> ?(.*)$', 1)) as mine from do
 def xf_001(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     other = F.expr("case doc % 3 when 0 then text when 1 then replace(text, '> About', '> All about') else replace(text, '> About', 'About') end")
-    return review.summaries_agree(docs, docs.where("doc % 7 <> 3").select("doc", other.alias("text")))
+    return review.summaries_agree(docs, docs.select("doc", F.when(F.col("doc") % 7 != 3, other).alias("text")))
 
 
 _AGENT = """agents as (select conv_id * 100 + turn as doc, case when turn % 3 = 0 then null else turn % 3 = 1 end as shop, case when turn % 4 = 3 then null else 'shop.example' end as host, case when turn % 2 = 0 then ['api.shop-store.example'] end as verified_hosts,
@@ -285,11 +285,16 @@ def agt_006(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agent_measures(_agents(spark, sf_dir)).select("doc", "emails", "phones")
 
 
-@query("agt_004_unverified_urls", "with u as (select conv_id, 'https://x/' || (turn % 5) as url from conversations) select distinct conv_id, url from u where url not in ('https://x/1', 'https://x/2')")
+@query(
+    "agt_004_unverified_urls",
+    "with u as (select distinct conv_id, 'https://x/' || (turn % 5) as url from conversations), v as (select conv_id, 'https://x/' || (turn * 2 % 5) as url from conversations where role = 'user') select conv_id, url from u where (conv_id, url) not in (select (conv_id, url) from v)",
+)
 def agt_004(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("https://x/"), (F.col("turn") % 5).cast("string")).alias("url")).distinct()
-    verified = table(spark, sf_dir, "region").where("r_regionkey in (1, 2)").select(F.concat(F.lit("https://x/"), F.col("r_regionkey").cast("string")).alias("url"))
-    return u.join(verified, "url", "left_anti").select("conv_id", "url")
+    """Addresses of a site's document that none of its own verified surfaces has."""
+    c = table(spark, sf_dir, "conversations")
+    named = c.select("conv_id", F.concat(F.lit("https://x/"), (F.col("turn") % 5).cast("string")).alias("url")).distinct()
+    verified = c.where("role = 'user'").select("conv_id", F.concat(F.lit("https://x/"), (F.col("turn") * 2 % 5).cast("string")).alias("url"))
+    return named.join(verified, ["conv_id", "url"], "left_anti").select("conv_id", "url")
 
 
 _OPENINGS = ("", "Learn ", "Get to know ", "The best ", "gain ", "A world-class ")

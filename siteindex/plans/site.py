@@ -110,9 +110,13 @@ def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPONENTS = "components as (select * from (values " + ", ".join(f"({i}, '{k}', '{f}', '{p}', {la}, '{e}', '{a[0]}', '{a[1]}', '{a[2]}', '{art}', {str(t).lower()})" for i, (k, f, p, la, e, a, art, t) in enumerate(site.COMPONENTS)) + ") t(pos, key, family, priority, layer, effort, content, app_api, ecommerce, artifact, templated))"
 
 
-@query("f11_applicable_components", f"with {_COMPONENTS} select key, family from components where app_api <> 'N'")
+@query("f11_applicable_components", f"with {_COMPONENTS} select n_nationkey as site, key, family from nation cross join components where [content, app_api, ecommerce][1 + n_nationkey % 3] <> 'N'")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.component_table(spark).where("app_api <> 'N'").select("key", "family")
+    """Components that apply to each site's type; the fixed table is 26 rows."""
+    types = F.array(*[F.lit(t) for t in site.SITE_TYPES])
+    sites = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("site"), F.get(types, F.col("n_nationkey") % 3).alias("site_type"))
+    applies = F.coalesce(*[F.when(F.col("site_type") == t, F.col(t)) for t in site.SITE_TYPES])
+    return sites.join(F.broadcast(site.component_table(spark)), F.lit(True)).where(applies != "N").select("site", "key", "family")
 
 
 @query("f12_freshness", "select o_orderkey, date_diff('day', cast(o_orderdate as date), date '1998-08-01') < 30 as fresh from orders")
@@ -161,19 +165,20 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(new, "p_partkey", "left").select("p_partkey", F.coalesce(F.nullif("title", F.lit("")), "p_name").alias("title"), (F.coalesce("sec", F.lit(0)) * 1000 + k % 7).alias("position"))
 
 
-@query("u01_rules_union", "select n_name as rule, 'plan' as source from nation where n_regionkey = 1 union all select n_name, 'heuristic' from nation where n_regionkey <> 1 and n_nationkey > 5")
+@query("u01_rules_union", "select n_name as rule, 'plan' as source from nation where n_regionkey = 1 union all select n_name, 'heuristic' from nation where n_regionkey <> 1")
 def u01(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     plan = n.where("n_regionkey = 1").select(F.col("n_name").alias("rule"), F.lit("plan").alias("source"))
-    rest = n.where("n_nationkey > 5").select(F.col("n_name").alias("rule")).join(n.where("n_regionkey = 1").select(F.col("n_name").alias("rule")), "rule", "left_anti")
+    rest = n.select(F.col("n_name").alias("rule")).join(n.where("n_regionkey = 1").select(F.col("n_name").alias("rule")), "rule", "left_anti")
     return plan.unionByName(rest.withColumn("source", F.lit("heuristic")))
 
 
-@query("u02_group_difference", "select k, 'only_a' as side from (select distinct o_custkey % 50 as k from orders where o_orderkey % 2 = 0 except select distinct o_custkey % 50 from orders where o_orderkey % 97 = 1) union all select k, 'both' from (select o_custkey % 50 as k from orders where o_orderkey % 2 = 0 intersect select o_custkey % 50 from orders where o_orderkey % 97 = 1)")
+@query("u02_group_difference", "select k, case when count(*) filter (a) > 0 and count(*) filter (not a) > 0 then 'both' when count(*) filter (a) > 0 then 'only_a' else 'only_b' end as side from (select o_custkey as k, o_orderkey % 2 = 0 as a from orders) group by k")
 def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"))
-    a, b = o.where("o_orderkey % 2 = 0").select("k"), o.where("o_orderkey % 97 = 1").select("k")
-    return a.subtract(b).withColumn("side", F.lit("only_a")).unionByName(a.intersect(b).withColumn("side", F.lit("both")))
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2 == 0).alias("a"), F.col("o_custkey").alias("k"))
+    a, b = o.where("a").select("k"), o.where("not a").select("k")
+    named = lambda rows, side: rows.withColumn("side", F.lit(side))
+    return named(a.subtract(b), "only_a").unionByName(named(b.subtract(a), "only_b")).unionByName(named(a.intersect(b), "both"))
 
 
 @query("u03_ordered_distinct", "select o_custkey % 100 as k, arg_min(o_orderpriority, o_orderkey) as first from orders group by 1")
@@ -202,13 +207,13 @@ def u06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- costs, logs, queues, edits ---------------------------------------------
 
-_USAGE = f"usage as (select user_id % 40 as run, {_MODEL} as model, cast(sum(event_id % 900) as bigint) as prompt, cast(sum(event_id % 70) as bigint) as completion from events where user_id % 40 not in (3) or event_id % 6 < 2 group by all)"
+_USAGE = f"usage as (select user_id % 40 as run, {_MODEL} as model, cast(sum(event_id % 900) as bigint) as prompt, cast(sum(event_id % 70) as bigint) as completion from events group by all)"
 _COSTS = f"""{_RATED}, {_USAGE}, costs as (select run, cast(sum(prompt) as bigint) as prompt, cast(sum(completion) as bigint) as completion, coalesce(sum(prompt / 1e6 * pin + completion / 1e6 * pout), 0e0) as llm_usd,
   cast(coalesce(sum(prompt + completion) filter (pin is null), 0) as bigint) as unpriced_tokens, coalesce(string_agg(model, ',' order by model) filter (pin is null), '') as unpriced, (run % 9) * 0.0025e0 as serp_usd from usage join best using (model) group by run)"""
 
 
 def _usage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf_dir, "events").withColumn("run", F.col("user_id") % 40).where("run <> 3 or event_id % 6 < 2")
+    e = table(spark, sf_dir, "events").withColumn("run", F.col("user_id") % 40)
     usage = e.groupBy("run", F.expr(_MODEL).alias("model")).agg(F.sum(F.col("event_id") % 900).alias("prompt"), F.sum(F.col("event_id") % 70).alias("completion"))
     return usage, usage.select("run", (F.col("run") % 9).alias("serp_calls")).distinct()
 
@@ -334,11 +339,11 @@ def t05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.edited(*_edits(spark, sf_dir)).where("kind = 'operation'").select("doc", "seq", "op", "url", "reason")
 
 
-_CODES = "e as (select user_id as run, event_id % 2 = 1 as after, event_type || '-' || event_id % 3 as code from events where event_type in ('error', 'click'))"
+_CODES = "e as (select user_id as run, event_id % 2 = 1 as after, event_type || '-' || event_id % 3 as code from events)"
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type in ('error', 'click')")
+    e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("run"), (F.col("event_id") % 2 == 1).alias("after"), F.concat("event_type", F.lit("-"), (F.col("event_id") % 3).cast("string")).alias("code"))
 
 
@@ -627,10 +632,20 @@ def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", action.alias("action"), profile.alias("profile"))
 
 
-@query("p30_scenario_files", f"with {_COMPONENTS}, s as (select * from (values {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{c}{chr(39)})' for k, v in site.SCENARIOS.items() for c in v)}) t(scenario, key)) select distinct scenario, artifact from s join components using (key) where artifact <> ''")
+_SCENARIO_NAMES = ", ".join(f"'{k}'" for k in site.SCENARIOS)
+
+
+@query(
+    "p30_scenario_files",
+    f"with {_COMPONENTS}, s as (select * from (values {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{c}{chr(39)})' for k, v in site.SCENARIOS.items() for c in v)}) t(scenario, key)), n as (select n_nationkey as site, [{_SCENARIO_NAMES}][1 + n_nationkey % {len(site.SCENARIOS)}] as scenario from nation) select distinct site, scenario, artifact from n join s using (scenario) join components using (key) where artifact <> ''",
+)
 def p30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that each site's scenario asks for; both fixed tables are small."""
+    names = F.array(*[F.lit(k) for k in site.SCENARIOS])
+    sites = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("site"), F.get(names, (F.col("n_nationkey") % len(site.SCENARIOS)).cast("int")).alias("scenario"))
     rows = spark.createDataFrame([(k, c) for k, v in site.SCENARIOS.items() for c in v], "scenario string, key string")
-    return rows.join(F.broadcast(site.component_table(spark)), "key").where("artifact <> ''").select("scenario", "artifact").distinct()
+    wanted = rows.join(F.broadcast(site.component_table(spark)), "key").where("artifact <> ''").select("scenario", "artifact").distinct()
+    return sites.join(F.broadcast(wanted), "scenario").select("site", "scenario", "artifact")
 
 
 _SECTIONS = "shapes as (select * from (values " + ", ".join(f"('{k}', {i}, '{s}')" for k, v in site.PROFILE_SECTIONS.items() for i, s in enumerate(v)) + ") t(profile, pos, section))"
