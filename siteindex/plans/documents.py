@@ -70,11 +70,6 @@ def w17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).where("is_link").select("doc", "line", "section", "title", "url", "description", "malformed")
 
 
-def _found_sql(rules: dict[str, tuple[str, str]], stats: str) -> str:
-    each = " union all ".join(f"select doc, '{r}' as rule_id, '{s}' as severity, cast({e.replace(' div ', ' // ')} as bigint) as count from {stats}" for r, (s, e) in rules.items())
-    return f"found as (select *, case when count is null then 'skipped' when count > 0 then 'fail' else 'pass' end as outcome from ({each}))"
-
-
 # The rules in SQL, written apart from the operator's expressions.
 _RULES = rf"""{_LINES}, m as (select doc, count(*) filter (level = 1) as h1s, min(line) filter (level = 1) as h1_line, min(line) filter (trim(raw) <> '') as first_line, min(line) filter (level = 2) as first_h2, greatest(max(line) filter (is_link), max(line) filter (level = 2)) as tail,
   count(*) filter (is_link) as links, min(section_no) filter (level = 2 and lower(heading) = 'optional') as opt, arg_max(heading, line) filter (level = 2) as last_section from lines group by doc),
@@ -248,7 +243,11 @@ _HOSTS = "list_transform(regexp_extract_all(text, 'https?://[^\\s<>\")\\]`]+'),
     len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '`/([^/`][^`]*)?`') and not contains(x, '://') and starts_with(ltrim(x), '-'))) as relative, contains(text, '## Not supported') as limits, regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])20\\d{{2}}-\\d{{2}}-\\d{{2}}([^\\p{{L}}\\p{{N}}_]|$)') as dated,
     case when host is not null then len(list_filter({_HOSTS}, lambda h: not (contains(h, host) or contains(h, 'ucp.dev') or len(list_filter(coalesce(verified_hosts, []), lambda x: contains(h, x))) > 0))) end as offsite,
     {" + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in d.CLAIMS)} as claims, contains(text, 'llms.txt') as pointer, broken, content_type from agents),
-    {_found_sql({k: v for k, v in d.AGENT_RULES.items() if k != 'AGT-006'}, 'stats')} select doc, rule_id, outcome, count from found""",
+    f as (select doc, 'AGT-001' as rule_id, cast(h1s <> 1 as int) as n from stats union all select doc, 'AGT-002', cast(h2s = 0 as int) from stats union all select doc, 'AGT-003', cast(chars < 80 as int) from stats
+      union all select doc, 'AGT-005', case shop when true then 0 when false then transactions end from stats union all select doc, 'AGT-007', broken from stats union all select doc, 'AGT-008', relative from stats union all select doc, 'AGT-009', offsite from stats
+      union all select doc, 'AGT-010', cast(not limits as int) from stats union all select doc, 'AGT-011', least(claims, 1) from stats union all select doc, 'AGT-012', cast(not dated as int) from stats union all select doc, 'AGT-013', cast(not pointer as int) from stats
+      union all select doc, 'AGT-014', case content_type when '' then 0 when 'text/markdown; charset=utf-8' then 0 when 'text/plain' then 0 when 'text/html' then 1 when 'application/json' then 1 end from stats)
+    select doc, rule_id, case when n is null then 'skipped' when n > 0 then 'fail' else 'pass' end as outcome, cast(n as bigint) as count from f""",
 )
 def agt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = d.findings(d.agent_measures(_agents(spark, sf_dir)), {k: v for k, v in d.AGENT_RULES.items() if k != "AGT-006"})
@@ -337,7 +336,11 @@ _VDOCS = f"""{_DOCS}, vdocs as (select doc, text || case when doc % 4 = 0 then c
 vl as (select doc, text, string_split(text, chr(10)) as ls from vdocs), hints as (select page_id // 50 as doc, bool_or(regexp_matches(lower(url), '{'|'.join(review.CONTACT_HINTS)}') or contains(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'contact')) as hinted from pages group by 1),
 vstats as (select doc, octet_length(encode(text)) as bytes, starts_with(text, '# ') as titled, len(list_filter(ls[1:5], lambda x: starts_with(x, '>'))) > 0 as quoted, contains(text, '## ') as sectioned,
   len(list_filter(flatten(list_transform(ls, lambda x: regexp_extract_all(x, '{review.MARKDOWN_LINK}', 1))), lambda x: not regexp_matches(x, '^https?://'))) as relative, len(list_filter(ls, lambda x: starts_with(x, '- ') and not regexp_matches(x, '{review.LINK_LINE}'))) as malformed,
-  regexp_matches(lower(text), '{review.HTML_TAG}') as html, contains(text, '## Contact') or coalesce(hinted, false) as contact, contains(text, 'llms-full.txt') as companion from vl left join hints using (doc))"""
+  regexp_matches(lower(text), '<(?:div|span|a |p |img |script|style)') as html, contains(text, '## Contact') or coalesce(hinted, false) as contact, contains(text, 'llms-full.txt') as companion from vl left join hints using (doc)),
+vfound as (select doc, rule_id, severity, case when n > 0 then 'fail' else 'pass' end as outcome, cast(n as bigint) as count from (
+  select doc, 'size' as rule_id, 'warning' as severity, cast(bytes > 51200 as int) as n from vstats union all select doc, 'h1', 'error', cast(not titled as int) from vstats union all select doc, 'blockquote', 'error', cast(not quoted as int) from vstats
+  union all select doc, 'sections', 'info', cast(not sectioned as int) from vstats union all select doc, 'relative-url', 'error', relative from vstats union all select doc, 'link-format', 'warning', malformed from vstats
+  union all select doc, 'html', 'warning', cast(html as int) from vstats union all select doc, 'contact', 'info', cast(not contact as int) from vstats union all select doc, 'full-reference', 'info', cast(not companion as int) from vstats))"""
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,12 +355,12 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.findings(review.validator_measures(_docs(spark, sf_dir).select("doc", text.alias("text")), pages), review.VALIDATOR)
 
 
-@query("val_checks", f"with {_VDOCS}, {_found_sql(review.VALIDATOR, 'vstats')} select doc, rule_id, severity, outcome, count from found")
+@query("val_checks", f"with {_VDOCS} select doc, rule_id, severity, outcome, count from vfound")
 def val_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validated(spark, sf_dir).select("doc", "rule_id", "severity", "outcome", "count")
 
 
-@query("a25_worst_level", f"with {_VDOCS}, {_found_sql(review.VALIDATOR, 'vstats')} select doc, case when bool_or(outcome = 'fail' and severity = 'error') then 'error' when bool_or(outcome = 'fail' and severity = 'warning') then 'warning' when bool_or(outcome = 'fail') then 'info' else 'ok' end as level from found group by doc")
+@query("a25_worst_level", f"with {_VDOCS} select doc, case when bool_or(outcome = 'fail' and severity = 'error') then 'error' when bool_or(outcome = 'fail' and severity = 'warning') then 'warning' when bool_or(outcome = 'fail') then 'info' else 'ok' end as level from vfound group by doc")
 def a25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.worst_level(_validated(spark, sf_dir))
 
