@@ -54,11 +54,14 @@ def _features(text: bytes) -> set[bytes]:
 def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], max_labelled: int = 200_000, min_documents: int = 3, min_z: float = 4.0, min_odds: float = 1.0) -> dict[str, tuple[dict[bytes, float], float]]:
     """For each label, log odds by feature and the log prior odds.
 
-    Learns from at most ``max_labelled`` labelled rows (those of least hash), so few
-    that their ids are broadcast.
+    Learns from about ``max_labelled`` labelled rows at most (a share of them by hash), so
+    few that their ids are broadcast.
     """
     values = [F.when(F.col(k).isin(0, 1), F.col(k).cast("long")).alias(k) for k in names]
-    marked = labels.where("doc_id is not null").select(F.col("doc_id").alias("label_id"), *values).orderBy(F.xxhash64("label_id"), "label_id", *names).limit(max_labelled)
+    marked = labels.where("doc_id is not null").select(F.col("doc_id").alias("label_id"), *values)
+    n, share = marked.count(), 1 << 20
+    if n > max_labelled:
+        marked = marked.where(F.pmod(F.xxhash64("label_id"), F.lit(share)) < F.lit(int(share * max_labelled / n)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}

@@ -12,6 +12,7 @@ the library counts them by default, one token each; rows with equal ids stay row
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections import Counter
@@ -36,6 +37,33 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 SPECIAL = r"<\|startoftext\|>|<\|endoftext\|>"
 
 
+#: What a tokenizer file must say for the split above to be its own. Fixed values.
+EXPECTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+SPECIALS = {"<|startoftext|>", "<|endoftext|>"}
+
+
+def check_file(path: str) -> None:
+    """An error if a tokenizer file splits texts in another way than this operator."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    wrong = [k for k, v in EXPECTED.items() if said.get(k) != v]
+    added = said.get("added_tokens") or []
+    if {t["content"] for t in added} != SPECIALS or any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        wrong.append("added_tokens")
+    if wrong:
+        raise ValueError(f"{path} has another {', '.join(wrong)} than this operator splits by")
+
+
 @lru_cache(maxsize=2)
 def _library(path: str):
     from tokenizers import Tokenizer
@@ -117,6 +145,7 @@ def token_counts(docs: DataFrame, path: str, hot_entries: int = 400_000, hot_cha
     Up to ``hot_entries`` pre-tokens of up to ``hot_chars`` characters form the broadcast
     table: at most 16 million characters whatever the corpus.
     """
+    check_file(path)
     spark = docs.sparkSession
     pieces = written(piece_counts(distinct_pretokens(docs, path), path))
     hot = most_frequent(pieces.where(F.length("piece") <= hot_chars), "n", hot_entries)

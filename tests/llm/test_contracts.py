@@ -236,6 +236,18 @@ def test_token_counts(docs, rows):
         assert got == sorted(((i, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
 
 
+@pytest.mark.parametrize("part", ["normalizer", "pre_tokenizer", "added_tokens", "post_processor"])
+def test_files_that_split_otherwise_are_refused(spark, docs, tmp_path, part):
+    import json
+
+    said = json.loads(open(queries.tokenizer_path(), encoding="utf-8").read())
+    said[part] = {"normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "Whitespace"}, "added_tokens": said["added_tokens"][:1], "post_processor": {"type": "ByteLevel"}}[part]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said))
+    with pytest.raises(ValueError, match=part):
+        token_counts.token_counts(docs, str(path))
+
+
 @pytest.mark.parametrize("text", ["naïve café — “quoted” … 10½ ﬁ", "ΑΣ ΟΔΟΣ Σ", "İstanbul I", "é Å", "\x1c\x1f\x85 a b", "漢字 かな ไทย हिन्दी", "’s it's IT'S 'll"])
 def test_pretokens_of_other_scripts(text):
     from tokenizers import Tokenizer
@@ -482,6 +494,11 @@ def test_classifier_on_hard_rows(spark, docs, rows):
     assert out.select("key").distinct().collect()[0][0] == "own"
 
 
+def test_classifier_learns_from_a_share_of_many_labels(spark, docs, rows):
+    labels = spark.createDataFrame([(i, k % 2, 1) for k, (i, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    assert host_classifier.classify(docs, labels, max_labelled=30).count() == len(rows)
+
+
 def test_classifier_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = host_classifier.classify(docs, none)
