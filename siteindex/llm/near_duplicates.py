@@ -206,12 +206,21 @@ def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], thres
     return _linked_exactly(prefix_buckets(texts.join(rest, "id"), threshold, width, power), texts, roots, threshold, width, power)
 
 
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets that hold two components or more, with ``root`` and the bucket's ``largest``."""
+def _apart(members: DataFrame, roots: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Members of buckets that hold two components or more, with ``root`` and the root ``largest`` of the bucket's home.
+
+    The home is the largest component, named by a member ``home``; ``held`` (band, bucket,
+    home, upto) keeps it and tells which buckets still count and up to which id members have taken turns.
+    """
     named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = named.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return written(named.join(written(largest.drop("parts")), ["band", "bucket"]))
+    largest = sizes.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    if held is None:
+        largest = largest.withColumns({"home": F.col("largest"), "upto": F.lit(None).cast("bigint")})
+    else:
+        now = held.join(roots.select(F.col("id").alias("home"), F.col("root").alias("home_root")), "home", "left")
+        largest = largest.drop("largest").join(now.select("band", "bucket", "home", "upto", F.coalesce("home_root", "home").alias("largest")), ["band", "bucket"])
+    return written(named.join(written(largest), ["band", "bucket"]))
 
 
 def prefix_buckets(texts: DataFrame, threshold: float, width: int, power: float) -> DataFrame:
@@ -280,26 +289,31 @@ def _may_link(threshold: float) -> Column:
 def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float, width: int, power: float, leaders: int = 64) -> DataFrame:
     """``roots`` after every two members of a bucket are in one component or can't be, or have been compared.
 
-    Members outside the largest component of a bucket take turns to meet every member
-    of another component that exact bounds leave, ``leaders`` at first and four times as
-    many each round.
+    Members outside a bucket's home take turns by id to meet every member of another
+    component that exact bounds leave, ``leaders`` at first and four times as many each
+    round. Components only grow, so that a member of the home stays one; a bucket is done
+    when a round had turns for all who waited.
     """
     traits = ["before", "size", "units", "parity"]
-    members = members.join(sketches(texts.join(members.select("id").distinct(), "id"), width, power), "id").withColumn("led", F.lit(False))
+    members = members.join(sketches(texts.join(members.select("id").distinct(), "id"), width, power), "id")
     bucket = W.Window.partitionBy("band", "bucket")
+    held = None
     while True:
-        open_ = written(_apart(members, roots))  # a round's rows are made once, whatever reads them
-        waiting = (F.col("root") != F.col("largest")) & ~F.col("led")
+        open_ = _apart(members, roots, held)
+        waiting = (F.col("root") != F.col("largest")) & (F.col("upto").isNull() | (F.col("id") > F.col("upto")))
         turns = open_.where(waiting).withColumn("turn", F.row_number().over(bucket.orderBy("id"))).where(F.col("turn") <= leaders)
-        turns = written(turns.select("band", "bucket", F.col("id").alias("leader"), F.col("root").alias("leader_root"), *[F.col(c).alias(f"leader_{c}") for c in traits]))
+        turns = written(turns.select("band", "bucket", "home", F.col("id").alias("leader"), F.col("root").alias("leader_root"), *[F.col(c).alias(f"leader_{c}") for c in traits]))
         if turns.isEmpty():
             return roots
-        met = open_.join(turns, ["band", "bucket"]).where((F.col("root") != F.col("leader_root")) & _may_link(threshold))
+        met = open_.drop("home").join(turns, ["band", "bucket"]).where((F.col("root") != F.col("leader_root")) & _may_link(threshold))
         pairs = met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
         roots = merged(roots, written(verified(pairs, texts, threshold, width, power)))
-        done = turns.select("band", "bucket", F.col("leader").alias("id"), F.lit(True).alias("now"))
+        held = turns.groupBy("band", "bucket").agg(F.first("home").alias("home"), F.max("leader").alias("upto"), F.count(F.lit(1)).alias("n"))
+        held = written(held.where(F.col("n") == leaders).drop("n"))
+        if held.isEmpty():
+            return roots
         leaders *= 4
-        members = open_.join(done, ["band", "bucket", "id"], "left").select("id", "band", "bucket", *traits, (F.col("led") | F.col("now").isNotNull()).alias("led"))
+        members = open_.select("id", "band", "bucket", *traits)
 
 
 def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:

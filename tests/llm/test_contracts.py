@@ -152,7 +152,12 @@ def test_links_of_a_hot_bucket_are_complete(spark):
     assert got == brute.near_classes(texts)
 
 
-def test_rows_that_repeat_lose_no_link_of_a_hot_bucket(spark):
+@pytest.mark.parametrize("leaders", [64, 1])
+def test_rows_that_repeat_lose_no_link_of_a_hot_bucket(spark, monkeypatch, leaders):
+    """Twenty families around one passage; with one leader a round, members take many turns."""
+    import functools
+
+    monkeypatch.setattr(near_duplicates, "_linked_exactly", functools.partial(near_duplicates._linked_exactly, leaders=leaders))
     word = lambda kind, n: [f"{kind}x{i}" for i in range(n)]
     texts = [(10 * f + k, " ".join(word("common", 120) + word(f"f{f}", 66) + word(f"f{f}k{k}", 14))) for f in range(20) for k in range(2)]
     df = spark.createDataFrame(texts * 6, "doc_id long, text string")
