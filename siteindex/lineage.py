@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,11 +35,34 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back."""
     spark = df.sparkSession
     path = f"{_tables_of(spark)}/{uuid.uuid4().hex}"
+    for held in getattr(spark, "_siteindex_scopes", [])[-1:]:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns as a written table; the tables that were written on the way to it are deleted."""
+    scopes = spark._siteindex_scopes = getattr(spark, "_siteindex_scopes", [])
+    scopes.append([])
+    try:
+        result = make()
+    except BaseException:
+        _delete(spark, scopes.pop())
+        raise
+    made = scopes.pop()
+    try:
+        return written(result)
+    finally:
+        _delete(spark, made)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard_written(spark: SparkSession) -> None:
     """Deletes every table this session has written; results that were not read yet are lost with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_tables_of(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, [_tables_of(spark)])

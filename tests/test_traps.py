@@ -213,3 +213,23 @@ def test_fingerprints_are_blake2b_of_folded_texts(spark):
     for raw, expected in ((long, want), (f"\n {long.lower()}\t", want), ("short", ""), (None, ""), ("x" * 199, ""), ("x" * 200, blake2b(b"x" * 200, digest_size=16).hexdigest())):
         df = spark.createDataFrame([(raw,)], "v string").select(text.fingerprint(F.col("v")).alias("x"))
         assert df.first()["x"] == expected
+
+
+def test_tables_on_the_way_to_a_settled_one_are_deleted(spark):
+    from pathlib import Path
+
+    from siteindex.lineage import settled, shared_folder, written
+
+    folder = Path(shared_folder(spark)) / "siteindex" / spark.sparkContext.applicationId
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = settled(spark, lambda: written(spark.range(5)).join(written(spark.range(3)), "id"))
+    made = set(folder.iterdir()) - before
+    assert len(made) == 1 and out.count() == 3
+
+    def fails():
+        written(spark.range(1))
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        settled(spark, fails)
+    assert set(folder.iterdir()) - before == made
