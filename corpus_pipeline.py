@@ -5,6 +5,13 @@ but the last return the columns of ``documents``. Documents that the rules rejec
 one document of each near-duplicate class stays, contaminated documents go, the
 mixture repeats and drops documents to reach the sources' target weights, and the last
 stage gives each row its shard and slot.
+
+Defined cases, in every stage: null ids, texts, languages and sources are values like
+others (a null text has no words: the quality rules reject it); rows that repeat count as
+often as they stand, but for near duplicates, of which one row of a class stays; ties go
+by the operators' seeded or least keys, so that reruns agree; very long texts are read
+whole; an empty table stays empty; further columns, whatever their names, come back as
+they were, but that shard and slot replace columns of these names.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteindex.lineage import written
+from siteindex.lineage import settled
 from siteindex.llm import decontaminate, mixing, near_duplicates, quality_rules
 from siteindex.llm.common import set_apart, table
 
@@ -80,8 +87,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet and reread as the next one's input."""
+    """The stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+    What a stage wrote on its way is deleted when its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        docs = settled(spark, functools.partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -653,6 +653,39 @@ def test_pipeline_stages(spark, docs, rows, sf_dir):
     assert sharded.columns == [*docs.columns, "shard", "slot"]
 
 
+def test_decontamination_stage_keeps_what_a_plain_scan_keeps(spark, docs, rows, tmp_path):
+    import corpus_pipeline as p
+
+    texts = [t for _, t in rows if t and len(t.split()) > 60]
+    items = [(k, " ".join(t.split()[3:40])) for k, t in enumerate(texts[:5])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = brute.contamination([(k, t) for k, (_, t) in enumerate(rows)], items)
+    kept = Counter((r["doc_id"], r["text"]) for r in p.decontamination(spark, docs, str(tmp_path)).collect())
+    assert kept == Counter(r for k, r in enumerate(rows) if not want[k][-1]) and len(kept) < len(rows)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_hard_tables(spark, stage, empty, sf_dir):
+    """An empty table, and rows of nulls and repeated rows with columns whose names clash."""
+    import corpus_pipeline as p
+
+    name, run = p.STAGES[stage]
+    added = ["shard", "slot"] if name == "sharding" else []
+    none = run(spark, empty, sf_dir)
+    assert none.columns == [*empty.columns, *added] and none.count() == 0
+    words = " ".join(f"w{i}" for i in range(40))
+    hard = [(None, None, None, None, None), (None, words, None, None, 1), (5, "", "en", "s", 0), (5, words + " x", "en", "s", 1), (6, words + " 6 of its own kind " * 3, "fr", None, 1)]
+    df = spark.createDataFrame(hard * 2, SCHEMA)
+    for c in ("page", "tie", "kept", "text_id", "copies", "root"):
+        df = df.withColumn(c, F.lit("own"))
+    out = run(spark, df, sf_dir)
+    assert out.columns == [*df.columns, *added] and out.select("page", "root").distinct().count() <= 1
+    seen = {(r["doc_id"], r["text"], r["lang"], r["source"]) for r in out.collect()}
+    assert seen <= {h[:4] for h in hard}
+    if name == "sharding":
+        assert out.count() == len(hard) * 2
+
+
 def test_pipeline_runs(spark, sf_dir):
     import corpus_pipeline
 
