@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -63,6 +64,17 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of work that is done.
+
+    Spark keeps them as long as an object in the driver refers to them, and a driver with
+    memory to spare seldom collects its garbage; between the steps of a long loop they
+    would add up on the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard_written(spark: SparkSession) -> None:
     """Deletes every table this session has written; results that were not read yet are lost with them."""
     _delete(spark, [_tables_of(spark)])
