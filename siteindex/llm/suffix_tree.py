@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ..lineage import written
+from ..lineage import release, written
 from .common import any_columns, arrow, mix, most_frequent, texts_as_bytes, word_hashes
 from .grams import Filter, grams
 
@@ -159,6 +159,8 @@ def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int,
             break
         counts = next_counts(training, contexts, parents.where(F.col("n") >= min_symbol).select("key"), depth, n_tokens, filter_bits)
         here = written(level(counts, contexts, parents, min_symbol, discount, gain_per_symbol))
+        del counts
+        release(training.sparkSession)  # a level's counts are done with
         kept = here.where("stays")
         symbols = kept.select("key", "n", (F.col("log_q") - F.col("parent") - F.col("log_left")).alias("weight"))
         states = kept.groupBy(F.col("ctx").alias("key")).agg(F.first("total").alias("n"), F.first("log_left").alias("weight"))
@@ -181,6 +183,8 @@ def score(docs: DataFrame, hot_entries: int = 1_000_000, max_depth: int = 3, fil
     tree = train(training, vocab, n_tokens, n_distinct, max_depth, filter_bits=filter_bits, **parameters)
     tree = tree.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("weight") / F.lit(float(np.log(10)))).alias("weight"))
     entries = written(tree.unionByName(vocab.select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("weight"))))
+    del tree
+    release(spark)
     log_total = float(np.log10(n_tokens + n_distinct + 1))
     top = most_frequent(entries, "n", hot_entries).groupBy("key").agg(F.sum("known"), F.sum("base"), F.sum("weight")).toArrow()
     columns = [c.to_numpy() for c in top.columns]
