@@ -12,7 +12,7 @@ from .. import streaming
 from ..functions import patterns, ranking
 from ..functions.order import numbered_within
 from ..lineage import shared_folder
-from ..operators import agents, edits, embargo, fingerprints, markup, review, site
+from ..operators import agents, edits, embargo, fingerprints, handover, markup, review, site
 from ..operators import operations as ops
 from ..sources import store, versions
 from .inputs import select_list, sql_path
@@ -721,9 +721,33 @@ def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.catalog_entries(s)
 
 
-@query("k12_bundle_tasks", f"with {_STATES} select site, effort, count(*) filter (state in ('missing', 'ready', 'template')) as todo, count(*) filter (state = 'not_applicable') as not_needed from states group by all")
+_MADE = "made as (select n_nationkey as site, unnest(list_filter([case when n_nationkey % 2 = 0 then 'llms.txt' end, case when n_nationkey % 3 = 0 then 'llms-full.txt' end, case when n_nationkey % 5 < 3 then 'agents.md' end, case when n_nationkey % 4 = 0 then 'ai-catalog.json' end], lambda x: x is not null)) as artifact from nation)"
+_WANTED = f"""{_COMPONENTS}, n as (select n_nationkey as site, [{_SCENARIO_NAMES}][1 + n_nationkey % {len(site.SCENARIOS)}] as scenario from nation), {_MADE},
+s as (select * from (values {", ".join(f"('{k}', '{c}')" for k, v in site.SCENARIOS.items() for c in v)}) t(scenario, key)), wanted as (select distinct site, artifact from n join s using (scenario) join components using (key) where artifact <> ''),
+files as (select site, artifact, case when (site, artifact) not in (select (site, artifact) from wanted) then 'not needed' when artifact in ('robots.txt', '_headers') or (site, artifact) in (select (site, artifact) from made) then 'produced' else 'missing' end as state from n, (select distinct artifact from components where artifact <> '') a)"""
+
+
+def _bundled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("n_nationkey")
+    names = F.array(*[F.lit(x) for x in site.SCENARIOS])
+    sites = table(spark, sf_dir, "nation").select(k.alias("site"), F.get(names, (k % len(site.SCENARIOS)).cast("int")).alias("scenario"))
+    have = F.array_compact(F.array(F.when(k % 2 == 0, "llms.txt"), F.when(k % 3 == 0, "llms-full.txt"), F.when(k % 5 < 3, "agents.md"), F.when(k % 4 == 0, "ai-catalog.json")))
+    return sites, table(spark, sf_dir, "nation").select(k.alias("site"), F.explode(have).alias("artifact"))
+
+
+@query("k12_bundle_files", f"with {_WANTED} select site, artifact, state from files")
 def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _states(spark, sf_dir).groupBy("site", "effort").agg(F.count_if(F.col("state").isin("missing", "ready", "template")).alias("todo"), F.count_if(F.col("state") == "not_applicable").alias("not_needed"))
+    return handover.bundle_files(*_bundled(spark, sf_dir)).select("site", "artifact", "state")
+
+
+@query(
+    "k12_bundle_tasks",
+    f"with {_WANTED} select site, artifact as component, 'drop_in' as effort, '' as blocked_by from files where state = 'produced' union all select site, key, effort, case when key = 'mcp-card' and site % 6 = 0 then '404' else '' end from n join components on effort <> 'drop_in' and case when scenario in ('shop_on_store', 'find_local_inventory') then ecommerce else content end = 'Y'",
+)
+def k12_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites, made = _bundled(spark, sf_dir)
+    declared = sites.select("site", F.lit("mcp").alias("kind"), (F.col("site") % 6 != 0).alias("verified"), F.lit("404").alias("detail"))
+    return handover.bundle_tasks(sites, handover.bundle_files(sites, made), declared).select("site", "component", "effort", "blocked_by")
 
 
 _BOTS = "b as (select * from (values (0, 'OAI-SearchBot', 'search'), (1, 'PerplexityBot', 'search'), (2, 'ClaudeBot', 'search'), (3, 'Google-Extended', 'search'), (4, 'GPTBot', 'training'), (5, 'CCBot', 'training'), (6, 'anthropic-ai', 'training')) t(i, bot, kind))"
@@ -765,10 +789,43 @@ def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("n_nationkey", "key", F.coalesce(read, F.when(F.col("body").contains("sets no response headers"), "no").otherwise("text")).alias("shown"))
 
 
-@query("k15_plan_text", "select source, rpad(source, 10, ' ') || lpad(cast(count(*) as varchar), 7, ' ') as line from documents group by source")
+_GROUPS15 = "g as (select n_regionkey as site, n_nationkey as place, n_name || repeat('-', n_nationkey * 2) as grp, 1234 * (1 + n_nationkey) as urls, n_nationkey % 7 as tmpl, n_nationkey % 4 as multi, case n_nationkey % 3 when 0 then 'hub' when 1 then 'editorial' else 'faceted' end as intent, case n_nationkey % 2 when 0 then 'include_group' else 'promote_exemplars' end as verdict, case when n_nationkey % 5 = 0 then 'n*' end as declared, n_nationkey % 2 = 1 as keeps from nation)"
+
+
+def _groups15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    pick = lambda n, *x: F.get(F.array(*[F.lit(v) for v in x]), k % n)
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_regionkey").alias("site"), k.alias("place"), F.concat("n_name", F.repeat(F.lit("-"), (k * 2).cast("int"))).alias("group"), ((k + 1) * 1234).alias("url_count"), (k % 7).alias("template_diversity"), (k % 4).alias("multi_listed"),
+        pick(3, "hub", "editorial", "faceted").alias("intent"), pick(2, "include_group", "promote_exemplars").alias("verdict"), F.lit("low").alias("confidence"), F.when(k % 5 == 0, "n*").alias("declared"),
+        F.when(k % 2 == 1, F.array(*[F.lit(f"/{i}") for i in range(4)])).alias("exemplars"), (k * 100).alias("total_clicks"), (k / 40).alias("coverage"), (k % 3 == 0).alias("overridden"),
+    )
+
+
+@query(
+    "k15_plan_text",
+    f"""with {_GROUPS15}, w as (select site, least(42, max(length(grp))) as width, count(*) as n, sum(urls) as total from g group by site), c as (select site, string_agg(n || ' ' || verdict, ', ' order by verdict) as verdicts from (select site, verdict, count(*) as n from g group by all) group by site),
+    l as (select site, place, rpad(case when length(grp) <= width then grp else left(grp, cast(width - 1 as bigint)) || '…' end, cast(width as integer), ' ') || '  ' || lpad(format('{{:,}}', urls), 7, ' ') || ' ' || lpad(tmpl::varchar, 5, ' ') || ' ' || lpad(multi::varchar, 6, ' ') || ' ' || rpad(intent, 10, ' ') || ' ' || rpad(verdict, 18, ' ') || ' low'
+      || case when declared is not null then chr(10) || repeat(' ', width + 4) || 'declared: ' || declared else '' end || case when keeps then chr(10) || repeat(' ', width + 4) || 'keep: /0, /1, /2' else '' end as line from g join w using (site)),
+    h as (select site, rpad('GROUP', cast(width as integer), ' ') || '     URLS  TMPL  MULTI INTENT     VERDICT            CONF' as header from w)
+    select site, any_value(header) || chr(10) || repeat('-', length(any_value(header))) || chr(10) || string_agg(line, chr(10) order by place) || chr(10) || chr(10) || any_value(n) || ' group(s), ' || any_value(format('{{:,}}', total::bigint)) || ' URLs. ' || any_value(verdicts) as body from l join h using (site) join w using (site) join c using (site) group by site""",
+)
 def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return g.select("source", F.concat(F.rpad("source", 10, " "), F.lpad(F.col("n").cast("string"), 7, " ")).alias("line"))
+    return handover.planning_table(_groups15(spark, sf_dir))
+
+
+@query(
+    "k15_metrics_table",
+    f"with {_GROUPS15}, w as (select site, max(length(grp)) as width from g group by site) select site, rpad('GROUP', cast(any_value(width) as integer), ' ') || '     URLS   CLICKS  COVER  VERDICT' || chr(10) || string_agg(rpad(grp, cast(width as integer), ' ') || '  ' || lpad(format('{{:,}}', urls), 7, ' ') || ' ' || lpad(format('{{:,}}', place * 100), 8, ' ') || ' ' || lpad(round_even(place / 40 * 100, 0)::int::varchar, 4, ' ') || '%  ' || verdict || case when place % 3 = 0 then '  (overridden)' else '' end, chr(10) order by place desc) as body from g join w using (site) group by site",
+)
+def k15_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handover.metrics_table(_groups15(spark, sf_dir))
+
+
+@query("k15_template_summary", f"with {_GROUPS15}, r as (select *, row_number() over (partition by site order by urls desc) as n, count(*) over (partition by site) - 3 as hidden from g) select site, 'URL templates, most populous first:' || chr(10) || string_agg('  ' || lpad(urls::varchar, 6, ' ') || '  ' || grp || '   e.g. ' || coalesce(declared, ''), chr(10) order by n) filter (n <= 3) || case when any_value(hidden) > 0 then chr(10) || '  ... ' || any_value(hidden) || ' further template(s) not shown' else '' end as body from r group by site")
+def k15_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _groups15(spark, sf_dir).select("site", F.col("group").alias("template"), F.col("url_count").alias("count"), F.col("declared").alias("example"), F.col("place").alias("template_ord"))
+    return handover.template_summary(rows, 3)
 
 
 @query("k16_replace_by_key", "with o as (select c_mktsegment as segment, count(*) as n, c_nationkey as run from customer group by all) select segment, n, run from o where run % 3 <> 0 union all select 'all', sum(n), run from o where run % 3 = 0 group by run")
