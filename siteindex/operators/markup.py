@@ -33,11 +33,11 @@ CHECKS = ("semantic-html", "roles", "labels", "aria-roles", "unique-ids")
 SHOWN, PROBLEMS = 60, 4
 
 
-def _attribute(name: str) -> Column:
-    """Value of an attribute of ``markup``, quoted or bare; null where it is absent."""
+def attribute(markup: Column, name: str) -> Column:
+    """Value of an element's attribute, quoted or bare; null where it is absent."""
     pattern = rf"""(?is)^<[a-z][^>]*?[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    part = lambda i: F.regexp_extract("markup", pattern, i)
-    return F.when(F.col("markup").rlike(pattern), F.trim(F.concat(part(1), part(2), part(3))))
+    part = lambda i: F.regexp_extract(markup, pattern, i)
+    return F.when(markup.rlike(pattern), F.trim(F.concat(part(1), part(2), part(3))))
 
 
 def _tokens(value: Column) -> Column:
@@ -54,13 +54,13 @@ def elements(pages: DataFrame, key: str = "page") -> DataFrame:
         "pos",
         F.lower(F.regexp_extract("markup", "^<([a-zA-Z][a-zA-Z0-9-]*)", 1)).alias("tag"),
         "markup",
-        F.nullif(_attribute("id"), F.lit("")).alias("id"),
-        F.lower(_attribute("role")).alias("role"),
-        F.lower(_attribute("type")).alias("type"),
-        _attribute("for").alias("label_for"),
+        F.nullif(attribute(F.col("markup"), "id"), F.lit("")).alias("id"),
+        F.lower(attribute(F.col("markup"), "role")).alias("role"),
+        F.lower(attribute(F.col("markup"), "type")).alias("type"),
+        attribute(F.col("markup"), "for").alias("label_for"),
         has("aria-label", "aria-labelledby").alias("named"),
         has("tabindex", "onclick").alias("focusable"),
-        F.flatten(F.array(*[_tokens(_attribute(a)) for a in REFERENCES])).alias("refs"),
+        F.flatten(F.array(*[_tokens(attribute(F.col("markup"), a)) for a in REFERENCES])).alias("refs"),
     )
 
 

@@ -144,10 +144,10 @@ def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.robots(table(spark, sf_dir, "nation").selectExpr("concat('s', n_nationkey) as site", select_list(_ROBOTS)[1]))
 
 
-@query("s08_sitemap_xml")
+@query("s08_sitemap_xml", "select 'https://s.example/' || (page_id // 200) || '.xml' as sitemap_url, false as is_index, row_number() over (partition by page_id // 200 order by page_id) - 1 as ord, url as loc from pages where (page_id // 200) % 5 <> 4")
 def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
     loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    files = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 200).alias("k")).agg(F.array_join(F.array_sort(F.collect_list(loc)), "").alias("x"))
+    files = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 200).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("loc")))), lambda e: e["loc"]), "").alias("x"))
     body = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.when(F.col("k") % 5 == 4, "").otherwise("</urlset>"))
     return crawl.sitemap_entries(files.select(F.concat(F.lit("https://s.example/"), F.col("k").cast("string"), F.lit(".xml")).alias("sitemap_url"), body.alias("body")))
 
@@ -236,11 +236,30 @@ def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tag("<title>([^<]*)</title>").alias("title"), tag("<h1>([^<]*)</h1>").alias("h1"), tag('<html lang="([^"]*)"').alias("lang"), F.regexp_count("html", F.lit("<p>")).cast("bigint").alias("paragraphs"))
 
 
-@query("s15_html_text")
+_BARE = "html"
+for _tag in ("script", "style", "noscript", "template", "svg", "header", "footer", "nav", "aside", "form", "title"):
+    _BARE = f"regexp_replace({_BARE}, '<{_tag}\\b[^>]*>.*?</{_tag}>', ' ', 'gsi')"
+_UNDONE = (("'&lt;'", "'<'"), ("'&gt;'", "'>'"), ("'&quot;'", "chr(34)"), ("'&#39;'", "chr(39)"), ("'&amp;'", "'&'"))
+
+
+def _plain_sql(html: str) -> str:
+    text = f"regexp_replace({html}, '<[^>]*>', ' ', 'gs')"
+    for a, b in _UNDONE:
+        text = f"replace({text}, {a}, {b})"
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+@query(
+    "s15_html_text",
+    f"""with t as (select page_id, regexp_replace(html, '<!--.*?-->', ' ', 'gs') || '<meta content="About &amp; ' || page_id || '" name=description><link href="/c' || page_id || '" rel=canonical>' as html from pages), b as (select *, {_plain_sql(_BARE)} as body from t)
+    select page_id, {_plain_sql("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} as title, {_plain_sql("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} as h1, 'About & ' || page_id as description, '/c' || page_id as canonical, '' as robots, body, case when body = '' then 0 else len(string_split(body, ' ')) end as word_count from b""",
+)
 def s15_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.html import extract
 
-    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "title", "h1", "description", "canonical", "robots", "word_count")
+    i = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<meta content="About &amp; '), i, F.lit('" name=description><link href="/c'), i, F.lit('" rel=canonical>'))
+    return extract(table(spark, sf_dir, "pages").select("page_id", F.concat("html", head).alias("html")))
 
 
 _VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -146,28 +145,19 @@ def sitemap_candidates(site_url: Column, listed: Column) -> Column:
     return F.array_distinct(F.concat(listed, F.array(*[F.concat(root, F.lit(p)) for p in SITEMAP_PATHS])))
 
 
-def sitemap_entries(files: DataFrame) -> DataFrame:
-    """(sitemap_url, is_index, ord, loc) of sitemap XML (sitemap_url, body); malformed XML gives no row.
+SITEMAP = "sitemap array<struct<loc:string>>, url array<struct<loc:string>>, _corrupt_record string"
+#: The root element, after declarations and comments.
+ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<![A-Za-z][^>]*>\s*)*<(?:[\w.-]+:)?([\w.-]+)"
 
-    Well-formedness needs a parser, so a pandas function reads whole files.
-    """
 
-    def parse(batches):
-        from xml.etree import ElementTree
-
-        for batch in batches:
-            rows = []
-            for url, body in zip(batch["sitemap_url"], batch["body"], strict=True):
-                try:
-                    root = ElementTree.fromstring((body or "").strip())
-                except ElementTree.ParseError:
-                    continue
-                is_index = root.tag.rpartition("}")[2] == "sitemapindex"
-                locs = [n.text.strip() for e in root if e.tag.rpartition("}")[2] in ("url", "sitemap") for n in e if n.tag.rpartition("}")[2] == "loc" and n.text]
-                rows += [(url, is_index, i, loc) for i, loc in enumerate(locs)]
-            yield pd.DataFrame(rows, columns=["sitemap_url", "is_index", "ord", "loc"])
-
-    return files.select("sitemap_url", "body").mapInPandas(parse, "sitemap_url string, is_index boolean, ord long, loc string")
+def sitemap_entries(files: DataFrame) -> DataFrame:
+    """(sitemap_url, is_index, ord, loc) of sitemap XML (sitemap_url, body), in order; malformed XML gives no row."""
+    tree = F.from_xml(F.btrim("body", F.lit(" \t\r\n﻿")), SITEMAP, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt_record"})
+    none = F.array().cast("array<struct<loc:string>>")
+    parsed = files.select("sitemap_url", (F.regexp_extract("body", ROOT, 1) == "sitemapindex").alias("is_index"), tree.alias("x")).where("x._corrupt_record is null")
+    named = F.filter(F.concat(F.coalesce("x.sitemap", none), F.coalesce("x.url", none)), lambda e: F.trim(e["loc"]) != "")
+    rows = parsed.select("sitemap_url", "is_index", F.posexplode(named).alias("ord", "e"))
+    return rows.select("sitemap_url", "is_index", F.col("ord").cast("bigint").alias("ord"), F.trim("e.loc").alias("loc"))
 
 
 def sitemap_walk(links: DataFrame, seeds: DataFrame, max_depth: int = 3, max_sitemaps: int = 50) -> DataFrame:

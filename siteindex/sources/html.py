@@ -6,9 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.markup import attribute
+
 #: Marks of an application that renders in the browser. Fixed values.
 MOUNTS = ('id="root"', 'id="app"', 'id="__next"', "data-reactroot", "ng-app", "__nuxt")
-SKIPPED = frozenset(("script", "style", "noscript", "template", "svg", "nav", "footer", "header", "aside", "form"))
+SKIPPED = ("script", "style", "noscript", "template", "svg", "header", "footer", "nav", "aside", "form")
 
 
 def visible_text(html: Column) -> Column:
@@ -25,59 +27,63 @@ def looks_like_shell(html: Column) -> Column:
     return (F.length(visible_text(html)) < 200) & mount
 
 
+#: Named references that are undone natively, "&" last. Fixed values.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its character references undone; a pandas UDF takes those that hold rarer ones."""
+
+    @F.pandas_udf("string")
+    def rarer(texts: pd.Series) -> pd.Series:
+        from html import unescape
+
+        return texts.map(lambda t: unescape(t) if t is not None else None)
+
+    native = text
+    for name, character in REFERENCES.items():
+        native = F.replace(native, F.lit(name), F.lit(character))
+    common = "|".join(REFERENCES)
+    return F.when(F.regexp_replace(text, common, "").rlike(r"&#?[A-Za-z0-9]+;?"), rarer(text)).otherwise(native)
+
+
+def _level(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, r"[\s ]+", " "))
+
+
+def _texts(html: Column) -> Column:
+    """Texts between tags, their white space levelled."""
+    return _level(unescaped(F.regexp_replace(html, r"(?s)<[^>]*>", " ")))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` without html plus title, h1, description, canonical, robots, body text and word_count.
 
-    Needs a parser; one pass of the standard library's per page, in pandas batches.
-    Main-content detection is approximate: navigation, header, footer and aside go.
+    Main-content detection is approximate: the blocks of ``SKIPPED`` elements go. A page
+    without a value, or a null one, has "" for it.
     """
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?-->", " ")
+    bare = html
+    for tag in SKIPPED:
+        bare = F.regexp_replace(bare, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    rows = pages.withColumns({"html_": html, "bare_": bare})
+    first = lambda column, tag: _texts(F.regexp_extract(column, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
+    tags = lambda tag: F.regexp_extract_all("html_", F.lit(rf"(?is)(<{tag}\b[^>]*>)"), F.lit(1))
+    metas = F.transform(tags("meta"), lambda m: F.struct(F.lower(F.coalesce(F.nullif(attribute(m, "name"), F.lit("")), attribute(m, "property"), F.lit(""))).alias("name"), F.coalesce(attribute(m, "content"), F.lit("")).alias("content")))
+    of = lambda name: F.transform(F.filter("metas_", lambda m: m["name"] == name), lambda m: m["content"])
+    filled = lambda values: F.filter(values, lambda v: v != "")
+    links = F.filter(tags("link"), lambda x: F.lower(F.coalesce(attribute(x, "rel"), F.lit(""))).contains("canonical"))
+    rows = rows.withColumns({"metas_": metas, "links_": links})
+    described = F.coalesce(F.try_element_at(of("description"), F.lit(-1)), F.get(filled(of("og:description")), F.lit(0)), F.lit(""))
+    body = _texts(F.regexp_replace("bare_", r"(?is)<title\b[^>]*>.*?</title\s*>", " "))
     keep = [c for c in pages.columns if c != "html"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(keep).schema) + ", title string, h1 string, description string, canonical string, robots string, body string, word_count long"
-
-    def run(batches):
-        from html.parser import HTMLParser
-
-        class Reader(HTMLParser):
-            def __init__(self) -> None:
-                super().__init__(convert_charrefs=True)
-                self.got = dict.fromkeys(("title", "h1", "description", "canonical", "robots"), "")
-                self.text, self.inside, self.skip = [], None, 0
-
-            def handle_starttag(self, tag, attrs):
-                a = dict(attrs)
-                if tag in SKIPPED:
-                    self.skip += 1
-                elif tag in ("title", "h1") and not self.got[tag]:
-                    self.inside = tag
-                elif tag == "meta":
-                    name = (a.get("name") or a.get("property") or "").lower()
-                    field = {"description": "description", "og:description": "description", "robots": "robots"}.get(name)
-                    if field and (not self.got[field] or name == "description"):
-                        self.got[field] = (a.get("content") or "").strip()
-                elif tag == "link" and "canonical" in (a.get("rel") or "").lower():
-                    self.got["canonical"] = a.get("href") or ""
-
-            def handle_endtag(self, tag):
-                if tag in SKIPPED and self.skip:
-                    self.skip -= 1
-                elif tag == self.inside:
-                    self.inside = None
-
-            def handle_data(self, data):
-                if self.inside:
-                    self.got[self.inside] += data
-                if not self.skip and self.inside != "title":
-                    self.text.append(data)
-
-        for batch in batches:
-            rows = []
-            for html in batch["html"]:
-                r = Reader()
-                r.feed(html or "")
-                r.close()
-                body = " ".join(" ".join(r.text).split())
-                rows.append({**{k: " ".join(v.split()) for k, v in r.got.items()}, "body": body, "word_count": len(body.split())})
-            out = pd.DataFrame(rows, index=batch.index, columns=["title", "h1", "description", "canonical", "robots", "body", "word_count"])
-            yield pd.concat([batch[keep], out], axis=1)
-
-    return pages.select(*keep, "html").mapInPandas(run, schema)
+    out = rows.select(
+        *keep,
+        first("html_", "title").alias("title"),
+        first("html_", "h1").alias("h1"),
+        _level(unescaped(described)).alias("description"),
+        F.coalesce(unescaped(attribute(F.try_element_at("links_", F.lit(-1)), "href")), F.lit("")).alias("canonical"),
+        _level(unescaped(F.coalesce(F.get(filled(of("robots")), F.lit(0)), F.lit("")))).alias("robots"),
+        body.alias("body"),
+    )
+    return out.withColumn("word_count", F.when(F.col("body") == "", 0).otherwise(F.size(F.split("body", " "))).cast("bigint"))
