@@ -173,7 +173,7 @@ def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int,
 
 
 @any_columns
-def score(docs: DataFrame, hot_entries: int = 1_000_000, max_depth: int = 3, filter_bits: int = 1 << 26, **parameters) -> DataFrame:
+def score(docs: DataFrame, hot_entries: int = 200_000, max_depth: int = 3, filter_bits: int = 1 << 26, **parameters) -> DataFrame:
     """``docs`` without its text, plus held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     training = docs.where(~held_out(F.col("doc_id")))
