@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .. import ship
+
 #: Reasons of refusal. Fixed values.
 NO_NAME = "no name given"
 NO_SUMMARY = "no summary given"
@@ -162,6 +164,7 @@ def edited(pages: DataFrame, sites: DataFrame, operations: DataFrame) -> DataFra
     ``pages``: doc, url and ``PAGE``; ``sites``: doc, site_name, site_summary, notes;
     ``operations``: ``OPERATION``. Documents without operations come out as they went in.
     """
+    ship(pages.sparkSession)
     given = pages.withColumn("kind", F.lit("page")).unionByName(sites.withColumn("kind", F.lit("site")), allowMissingColumns=True)
     rows = given.unionByName(operations.withColumn("kind", F.lit("operation")), allowMissingColumns=True)
 
@@ -245,6 +248,7 @@ def edit_stream(operations: DataFrame, pages: DataFrame, sites: DataFrame) -> Da
     ``operations`` is a stream; a document's operations must arrive in order between
     batches. Needs the RocksDB state store.
     """
+    ship(pages.sparkSession)
     start = pages.withColumn("kind", F.lit("page")).unionByName(sites.withColumn("kind", F.lit("site")), allowMissingColumns=True)
     return operations.groupBy("doc").transformWithStateInPandas(_Editing(), RESULT, "Update", "None", start.groupBy("doc"))
 
