@@ -42,12 +42,17 @@ def grams(tokens: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[n
         yield positions[positions - starts >= n - 1], whole
 
 
+#: Where the high part of a key begins.
+HIGH = 27
+
+
 class Filter:
-    """A Bloom filter of 64-bit keys, two bits each."""
+    """A Bloom filter of 64-bit keys, four bits each: of the key and of its hash, low and high parts."""
 
     def __init__(self, keys: DataFrame, bits: int) -> None:
         words = bits // 64
-        spots = F.array(F.pmod("key", F.lit(bits)), F.pmod(F.xxhash64("key"), F.lit(bits)))
+        parts = (F.col("key"), F.xxhash64("key"), F.shiftrightunsigned(F.xxhash64("key"), HIGH), F.shiftrightunsigned("key", HIGH))
+        spots = F.array(*[F.pmod(x, F.lit(bits)) for x in parts])
         spot = keys.select(F.explode(spots).alias("spot")).select(F.floor(F.col("spot") / 64).alias("word"), F.expr("shiftleft(1L, cast(spot % 64 as int))").alias("bit"))
         found = spot.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         self.bits = bits
@@ -56,10 +61,16 @@ class Filter:
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """False only for keys that were not put in; ``keys`` are unsigned."""
-        signed = keys.view(np.int64)
-        out = self._bit(np.mod(signed, self.bits))
-        at = np.flatnonzero(out)
-        out[at] = self._bit(np.mod(_xxhash(keys[at], np.uint64(42)).view(np.int64), self.bits))
+        out = np.ones(len(keys), bool)
+        at = np.arange(len(keys))
+        for part in range(4):
+            # A later bit is asked only of keys that have the earlier ones.
+            hashes = _xxhash(keys[at], np.uint64(42)) if part in (1, 2) else keys[at]
+            if part > 1:
+                hashes = hashes >> np.uint64(HIGH)
+            fine = self._bit(np.mod(hashes.view(np.int64), self.bits))
+            out[at[~fine]] = False
+            at = at[fine]
         return out
 
     def _bit(self, spot: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ symbol beyond the freed mass + the freed mass of the state that it is, a text's
 its root score plus the weights of all its n-grams. The ``hot_entries`` most frequent
 entries are broadcast; all others reach the documents by a shuffle join.
 
-Bounds: broadcast are ``hot_entries`` entries, a Bloom filter of ``filter_bits`` bits, and
+Bounds: broadcast are ``hot_entries`` entries, Bloom filters of ``filter_bits`` bits, and
 the contexts that make up a thousandth of all tokens each, a thousand at most. Full filters
 let more through and change no result.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ..lineage import release, written
+from ..lineage import release, settled, written
 from .common import any_columns, arrow, mix, most_frequent, texts_as_bytes, word_hashes
 from .grams import Filter, grams
 
@@ -149,7 +149,7 @@ def level(counts: DataFrame, contexts: DataFrame, parents: DataFrame, min_symbol
     return rows.select(F.xxhash64("ctx", "up").alias("key"), "ctx", "n", F.when(F.col("stays"), log_p).otherwise(F.col("parent")).alias("log_q"), "ends", "total", "stays", F.log("left").alias("log_left"), "parent")
 
 
-def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int, max_depth: int = 3, min_context: int = 64, min_symbol: int = 8, discount: float = 0.6, gain_per_symbol: float = 2.0, filter_bits: int = 1 << 26) -> DataFrame:
+def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int, max_depth: int = 3, min_context: int = 64, min_symbol: int = 8, discount: float = 0.6, gain_per_symbol: float = 2.0, filter_bits: int = 1 << 27) -> DataFrame:
     """``key``, ``n``, ``weight`` (natural log) of the tree's n-grams; a key may have several rows, all with its count."""
     weights = None
     parents = vocab.select("key", "n", F.log((F.col("n") + 1) / F.lit(float(n_tokens + n_distinct + 1))).alias("log_q"), (F.col("key") == F.lit(END)).alias("ends"))
@@ -173,17 +173,23 @@ def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int,
 
 
 @any_columns
-def score(docs: DataFrame, hot_entries: int = 200_000, max_depth: int = 3, filter_bits: int = 1 << 26, **parameters) -> DataFrame:
+def score(docs: DataFrame, hot_entries: int = 300_000, max_depth: int = 3, filter_bits: int = 1 << 27, **parameters) -> DataFrame:
     """``docs`` without its text, plus held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     training = docs.where(~held_out(F.col("doc_id")))
-    vocab = written(vocabulary(training))
-    head = vocab.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_tokens, n_distinct = head["n"] or 0, head["v"]
-    tree = train(training, vocab, n_tokens, n_distinct, max_depth, filter_bits=filter_bits, **parameters)
-    tree = tree.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("weight") / F.lit(float(np.log(10)))).alias("weight"))
-    entries = written(tree.unionByName(vocab.select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("weight"))))
-    del tree
+    totals: list[int] = []
+
+    def build() -> DataFrame:
+        vocab = written(vocabulary(training))
+        head = vocab.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+        totals.extend((head["n"] or 0, head["v"]))
+        tree = train(training, vocab, *totals, max_depth, filter_bits=filter_bits, **parameters)
+        tree = tree.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("weight") / F.lit(float(np.log(10)))).alias("weight"))
+        return tree.unionByName(vocab.select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("weight")))
+
+    # The levels' own tables go once the entries are written.
+    entries = settled(spark, build)
+    n_tokens, n_distinct = totals
     release(spark)
     log_total = float(np.log10(n_tokens + n_distinct + 1))
     top = most_frequent(entries, "n", hot_entries).groupBy("key").agg(F.sum("known"), F.sum("base"), F.sum("weight")).toArrow()
