@@ -3,9 +3,11 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from siteindex import catalog
 from siteindex.operators import audit
 from siteindex.operators import documents as d
 from siteindex.plans import documents as plans
@@ -205,6 +207,28 @@ def test_index_rules_with_profile_bounds_and_network(spark):
         assert found[k] == plain_index(t, (300, 8, 2), bounds, status), k
 
 
+def test_a_url_with_several_statuses_counts_for_each_bad_one(spark):
+    text = "# A\n> q\n## D\n- [a](https://x/a): b\n- [c](https://x/c): d\n- [e](https://x/e): f\n"
+    table = spark.createDataFrame([("https://x/a", 404), ("https://x/a", 404), ("https://x/a", 200), ("https://x/a", None), ("https://x/c", 200)], "url string, status int")
+    rows = audit.index_findings(spark.createDataFrame([(1, text)], "doc long, text string"), status=table).where("rule_id = 'IDX-020'").collect()
+    assert [(r["outcome"], r["count"]) for r in rows] == [("fail", 4)]
+    assert rows[0]["examples"] == ["https://x/a (404)", "https://x/a (unchecked)", "https://x/e (unchecked)"]
+
+
+@pytest.mark.parametrize("name", ["idx_020_links_resolve"])
+def test_pages_that_share_a_url_equal_the_sql(spark, sf_dir, tmp_path, name):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    first = pages.orderBy("page_id").limit(1).select("url").first()["url"]
+    # Statuses 404, null and 200 for one URL.
+    pages.withColumn("url", F.when(F.col("page_id").isin(8, 9, 10, 72), first).otherwise(F.col("url"))).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    result = con.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(map(tuple, df.select(columns).collect())) == sorted(result.fetchall())
+
+
 def test_index_rules_of_the_pages_table(spark, sf_dir):
     docs = plans._docs(spark, sf_dir)
     found = got(audit.index_findings(docs))
