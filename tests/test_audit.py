@@ -215,7 +215,7 @@ def test_a_url_with_several_statuses_counts_for_each_bad_one(spark):
     assert rows[0]["examples"] == ["https://x/a (404)", "https://x/a (unchecked)", "https://x/e (unchecked)"]
 
 
-@pytest.mark.parametrize("name", ["idx_020_links_resolve"])
+@pytest.mark.parametrize("name", ["idx_020_links_resolve", "idx_rules"])
 def test_pages_that_share_a_url_equal_the_sql(spark, sf_dir, tmp_path, name):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     first = pages.orderBy("page_id").limit(1).select("url").first()["url"]
@@ -229,6 +229,19 @@ def test_pages_that_share_a_url_equal_the_sql(spark, sf_dir, tmp_path, name):
     assert sorted(map(tuple, df.select(columns).collect())) == sorted(result.fetchall())
 
 
+@pytest.mark.parametrize("name", ["idx_rules", "a20_rule_score", "idx_019_companions"])
+@pytest.mark.parametrize("most", [51, 151, 200])
+def test_a_document_whose_text_is_null_equals_the_sql(spark, sf_dir, tmp_path, name, most):
+    # The last document lacks a part.
+    spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.col("page_id") <= most).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    result = con.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(map(repr, map(tuple, df.select(columns).collect()))) == sorted(map(repr, result.fetchall()))
+
+
 def test_index_rules_of_the_pages_table(spark, sf_dir):
     docs = plans._docs(spark, sf_dir)
     found = got(audit.index_findings(docs))
