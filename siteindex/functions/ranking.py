@@ -37,8 +37,9 @@ def score_terms() -> dict[str, Column]:
         "link_score": F.when(linked, F.col("link_score").cast("double")),
         "inlinks": F.when(linked, F.least(F.col("unique_inlinks") * 10.0, F.lit(100.0))),
     }
-    plain = WEIGHTS["depth"] + WEIGHTS["content"]
-    full = plain + WEIGHTS["link_score"] + WEIGHTS["inlinks"]
+    # The sums' decimal values: 0.2 + 0.1 is not 0.3 in doubles, and equal scores must stay equal.
+    plain = round(WEIGHTS["depth"] + WEIGHTS["content"], 9)
+    full = round(plain + WEIGHTS["link_score"] + WEIGHTS["inlinks"], 9)
     return {k: v * F.when(linked, WEIGHTS[k] / full).otherwise(WEIGHTS[k] / plain) for k, v in value.items()}
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from siteindex.functions import order, patterns, text, urls
+from siteindex.functions import order, patterns, ranking, text, urls
 from siteindex.operators import inventory, metrics, recon, sections
 from siteindex.sources import crawl
 
@@ -75,6 +75,13 @@ def test_fold_change(spark):
     assert one(spark, fold, a=0, b=3) == float("inf")
 
 
+@pytest.mark.parametrize(("depth", "words"), [(0, 250), (1, 250), (2, 310), (3, 70), (4, 0), (1, 1), (2, 999)])
+def test_score_without_a_link_graph_has_the_doubles_of_its_sql(spark, depth, words):
+    page = spark.createDataFrame([(depth, "https://x/", words, 0, 0)], "crawl_depth long, url string, word_count long, link_score long, unique_inlinks long")
+    depth_value, content_value = max(0.0, 100 - depth * 20.0), min(words / 10, 100.0) if words else 50.0
+    assert page.select(ranking.importance().alias("s")).first()["s"] == depth_value * (0.2 / 0.3) + content_value * (0.1 / 0.3)
+
+
 def test_wrong_dimension_is_refused():
     with pytest.raises(ValueError, match="queries"):
         crawl.metric_columns(["Query", "Clicks"])
