@@ -150,9 +150,10 @@ def run_stages(stages: DataFrame, cancellations: DataFrame) -> DataFrame:
 
     A stage that has begun runs to its end; no later stage starts after a request.
     """
+    # Runs are many and stages more: hash joins hold a row for each cancelled run, and no stages are sorted.
     at = cancellations.groupBy("run").agg(F.min("at").alias("at"))
-    rows = stages.join(at, "run", "left").withColumn("stops", F.coalesce(F.col("started") >= F.col("at"), F.lit(False)))
-    # The first stage that is stopped stops all that follow it.
-    by = W.Window.partitionBy("run").orderBy("seq")
-    rows = rows.withColumn("stopped", F.max(F.col("stops").cast("int")).over(by) == 1)
+    first = stages.join(at.hint("shuffle_hash"), "run").where("started >= at").groupBy("run").agg(F.min("seq").alias("first"), F.lit(True).alias("any"))
+    # The first stage that is stopped stops all that follow it; those without a place come last.
+    stopped = F.when(F.col("seq").isNull(), F.col("any").isNotNull()).otherwise(F.coalesce(F.col("seq") >= F.col("first"), F.lit(False)))
+    rows = stages.join(first.hint("shuffle_hash"), "run", "left").withColumn("stopped", stopped)
     return rows.groupBy("run").agg(F.count_if(~F.col("stopped")).alias("done"), F.when(F.bool_or("stopped"), "cancelled").otherwise("done").alias("status"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteindex.functions import order, patterns, ranking, text, urls
-from siteindex.operators import inventory, metrics, recon, sections
+from siteindex.operators import inventory, metrics, recon, review, sections
 from siteindex.sources import crawl
 
 
@@ -82,6 +82,14 @@ def test_score_without_a_link_graph_has_the_doubles_of_its_sql(spark, depth, wor
     assert page.select(ranking.importance().alias("s")).first()["s"] == depth_value * (0.2 / 0.3) + content_value * (0.1 / 0.3)
 
 
+def test_run_stages_stop_for_good_and_sort_no_stages(spark):
+    stages = [(1, 1, 10), (1, 2, 20), (1, 2, 5), (1, 3, 1), (1, None, 1), (2, 1, 99), (3, None, 50), (3, 7, 1), (4, 1, None), (None, 1, 5)]
+    out = review.run_stages(spark.createDataFrame(stages, "run long, seq int, started long"), spark.createDataFrame([(1, 20), (1, 30), (3, 40), (4, 0), (None, 0)], "run long, at long"))
+    assert {r["run"]: (r["done"], r["status"]) for r in out.collect()} == {1: (1, "cancelled"), 2: (1, "done"), 3: (1, "cancelled"), 4: (1, "done"), None: (1, "done")}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_wrong_dimension_is_refused():
     with pytest.raises(ValueError, match="queries"):
         crawl.metric_columns(["Query", "Clicks"])
