@@ -83,10 +83,16 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = 1
 
 def word_hashes(text: bytes) -> np.ndarray:
     """One hash for each word of a text (white space separates words)."""
+    return block_word_hashes(text)[2]
+
+
+def block_word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of a text begins and ends, and its hash; several texts can be one, apart by white space."""
     data = np.frombuffer(text, np.uint8)
     # Words begin and end where blank turns to not blank and back.
     edges = np.flatnonzero(np.diff(_BLANK[data], prepend=np.int8(1), append=np.int8(1)))
-    return Hashes(BYTES[data], POWERS[0]).of(edges[::2], edges[1::2])
+    begin, end = edges[::2], edges[1::2]
+    return begin, end, Hashes(BYTES[data], POWERS[0]).of(begin, end)
 
 
 #: Columns of ``documents`` that operators read by name.

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lineage import written
-from .common import any_columns, arrow, texts_as_bytes, word_hashes
+from .common import any_columns, arrow, block_word_hashes, texts_as_bytes, utf8, word_hashes
 from .grams import Filter, grams
 
 #: Lower-cases A-Z; every other ASCII byte but 0-9 and a-z becomes a space.
@@ -43,6 +43,24 @@ def _shingles(hashes: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.n
             yield ends - (n - 1), whole[ends]
 
 
+def _blocks(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Consecutive texts of about ``size`` bytes, hashed together.
+
+    The first text's number, the texts as words and spaces with a space after each, where the
+    words begin and end in that, their hashes, and each text's first word (and the end).
+    """
+    at, data = utf8(column)
+    a = 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + size, "right")) - 1)
+        whole = memoryview(data)
+        plain = b" ".join([*(bytes(whole[x:y]) for x, y in zip(at[a:b].tolist(), at[a + 1 : b + 1].tolist(), strict=True)), b""]).translate(WORDS)
+        begin, end, hashes = block_word_hashes(plain)
+        starts = at[a : b + 1] - at[a] + np.arange(b - a + 1)
+        yield a, plain, begin, end, hashes, np.searchsorted(begin, starts)
+        a = b
+
+
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     """``item_id`` (string) and ``words`` (joined by spaces) of each distinct window."""
 
@@ -82,9 +100,16 @@ def document_frequency(docs: DataFrame, shingles: DataFrame, sizes: tuple[int, .
         known = sent.value
         for batch in batches:
             found = []
-            for text in texts_as_bytes(batch.column(0)):
-                for _, keys in _shingles(word_hashes(text.translate(WORDS)), sizes):
-                    found.append(np.unique(keys[known.holds(keys)]))
+            for _, _, _, _, own, first in _blocks(batch.column(0)):
+                row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                for n, (ends, whole) in enumerate(grams(own, first[row], max(sizes, default=0)), 1):
+                    if n in sizes:
+                        ends = ends[known.holds(whole[ends])]
+                        keys, rows = whole[ends], row[ends]
+                        order = np.lexsort((keys, rows))
+                        keys, rows = keys[order], rows[order]
+                        # Once for each document.
+                        found.append(keys[np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])[: len(keys)]])
             keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
@@ -108,20 +133,19 @@ def occurrences(docs: DataFrame, keys: DataFrame, sizes: tuple[int, ...], width:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            counts, out = [], []
-            for text in texts_as_bytes(batch.column(batch.num_columns - 1)):
-                plain = text.translate(WORDS)
-                own = word_hashes(plain)
-                words, found = None, []
-                for at, hashes in _shingles(own, sizes):
-                    hit = np.flatnonzero(known.holds(hashes))
-                    if len(hit):
-                        words = words or plain.split()
-                    for p, key in zip(at[hit].tolist(), hashes[hit].view(np.int64).tolist(), strict=True):
-                        first = max(0, p - width + 1)
-                        found.append({"key": key, "at": p, "lead": p - first, "around": b" ".join(words[first : p + width]).decode()})
-                counts.append(len(own))
-                out.append(found)
+            counts, out = [], [[] for _ in range(batch.num_rows)]
+            for text, plain, begin, end, own, first in _blocks(batch.column(batch.num_columns - 1)):
+                counts.append(np.diff(first))
+                row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                for n, (ends, whole) in enumerate(grams(own, first[row], max(sizes, default=0)), 1):
+                    if n in sizes:
+                        ends = ends[known.holds(whole[ends])]
+                        spot = ends - (n - 1)
+                        low, high = first[row[ends]], first[row[ends] + 1]
+                        lead, after = np.minimum(spot - low, width - 1), np.minimum(spot + width, high)
+                        for r, p, k, x, y, key in zip(row[ends].tolist(), (spot - low).tolist(), lead.tolist(), begin[spot - lead].tolist(), end[after - 1].tolist(), whole[ends].view(np.int64).tolist(), strict=True):
+                            out[text + r].append({"key": key, "at": p, "lead": k, "around": b" ".join(plain[x:y].split()).decode()})
+            counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             extra = [pa.array(counts, pa.int64()), pa.array(out, pa.list_(OCCURRENCE))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], "n_words", "found"])
 

@@ -1,12 +1,14 @@
 """The ten queries and the pipeline against plain versions, on small tables with hard rows."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siteindex.llm import decontaminate, grams, host_classifier, licenses, mixing, near_duplicates, quality_rules, queries, repeats, suffix_tree, token_counts
+from siteindex.llm import common, decontaminate, grams, host_classifier, licenses, mixing, near_duplicates, quality_rules, queries, repeats, suffix_tree, token_counts
 
 from . import brute
 
@@ -173,6 +175,18 @@ def test_documents_of_null_or_equal_ids_are_lost_to_their_own_class_only(spark):
     assert collected(near_duplicates.one_of_each_class(df), "doc_id", "text") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 1 << 18])
+def test_texts_hashed_in_blocks_have_their_own_words(size):
+    texts = [None, "", "A b-c", "--", "é1 x", " lead trail ", "one", "A b C d e f g", None, "end."]
+    column = pa.array(["cut off", *texts])[1:]
+    got = {}
+    for at, plain, begin, end, hashes, first in decontaminate._blocks(column, size):
+        for i, (x, y) in enumerate(itertools.pairwise(first.tolist())):
+            got[at + i] = ([plain[a:b] for a, b in zip(begin[x:y], end[x:y], strict=True)], hashes[x:y].tolist())
+    want = [(t or "").encode().translate(decontaminate.WORDS) for t in texts]
+    assert got == {i: (t.split(), common.word_hashes(t).tolist()) for i, t in enumerate(want)}
+
+
 def test_decontamination(spark, docs, rows):
     texts = [t for _, t in rows if t and len(t.split()) > 60]
     items = [(1, " ".join(texts[0].split()[5:25])), (2, " ".join(texts[1].split()[:13]).upper()), (3, "w1"), (4, None), (5, "!!"), (6, " ".join(texts[0].split()[5:25])), (None, "w2"), (10, "not in any document at all")]
