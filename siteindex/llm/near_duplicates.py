@@ -41,6 +41,8 @@ from ..lineage import written
 from .common import POWERS, Hashes, any_columns, arrow, mix, texts_as_bytes, word_hashes
 
 WIDTH = 5
+#: Cells of a text's mass, and the whole mass in them.
+CELLS, WHOLE = 128, 32767
 
 
 def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -251,20 +253,23 @@ def prefix_buckets(texts: DataFrame, threshold: float, width: int, power: float)
 
 
 def sketches(texts: DataFrame, width: int = WIDTH, power: float = 1.0) -> DataFrame:
-    """``id``, ``size`` (distinct shingles), ``units`` (total weight over the least) and ``parity``: one bit for each of 512 cells, odd or even shingles in it."""
+    """``id``, ``size`` (distinct shingles), ``units`` (total weight over the least), ``parity``: one bit for each of 512 cells, odd or even shingles in it, and ``cells``: the mass in each of ``CELLS`` cells, rounded down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, units, parity = [], [], []
+            sizes, units, parity, cells = [], [], [], []
             for text in texts_as_bytes(batch.column(1)):
                 h, n = np.unique(shingle_hashes(text, width), return_counts=True)
                 w = n.astype(np.float64) ** power
                 sizes.append(len(h))
                 units.append(float(w.sum() / w.min()) if len(w) else 0.0)
                 parity.append(np.packbits(np.bincount((h >> np.uint64(40) & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(units, pa.float64()), pa.array(parity, pa.list_(pa.int64()))], names=["id", "size", "units", "parity"])
+                mass = np.bincount((h >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64), w / w.sum() if len(w) else w, CELLS)
+                cells.append((mass * WHOLE).astype(np.int16))
+            columns = [pa.array(sizes, pa.int64()), pa.array(units, pa.float64()), pa.array(parity, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "size", "units", "parity", "cells"])
 
-    return arrow(texts.select("id", "text"), run, "id long, size long, units double, parity array<long>")
+    return arrow(texts.select("id", "text"), run, "id long, size long, units double, parity array<long>, cells array<smallint>")
 
 
 def _may_link(threshold: float) -> Column:
@@ -276,6 +281,8 @@ def _may_link(threshold: float) -> Column:
     of its units, in shingles of its own. Two texts of even weights are sets: their own
     shingles are at most (1 - threshold) / (1 + threshold) of both sizes, and if they meet
     in the rarest shingle they share, the overlap is at most what either has from there on.
+    Masses of cells differ, summed, by no more than masses of shingles do, and those by at
+    most twice 1 - threshold: texts around one repeated passage fail this.
     """
     both = F.col("size") + F.col("leader_size")
     even = (F.col("units") <= F.col("size") + 1e-6) & (F.col("leader_units") <= F.col("leader_size") + 1e-6)
@@ -283,7 +290,10 @@ def _may_link(threshold: float) -> Column:
     bits = [F.bit_count(F.get("parity", i).bitwiseXOR(F.get("leader_parity", i))) for i in range(8)]
     differ = functools.reduce(Column.__add__, bits)
     of_sets = (shared + 1e-6 >= both * F.lit(threshold / (1 + threshold))) & (differ <= both * F.lit((1 - threshold) / (1 + threshold)) + 1e-6)
-    return F.when(even, of_sets).otherwise(differ <= (F.col("units") + F.col("leader_units")) * F.lit(1 - threshold) + 1e-6)
+    near = F.when(even, of_sets).otherwise(differ <= (F.col("units") + F.col("leader_units")) * F.lit(1 - threshold) + 1e-6)
+    gaps = F.zip_with("cells", "leader_cells", lambda a, b: F.abs(a.cast("int") - b.cast("int")))
+    # Rounding adds at most one to each cell's gap.
+    return near & (F.aggregate(gaps, F.lit(0), lambda a, x: a + x) <= F.lit(2 * (1 - threshold) * WHOLE + CELLS))
 
 
 def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float, width: int, power: float, leaders: int = 64) -> DataFrame:
@@ -294,7 +304,7 @@ def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, thre
     round. Components only grow, so that a member of the home stays one; a bucket is done
     when a round had turns for all who waited.
     """
-    traits = ["before", "size", "units", "parity"]
+    traits = ["before", "size", "units", "parity", "cells"]
     members = members.join(sketches(texts.join(members.select("id").distinct(), "id"), width, power), "id")
     bucket = W.Window.partitionBy("band", "bucket")
     held = None

@@ -175,6 +175,22 @@ def test_documents_of_null_or_equal_ids_are_lost_to_their_own_class_only(spark):
     assert collected(near_duplicates.one_of_each_class(df), "doc_id", "text") == sorted(want, key=repr)
 
 
+def test_texts_around_a_repeated_passage_are_told_apart_by_bounds_that_lose_no_link(spark):
+    rng = random.Random(5)
+    passage = prose(rng, 12)
+    texts = [" ".join([passage] * 6 + [f"own{i}_{k}" for k in range(rng.randrange(25, 40))]) for i in range(30)]
+    for i in range(30):  # near copies, on both sides of the threshold
+        words = texts[i].split()
+        texts.append(" ".join(w if rng.random() > 0.004 * i else f"x{i}" for w in words))
+    made = near_duplicates.sketches(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).withColumn("before", F.lit(0.0))
+    led = made.select(F.col("id").alias("leader"), *[F.col(c).alias(f"leader_{c}") for c in ("before", "size", "units", "parity", "cells")])
+    met = {(r["id"], r["leader"]) for r in made.join(led, F.col("id") < F.col("leader")).where(near_duplicates._may_link(0.8)).select("id", "leader").collect()}
+    hashes = [near_duplicates.shingle_hashes(t.encode()) for t in texts]
+    alike = {p for p in itertools.combinations(range(len(texts)), 2) if near_duplicates.similarity(hashes[p[0]], hashes[p[1]]) >= 0.8}
+    assert len(alike) >= 5 and alike <= met
+    assert len(met) < 100  # of 1,770 pairs
+
+
 @pytest.mark.parametrize("size", [1, 7, 40, 1 << 18])
 def test_texts_hashed_in_blocks_have_their_own_words(size):
     texts = [None, "", "A b-c", "--", "é1 x", " lead trail ", "one", "A b C d e f g", None, "end."]
