@@ -177,11 +177,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int =
 
 
 def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, width: int = WIDTH, power: float = 1.0, tries: int = 3) -> DataFrame:
-    """``id``, ``root``: the component of every text that shares a bucket with another.
+    """``id``, ``root``: the component, named by its least id, of every linked text but that one.
 
     ``buckets`` has (id, band, bucket); ``texts_of`` gives (id, text) for a table of ids.
-    First every text meets the most central text of its buckets, then, ``tries`` times, every
-    text outside the largest component of a bucket meets one member of that. What is
+    First every text meets the most central text of its buckets, then every text outside the
+    largest component of a bucket meets up to ``tries`` members of such components. What is
     still apart in a bucket is compared exactly, by way of shared prefix shingles.
     """
     crowd = written(buckets.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -194,20 +194,24 @@ def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], thres
     first = members.join(leaders, ["band", "bucket"]).groupBy(F.col("id").alias("a")).agg(F.max("leader")["id"].alias("b")).where("a <> b")
     roots = components(written(verified(first, texts, threshold, width, power)))
     open_ = _apart(members.drop("n"), roots)
-    for salt in range(tries):
-        inner = F.when(F.col("root") == F.col("largest"), F.struct(F.xxhash64(F.lit(salt), "id").alias("h"), "id"))
-        partner = open_.groupBy("band", "bucket").agg(F.min(inner)["id"].alias("b"))
-        outside = open_.where("root <> largest").join(partner, ["band", "bucket"])
-        pairs = outside.groupBy(F.col("id").alias("a")).agg(F.min_by("b", F.xxhash64(F.lit(salt), "bucket")).alias("b"))
-        good = written(verified(pairs, texts, threshold, width, power))
-        if good.isEmpty():
-            break
-        roots = merged(roots, good)
-        open_ = _apart(open_.select("id", "band", "bucket"), roots)
+    pairs = _pairs_with_home(open_, tries)
+    roots = merged(roots, written(verified(pairs, texts, threshold, width, power)))
+    open_ = _apart(open_.select("id", "band", "bucket"), roots)
     rest = open_.select("id").distinct()
     return _linked_exactly(prefix_buckets(texts.join(rest, "id"), threshold, width, power), texts, roots, threshold, width, power)
 
 
+def _pairs_with_home(open_: DataFrame, tries: int) -> DataFrame:
+    """(a, b): each text ``a`` outside the largest component of a bucket, with up to ``tries`` members of those of its buckets."""
+    salts = range(tries)
+    inner = [F.when(F.col("root") == F.col("largest"), F.struct(F.xxhash64(F.lit(salt), "id").alias("h"), "id")) for salt in salts]
+    partners = open_.groupBy("band", "bucket").agg(F.array(*[F.min(x)["id"] for x in inner]).alias("partners"))
+    outside = open_.where("root <> largest").join(partners, ["band", "bucket"])
+    picked = [F.min_by(F.get("partners", F.lit(salt)), F.xxhash64(F.lit(salt), "bucket")) for salt in salts]
+    met = outside.groupBy(F.col("id").alias("a")).agg(F.array_distinct(F.array(*picked)).alias("met"))
+    return met.select("a", F.explode("met").alias("b"))
+
+
 def _apart(members: DataFrame, roots: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Members of buckets that hold two components or more, with ``root`` and the root ``largest`` of the bucket's home.
 
@@ -300,7 +304,7 @@ def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, thre
     """``roots`` after every two members of a bucket are in one component or can't be, or have been compared.
 
     Members outside a bucket's home take turns by id to meet every member of another
-    component that exact bounds leave, ``leaders`` at first and four times as many each
+    component that exact bounds leave, ``leaders`` at first and sixteen times as many each
     round. Components only grow, so that a member of the home stays one; a bucket is done
     when a round had turns for all who waited.
     """
@@ -322,7 +326,7 @@ def _linked_exactly(members: DataFrame, texts: DataFrame, roots: DataFrame, thre
         held = written(held.where(F.col("n") == leaders).drop("n"))
         if held.isEmpty():
             return roots
-        leaders *= 4
+        leaders *= 16
         members = open_.select("id", "band", "bucket", *traits)
 
 
@@ -340,7 +344,7 @@ def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id``, ``root`` of every vertex of ``edges`` (a, b): the least id it is connected to.
+    """``id``, ``root`` of every vertex of ``edges`` (a, b) that is not its component's least id: that id.
 
     Alternating star contractions: larger neighbours, then smaller ones, are linked to
     the least neighbour, until every component is a star.
@@ -357,8 +361,7 @@ def components(edges: DataFrame) -> DataFrame:
         ends = current.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(current.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("root")))
         ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
         if ends.where("up > 1 or (up = 1 and root = 1)").isEmpty():
-            own = current.select(F.col("b").alias("id")).distinct().withColumn("root", F.col("id"))
-            return written(current.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(own))
+            return current.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def _classes_of_texts(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, width: int = WIDTH, power: float = 1.0) -> tuple[DataFrame, DataFrame]:

@@ -167,6 +167,15 @@ def test_rows_that_repeat_lose_no_link_of_a_hot_bucket(spark, monkeypatch, leade
     assert got == brute.near_classes(texts)
 
 
+def test_texts_outside_the_home_of_a_bucket_meet_several_of_it_in_one_pass(spark):
+    """Rounds of a few links each cost more in stages than in rows."""
+    rows = [(i, 0, 7, 1 if i <= 5 else i, 1) for i in range(1, 8)] + [(6, 1, 9, 6, 2), (2, 1, 9, 2, 2)]
+    open_ = spark.createDataFrame(rows, "id long, band int, bucket long, root long, largest long")
+    met = near_duplicates._pairs_with_home(open_, 3).groupBy("a").agg(F.collect_list("b").alias("b")).collect()
+    met = {r["a"]: r["b"] for r in met}
+    assert set(met) == {6, 7} and all(set(b) <= {1, 2, 3, 4, 5} and 1 <= len(set(b)) == len(b) <= 3 for b in met.values())
+
+
 def test_documents_of_null_or_equal_ids_are_lost_to_their_own_class_only(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
     rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, c), (8, c + " more"), (9, b), (7, ""), (7, ""), (None, None), (None, None), (5, None)]
