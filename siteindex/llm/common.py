@@ -31,10 +31,11 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit values."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 class Powers:
@@ -55,6 +56,10 @@ class Powers:
         self._grow(n)
         return self.up[:n]
 
+    def inverses(self, n: int) -> np.ndarray:
+        self._grow(n)
+        return self.down[:n]
+
     def inverse(self, at: np.ndarray) -> np.ndarray:
         self._grow(int(at.max(initial=0)) + 1)
         return self.down[at]
@@ -71,6 +76,11 @@ class Hashes:
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sums[b] - self.sums[a]) * self.powers.inverse(a) + (b - a).astype(np.uint64))
 
+    def each(self, width: int) -> np.ndarray:
+        """Hashes of all stretches of ``width`` symbols, those of ``of``."""
+        sums = self.sums[width:] - self.sums[: len(self.sums) - width]
+        return mix(sums * self.powers.inverses(len(sums)) + np.uint64(width))
+
 
 #: Values of the 256 bytes as symbols.
 BYTES = np.random.default_rng(505).integers(0, 1 << 64, 256, np.uint64)
@@ -95,6 +105,27 @@ def block_word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, Hashes(BYTES[data], POWERS[0]).of(begin, end)
 
 
+def words_of_rows(at: np.ndarray, data: np.ndarray, block: int = 1 << 17) -> list[np.ndarray]:
+    """``word_hashes`` of each text of a column, given as offsets and bytes, hashed in blocks of whole texts."""
+    out: list[np.ndarray] = []
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + block, "right")) - 1)
+        part, edges = data[at[i] : at[j]], at[i : j + 1] - at[i]
+        word = _BLANK[part] == 0
+        # A word begins or ends at blanks and at the edges of its text.
+        before, after = np.zeros(len(part), bool), np.zeros(len(part), bool)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        before[edges[edges < len(part)]] = False
+        after[edges[edges > 0] - 1] = False
+        begin, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        hashes = Hashes(BYTES[part], POWERS[0]).of(begin, end)
+        cuts = np.searchsorted(begin, edges).tolist()
+        out += [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        i = j
+    return out
+
+
 #: Columns of ``documents`` that operators read by name.
 READ = ("doc_id", "text", "source", "lang")
 

@@ -48,9 +48,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lineage import written
-from .common import BYTES, POWERS, Hashes, any_columns, arrow, mix, text_key, utf8, word_hashes
+from .common import BYTES, POWERS, Hashes, any_columns, arrow, mix, text_key, utf8, word_hashes, words_of_rows
 
-BLOCK = 1 << 20
+#: Symbols of a block, few enough for a core's cache.
+BLOCK = 1 << 17
 #: place: first window, the anchor's distance from it and the windows after it, packed.
 PLACE_BITS = 9
 
@@ -99,23 +100,25 @@ def segments(lengths: np.ndarray, length: int) -> Iterator[list[tuple[int, int,
 def anchors(hashes: Hashes, starts: np.ndarray, scale: Scale) -> tuple[np.ndarray, ...]:
     """(anchor, first window, last window) as positions in a block whose segments begin at ``starts``."""
     n = len(hashes.sums) - 1
-    grams = np.arange(n - scale.gram + 1)
     shift = np.uint64(20)
-    keys = (hashes.of(grams, grams + scale.gram) >> shift << shift) | grams.astype(np.uint64)
+    keys = hashes.each(scale.gram) >> shift << shift
+    keys |= np.arange(len(keys), dtype=np.uint64)
     width = 1
     while width < scale.span:
         step = min(width, scale.span - width)
         keys = np.minimum(keys[: len(keys) - step], keys[step:])
         width += step
     windows = n - scale.length + 1
-    anchor = (keys[:windows] & np.uint64((1 << 20) - 1)).astype(np.int64)
-    segment = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:windows]
-    valid = np.arange(windows) + scale.length <= starts[segment + 1]
+    anchor = (keys[:windows] & np.uint64((1 << 20) - 1)).view(np.int64)
     new = np.ones(windows, bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1]) | (valid[1:] != valid[:-1])
+    np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+    # A segment's windows begin at its start and end where one would leave it.
+    beyond = np.maximum(starts[1:] - scale.length + 1, starts[:-1])
+    for at in (starts, beyond):
+        new[at[at < windows]] = True
     first = np.flatnonzero(new)
     last = np.append(first[1:], windows) - 1
-    keep = valid[first]
+    keep = first + scale.length <= starts[np.searchsorted(starts, first, "right")]
     return anchor[first[keep]], first[keep], last[keep]
 
 
@@ -131,24 +134,41 @@ def _blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np
 def _word_blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The same with words as symbols; a text's words are held while the text is."""
     at, data = utf8(batch.column(batch.num_columns - 1))
-    rows = [word_hashes(data[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    rows = words_of_rows(at, data)
     for parts in segments(np.array([len(r) for r in rows], np.int64), length):
         starts = np.cumsum([0, *(b - a for _, a, b in parts)])
         yield np.concatenate([rows[row][a:b] for row, a, b in parts]), starts, np.array([x[0] for x in parts]), np.array([x[1] for x in parts])
 
 
+BLOCKS: dict[str, Callable] = {"bytes": _blocks, "words": _word_blocks}
+
+
+def names(docs: DataFrame, scales: dict[str, Scale]) -> DataFrame:
+    """``words``, ``core``, ``n``: how often a block has an anchor of that name; a name has a row for each of its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, scale in scales.items():
+                for symbols, starts, _, _ in BLOCKS[unit](batch, scale.length):
+                    hashes = Hashes(symbols, POWERS[0])
+                    a = anchors(hashes, starts, scale)[0]
+                    core, n = np.unique(hashes.of(a, a + scale.core).view(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(core), unit == "words"), core, n)], names=["words", "core", "n"])
+
+    return arrow(docs.select("text"), run, "words boolean, core long, n long")
+
+
 def sample(docs: DataFrame, scales: dict[str, Scale]) -> DataFrame:
     """Anchors: ``words`` (are symbols words or bytes), ``uid``, the names ``core`` and ``stretch``, and ``places`` in the text that share them.
 
     A text that repeats itself many times so gives few rows.
     """
-    blocks: dict[str, Callable] = {"bytes": _blocks, "words": _word_blocks}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column(0).to_numpy()
             for unit, scale in scales.items():
-                for symbols, starts, rows, begin in blocks[unit](batch, scale.length):
+                for symbols, starts, rows, begin in BLOCKS[unit](batch, scale.length):
                     hashes = Hashes(symbols, POWERS[0])
                     a, lo, hi = anchors(hashes, starts, scale)
                     segment = np.searchsorted(starts, lo, "right") - 1
@@ -380,12 +400,12 @@ def repeated_windows(docs: DataFrame, length: int = 400, passage: int = 50, memb
     """
     byte, word = bytes_scale(length), words_scale(passage)
     name = ["words", "core"]
-    names = sample(docs, {"bytes": byte, "words": word})
+    scales = {"bytes": byte, "words": word}
     # Counts are written before they are joined, so that a join of a hot name can be split.
-    # The names themselves are sampled twice: to write them takes more disk than all else.
+    # Anchors are found twice, at first their names alone: to write them takes more disk than all else.
+    twice = written(names(docs, scales).groupBy(*name).agg(F.sum("n").alias("n")).where("n > 1").select(*name))
+    held = written(sample(docs, scales).join(twice, name))
     n = F.sum(F.size("places")).alias("n")
-    twice = written(names.groupBy(*name).agg(n).where("n > 1").select(*name))
-    held = written(names.join(twice, name))
     stretches = written(held.groupBy(*name, "stretch").agg(n, F.min(F.struct("uid", F.element_at("places", 1).alias("place"))).alias("one")))
     again = written(stretches.where("n > 1").select(*name, "stretch"))
     first = F.shiftright("place", 2 * PLACE_BITS)

@@ -731,3 +731,16 @@ def test_pipeline_runs(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     n = out.count()
     assert n > 0 and out.select("shard", "slot").distinct().count() == n
+
+
+def test_blocks_of_texts_give_the_words_and_windows_of_each_text():
+    import numpy as np
+
+    texts = ["a bb", "", "cc  d", " ", "e", "f\n", "x" * 300_000, "g h", "é ü", ""]
+    at, data = common.utf8(pa.array(texts))
+    for block in (1, 6, 1 << 17):
+        got = common.words_of_rows(at, data, block)
+        assert [g.tolist() for g in got] == [common.word_hashes(t.encode()).tolist() for t in texts]
+    hashes = common.Hashes(common.BYTES[data[:2000]], common.POWERS[0])
+    place = np.arange(2000 - 16 + 1)
+    assert (hashes.each(16) == hashes.of(place, place + 16)).all()
