@@ -16,12 +16,17 @@ listed symbols are tables, joined by these hashes.
 Scoring is a sum over n-grams. A listed symbol adds log p - log p(parent), an unlisted one
 adds its state's log of freed mass; so with weight(n-gram) = what it adds as a listed
 symbol beyond the freed mass + the freed mass of the state that it is, a text's score is
-its root score plus the weights of all its n-grams. The ``hot_entries`` most frequent
-entries are broadcast; all others reach the documents by a shuffle join.
-
-Bounds: broadcast are ``hot_entries`` entries, Bloom filters of ``filter_bits`` bits, and
-the contexts that make up a thousandth of all tokens each, a thousand at most. Full filters
-let more through and change no result.
+its root score plus the weights of all its n-grams. Texts are taken in blocks of whole
+texts, about ``block`` tokens each. A block asks for each of its distinct n-grams once: the
+questions meet the entries in ``PARTS`` parts, and the answers meet the block again, which
+has kept where its n-grams stand. So what is sent goes with the tokens, however large the
+tree is; an n-gram in every text is one question a block. ``ROUNDS`` rounds take a share of
+the texts each, and let go of what was sent before the next one begins.
+
+Bounds: broadcast are entries that stand ``OFTEN`` times in a block on average, at most
+``hot_entries`` of them; Bloom filters of ``filter_bits`` bits; and the contexts that make
+up a thousandth of all tokens each, a thousand at most. Full filters let more through and
+change no result. A part holds its share of the entries and of the questions in one task.
 
 Defined cases: null and blank texts are one end token; rows with null ids train; rows
 that repeat count as often as they stand; an empty table gives an empty result, and
@@ -30,38 +35,59 @@ with no training rows every token is unknown.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..lineage import release, settled, written
-from .common import any_columns, arrow, mix, most_frequent, texts_as_bytes, word_hashes
+from .common import any_columns, arrow, mix, most_frequent, text_key, utf8, words_of_rows
 from .grams import Filter, grams
 
 #: The end token's hash, a value like any other.
 END = 0x5851F42D4C957F2D
 #: A context with so many of all tokens has its symbols counted in SALTS parts.
 HOT_SHARE, SALTS = 1000, 64
-
-
-def tokens_of(text: bytes) -> np.ndarray:
-    """Hashes of the lower-cased words (A-Z only), then the end token."""
-    return np.append(word_hashes(text.lower()), np.uint64(END))
+#: Entries and questions meet in so many parts, by the last bits of the n-gram.
+PART_BITS = 10
+PARTS = 1 << PART_BITS
+#: Texts are scored in so many rounds, each with its share of questions on disk.
+ROUNDS = 3
+#: An entry is broadcast that stands so many times in a block on average.
+OFTEN = 4
+#: Bytes with A-Z lower-cased.
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Texts of a block at most, so that 16 bits tell them apart.
+MOST_TEXTS = 1 << 15
+
+
+def tokens_of_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words (A-Z only) of all texts of a column, an end token after each, and how many each text has."""
+    at, data = utf8(column)
+    words = words_of_rows(at - at[0], LOWER[data[at[0] : at[-1]]])
+    sizes = np.array([len(x) + 1 for x in words], np.int64)
+    tokens = np.full(sizes.sum(), END, np.uint64)
+    if len(tokens):
+        is_word = np.ones(len(tokens), bool)
+        is_word[np.cumsum(sizes) - 1] = False
+        tokens[is_word] = np.concatenate(words)
+    return tokens, sizes
 
 
 def _token_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Tokens of whole texts, about ``block`` at a time, and for each where its text starts."""
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
-        for text in texts_as_bytes(batch.column(0)):
-            held.append(tokens_of(text))
-            size += len(held[-1])
+        for a in range(0, batch.num_rows, 256):
+            held.append(tokens_of_rows(batch.column(0).slice(a, 256)))
+            size += len(held[-1][0])
             if size >= block:
                 yield _concatenated(held)
                 held, size = [], 0
@@ -69,9 +95,21 @@ def _token_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tup
         yield _concatenated(held)
 
 
-def _concatenated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in held])
-    return np.concatenate(held), np.repeat(np.cumsum(sizes) - sizes, sizes)
+def _concatenated(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.concatenate([x for _, x in held])
+    return np.concatenate([x for x, _ in held]), np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _runs(sizes: np.ndarray, most: int, texts: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about equal size, up to about ``most`` tokens together and ``texts`` texts."""
+    upto = np.cumsum(sizes)
+    most = -(-int(upto[-1]) // (int(upto[-1]) // most + 1)) if len(sizes) else most
+    a = 0
+    while a < len(sizes):
+        before = upto[a - 1] if a else 0
+        b = min(int(np.searchsorted(upto, before + most)) + 1, a + texts, len(sizes))
+        yield a, b
+        a = b
 
 
 def held_out(doc_id: Column, modulus: int = 7, remainder: int = 2) -> Column:
@@ -172,8 +210,121 @@ def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int,
     return weights
 
 
+def questions(docs: DataFrame, sent: Broadcast, max_depth: int, block: int) -> DataFrame:
+    """Blocks of ``docs`` (any columns, then text): what they ask for, and one row of their own each.
+
+    A question row has ``block``, ``part`` and ``keys``, the block's distinct n-grams of that
+    part in order of ``_turned``. The block's own row has ``docs``, its texts' other columns
+    with n_tokens and the sums over ``hot`` n-grams, ``asked``, the number of its keys, and
+    ``places``: for each place of each key in that order, the number of its text, inverted
+    at a key's first place. ``sent`` has the hot n-grams in order, their sums, and a filter
+    of the tree's n-grams.
+    """
+    made = T.StructType.fromDDL("n_tokens bigint, hot_known double, hot_base double, hot_weight double")
+    each = T.StructType([*docs.schema.fields[:-1], *made.fields])
+    schema = T.StructType.fromDDL("block bigint, part int, keys array<bigint>, asked bigint, places array<smallint>").add("docs", T.ArrayType(each))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (hot_keys, *values), maybe = sent.value
+        block_id = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            tokens, sizes = tokens_of_rows(batch.column(batch.num_columns - 1))
+            upto = np.append(0, np.cumsum(sizes))
+            for a, b in _runs(sizes, block, MOST_TEXTS):
+                row = np.repeat(np.arange(b - a, dtype=np.int16), sizes[a:b])
+                starts = np.repeat(upto[a:b] - upto[a], sizes[a:b])
+                sums = np.zeros((3, b - a))
+                rare, places = [], []
+                for n, (ends, whole) in enumerate(grams(tokens[upto[a] : upto[b]], starts, max_depth + 1), 1):
+                    if n > 1:
+                        ends = ends[maybe.holds(whole[ends])]
+                    keys, at = whole[ends], row[ends]
+                    found = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
+                    hit = hot_keys[found] == keys if len(hot_keys) else np.zeros(len(keys), bool)
+                    for k, v in enumerate(values):
+                        sums[k] += np.bincount(at[hit], v[found[hit]], b - a)
+                    rare.append(_turned(keys[~hit]))
+                    places.append(at[~hit])
+                turned, at = np.concatenate(rare), np.concatenate(places)
+                del rare, places
+                order = np.argsort(turned)
+                turned, at = turned[order], at[order]
+                del order
+                first = np.concatenate([[True], turned[1:] != turned[:-1]]) if len(turned) else np.zeros(0, bool)
+                turned = turned[first]
+                part = (turned >> np.uint64(64 - PART_BITS)).astype(np.int32)
+                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+                keys = (turned << np.uint64(PART_BITS)) | (turned >> np.uint64(64 - PART_BITS))
+                own = [*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(sizes[a:b]), *(pa.array(x) for x in sums)]
+                own = pa.StructArray.from_arrays(own, names=each.names)
+                # The questions, then the block's own row.
+                n_rows, own_part = len(cuts) + 1, int(mix(np.array([block_id], np.uint64))[0]) % PARTS
+                last = lambda n: pa.array(np.append(np.zeros(n_rows), n), pa.int32())  # noqa: E731  offsets of lists, empty but the last
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n_rows, block_id)),
+                        pa.array(np.append(part[cuts], own_part), pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([cuts, [len(keys), len(keys)]]), pa.int32()), pa.array(keys.view(np.int64))),
+                        pa.array(np.append(np.zeros(n_rows - 1), len(keys)), pa.int64()),
+                        pa.ListArray.from_arrays(last(len(at)), pa.array(np.where(first, ~at, at))),
+                        pa.ListArray.from_arrays(last(b - a), own),
+                    ],
+                    names=schema.names,
+                )
+                block_id += 1
+
+    return arrow(docs, ask, schema)
+
+
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Keys with their part as the first bits."""
+    return (keys >> np.uint64(PART_BITS)) | (keys << np.uint64(64 - PART_BITS))
+
+
+def _answers(asked: pa.Table, entries: pa.Table) -> pa.Table:
+    """``asked`` of one part with ``ns`` and ``weights`` of its keys instead of these; 0 where there is no entry."""
+    keys, at = np.unique(entries.column("key").to_numpy(), return_inverse=True)
+    n = np.zeros(len(keys) + 1, np.int64)
+    np.add.at(n, at, entries.column("n").to_numpy())
+    weight = np.bincount(at, entries.column("weight").to_numpy(), len(keys) + 1).astype(float)
+    lists = asked.column("keys").combine_chunks()
+    wanted = lists.flatten().to_numpy()
+    found = np.searchsorted(keys, wanted)
+    if len(keys):
+        found[keys[np.minimum(found, len(keys) - 1)] != wanted] = len(keys)
+    offsets = pa.array(np.append(0, np.cumsum(lists.value_lengths().to_numpy())), pa.int32())
+    of = {"ns": pa.ListArray.from_arrays(offsets, pa.array(n[found])), "weights": pa.ListArray.from_arrays(offsets, pa.array(weight[found]))}
+    return pa.table({c: asked.column(c) for c in ("block", "part")} | of | {c: asked.column(c) for c in ("asked", "places", "docs")})
+
+
+def _summed(block: pa.Table) -> pa.Table:
+    """One block's texts with the sums over its answers."""
+    block = block.sort_by("part")
+    n, weight = (block.column(c).combine_chunks().flatten().to_numpy() for c in ("ns", "weights"))
+    places, docs = (block.column(c).combine_chunks().flatten() for c in ("places", "docs"))
+    places = places.to_numpy()
+    if len(n) != sum(block.column("asked").to_pylist()):
+        raise RuntimeError("a block's answers are not those it asked for")
+    key = np.cumsum(places < 0) - 1
+    row = np.where(places < 0, ~places, places)
+    out = {docs.type.field(i).name: c for i, c in enumerate(docs.flatten())}
+    for name, values in (("rare_known", (n > 0).astype(float)), ("rare_base", np.log10(n + 1.0)), ("rare_weight", weight)):
+        out[name] = pa.array(np.bincount(row, values[key], len(docs)).astype(float))
+    return pa.table(out)
+
+
+def _scored(docs: DataFrame, rare: DataFrame, sent: Broadcast, max_depth: int, block: int) -> DataFrame:
+    """``docs`` (any columns, then text) with the sums over hot and over rare n-grams instead of the text."""
+    asked = questions(docs, sent, max_depth, block)
+    entries = rare.select(F.col("key").bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("part"), "key", F.when(F.col("known") == 1, F.col("n")).otherwise(0).alias("n"), "weight")
+    answered = T.StructType([*T.StructType.fromDDL("block bigint, part int, ns array<bigint>, weights array<double>").fields, *(asked.schema[c] for c in ("asked", "places", "docs"))])
+    answers = asked.groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(_answers, answered)
+    sums = T.StructType.fromDDL("rare_known double, rare_base double, rare_weight double")
+    return answers.groupBy("block").applyInArrow(_summed, T.StructType([*asked.schema["docs"].dataType.elementType.fields, *sums.fields]))
+
+
 @any_columns
-def score(docs: DataFrame, hot_entries: int = 1_000_000, max_depth: int = 3, filter_bits: int = 1 << 26, **parameters) -> DataFrame:
+def score(docs: DataFrame, hot_entries: int = 1_000_000, max_depth: int = 3, filter_bits: int = 1 << 26, block: int = 2_000_000, **parameters) -> DataFrame:
     """``docs`` without its text, plus held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     training = docs.where(~held_out(F.col("doc_id")))
@@ -183,57 +334,30 @@ def score(docs: DataFrame, hot_entries: int = 1_000_000, max_depth: int = 3, fil
         vocab = written(vocabulary(training))
         head = vocab.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
         totals.extend((head["n"] or 0, head["v"]))
+        release(spark)
         tree = train(training, vocab, *totals, max_depth, filter_bits=filter_bits, **parameters)
-        tree = tree.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("weight") / F.lit(float(np.log(10)))).alias("weight"))
-        return tree.unionByName(vocab.select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1).alias("base"), F.lit(0.0).alias("weight")))
+        tree = tree.select("key", "n", F.lit(0).alias("known"), (F.col("weight") / F.lit(float(np.log(10)))).alias("weight"))
+        return tree.unionByName(vocab.select("key", "n", F.lit(1).alias("known"), F.lit(0.0).alias("weight")))
 
     # The levels' own tables go once the entries are written.
     entries = settled(spark, build)
     n_tokens, n_distinct = totals
     release(spark)
     log_total = float(np.log10(n_tokens + n_distinct + 1))
-    top = most_frequent(entries, "n", hot_entries).groupBy("key").agg(F.sum("known"), F.sum("base"), F.sum("weight")).toArrow()
-    columns = [c.to_numpy() for c in top.columns]
-    order = np.argsort(columns[0].view(np.uint64))
-    hot = [columns[0].view(np.uint64)[order], *(c[order] for c in columns[1:])]
-    sent = spark.sparkContext.broadcast((hot, Filter(entries.where("known = 0").select("key"), filter_bits)))
+    often = most_frequent(entries.where(F.col("n") * block >= F.lit(OFTEN) * F.lit(n_tokens)), "n", hot_entries)
+    top = often.groupBy("key").agg(F.max("n"), F.sum("known"), F.sum("weight")).toArrow()
+    keys, n, known, weight = (c.to_numpy() for c in top.columns)
+    order = np.argsort(keys.view(np.uint64))
+    hot = [keys.view(np.uint64)[order], known[order].astype(float), np.where(known > 0, np.log10(n + 1.0), 0.0)[order], weight[order]]
     names = [c for c in docs.columns if c != "text"]
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, known, base, weight), maybe = sent.value
-        for batch in batches:
-            held = [tokens_of(t) for t in texts_as_bytes(batch.column(batch.num_columns - 1))]
-            for a, b in _runs_of(held, 500_000):
-                part = held[a:b]
-                tokens, starts = _concatenated(part)
-                row = np.repeat(np.arange(b - a), [len(x) for x in part])
-                sums = np.zeros((3, b - a))
-                rare_row, rare_key = [], []
-                for n, (ends, whole) in enumerate(grams(tokens, starts, max_depth + 1), 1):
-                    if n > 1:
-                        ends = ends[maybe.holds(whole[ends])]
-                    found = np.minimum(np.searchsorted(keys, whole[ends]), max(len(keys) - 1, 0))
-                    hit = keys[found] == whole[ends] if len(keys) else np.zeros(len(ends), bool)
-                    for k, values in enumerate((known, base, weight)):
-                        sums[k] += np.bincount(row[ends[hit]], values[found[hit]], b - a)
-                    rare_row.append(row[ends[~hit]])
-                    rare_key.append(whole[ends[~hit]])
-                rows, rare = np.concatenate(rare_row), np.concatenate(rare_key)
-                order = np.lexsort((rare, rows))
-                rows, rare = rows[order], rare[order]
-                first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (rare[1:] != rare[:-1])])) if len(rows) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(rows)))
-                offsets = pa.array(np.searchsorted(rows[first], np.arange(b - a + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (rare[first].view(np.int64), times.astype(np.int32))]
-                extra = [pa.array([len(x) for x in part], pa.int64()), pa.array(sums[0], pa.float64()), pa.array(sums[1]), pa.array(sums[2]), *lists]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *extra], names=[*batch.schema.names[:-1], "n_tokens", "hot_known", "hot_base", "hot_weight", "rare", "times"])
-
-    made = T.StructType.fromDDL("n_tokens bigint, hot_known double, hot_base double, hot_weight double, rare array<bigint>, times array<int>")
-    schema = T.StructType([*(docs.schema[c] for c in names), *made.fields])
-    base = written(arrow(docs.select(*names, "text"), measure, schema).withColumn("row_id", F.monotonically_increasing_id()))
-    rare = base.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row_id", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    met = rare.join(entries, "key").groupBy("row_id").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"rare_{c}") for c in ("known", "base", "weight")])
-    out = base.join(met, "row_id", "left").na.fill(0, ["rare_known", "rare_base", "rare_weight"])
+    sent = spark.sparkContext.broadcast((hot, Filter(entries.where("known = 0").select("key"), filter_bits)))
+    rare = entries.where(F.col("n") < F.lit(int(n.min()))) if len(n) else entries
+    rounds = []
+    for k in range(ROUNDS):
+        share = docs.select(*names, "text").where(F.pmod(text_key(F.col("doc_id"), F.col("text")), F.lit(ROUNDS)) == k)
+        rounds.append(written(_scored(share, rare, sent, max_depth, block)))
+        release(spark)  # a round's questions and answers are done with
+    out = functools.reduce(DataFrame.unionByName, rounds)
     root = F.col("hot_base") + F.col("rare_base") - F.col("n_tokens") * F.lit(log_total)
     return out.select(
         *names,
@@ -244,15 +368,3 @@ def score(docs: DataFrame, hot_entries: int = 1_000_000, max_depth: int = 3, fil
         root.alias("base_score"),
         (root + F.col("hot_weight") + F.col("rare_weight")).alias("score"),
     )
-
-
-def _runs_of(held: list[np.ndarray], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``most`` tokens together."""
-    a = size = 0
-    for b, x in enumerate(held):
-        size += len(x)
-        if size >= most:
-            yield a, b + 1
-            a, size = b + 1, 0
-    if a < len(held):
-        yield a, len(held)

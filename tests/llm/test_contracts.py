@@ -744,3 +744,24 @@ def test_blocks_of_texts_give_the_words_and_windows_of_each_text():
     hashes = common.Hashes(common.BYTES[data[:2000]], common.POWERS[0])
     place = np.arange(2000 - 16 + 1)
     assert (hashes.each(16) == hashes.of(place, place + 16)).all()
+
+
+@pytest.mark.parametrize("block", [40, 1000])
+def test_scores_in_small_blocks_without_broadcast(docs, rows, block):
+    floors = {"max_depth": 3, "min_context": 3, "min_symbol": 2, "gain_per_symbol": 0.5}
+    got = sorted((repr(r["doc_id"]), r["base_score"], r["score"]) for r in suffix_tree.score(docs, hot_entries=0, block=block, **floors).collect())
+    want = sorted((repr(i), b, s) for (i, *_, b), s in zip(brute.unigram_scores(rows), brute.tree_scores(rows, 3, 3, 2, 0.6, 0.5), strict=True))
+    for r, (_, b, s) in zip(got, want, strict=True):
+        assert r[1] == pytest.approx(b) and r[2] == pytest.approx(s, abs=1e-6)
+
+
+def test_a_block_asks_for_each_of_its_ngrams_once(spark):
+    import numpy as np
+
+    texts = spark.createDataFrame([(i, "the same words in every text") for i in range(500)], "doc_id long, text string").coalesce(1)
+    every = suffix_tree.Filter(spark.createDataFrame([(0,)], "key long"), 64)
+    every.words[:] = -1
+    none = [np.zeros(0, np.uint64), *[np.zeros(0)] * 3]
+    asked = suffix_tree.questions(texts, spark.sparkContext.broadcast((none, every)), 3, 1_000_000)
+    # Six words and an end token: 7 + 6 + 5 + 4 n-grams of up to four words.
+    assert asked.agg(F.sum(F.size("keys")), F.sum("asked"), F.sum(F.size("places"))).first() == (22, 22, 500 * 22)
