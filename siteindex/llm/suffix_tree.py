@@ -221,7 +221,7 @@ def questions(docs: DataFrame, sent: Broadcast, max_depth: int, block: int) -> D
     of the tree's n-grams.
     """
     made = T.StructType.fromDDL("n_tokens bigint, hot_known double, hot_base double, hot_weight double")
-    each = T.StructType([*docs.schema.fields[:-1], *made.fields])
+    each = _nullable(T.StructType([*docs.schema.fields[:-1], *made.fields]))
     schema = T.StructType.fromDDL("block bigint, part int, keys array<bigint>, asked bigint, places array<smallint>").add("docs", T.ArrayType(each))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +276,17 @@ def questions(docs: DataFrame, sent: Broadcast, max_depth: int, block: int) -> D
     return arrow(docs, ask, schema)
 
 
+def _nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed throughout, as grouped Arrow functions compare types to the letter."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(_nullable(kind.keyType), _nullable(kind.valueType))
+    return kind
+
+
 def _turned(keys: np.ndarray) -> np.ndarray:
     """Keys with their part as the first bits."""
     return (keys >> np.uint64(PART_BITS)) | (keys << np.uint64(64 - PART_BITS))
