@@ -355,7 +355,8 @@ def score(docs: DataFrame, hot_entries: int = 1_000_000, max_depth: int = 3, fil
     n_tokens, n_distinct = totals
     release(spark)
     log_total = float(np.log10(n_tokens + n_distinct + 1))
-    often = most_frequent(entries.where(F.col("n") * block >= F.lit(OFTEN) * F.lit(n_tokens)), "n", hot_entries)
+    # A product of two literals would be one of 32-bit integers, which 2^29 tokens overflow.
+    often = most_frequent(entries.where(F.col("n") * block >= OFTEN * n_tokens), "n", hot_entries)
     top = often.groupBy("key").agg(F.max("n"), F.sum("known"), F.sum("weight")).toArrow()
     keys, n, known, weight = (c.to_numpy() for c in top.columns)
     order = np.argsort(keys.view(np.uint64))

@@ -755,6 +755,14 @@ def test_scores_in_small_blocks_without_broadcast(docs, rows, block):
         assert r[1] == pytest.approx(b) and r[2] == pytest.approx(s, abs=1e-6)
 
 
+def test_scores_where_the_share_of_all_tokens_passes_32_bits(monkeypatch, docs):
+    floors = {"min_context": 3, "min_symbol": 2}
+    want = {(r["doc_id"], r["n_tokens"]): r["score"] for r in suffix_tree.score(docs, **floors).collect()}
+    monkeypatch.setattr(suffix_tree, "OFTEN", 1 << 30)  # as 2^28 times the tokens would
+    for r in suffix_tree.score(docs, **floors).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"], r["n_tokens"]])
+
+
 def test_a_block_asks_for_each_of_its_ngrams_once(spark):
     import numpy as np
 
