@@ -35,6 +35,7 @@ with no training rows every token is unknown.
 
 from __future__ import annotations
 
+import collections
 import functools
 from collections.abc import Iterator
 
@@ -150,19 +151,23 @@ def next_counts(training: DataFrame, contexts: DataFrame, listed: DataFrame, dep
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ctx, up, n.astype(np.int32))]
         return pa.RecordBatch.from_arrays([pa.array(part[group], pa.int32()), *lists], names=["part", "ctxs", "ups", "ns"])
 
+    def found(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, fine, _ = sent.value
+        ends, whole = collections.deque(grams(tokens, starts, depth), 1).pop()
+        # An n-gram of ``depth`` words that ends before the text does is a context of the next token.
+        at = ends[tokens[ends] != np.uint64(END)]
+        at = at[known.holds(whole[at])] + 1
+        at = at[fine.holds(whole[at])]
+        return whole[at - 1].view(np.int64), whole[at].view(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, fine, often = sent.value
+        often = sent.value[2]
         for tokens, starts in _token_blocks(batches, block):
-            for n, (ends, whole) in enumerate(grams(tokens, starts, depth), 1):
-                if n == depth:
-                    # An n-gram of ``depth`` words that ends before the text does is a context of the next token.
-                    at = ends[tokens[ends] != np.uint64(END)]
-                    at = at[known.holds(whole[at])] + 1
-                    at = at[fine.holds(whole[at])]
-                    ctx, up = whole[at - 1].view(np.int64), whole[at].view(np.int64)
-                    salt = np.where(np.isin(ctx, often), up & (SALTS - 1), 0) if len(often) else np.zeros(len(ctx), np.int64)
-                    if len(ctx):
-                        yield rows_of(ctx, up, salt)
+            ctx, up = found(tokens, starts)
+            del tokens, starts
+            salt = np.where(np.isin(ctx, often), up & (SALTS - 1), 0) if len(often) else np.zeros(len(ctx), np.int64)
+            if len(ctx):
+                yield rows_of(ctx, up, salt)
 
     rows = arrow(training.select("text"), count, "part int, ctxs array<long>, ups array<long>, ns array<int>")
     each = rows.repartition("part").select("part", F.explode(F.arrays_zip("ctxs", "ups", "ns")).alias("x"))
@@ -196,7 +201,7 @@ def train(training: DataFrame, vocab: DataFrame, n_tokens: int, n_distinct: int,
         if contexts.isEmpty():
             break
         counts = next_counts(training, contexts, parents.where(F.col("n") >= min_symbol).select("key"), depth, n_tokens, filter_bits)
-        here = written(level(counts, contexts, parents, min_symbol, discount, gain_per_symbol))
+        here = written(level(counts, contexts, parents, min_symbol, discount, gain_per_symbol), drop_shuffles=True)
         del counts
         release(training.sparkSession)  # a level's counts are done with
         kept = here.where("stays")
@@ -342,7 +347,7 @@ def score(docs: DataFrame, hot_entries: int = 1_000_000, max_depth: int = 3, fil
     totals: list[int] = []
 
     def build() -> DataFrame:
-        vocab = written(vocabulary(training))
+        vocab = written(vocabulary(training), drop_shuffles=True)
         head = vocab.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
         totals.extend((head["n"] or 0, head["v"]))
         release(spark)
@@ -367,7 +372,7 @@ def score(docs: DataFrame, hot_entries: int = 1_000_000, max_depth: int = 3, fil
     rounds = []
     for k in range(ROUNDS):
         share = docs.select(*names, "text").where(F.pmod(text_key(F.col("doc_id"), F.col("text")), F.lit(ROUNDS)) == k)
-        rounds.append(written(_scored(share, rare, sent, max_depth, block)))
+        rounds.append(written(_scored(share, rare, sent, max_depth, block), drop_shuffles=True))
         release(spark)  # a round's questions and answers are done with
     out = functools.reduce(DataFrame.unionByName, rounds)
     root = F.col("hot_base") + F.col("rare_base") - F.col("n_tokens") * F.lit(log_total)

@@ -763,6 +763,24 @@ def test_scores_where_the_share_of_all_tokens_passes_32_bits(monkeypatch, docs):
         assert r["score"] == pytest.approx(want[r["doc_id"], r["n_tokens"]])
 
 
+def test_a_write_drops_its_shuffle_files(spark):
+    import glob
+    import tempfile
+
+    from siteindex import lineage
+
+    local = spark.sparkContext.getConf().get("spark.local.dir") or tempfile.gettempdir()
+    files = lambda: set(glob.glob(f"{local}/blockmgr-*/*/shuffle_*.data"))
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    was, before = spark.conf.get(lineage.DROP_SHUFFLES), files()
+    assert lineage.written(counted, drop_shuffles=True).count() == 7
+    between = files() - before
+    assert lineage.written(counted).count() == 7
+    # The count of the table read back has a shuffle of its own.
+    assert len(between) < len(files() - before - between)
+    assert spark.conf.get(lineage.DROP_SHUFFLES) == was
+
+
 def test_a_block_asks_for_each_of_its_ngrams_once(spark):
     import numpy as np
 
